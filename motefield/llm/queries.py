@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, lines, matroska, packing, urls
+from motefield.llm import bpe, embeddings, lines, matroska, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embeddings": op1_embeddings,
     "op2_matroska": op2_matroska,
     "op4_bpe": op4_bpe,
     "op6_lines": op6_lines,
