@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, packing, urls
+from motefield.llm import bpe, embeddings, lines, matroska, packing, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,34 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), i AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50
+), h AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h FROM i
+), m AS (
+  SELECT h, min(doc_id) AS least FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM h JOIN m USING (h) WHERE least < doc_id
+), e AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), k AS (
+  SELECT e.doc_id, e.word, e.p, c.p IS NOT NULL AS gone FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.p = c.p
+), s AS (
+  SELECT doc_id, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM k GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s ON w.doc_id = s.doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_matroska": op2_matroska,
@@ -98,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op6_lines": op6_lines,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
+    "op10_substrings": op10_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_lines": OP6_SQL, "op7_urls": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL}
