@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, packing, substrings, urls
+from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -126,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op6_lines": op6_lines,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
     "op10_substrings": op10_substrings,
 }
 
