@@ -32,6 +32,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches to Python workers hold ``most`` bytes, unless they hold less already.
+
+    For plans whose rows are wide: a worker then needs a few times ``most``, not a few times
+    the default of 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(filter(str.isdigit, spark.conf.get(name, "67108864"))) or 0)
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
