@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, substrings, urls
+from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, substrings, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,12 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, field).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -126,6 +132,7 @@ FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_matroska": op2_matroska,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_lines": op6_lines,
     "op7_urls": op7_urls,
