@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from motefield.llm.words import GOLDEN, Words, chunks, mix, seeded, text_column
 from motefield.operators.components import connected_components
-from motefield.storage import materialize
+from motefield.storage import materialize, small_batches
 
 WORDS, ROWS, BANDS = 5, 4, 20
 COORDINATES = ROWS * BANDS
@@ -216,11 +216,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "x", "b", "y").mapInArrow(run, "src long, dst long")
 
 
-def near_pairs(least: float):
-    """Pairs of one block pair of a band in different components whose estimate is ``least``."""
+def near_pairs(threshold: float, least: float, sizes: bool):
+    """Pairs of one block pair of a band in different components whose estimate is ``least``,
+    in the first band that the two share."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        low, high, band = int(rows["low"].iloc[0]), int(rows["high"].iloc[0]), int(rows["at"].iloc[0])
+        size = rows["n"].to_numpy()
         doc, part, block = rows["doc"].to_numpy(), rows["part"].to_numpy(), rows["block"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), -1)
         a = np.flatnonzero(block == low)
@@ -230,8 +232,12 @@ def near_pairs(least: float):
             other = b[part[b] != part[i]]
             if low == high:
                 other = other[doc[other] > doc[i]]
+            # sets of such different sizes cannot be similar enough
+            other = other[np.minimum(size[other], size[i]) >= threshold * np.maximum(size[other], size[i])] if sizes else other
             if len(other):
-                near = other[(sig[other] == sig[i]).mean(axis=1) >= least]
+                same = sig[other] == sig[i]
+                first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                near = other[(same.mean(axis=1) >= least) & (first == band)]
                 out.append(np.stack((np.minimum(doc[near], doc[i]), np.maximum(doc[near], doc[i])), axis=1))
         found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
@@ -241,32 +247,35 @@ def near_pairs(least: float):
 
 def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
     """``key``, ``class_id`` (the least id of its class) and ``kept`` (it is that one)."""
+    small_batches(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = rows.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = materialize(signed(docs, weights), "signed")
     copies = table.groupBy("t1", "t2").agg(F.min("doc").alias("rep"))
     members = materialize(table.select("doc", "t1", "t2").distinct().join(copies, ["t1", "t2"]).select("doc", "rep"), "members")
     reps = table.join(members.where("doc = rep").select("doc").distinct(), "doc", "left_semi").where("n > 0")
-    banded = materialize(reps.select("doc", F.explode("bands").alias("band")), "bands")
+    banded = materialize(reps.select("doc", F.posexplode("bands").alias("at", "band")), "bands")
     busy = banded.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("most"), F.count("*").alias("size")).where("hub <> most")
-    met = materialize(banded.join(busy, "band").select("band", "doc", "hub", "size"), "met")
+    met = materialize(banded.join(busy, "band").select("band", "at", "doc", "hub", "size"), "met")
     wanted = met.select("doc").distinct()
     sets = materialize(shingle_sets(docs.join(wanted, "doc", "left_semi"), weights), "sets")
     hubs = met.groupBy("doc").agg(F.min("hub").alias("hub")).where("hub < doc").select(F.col("hub").alias("src"), F.col("doc").alias("dst"))
     links = materialize(verified(hubs, sets, threshold), "links")
     part = connected_components(links)
     # bands that still hold documents of different components
-    placed = met.select("band", "doc", "size").join(part.withColumnRenamed("node", "doc"), "doc", "left").select("band", "doc", "size", F.coalesce("component", "doc").alias("part"))
+    placed = met.select("band", "at", "doc", "size").join(part.withColumnRenamed("node", "doc"), "doc", "left").select("band", "at", "doc", "size", F.coalesce("component", "doc").alias("part"))
     mixed = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
     rest = materialize(placed.join(mixed, "band", "left_semi"), "mixed")
     blocks = (
-        rest.join(reps.select("doc", "sig"), "doc")
+        rest.join(reps.select("doc", "n", "sig"), "doc")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "part", "sig")
+        .select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "at", "doc", "part", "n", "sig")
+        .repartition(parts, "band", "low", "high")
     )
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    more = blocks.groupBy("band", "low", "high").applyInPandas(near_pairs(least), "src long, dst long").distinct()
+    more = blocks.groupBy("band", "low", "high").applyInPandas(near_pairs(threshold, least, weights == "set"), "src long, dst long").distinct()
     late = materialize(verified(more, sets, threshold), "late")
     own = members.select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     final = connected_components(links.union(late).union(own))
