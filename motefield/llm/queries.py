@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, substrings, toxicity, urls
+from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, substrings, toolcalls, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,45 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+TOOL_SCHEMAS = [
+    ("answer", "prompt", "string", True, None, None),
+    ("answer", "chars", "integer", True, 1.0, 150.0),
+    ("answer", "opening", "string", False, None, None),
+    ("explain", "prompt", "string", True, None, None),
+    ("explain", "chars", "integer", True, 1.0, 1000.0),
+    ("explain", "opening", "string", False, None, None),
+]
+
+
+def op5_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.createDataFrame(TOOL_SCHEMAS, "tool string, argument string, type string, required boolean, minimum double, maximum double")
+    linked = toolcalls.link_tool_calls(*toolcalls.conversation_calls(table(spark, sf_dir, "conversations")), schemas)
+    return linked.select("conv_id", "call_id", "name", "turn", "result_turn", "level", "status", F.array_join("violations", "; ").alias("violations"), "record")
+
+
+OP5_SQL = r"""
+WITH u AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, coalesce(text, '') AS prompt, length(coalesce(text, '')) AS chars,
+         CASE WHEN length(coalesce(text, '')) > 200 THEN 'explain' ELSE 'answer' END AS name,
+         turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain
+  FROM conversations WHERE role = 'user'
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level FROM u
+), r AS (
+  SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.name, c.turn, r.turn AS result_turn, c.level,
+       CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+       CASE WHEN c.call_id IS NULL THEN NULL WHEN chars < 1 OR chars > CASE name WHEN 'answer' THEN 150 ELSE 1000 END THEN 'range of chars' ELSE '' END AS violations,
+       '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null' ELSE
+         '{"chars":' || chars || ',"opening":' || CAST(to_json(substring(prompt, 1, 16)) AS VARCHAR) || ',"prompt":' || CAST(to_json(prompt) AS VARCHAR) || '}' END
+       || ',"id":' || CAST(to_json(coalesce(c.call_id, r.call_id)) AS VARCHAR) || ',"level":' || coalesce(CAST(c.level AS VARCHAR), 'null')
+       || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END
+       || ',"result":' || CASE WHEN r.text IS NULL THEN 'null' ELSE CAST(to_json(r.text) AS VARCHAR) END || '}' AS record
+FROM c FULL JOIN r ON c.call_id = r.call_id
+"""
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -134,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "op2_matroska": op2_matroska,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_toolcalls": op5_toolcalls,
     "op6_lines": op6_lines,
     "op7_urls": op7_urls,
     "op8_packing": op8_packing,
@@ -141,4 +181,4 @@ QUERIES: dict[str, Query] = {
     "op10_substrings": op10_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_toolcalls": OP5_SQL, "op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL}

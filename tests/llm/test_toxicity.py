@@ -64,7 +64,10 @@ def test_held_out_labels(spark):
 
 
 def test_edges(spark):
-    docs = [(i, "you idiot fool", 0.5) for i in range(60)] + [(100 + i, "kind words all day", 0.5) for i in range(60)] + [(900, None, 0.5), (901, "", 0.5), (900, "IDIOT " * 3000, 0.5)]
+    letters = "abcdefghijklmnopqrst"
+    name = lambda i: letters[i % 20] + letters[i // 20] + "x"
+    # the word stands after different words; copies of one text would not tell
+    docs = [(i, f"{name(i)} idiot {name(2 * i)}", 0.5) for i in range(60)] + [(100 + i, "kind words all day", 0.5) for i in range(60)] + [(900, None, 0.5), (901, "", 0.5), (900, "IDIOT " * 3000, 0.5)]
     df = spark.createDataFrame(docs, "doc_id long, text string, score double").repartition(3)
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)] + [(None, 1), (901, None), (5555, 1)], "doc_id long, toxic int")
     field = toxicity.fit(df, labels)
