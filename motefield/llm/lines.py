@@ -13,7 +13,7 @@ is a keep bitmap as run lengths, never text: ``keep_runs`` holds the lengths of
 runs of kept and dropped lines, a kept run (of length 0 if need be) first.
 
 A null or empty text is one empty line. Rows that share a document id are one document when
-documents are counted. Tables without rows give none. Other columns are not carried.
+documents are counted. Tables without rows give none. Other columns are carried where they are named.
 """
 
 from __future__ import annotations
@@ -86,8 +86,9 @@ def kept_text(lines: Column, runs: Column) -> Column:
     return F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(lines, s["at"] + 1, s["n"]))), "\n")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_lines``, ``n_dropped``, ``keep_runs`` and the ``kept`` text of each row."""
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``n_lines``, ``n_dropped``, ``keep_runs`` and the ``kept`` text of each row, and
+    the columns named in ``carry``."""
     occurrences = materialize(line_occurrences(docs, min_chars, key, text), "lines")
     common = common_lines(occurrences, min_docs)
     dropped = (
@@ -95,16 +96,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
         .groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
     )
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), whole.alias("_text")).join(dropped, F.col(key) == F.col("_doc"), "left")
+    rows = docs.select(F.col(key), whole.alias("_text"), *carry).join(dropped, F.col(key) == F.col("_doc"), "left")
     lines = F.split(F.col("_text"), "\n", -1)
     n_lines = F.size(lines)
     none = F.col("_dropped").isNull()
     runs = F.when(none, F.array(n_lines)).otherwise(keep_runs(n_lines, F.col("_dropped")))
-    rows = rows.select(F.col(key), "_text", "_dropped", n_lines.alias("_n"), runs.alias("keep_runs"))
+    rows = rows.select(F.col(key), "_text", "_dropped", *carry, n_lines.alias("_n"), runs.alias("keep_runs"))
     return rows.select(
         F.col(key),
         F.col("_n").cast("long").alias("n_lines"),
         F.when(none, F.lit(0)).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"),
         "keep_runs",
         F.when(none, F.col("_text")).otherwise(kept_text(F.split("_text", "\n", -1), F.col("keep_runs"))).alias("kept"),
+        *carry,
     )

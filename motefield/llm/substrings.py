@@ -26,6 +26,7 @@ other columns are not carried.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from motefield.storage import materialize
 WINDOW, ROUNDS = 50, 7
 #: Rows of exploded symbols or windows in one Arrow batch.
 BATCH = 200_000
+#: Fixed value: a word in UTF-8.
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,32 +240,59 @@ def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def dedup_substrings(rows: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, texts: bool = False) -> DataFrame:
-    """``key``, ``n_words``, ``n_removed``, ``kept_sha256`` of every row; with ``texts`` also
-    the kept words joined by a space, as ``kept``."""
+def dedup_substrings(rows: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """``key``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by a
+    space) of every row."""
     docs = rows.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     gone = removed_starts(docs, size)
-    schema = f"`{key}` long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    names = [key, "n_words", "n_removed", "kept_sha256", *["kept"] * texts]
+    names = [key, "n_words", "n_removed", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, digests, kept = [], [], [], []
+            counts, removed, digests = [], [], []
             for value, first, starts in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = value.as_py().encode().split()  # bytes split at exactly the bytes 9-13 and 32
-                n, gone = len(words), 0
-                if first.is_valid:
-                    if n >= size:
-                        words, gone = [], n
-                elif starts.is_valid:
-                    over = _covered(n, starts.values.to_numpy(), size)
-                    words, gone = [w for w, g in zip(words, over, strict=True) if not g], int(over.sum())
-                joined = b" ".join(words)
-                counts.append(n)
-                removed.append(gone)
-                digests.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined.decode() if texts else None)
-            made = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), *[pa.array(kept, pa.string())] * texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
-
-    return docs.join(gone, "doc", "left").select("doc", "text", "first", "starts").mapInArrow(run, schema)
+                over = _gone(len(words), first, starts, size)
+                counts.append(len(words))
+                removed.append(int(over.sum()) if over is not None else 0)
+                digests.append(hashlib.sha256(b" ".join(words if over is None else [w for w, g in zip(words, over, strict=True) if not g])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names)
+
+    return docs.join(gone, "doc", "left").select("doc", "text", "first", "starts").mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _gone(n: int, first: pa.Scalar, starts: pa.Scalar, size: int) -> np.ndarray | None:
+    """Which of a text's words go; None: none of them."""
+    if first.is_valid:
+        return np.ones(n, dtype=bool) if n >= size else None
+    return _covered(n, starts.values.to_numpy(), size) if starts.is_valid else None
+
+
+def cut_documents(rows: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows, all columns, with the words that go cut out of ``text``.
+
+    A text that loses nothing stays as it is; else its kept stretches stay as they are, white
+    space inside them included, and are joined by a space.
+    """
+    docs = rows.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    gone = removed_starts(docs, size).select(F.col("doc").alias("_doc"), F.col("first").alias("_first"), F.col("starts").alias("_starts"))
+    at, names = rows.columns.index(text), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, first, starts = batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            changed = column.to_pylist()
+            for i in range(batch.num_rows):
+                if changed[i] is None or not (first[i].is_valid or starts[i].is_valid):
+                    continue
+                raw = changed[i].encode()
+                spans = [m.span() for m in WORD.finditer(raw)]
+                over = _gone(len(spans), first[i], starts[i], size)
+                if over is None or not over.any():
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate(([True], over, [True])).astype(np.int8)))
+                changed[i] = b" ".join(raw[spans[a][0] : spans[b - 1][1]] for a, b in edge.reshape(-1, 2)).decode()
+            yield pa.RecordBatch.from_arrays([pa.array(changed, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns - 2)], names=names)
+
+    joined = rows.join(gone, F.col(key).cast("long") == F.col("_doc"), "left").drop("_doc")
+    return joined.mapInArrow(run, rows.schema)

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,3 +354,23 @@ def score_documents(docs: DataFrame, field: Field | None, key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, [key, "score", "predicted", "n_tokens", "spans"])
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, f"`{key}` {kind}, {SCORES}")
+
+
+def clean_documents(docs: DataFrame, field: Field | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; no shuffle."""
+    model, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            column = text_column(batch, at)
+            filled = pa.compute.fill_null(column, "")
+            for rows, tokens in token_chunks(filled) if known is not None else ():
+                p = known.score(tokens)
+                use = p >= FLOOR
+                miss = np.bincount(tokens.doc[use], weights=np.log1p(-np.minimum(p[use], 1 - 1e-12)), minlength=rows.stop - rows.start)
+                keep[rows] = -np.expm1(miss) < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,10 +53,11 @@ def test_against_brute_force(spark, seed):
 
 
 def test_kept_text_and_edges(spark):
-    docs = [(1, "x y " * 40), (2, "pre " + "x y " * 40 + "post"), (2, "pre " + "x y " * 40 + "post")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = substrings.dedup_substrings(df, texts=True).where("doc_id = 2").collect()
-    assert [r.kept for r in got] == ["pre post"] * 2
+    twice = "pre\n\tpre " + "x y " * 40 + "post \n"
+    docs = [(1, "x y " * 40, 7), (2, twice, 8), (2, twice, 9), (3, "x y " * 40, 1), (4, " un\ttouched ", 2), (5, None, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, first int")
+    got = substrings.cut_documents(df).orderBy("doc_id", "first").collect()
+    assert [tuple(r) for r in got] == [(1, "x y " * 40, 7), (2, "pre\n\tpre post", 8), (2, "pre\n\tpre post", 9), (3, "", 1), (4, " un\ttouched ", 2), (5, None, 3)]
     assert substrings.dedup_substrings(df.limit(0)).count() == 0
 
 
