@@ -1,5 +1,66 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to packed token sequences.
+
+Each stage takes the documents that its predecessor kept and returns documents, and the last
+returns packed pieces:
+
+1. ``toxicity``: documents that the random field scores 0.3 or more go.
+2. ``lines``: lines found in five documents or more stay in one of them.
+3. ``minhash``: one document of each class of near-duplicates stays, the one of least id.
+4. ``substrings``: passages of fifty words or more of an earlier document are cut out.
+5. ``packing``: what is left is tokenised and packed into sequences of 1,024 tokens.
+
+Documents that a stage does not touch keep their text byte for byte. ``n_chars`` follows the
+text. A document that loses all its text stays as an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motefield.llm import lines, minhash, packing, substrings, toxicity
+from motefield.llm.queries import table, tokenizer_path
+from motefield.storage import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = lines.dedup_lines(docs, carry=others)
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.near_duplicate_classes(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.cut_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("lines", drop_common_lines),
+    ("minhash", keep_one_of_each_class),
+    ("substrings", cut_repeated_passages),
+    ("packing", pack),
+]
+
+#: The first stage is a trained model, which SQL cannot state.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table of documents; what a stage keeps is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
