@@ -11,14 +11,18 @@ dart at a coordinate with the probability of their weighted Jaccard similarity.
 
 ``BANDS`` bands of ``ROWS`` coordinates are hashed and equi-joined:
  1. Exact copies of a text are one representative with members.
- 2. Each representative is compared with the least one that any of its bands leads to; links
-    that an exact comparison of all shingles confirms make components.
- 3. What remains are bands whose documents lie in different components. They are split into
-    blocks, their signatures are compared there, and only pairs of different components whose
-    estimate is near the threshold are emitted, verified and joined to the components.
-So no group emits its pairs, and every pair that shares a band is linked, refuted by its
-estimate (five standard errors below the threshold), or already in one component. A pair of similarity 0.8 shares no
-band with probability 3e-5.
+ 2. Bands that several representatives share are split into blocks. Signatures are compared
+    there, and documents whose estimate comes near the threshold (within five standard errors)
+    are tied together: no pairs leave a block, only a spanning forest of them.
+ 3. The components of those ties are clusters. Their documents, once each with all shingles,
+    are compared in pairs of blocks, exactly; again only a spanning forest of the links leaves.
+So no group emits its pairs or meets in one task, and a pair that shares a band is compared
+exactly unless links found before connect it anyway or its estimate refutes it. A pair of
+similarity 0.8 shares no band with probability 3e-5.
+
+Shingles are needed of documents in shared bands alone. Which those are is sent to the tasks
+that read the texts as a bitmap of fixed size over hashed ids; what it lets through by chance
+is dropped in the join with the clusters.
 
 Null text counts as empty. Documents without words are near-duplicates of equal texts alone.
 Rows that share an id are taken as one node: a link of any of them holds for the id. Texts
@@ -38,13 +42,16 @@ from pyspark.sql import functions as F
 
 from motefield.llm.words import GOLDEN, Words, chunks, mix, seeded, text_column
 from motefield.operators.components import connected_components
-from motefield.storage import materialize, small_batches
+from motefield.storage import forget, materialize, small_batches
 
 WORDS, ROWS, BANDS = 5, 4, 20
 COORDINATES = ROWS * BANDS
 #: Darts below this rank lie in one cell; each further cell doubles the rank.
 BASE_RANK = 2.0**-6
-BLOCK = 1024
+#: Documents of a block where signatures and where all shingles are compared.
+BLOCK, EXACT_BLOCK = 1024, 256
+#: Bytes of the bitmap of documents whose shingles are needed.
+MAP_BYTES = 1 << 20
 UNIT = 2.0**-53
 
 
@@ -148,7 +155,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, weights: str) -> DataFrame:
-    """(doc, n, bands, sig): number of shingles, band hashes, 32 bits of each coordinate."""
+    """(doc, t1, t2, n, bands, sig): number of shingles, band hashes, 8 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +165,7 @@ def signed(docs: DataFrame, weights: str) -> DataFrame:
                 sig = signatures(text, value, times.astype(float) if weights == "count" else np.ones(len(text)), n)
                 size = np.bincount(text, minlength=n)
                 bands = [b if s else None for b, s in zip(band_hashes(sig).view(np.int64), size, strict=True)]
-                low = sig.astype(np.uint32)
+                low = sig.astype(np.uint8)
                 columns = [batch.column(0).slice(words.rows.start, n), *batch_columns(batch, words.rows, n), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "t1", "t2", "n", "bands", "sig"])
 
@@ -170,21 +177,35 @@ def batch_columns(batch: pa.RecordBatch, rows: slice, n: int) -> list[pa.Array]:
     return [batch.column(c).slice(rows.start, n) for c in (2, 3)]
 
 
-def shingle_sets(docs: DataFrame, weights: str) -> DataFrame:
-    """(doc, values, times): the sorted shingles of each document."""
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of hashed ids: ``MAP_BYTES`` bytes whatever their number, gathered as parts of 4 KB."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(8 * MAP_BYTES)) + 1
+    parts = ids.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((MAP_BYTES // 4096, 4096), dtype=np.uint8)
+    for r in parts.collect():
+        out[r.part - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.ravel()
+
+
+def shingle_sets(docs: DataFrame, weights: str, wanted: np.ndarray) -> DataFrame:
+    """(doc, values, times): the sorted shingles of the documents that the bitmap names."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)  # MAP_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for words in chunks(text_column(batch, 1)):
                 n = words.rows.stop - words.rows.start
                 text, value, times = shingles(words)
                 cut = np.searchsorted(text, np.arange(n + 1))
-                columns = [batch.column(0).slice(words.rows.start, n), pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())]
-                times = times if weights == "count" else np.ones(len(times))
-                columns.append(pa.array([times[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)] if weights == "count" else [None] * n, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "values", "times"])
+                parts = list(zip(cut, cut[1:], strict=False))
+                held_times = [times[a:b].astype("<u4").tobytes() for a, b in parts] if weights == "count" else [None] * n
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.rows.start, n), pa.array([value[a:b].tobytes() for a, b in parts], pa.binary()), pa.array(held_times, pa.binary())], ["doc", "values", "times"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, values binary, times binary")
+    place = F.pmod(F.xxhash64("doc"), F.lit(8 * MAP_BYTES)).alias("place")
+    return docs.select("doc", "text", place).mapInArrow(run, "doc long, values binary, times binary")
 
 
 def similarity(a: bytes, b: bytes, x: bytes | None, y: bytes | None) -> float:
@@ -202,45 +223,49 @@ def similarity(a: bytes, b: bytes, x: bytes | None, y: bytes | None) -> float:
     return shared / (v.sum() + w.sum() - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (src, dst) whose similarity is at least ``threshold``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [similarity(*(batch.column(c)[i].as_py() for c in (2, 4, 3, 5))) >= threshold for i in range(batch.num_rows)]
-            good = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([good.column(0), good.column(1)], ["src", "dst"])
-
-    left = sets.select(F.col("doc").alias("src"), F.col("values").alias("a"), F.col("times").alias("x"))
-    right = sets.select(F.col("doc").alias("dst"), F.col("values").alias("b"), F.col("times").alias("y"))
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "x", "b", "y").mapInArrow(run, "src long, dst long")
+def in_blocks(rows: DataFrame, group: str, size: str, block: int, parts: int) -> DataFrame:
+    """Rows of each group dealt into blocks, once for each pair (low, high) of blocks."""
+    return (
+        rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .drop("blocks", "other", size)
+        .repartition(parts, group, "low", "high")
+    )
 
 
-def near_pairs(threshold: float, least: float, sizes: bool):
-    """Pairs of one block pair of a band in different components whose estimate is ``least``,
-    in the first band that the two share."""
+def forest(threshold: float, least: float, sizes: bool, exact: bool):
+    """Ties of one pair of blocks: each document and the least one that it is tied to, by
+    estimates, or by exact comparisons where the shingles are there (``exact``)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high, band = int(rows["low"].iloc[0]), int(rows["high"].iloc[0]), int(rows["at"].iloc[0])
-        size = rows["n"].to_numpy()
-        doc, part, block = rows["doc"].to_numpy(), rows["part"].to_numpy(), rows["block"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), -1)
+        rows = rows.sort_values("doc", kind="stable")
+        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        doc, block, n = (rows[c].to_numpy() for c in ("doc", "block", "n"))
+        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(len(rows), -1)
+        values, times = (rows["values"].to_numpy(), rows["times"].to_numpy()) if exact else (None, None)
+        root = np.arange(len(rows))
         a = np.flatnonzero(block == low)
         b = a if low == high else np.flatnonzero(block == high)
-        out = []
         for i in a:
-            other = b[part[b] != part[i]]
-            if low == high:
-                other = other[doc[other] > doc[i]]
-            # sets of such different sizes cannot be similar enough
-            other = other[np.minimum(size[other], size[i]) >= threshold * np.maximum(size[other], size[i])] if sizes else other
-            if len(other):
-                same = sig[other] == sig[i]
-                first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                near = other[(same.mean(axis=1) >= least) & (first == band)]
-                out.append(np.stack((np.minimum(doc[near], doc[i]), np.maximum(doc[near], doc[i])), axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
+            other = b[(root[b] != root[i]) & (b > i)] if low == high else b[root[b] != root[i]]
+            if sizes:  # sets of too different sizes are not similar enough
+                other = other[np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i])]
+            if not len(other):
+                continue
+            same = (sig[other] == sig[i]).mean(axis=1)
+            near = np.flatnonzero(same >= least)
+            if exact:
+                for j in other[near[np.argsort(-same[near], kind="stable")]]:
+                    if root[j] != root[i] and similarity(values[i], values[j], times[i], times[j]) >= threshold:
+                        p, q = sorted((root[i], root[j]))
+                        root[root == q] = p
+            elif len(near):
+                joined = np.unique(np.append(root[other[near]], root[i]))
+                root[np.isin(root, joined)] = joined[0]
+        tied = root != np.arange(len(rows))
+        return pd.DataFrame({"src": doc[root[tied]], "dst": doc[tied]})
 
     return run
 
@@ -254,29 +279,20 @@ def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "te
     copies = table.groupBy("t1", "t2").agg(F.min("doc").alias("rep"))
     members = materialize(table.select("doc", "t1", "t2").distinct().join(copies, ["t1", "t2"]).select("doc", "rep"), "members")
     reps = table.join(members.where("doc = rep").select("doc").distinct(), "doc", "left_semi").where("n > 0")
-    banded = materialize(reps.select("doc", F.posexplode("bands").alias("at", "band")), "bands")
-    busy = banded.groupBy("band").agg(F.min("doc").alias("hub"), F.max("doc").alias("most"), F.count("*").alias("size")).where("hub <> most")
-    met = materialize(banded.join(busy, "band").select("band", "at", "doc", "hub", "size"), "met")
-    wanted = met.select("doc").distinct()
-    sets = materialize(shingle_sets(docs.join(wanted, "doc", "left_semi"), weights), "sets")
-    hubs = met.groupBy("doc").agg(F.min("hub").alias("hub")).where("hub < doc").select(F.col("hub").alias("src"), F.col("doc").alias("dst"))
-    links = materialize(verified(hubs, sets, threshold), "links")
-    part = connected_components(links)
-    # bands that still hold documents of different components
-    placed = met.select("band", "at", "doc", "size").join(part.withColumnRenamed("node", "doc"), "doc", "left").select("band", "at", "doc", "size", F.coalesce("component", "doc").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    rest = materialize(placed.join(mixed, "band", "left_semi"), "mixed")
-    blocks = (
-        rest.join(reps.select("doc", "n", "sig"), "doc")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "at", "doc", "part", "n", "sig")
-        .repartition(parts, "band", "low", "high")
-    )
+    banded = materialize(reps.select("doc", F.explode("bands").alias("band")), "bands")
+    busy = banded.groupBy("band").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("size")).where("least <> most").select("band", "size")
+    marks = reps.select("doc", "n", "sig").dropDuplicates(["doc"])
+    met = banded.join(busy, "band").join(marks, "doc")
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    more = blocks.groupBy("band", "low", "high").applyInPandas(near_pairs(threshold, least, weights == "set"), "src long, dst long").distinct()
-    late = materialize(verified(more, sets, threshold), "late")
+    edge, by_size = "src long, dst long", weights == "set"
+    ties = materialize(in_blocks(met, "band", "size", BLOCK, parts).groupBy("band", "low", "high").applyInPandas(forest(threshold, least, by_size, False), edge).distinct(), "ties")
+    forget(banded)
+    clusters = connected_components(ties).withColumnsRenamed({"node": "doc", "component": "cluster"})
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    placed = materialize(clusters.join(sizes, "cluster"), "clusters")
+    sets = shingle_sets(docs, weights, bitmap(placed.select("doc")))
+    whole = placed.join(marks, "doc").join(sets, "doc")
+    links = materialize(in_blocks(whole, "cluster", "size", EXACT_BLOCK, parts).groupBy("cluster", "low", "high").applyInPandas(forest(threshold, least, by_size, True), edge).distinct(), "links")
     own = members.select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
-    final = connected_components(links.union(late).union(own))
+    final = connected_components(links.union(own))
     return docs.select("doc").join(final, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias(key), F.coalesce("component", "doc").alias("class_id")).withColumn("kept", F.col(key) == F.col("class_id"))

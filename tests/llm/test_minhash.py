@@ -55,6 +55,7 @@ def corpus(seed):
 def test_against_all_pairs(spark, seed, weights, monkeypatch):
     if seed:
         monkeypatch.setattr(minhash, "BLOCK", 4)
+        monkeypatch.setattr(minhash, "EXACT_BLOCK", 3)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, doc int, n int").repartition(3)
     got = {r.doc_id: r for r in minhash.near_duplicate_classes(df, weights=weights).collect()}
