@@ -141,10 +141,13 @@ def nematic(spark, d):
     return spark.createDataFrame([(q[0][0], q[1][1], q[2][2], q[0][1])], "qxx double, qyy double, qzz double, qxy double").select(*[_r(c) for c in ("qxx", "qyy", "qzz", "qxy")])
 
 
+def _gap(name: str, a: str, b: str) -> str:
+    """Minimum image from a to b; a difference of half a box rounds to even, as in the operator."""
+    return ", ".join(f"{b}.{c} - {a}.{c} - {l} * round_even(({b}.{c} - {a}.{c}) / {l}, 0) AS {name}{c}" for c, l in zip("xyz", (50, 11, 9), strict=True))
+
+
 @query(f"""WITH {V.PTS}, t AS (SELECT d.frame, d.atom AS donor, h.atom AS hydrogen, a.atom AS acceptor,
- a.x - d.x - 50 * round((a.x - d.x) / 50) AS ax, a.y - d.y - 11 * round((a.y - d.y) / 11) AS ay, a.z - d.z - 9 * round((a.z - d.z) / 9) AS az,
- d.x - h.x - 50 * round((d.x - h.x) / 50) AS px, d.y - h.y - 11 * round((d.y - h.y) / 11) AS py, d.z - h.z - 9 * round((d.z - h.z) / 9) AS pz,
- a.x - h.x - 50 * round((a.x - h.x) / 50) AS qx, a.y - h.y - 11 * round((a.y - h.y) / 11) AS qy, a.z - h.z - 9 * round((a.z - h.z) / 9) AS qz
+ {_gap('a', 'd', 'a')}, {_gap('p', 'h', 'd')}, {_gap('q', 'h', 'a')}
  FROM pts d JOIN pts a ON a.frame = d.frame AND d.atom % 3 = 0 AND a.atom % 3 = 2 JOIN pts h ON h.frame = d.frame AND h.atom = d.atom + 1),
 c AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS dist, sqrt((px * px + py * py + pz * pz) * (qx * qx + qy * qy + qz * qz)) AS s, px * qx + py * qy + pz * qz AS k FROM t)
 SELECT frame, donor, hydrogen, acceptor, round(dist, 6) AS dist FROM c WHERE dist < 3.1 AND s > 0 AND degrees(acos(greatest(least(k / CASE WHEN s > 0 THEN s ELSE 1 END, 1), -1))) > 101""")
@@ -178,7 +181,8 @@ def angle_distribution(spark, d):
 
 
 @query(f"""WITH {_CHAIN}, n AS (SELECT *, yij * zjk - zij * yjk AS ax, zij * xjk - xij * zjk AS ay, xij * yjk - yij * xjk AS az, yjk * zkl - zjk * ykl AS bx, zjk * xkl - xjk * zkl AS by_, xjk * ykl - yjk * xkl AS bz FROM steps WHERE xkl IS NOT NULL),
-v AS (SELECT atan2(sqrt(xjk * xjk + yjk * yjk + zjk * zjk) * (xij * bx + yij * by_ + zij * bz), ax * bx + ay * by_ + az * bz) AS v FROM n),
+s AS (SELECT sqrt(xjk * xjk + yjk * yjk + zjk * zjk) * (xij * bx + yij * by_ + zij * bz) AS s, ax * bx + ay * by_ + az * bz AS c FROM n),
+v AS (SELECT atan2(CASE WHEN s = 0 THEN 0 ELSE s END, CASE WHEN c = 0 THEN 0 ELSE c END) AS v FROM s),
 h AS (SELECT CAST(floor((v + 3.3) / (6.6 / 13)) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(13) LEFT JOIN h ON bin = range""")
 def dihedral_distribution(spark, d):
     return structure.value_distribution(structure.torsions(_chain(spark, 4), V.pts(spark, d), V.BOX), 13, -3.3, 3.3).select("bin", "count")
@@ -368,7 +372,7 @@ def soft_potential(spark, d):
     return forcefield.soft_potential(bonded, graph.exclude_bonded(near, bonds), 2.0, 3.0, 2.2).select("frame", _r("energy", 4))
 
 
-@query("""SELECT (a.range + 4 * b.range + 16 * c.range) * 4 + s.k AS atom, round(5.26 * (a.range + s.u), 6) AS x, round(5.26 * (b.range + s.v), 6) AS y, round(5.26 * (c.range + s.w), 6) AS z
+@query("""SELECT (a.range + 4 * b.range + 16 * c.range) * 4 + s.k AS atom, round(CAST(5.26 * (a.range + s.u) AS DOUBLE), 6) AS x, round(CAST(5.26 * (b.range + s.v) AS DOUBLE), 6) AS y, round(CAST(5.26 * (c.range + s.w) AS DOUBLE), 6) AS z
 FROM range(4) a, range(4) b, range(4) c, (VALUES (0, 0, 0, 0), (1, 0.5, 0.5, 0), (2, 0.5, 0, 0.5), (3, 0, 0.5, 0.5)) s(k, u, v, w)""")
 def fcc_crystal(spark, d):
     cell = [[5.26, 0, 0], [0, 5.26, 0], [0, 0, 5.26]]

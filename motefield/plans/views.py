@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motefield.functions.box import Box
@@ -38,7 +38,13 @@ def pairs_sql(cutoff: float) -> str:
 pairs AS MATERIALIZED (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM diff WHERE dx * dx + dy * dy + dz * dz <= {cutoff * cutoff})"""
 
 
-WAYS = """ways AS MATERIALIZED (SELECT frame, i, j, dx, dy, dz, dist FROM pairs UNION ALL SELECT frame, j, i, -dx, -dy, -dz, dist FROM pairs)"""
+#: Zero has no sign here: an angle of a zero step is 0, not pi.
+WAYS = """ways AS MATERIALIZED (SELECT frame, i, j, dx, dy, dz, dist FROM pairs UNION ALL SELECT frame, j, i, 0 - dx, 0 - dy, 0 - dz, dist FROM pairs)"""
+
+
+def _since_epoch(unit: str) -> Column:
+    """Whole units of ``ts`` since 1970 as its clock shows it, whichever zone the session has."""
+    return F.timestamp_diff(unit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     v = F.col("value") - 50
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("particle"), (F.row_number().over(w) - 1).cast("int").alias("frame"), F.unix_micros("ts").cast("double").alias("time"),
+        F.col("user_id").alias("particle"), (F.row_number().over(w) - 1).cast("int").alias("frame"), _since_epoch("MICROSECOND").cast("double").alias("time"),
         F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), v.alias("v"),
     )
 
@@ -58,7 +64,7 @@ WALKS = """walks AS MATERIALIZED (SELECT user_id AS particle, CAST(row_number()
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, m, p): hourly sums of value less 50, of purchases and of all else."""
-    hour = F.floor(F.unix_seconds("ts") / 3600)
+    hour = F.floor(_since_epoch("MICROSECOND") / 3_600_000_000)
     buys = F.col("event_type") == "purchase"
     sums = table(spark, sf_dir, "events").groupBy(hour.alias("frame")).agg(F.sum(F.when(buys, F.col("value") - 50).otherwise(0.0)).alias("m"), F.sum(F.when(~buys, F.col("value") - 50).otherwise(0.0)).alias("p"))
     return sums
