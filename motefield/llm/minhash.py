@@ -11,12 +11,15 @@ dart at a coordinate with the probability of their weighted Jaccard similarity.
 
 ``BANDS`` bands of ``ROWS`` coordinates are hashed and equi-joined:
  1. Exact copies of a text are one representative with members.
- 2. Bands that several representatives share are split into blocks. Signatures are compared
-    there, and documents whose estimate comes near the threshold (within five standard errors)
-    are tied together: no pairs leave a block, only a spanning forest of them.
- 3. The components of those ties are clusters. Their documents, once each with all shingles,
-    are compared in pairs of blocks, exactly; again only a spanning forest of the links leaves.
-So no group emits its pairs or meets in one task, and a pair that shares a band is compared
+ 2. In a band that several representatives share, each signature is compared with that of the
+    band's least document, its leader. Where some are not tied to it, the band is split into
+    blocks and signatures are compared there, but for those that are tied already. A tie is an
+    estimate near the threshold (within five standard errors) or above.
+ 3. The components of those ties are clusters. Their documents are compared exactly, by all
+    shingles, with the cluster's leader; where some differ, in pairs of blocks, as in 2.
+Only a star of each leader and spanning forests of blocks leave a group. Near copies of one text
+are thus compared in linear work, and blocks meet only where a group is not all alike.
+No group emits its pairs or meets in one task, and a pair that shares a band is compared
 exactly unless links found before connect it anyway or its estimate refutes it. A pair of
 similarity 0.8 shares no band with probability 3e-5.
 
@@ -223,29 +226,79 @@ def similarity(a: bytes, b: bytes, x: bytes | None, y: bytes | None) -> float:
     return shared / (v.sum() + w.sum() - shared)
 
 
-def in_blocks(rows: DataFrame, group: str, size: str, block: int, parts: int) -> DataFrame:
-    """Rows of each group dealt into blocks, once for each pair (low, high) of blocks."""
+def in_blocks(rows: DataFrame, group: str, block: int, parts: int) -> DataFrame:
+    """Rows of each group dealt into blocks, once for each pair (low, high) of blocks.
+
+    ``star`` marks rows that are tied already; they get blocks of their own, behind those of
+    the ``outer`` other rows, and no two of their blocks meet.
+    """
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("star"), F.col("stars")).otherwise(F.col("others"))).cast("int")
     return (
-        rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows.withColumns({"stars": F.ceil(F.col("inner") / block).cast("int"), "others": F.ceil(F.col("outer") / block).cast("int")})
+        .withColumn("block", own + F.when(F.col("star"), F.col("others")).otherwise(0))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("star"), 0).otherwise(F.col("stars")) - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .drop("blocks", "other", size)
+        .drop("stars", "others", "other", "inner", "outer")
         .repartition(parts, group, "low", "high")
     )
 
 
+def open_groups(stars: DataFrame, group: str) -> DataFrame:
+    """Rows of the groups in which something is not tied to the leader, with both counts."""
+    counts = stars.groupBy(group).agg(F.count_if("star").alias("inner"), F.count_if(~F.col("star")).alias("outer")).where("outer > 0")
+    return stars.select(group, "doc", "star").join(counts, group)
+
+
+def near_leaders(met: DataFrame, threshold: float, least: float, sizes: bool) -> DataFrame:
+    """(band, doc, lead, star): whether the estimate ties a document to the leader of its band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, doc, lead, n, lead_n = (batch.column(c).to_numpy() for c in range(5))
+            sig, of_lead = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(len(doc), -1) for c in (5, 6))
+            star = (sig == of_lead).mean(axis=1) >= least if len(doc) else np.zeros(0, dtype=bool)
+            if sizes:
+                star &= np.minimum(n, lead_n) >= threshold * np.maximum(n, lead_n)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (band, doc, lead, star | (doc == lead))], ["band", "doc", "lead", "star"])
+
+    return met.select("band", "doc", "lead", "n", "lead_n", "sig", "lead_sig").mapInArrow(run, "band long, doc long, lead long, star boolean")
+
+
+def like_leaders(whole: DataFrame, threshold: float, block: int, parts: int) -> DataFrame:
+    """(cluster, doc, star, link): exact comparison of each document with its cluster's leader.
+
+    A cluster's documents are dealt into slots of about ``block``, and its leader to each of
+    these. ``link``: a row of the document is similar enough; ``star``: all its rows are.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cluster = int(rows["cluster"].iloc[0])
+        doc, values, times = rows["doc"].to_numpy(), rows["values"].to_numpy(), rows["times"].to_numpy()
+        first = np.flatnonzero(doc == cluster)
+        like = [d == cluster or any(similarity(values[f], values[i], times[f], times[i]) >= threshold for f in first) for i, d in enumerate(doc)]
+        return pd.DataFrame({"cluster": cluster, "doc": doc, "like": np.array(like, dtype=bool)})
+
+    slots = F.ceil(F.col("size") / block).cast("int")
+    dealt = whole.withColumn("slot", F.explode(F.when(F.col("doc") == F.col("cluster"), F.sequence(F.lit(0), slots - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), slots).cast("int")))))
+    found = dealt.select("cluster", "slot", "doc", "values", "times").repartition(parts, "cluster", "slot").groupBy("cluster", "slot").applyInPandas(run, "cluster long, doc long, like boolean")
+    return found.groupBy("cluster", "doc").agg(F.bool_and("like").alias("star"), F.bool_or("like").alias("link"))
+
+
 def forest(threshold: float, least: float, sizes: bool, exact: bool):
     """Ties of one pair of blocks: each document and the least one that it is tied to, by
-    estimates, or by exact comparisons where the shingles are there (``exact``)."""
+    estimates, or by exact comparisons where the shingles are there (``exact``). Rows marked
+    ``star`` are one tree from the start."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc", kind="stable")
         low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        doc, block, n = (rows[c].to_numpy() for c in ("doc", "block", "n"))
+        doc, block, n, star = (rows[c].to_numpy() for c in ("doc", "block", "n", "star"))
         sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(len(rows), -1)
         values, times = (rows["values"].to_numpy(), rows["times"].to_numpy()) if exact else (None, None)
         root = np.arange(len(rows))
+        if star.any():
+            root[star.astype(bool)] = np.flatnonzero(star)[0]
+        began = np.unique(root)
         a = np.flatnonzero(block == low)
         b = a if low == high else np.flatnonzero(block == high)
         for i in a:
@@ -264,7 +317,7 @@ def forest(threshold: float, least: float, sizes: bool, exact: bool):
             elif len(near):
                 joined = np.unique(np.append(root[other[near]], root[i]))
                 root[np.isin(root, joined)] = joined[0]
-        tied = root != np.arange(len(rows))
+        tied = began[root[began] != began]
         return pd.DataFrame({"src": doc[root[tied]], "dst": doc[tied]})
 
     return run
@@ -274,25 +327,30 @@ def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "te
     """``key``, ``class_id`` (the least id of its class) and ``kept`` (it is that one)."""
     small_batches(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    edge, by_size = "src long, dst long", weights == "set"
     docs = rows.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = materialize(signed(docs, weights), "signed")
     copies = table.groupBy("t1", "t2").agg(F.min("doc").alias("rep"))
     members = materialize(table.select("doc", "t1", "t2").distinct().join(copies, ["t1", "t2"]).select("doc", "rep"), "members")
     reps = table.join(members.where("doc = rep").select("doc").distinct(), "doc", "left_semi").where("n > 0")
-    banded = materialize(reps.select("doc", F.explode("bands").alias("band")), "bands")
-    busy = banded.groupBy("band").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("size")).where("least <> most").select("band", "size")
     marks = reps.select("doc", "n", "sig").dropDuplicates(["doc"])
-    met = banded.join(busy, "band").join(marks, "doc")
-    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    edge, by_size = "src long, dst long", weights == "set"
-    ties = materialize(in_blocks(met, "band", "size", BLOCK, parts).groupBy("band", "low", "high").applyInPandas(forest(threshold, least, by_size, False), edge).distinct(), "ties")
+    banded = materialize(reps.select("doc", F.explode("bands").alias("band")), "bands")
+    busy = banded.groupBy("band").agg(F.min("doc").alias("lead"), F.max("doc").alias("most")).where("lead <> most").select("band", "lead")
+    led = busy.join(marks.select(F.col("doc").alias("lead"), F.col("n").alias("lead_n"), F.col("sig").alias("lead_sig")), "lead")
+    stars = materialize(near_leaders(banded.distinct().join(led, "band").join(marks, "doc"), threshold, least, by_size), "stars")
     forget(banded)
+    met = in_blocks(open_groups(stars, "band").join(marks, "doc"), "band", BLOCK, parts)
+    more = met.groupBy("band", "low", "high").applyInPandas(forest(threshold, least, by_size, False), edge)
+    ties = materialize(stars.where("star and doc <> lead").select(F.col("lead").alias("src"), F.col("doc").alias("dst")).union(more).distinct(), "ties")
     clusters = connected_components(ties).withColumnsRenamed({"node": "doc", "component": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     placed = materialize(clusters.join(sizes, "cluster"), "clusters")
-    sets = shingle_sets(docs, weights, bitmap(placed.select("doc")))
-    whole = placed.join(marks, "doc").join(sets, "doc")
-    links = materialize(in_blocks(whole, "cluster", "size", EXACT_BLOCK, parts).groupBy("cluster", "low", "high").applyInPandas(forest(threshold, least, by_size, True), edge).distinct(), "links")
+    alike = materialize(like_leaders(placed.join(shingle_sets(docs, weights, bitmap(placed.select("doc"))), "doc"), threshold, EXACT_BLOCK, parts), "alike")
+    rest = materialize(open_groups(alike, "cluster"), "open")
+    whole = rest.join(marks, "doc").join(shingle_sets(docs, weights, bitmap(rest.select("doc"))), "doc")
+    other = in_blocks(whole, "cluster", EXACT_BLOCK, parts).groupBy("cluster", "low", "high").applyInPandas(forest(threshold, least, by_size, True), edge)
+    links = materialize(alike.where("link and doc <> cluster").select(F.col("cluster").alias("src"), F.col("doc").alias("dst")).union(other).distinct(), "links")
     own = members.select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     final = connected_components(links.union(own))
     return docs.select("doc").join(final, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias(key), F.coalesce("component", "doc").alias("class_id")).withColumn("kept", F.col(key) == F.col("class_id"))
