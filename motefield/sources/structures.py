@@ -96,6 +96,48 @@ def read_xyz(spark: SparkSession, path) -> DataFrame:
     return rows.select("file", "frame", "comment", F.col("atom").cast("long").alias("atom"), F.col("p")[0].alias("element"), *[_number(F.col("p")[k + 1]).alias(c) for k, c in enumerate("xyz")])
 
 
+def _section(lines: Column, opens: str, closes: str) -> Column:
+    """The lines behind the first that is ``opens``, up to the next that begins with ``closes``."""
+    begin = F.array_position(F.transform(lines, lambda v: F.upper(F.trim(v))), opens)
+    after = F.when(begin > 0, F.slice(lines, begin + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    end = F.array_position(F.transform(after, lambda v: F.trim(v).startswith(closes)), True)
+    return F.when(end > 0, F.slice(after, F.lit(1), end - 1)).otherwise(after)
+
+
+def _section_fields(spark: SparkSession, path, opens: str, closes: str, least: int) -> DataFrame:
+    """(file, row, p): the fields of a section's lines that have ``least`` or more."""
+    lines = _files(spark, path).select("file", F.split("value", "\n").alias("l"))
+    rows = lines.select("file", F.posexplode(_section(F.col("l"), opens, closes)).alias("row", "v"))
+    return rows.select("file", "row", F.split(F.trim("v"), r"\s+").alias("p")).where(F.size("p") >= least)
+
+
+def read_mol2(spark: SparkSession, path) -> DataFrame:
+    """(file, id, name, x, y, z, type, res_id, res_name, charge) of a file's first molecule; the
+    last three are null where a line leaves them out."""
+    p = lambda k: F.get("p", F.lit(k))
+    return _section_fields(spark, path, "@<TRIPOS>ATOM", "@<TRIPOS>", 6).select(
+        "file", _number(p(0), "long").alias("id"), p(1).alias("name"), *[_number(p(2 + k)).alias(c) for k, c in enumerate("xyz")],
+        p(5).alias("type"), _number(p(6), "int").alias("res_id"), p(7).alias("res_name"), _number(p(8)).alias("charge"),
+    )
+
+
+def read_mol2_bonds(spark: SparkSession, path) -> DataFrame:
+    """(file, atomi, atomj, type) of a file's first molecule, ends as the ids of its atoms."""
+    fields = _section_fields(spark, path, "@<TRIPOS>BOND", "@<TRIPOS>", 4)
+    return fields.select("file", _number(F.col("p")[1], "long").alias("atomi"), _number(F.col("p")[2], "long").alias("atomj"), F.col("p")[3].alias("type"))
+
+
+def read_xsf(spark: SparkSession, path) -> DataFrame:
+    """(file, cell, atom, atomic_number, x, y, z) of the first primitive coordinates; ``cell`` holds
+    the three primitive vectors, and is null for a file without them."""
+    lines = _files(spark, path).select("file", F.split("value", "\n").alias("l"))
+    vectors = F.transform(F.slice(_section(F.col("l"), "PRIMVEC", "PRIMCOORD"), 1, 3), lambda v: F.transform(F.split(F.trim(v), r"\s+"), lambda x: x.try_cast("double")))
+    held = lines.select("file", F.when(F.size(vectors) == 3, vectors).alias("cell"), _section(F.col("l"), "PRIMCOORD", "PRIMCOORD").alias("s"))
+    count = F.split(F.trim(F.get("s", F.lit(0))), r"\s+")[0].try_cast("int")
+    rows = held.select("file", "cell", F.posexplode(F.slice("s", F.lit(2), F.coalesce(count, F.lit(0)))).alias("atom", "v")).withColumn("p", F.split(F.trim("v"), r"\s+"))
+    return rows.select("file", "cell", F.col("atom").cast("long").alias("atom"), _number(F.col("p")[0], "int").alias("atomic_number"), *[_number(F.get("p", F.lit(k + 1))).alias(c) for k, c in enumerate("xyz")])
+
+
 def xyz_frames(atoms: DataFrame) -> DataFrame:
     """(frame, value): each frame of (frame, atom, element, x, y, z) as the text of an XYZ frame;
     a frame is one record of the format and so one row."""

@@ -70,3 +70,19 @@ def test_running_histogram_over_files(spark, tmp_path):
     found = {(r.window.start, r.bin): r["count"] for r in spark.table("running").collect()}
     want = {(r.s, r.b): r.n for r in rows.where("v < 6").groupBy(F.window("time", "5 hours").start.alias("s"), F.floor(F.col("v") / 2).alias("b")).agg(F.count("*").alias("n")).collect()}
     assert found == want
+
+
+def test_mol2_first_molecule(spark, tmp_path):
+    one = "@<TRIPOS>MOLECULE\nm\n@<TRIPOS>ATOM\n 1 C1 0.5 1 -2 C.3 1 LIG 0.25\n 2 H1 0 0 0 H\n@<TRIPOS>BOND\n 1 1 2 ar\n"
+    (tmp_path / "a.mol2").write_text(one + one)
+    (tmp_path / "b.mol2").write_text("")
+    rows = structures.read_mol2(spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in rows] == [(1, "C1", 0.5, 1.0, -2.0, "C.3", 1, "LIG", 0.25), (2, "H1", 0.0, 0.0, 0.0, "H", None, None, None)]
+    assert [tuple(r)[1:] for r in structures.read_mol2_bonds(spark, str(tmp_path)).collect()] == [(1, 2, "ar")]
+
+
+def test_xsf_cell_and_atoms(spark, tmp_path):
+    (tmp_path / "a.xsf").write_text("CRYSTAL\nPRIMVEC\n 4 0 0\n 0 5 0\n 0 0 6\nPRIMCOORD\n2 1\n 8 0 0 0.5\n 1 1 2 3\n")
+    rows = structures.read_xsf(spark, str(tmp_path)).orderBy("atom").collect()
+    assert [tuple(r)[2:] for r in rows] == [(0, 8, 0.0, 0.0, 0.5), (1, 1, 1.0, 2.0, 3.0)]
+    assert rows[0].cell == [[4.0, 0.0, 0.0], [0.0, 5.0, 0.0], [0.0, 0.0, 6.0]]
