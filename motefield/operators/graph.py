@@ -90,5 +90,7 @@ def remove_atoms(atoms: DataFrame, links: list[DataFrame], condition: Column) ->
 
 
 def exclude_bonded(pairs: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Neighbour pairs that are not bonds."""
-    return pairs.join(undirected(bonds).select(F.col("atomi").alias("i"), F.col("atomj").alias("j")), ["i", "j"], "left_anti")
+    """Neighbour pairs that are not bonds, of any frame or, with a column ``frame``, of their own."""
+    keys = ["frame"] if "frame" in bonds.columns else []
+    ends = bonds.select(*keys, F.least("atomi", "atomj").alias("i"), F.greatest("atomi", "atomj").alias("j")).where("i < j").distinct()
+    return pairs.join(ends, [*keys, "i", "j"], "left_anti")

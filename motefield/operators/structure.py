@@ -178,13 +178,17 @@ def combined_distribution(values: DataFrame, axes: list[tuple[str, int, float, f
 
 def hydrogen_bonds(donors: DataFrame, acceptors: DataFrame, atoms: DataFrame, box: Box, r_max: float = 3.5, min_angle: float = 150.0) -> DataFrame:
     """(frame, donor, hydrogen, acceptor, dist, angle): donors (donor, hydrogen), acceptors
-    (acceptor). Donors and acceptors meet in a cell join, not all with all."""
+    (acceptor), of all frames or, with a column ``frame``, of that one. Donors and acceptors
+    meet in a cell join, not all with all."""
     from motefield.operators.neighbors import cross_pairs
 
-    d = atoms.join(donors.select(F.col("donor").alias("atom")).distinct(), "atom", "left_semi")
-    a = atoms.join(acceptors.select(F.col("acceptor").alias("atom")).distinct(), "atom", "left_semi")
+    def keys(links: DataFrame) -> list[str]:
+        return ["frame"] if "frame" in links.columns else []
+
+    d = atoms.join(donors.select(*keys(donors), F.col("donor").alias("atom")).distinct(), [*keys(donors), "atom"], "left_semi")
+    a = atoms.join(acceptors.select(*keys(acceptors), F.col("acceptor").alias("atom")).distinct(), [*keys(acceptors), "atom"], "left_semi")
     near = cross_pairs(d, a, box, r_max).where("i <> j and dist < %r" % r_max).withColumnsRenamed({"i": "donor", "j": "acceptor"})
-    held = near.join(donors.select("donor", "hydrogen"), "donor").where("hydrogen <> acceptor")
+    held = near.join(donors.select(*keys(donors), "donor", "hydrogen"), [*keys(donors), "donor"]).where("hydrogen <> acceptor")
     placed = with_positions(held, atoms, ["donor", "hydrogen", "acceptor"])
     bend = F.degrees(angle(_between(box, "hydrogen", "donor"), _between(box, "hydrogen", "acceptor")))
     return placed.select("frame", "donor", "hydrogen", "acceptor", "dist", bend.alias("angle")).where(F.col("angle") > min_angle)

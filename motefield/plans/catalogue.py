@@ -152,14 +152,15 @@ def _gap(name: str, a: str, b: str) -> str:
 c AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS dist, sqrt((px * px + py * py + pz * pz) * (qx * qx + qy * qy + qz * qz)) AS s, px * qx + py * qy + pz * qz AS k FROM t)
 SELECT frame, donor, hydrogen, acceptor, round(dist, 6) AS dist FROM c WHERE dist < 3.1 AND s > 0 AND degrees(acos(greatest(least(k / CASE WHEN s > 0 THEN s ELSE 1 END, 1), -1))) > 101""")
 def hydrogen_bonds(spark, d):
-    p, ids = V.pts(spark, d), spark.range(0, 5000)  # more atoms than a frame has
-    donors = ids.where("id % 3 = 0").select(F.col("id").alias("donor"), (F.col("id") + 1).alias("hydrogen"))
-    acceptors = ids.where("id % 3 = 2").select(F.col("id").alias("acceptor"))
+    p = V.pts(spark, d)
+    donors = p.where("atom % 3 = 0").select("frame", F.col("atom").alias("donor"), (F.col("atom") + 1).alias("hydrogen"))
+    acceptors = p.where("atom % 3 = 2").select("frame", F.col("atom").alias("acceptor"))
     return structure.hydrogen_bonds(donors, acceptors, p, V.BOX, 3.1, 101.0).select("frame", "donor", "hydrogen", "acceptor", _r("dist"))
 
 
-def _chain(spark, n: int) -> DataFrame:
-    return spark.range(0, 5000).select(*[(F.col("id") + k).alias(f"atom{c}") for k, c in zip(range(n), "ijkl")])
+def _chain(p: DataFrame, n: int) -> DataFrame:
+    """(frame, atomi, ...): ``n`` atoms in a row from each atom of a frame; ends past its last have no position."""
+    return p.select("frame", *[(F.col("atom") + k).alias(f"atom{c}") for k, c in zip(range(n), "ijkl")])
 
 
 def _step(a: str, b: str) -> str:
@@ -171,13 +172,15 @@ _CHAIN = f"{V.PTS}, steps AS (SELECT i.frame, i.atom, {_step('i', 'j')}, {_step(
 
 @query(f"WITH {_CHAIN}, h AS (SELECT CAST(floor(sqrt(xij * xij + yij * yij + zij * zij) / (26.3 / 12)) AS INTEGER) AS bin, count(*) AS n FROM steps WHERE xij * xij + yij * yij + zij * zij < {26.3**2!r} GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(12) LEFT JOIN h ON bin = range")
 def distance_distribution(spark, d):
-    return structure.value_distribution(structure.bond_lengths(_chain(spark, 2), V.pts(spark, d), V.BOX), 12, 0.0, 26.3).select("bin", "count")
+    p = V.pts(spark, d)
+    return structure.value_distribution(structure.bond_lengths(_chain(p, 2), p, V.BOX), 12, 0.0, 26.3).select("bin", "count")
 
 
 @query(f"""WITH {_CHAIN}, a AS (SELECT acos(greatest(least(-(xij * xjk + yij * yjk + zij * zjk) / s, 1), -1)) AS v FROM (SELECT *, sqrt((xij * xij + yij * yij + zij * zij) * (xjk * xjk + yjk * yjk + zjk * zjk)) AS s FROM steps) WHERE s > 0),
 h AS (SELECT CAST(floor(v / (3.2 / 11)) AS INTEGER) AS bin, count(*) AS n FROM a GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(11) LEFT JOIN h ON bin = range""")
 def angle_distribution(spark, d):
-    return structure.value_distribution(structure.bond_angles(_chain(spark, 3), V.pts(spark, d), V.BOX), 11, 0.0, 3.2, sine=True).select("bin", "count")
+    p = V.pts(spark, d)
+    return structure.value_distribution(structure.bond_angles(_chain(p, 3), p, V.BOX), 11, 0.0, 3.2, sine=True).select("bin", "count")
 
 
 @query(f"""WITH {_CHAIN}, n AS (SELECT *, yij * zjk - zij * yjk AS ax, zij * xjk - xij * zjk AS ay, xij * yjk - yij * xjk AS az, yjk * zkl - zjk * ykl AS bx, zjk * xkl - xjk * zkl AS by_, xjk * ykl - yjk * xkl AS bz FROM steps WHERE xkl IS NOT NULL),
@@ -185,7 +188,8 @@ s AS (SELECT sqrt(xjk * xjk + yjk * yjk + zjk * zjk) * (xij * bx + yij * by_ + z
 v AS (SELECT atan2(CASE WHEN s = 0 THEN 0 ELSE s END, CASE WHEN c = 0 THEN 0 ELSE c END) AS v FROM s),
 h AS (SELECT CAST(floor((v + 3.3) / (6.6 / 13)) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(13) LEFT JOIN h ON bin = range""")
 def dihedral_distribution(spark, d):
-    return structure.value_distribution(structure.torsions(_chain(spark, 4), V.pts(spark, d), V.BOX), 13, -3.3, 3.3).select("bin", "count")
+    p = V.pts(spark, d)
+    return structure.value_distribution(structure.torsions(_chain(p, 4), p, V.BOX), 13, -3.3, 3.3).select("bin", "count")
 
 
 @query("""WITH b AS (SELECT CAST(floor((l_quantity - 0.5) / 12.5) AS INTEGER) AS b_l_quantity, CAST(floor((l_discount + 0.005) / 0.022) AS INTEGER) AS b_l_discount FROM lineitem)
@@ -366,9 +370,9 @@ def pair_forces(spark, d):
 
 @query(f"""WITH {V.pairs_sql(2.3)} SELECT frame, round(sum(CASE WHEN j = i + 1 THEN 0.5 * 2.0 * pow(dist - 1.5, 2) ELSE 0.5 * 3.0 * pow(2.2 - least(dist, 2.2), 2) END), 4) AS energy FROM pairs WHERE j = i + 1 OR dist < 2.2 GROUP BY 1""")
 def soft_potential(spark, d):
-    near = _pairs(spark, d, 2.3)
-    bonds = _chain(spark, 2)
-    bonded = near.join(bonds.select(F.col("atomi").alias("i"), F.col("atomj").alias("j")), ["i", "j"], "left_semi").withColumn("r0", F.lit(1.5))
+    p = V.pts(spark, d)
+    near, bonds = neighbors.neighbor_pairs(p, V.BOX, 2.3), _chain(p, 2)
+    bonded = near.join(bonds.select("frame", F.col("atomi").alias("i"), F.col("atomj").alias("j")), ["frame", "i", "j"], "left_semi").withColumn("r0", F.lit(1.5))
     return forcefield.soft_potential(bonded, graph.exclude_bonded(near, bonds), 2.0, 3.0, 2.2).select("frame", _r("energy", 4))
 
 
