@@ -127,15 +127,21 @@ def bonded_islands(distances: DataFrame, r0: float, r1: float) -> DataFrame:
     return marked.withColumn("_formed", formed).where((F.col("dist") <= r1) & F.col("_formed")).select("i", "j", "frame", "island")
 
 
-def pair_survival(distances: DataFrame, n_i: int, n_frames: int, r0: float, r1: float, max_lag: int, continuous: bool = True) -> DataFrame:
+def pair_survival(distances: DataFrame, n_i: int | None, n_frames: int | None, r0: float, r1: float, max_lag: int, continuous: bool = True) -> DataFrame:
     """(lag, c): bonded pairs per particle i that are bonded again, or without a break
-    (``continuous``), ``lag`` frames later, over all origins."""
+    (``continuous``), ``lag`` frames later, over all origins. Numbers of particles and frames
+    that are None are counted in ``distances``; c is null at lags that no two frames have."""
     bonded = bonded_islands(distances, r0, r1)
     keys = ["i", "j", "island"] if continuous else ["i", "j"]
     # an island has no missing frame: to be in the same island later is to have stayed bonded
     kept = lag_join(bonded.select(*keys, "frame"), [], max_lag, keys=keys).groupBy("lag").agg(F.count("*").alias("n"))
     lags = distances.sparkSession.range(max_lag + 1).select(F.col("id").cast("int").alias("lag"))
-    return lags.join(kept, "lag", "left").select("lag", (F.coalesce("n", F.lit(0)) / (n_i * (n_frames - F.col("lag")))).alias("c"))
+    found = lags.join(kept, "lag", "left").withColumns({"_i": F.lit(n_i), "_f": F.lit(n_frames)})
+    for name, of, given in (("_i", "i", n_i), ("_f", "frame", n_frames)):
+        if given is None:
+            counted = distances.select(of).distinct().agg(F.count(of).alias(name))  # one row
+            found = found.drop(name).join(F.broadcast(counted), F.lit(True))
+    return found.select("lag", F.when(F.col("_f") > F.col("lag"), F.coalesce("n", F.lit(0)) / (F.col("_i") * (F.col("_f") - F.col("lag")))).alias("c"))
 
 
 def linear_fit(curve: DataFrame, x: str, y: str, start: float = 0.0, stop: float = 1.0) -> DataFrame:

@@ -31,8 +31,20 @@ def rdf(pairs: DataFrame, atoms: DataFrame, box: Box, n_bins: int, r_max: float,
     return counts.join(F.broadcast(ideal), F.lit(True)).select("bin", ((F.col("lo") + F.col("hi")) / 2).alias("r"), F.col("count").alias("n_r"), (F.col("count") / (shell * F.col("nn"))).alias("rdf"))
 
 
-def coordination(g: DataFrame, density: float) -> DataFrame:
-    """Running number of neighbours 4 pi rho sum r^2 g dr over the bins of an rdf."""
+def density_around(atoms: DataFrame, box: Box) -> DataFrame:
+    """(density): one row, the mean over all atoms of the density of an atom's own frame, by
+    which an rdf of pooled frames gives the mean number of neighbours."""
+    if box.volume == 0:
+        raise ValueError("a periodic box is needed")
+    return atoms.groupBy("frame").agg(F.count("*").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n") / box.volume).alias("density"))
+
+
+def coordination(g: DataFrame, density: float | DataFrame) -> DataFrame:
+    """Running number of neighbours 4 pi rho sum r^2 g dr over the bins of an rdf; rho is given
+    as a number or counted, by the row of ``density_around``."""
+    if isinstance(density, DataFrame):
+        counted = g.join(F.broadcast(density.select(F.col("density").alias("_rho"))), F.lit(True))
+        return coordination(counted, 1.0).withColumn("n", F.col("n") * F.col("_rho")).drop("_rho")
     w = Window.orderBy("bin")  # as many rows as bins
     width = (F.max("r").over(Window.partitionBy()) - F.min("r").over(Window.partitionBy())) / F.greatest(F.count("*").over(Window.partitionBy()) - 1, F.lit(1))
     return g.withColumn("n", F.sum(F.col("r") ** 2 * F.col("rdf") * (4 * math.pi * density) * width).over(w))
