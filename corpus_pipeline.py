@@ -5,7 +5,8 @@ returns packed pieces:
 
 1. ``toxicity``: documents that the random field scores 0.3 or more go.
 2. ``lines``: lines found in five documents or more stay in one of them.
-3. ``minhash``: one document of each class of near-duplicates stays, the one of least id.
+3. ``minhash``: one document of each class of near-duplicates stays, the one of least id;
+   documents of null id all stay.
 4. ``substrings``: passages of fifty words or more of an earlier document are cut out.
 5. ``packing``: what is left is tokenised and packed into sequences of 1,024 tokens.
 
@@ -34,8 +35,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicate_classes(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = minhash.near_duplicate_classes(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

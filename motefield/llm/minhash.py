@@ -28,7 +28,8 @@ that read the texts as a bitmap of fixed size over hashed ids; what it lets thro
 is dropped in the join with the clusters.
 
 Null text counts as empty. Documents without words are near-duplicates of equal texts alone.
-Rows that share an id are taken as one node: a link of any of them holds for the id. Texts
+Rows that share an id are taken as one node: a link of any of them holds for the id. A row of
+null id is a class of its own whatever its text: its class_id is null and it is kept. Texts
 are read whole; an empty table gives no rows; other columns are not carried.
 """
 
@@ -324,7 +325,7 @@ def forest(threshold: float, least: float, sizes: bool, exact: bool):
 
 
 def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
-    """``key``, ``class_id`` (the least id of its class) and ``kept`` (it is that one)."""
+    """``key``, ``class_id`` (the least id of its class) and ``kept`` (it is that one, or null)."""
     small_batches(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
@@ -353,4 +354,4 @@ def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "te
     links = materialize(alike.where("link and doc <> cluster").select(F.col("cluster").alias("src"), F.col("doc").alias("dst")).union(other).distinct(), "links")
     own = members.select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     final = connected_components(links.union(own))
-    return docs.select("doc").join(final, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias(key), F.coalesce("component", "doc").alias("class_id")).withColumn("kept", F.col(key) == F.col("class_id"))
+    return docs.select("doc").join(final, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias(key), F.coalesce("component", "doc").alias("class_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))

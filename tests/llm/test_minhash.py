@@ -94,3 +94,16 @@ def test_empty_and_repeated_rows(spark):
     assert minhash.near_duplicate_classes(spark.createDataFrame([], schema)).count() == 0
     rows = minhash.near_duplicate_classes(spark.createDataFrame([(2, "a b"), (2, "a b"), (1, "a b")], schema)).collect()
     assert sorted((r.doc_id, r.class_id) for r in rows) == [(1, 1), (2, 1), (2, 1)]
+
+
+def test_null_ids_are_kept_as_classes_of_their_own(spark):
+    from corpus_pipeline import keep_one_of_each_class
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long), (None, None), (None, "a b"), (3, long), (4, long + " tail"), (5, "a b"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = minhash.near_duplicate_classes(df).collect()
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, classes)) == [(-1, -1, True)] * 4 + [(3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True)]
+    stayed = keep_one_of_each_class(spark, df, "").collect()
+    assert sorted(map(str, stayed)) == sorted(str(r) for r in df.collect() if r.doc_id != 4)
