@@ -129,15 +129,15 @@ def candidates(words: Words, shared: np.ndarray, low: np.ndarray, high: np.ndarr
     return valid & (np.cumsum(hits[:n]) == 0)
 
 
-def symbol_rows(docs: DataFrame) -> DataFrame:
-    """(name, doc) of every symbol that some window can hold, once a document."""
+def symbol_rows(docs: DataFrame, size: int) -> DataFrame:
+    """(name, doc) of every symbol that some window of ``size`` words can hold, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for words in chunks(text_column(batch, 1)):
                 name, doc, low, high = symbols(words)
-                held = (low >= 0) & (high <= len(words.start)) & (high - low <= WINDOW)
+                held = (low >= 0) & (high <= len(words.start)) & (high - low <= size)
                 name, doc = name[held], doc[held]
                 order = np.lexsort((name, doc))
                 name, doc = name[order], doc[order]
@@ -150,10 +150,10 @@ def symbol_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "name long, doc long")
 
 
-def shared_names(docs: DataFrame) -> DataFrame:
+def shared_names(docs: DataFrame, size: int) -> DataFrame:
     """(doc, names, early): the shared symbols of each document, and for each whether a
     smaller document has it."""
-    rows = symbol_rows(docs)
+    rows = symbol_rows(docs, size)
     ends = rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("name", "least")
     return rows.join(ends, "name").groupBy("doc").agg(F.collect_list(F.struct("name", (F.col("least") < F.col("doc")).alias("early"))).alias("shared")).select("doc", F.col("shared.name").alias("names"), F.col("shared.early").alias("early"))
 
@@ -219,7 +219,7 @@ def copies_of(docs: DataFrame) -> DataFrame:
 def removed_starts(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc, first, starts): first: the smaller document with the same text, if there is one,
     and then all windows go; else the sorted starts of the windows that go."""
-    shared = materialize(shared_names(docs), "shared")
+    shared = materialize(shared_names(docs, size), "shared")
     copies = materialize(copies_of(docs), "copies")
     nothing = F.array().cast("array<long>"), F.array().cast("array<boolean>")
     marked = (

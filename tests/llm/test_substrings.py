@@ -75,3 +75,16 @@ def test_equal_windows_hold_equal_symbols():
             k = len(before)
             found.append({(int(n), int(a) - k, int(b) - k) for n, a, b in zip(name, low, high) if a >= k and b <= k + 50})
         assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("size", [20, 100])
+def test_other_sizes_against_brute_force(spark, size):
+    rng = random.Random(size)
+    word = lambda: f"w{rng.randrange(400)}"
+    passage = [word() for _ in range(25)] + ["a"] * 60 + [word() for _ in range(40)]
+    docs = corpus(3) + [(1000 + i, " ".join([*(word() for _ in range(9 + i)), *passage, *(word() for _ in range(5))])) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs, size)
+    assert sorted(map(tuple, substrings.dedup_substrings(df, size=size).collect())) == want
+    words = {r.doc_id: len((r.text or "").split()) for r in substrings.cut_documents(df, size=size).collect()}
+    assert words == {i: n - gone for i, n, gone, _ in want}
