@@ -11,6 +11,9 @@ pieces of each class back, 2C in all, whatever it has read.
 
 No shuffle, no state between workers: a task that is run again gives the same sequences.
 
+Pieces are many for that: a document of n tokens has n / C whole ones and one for each binary
+digit of the rest that is set, five on average at C = 1,024.
+
 Null text counts as empty; an empty text is the end mark alone. Repeated rows are packed as
 documents of their own. An empty table gives no pieces. Other columns are not carried.
 """
@@ -18,6 +21,7 @@ documents of their own. An empty table gives no pieces. Other columns are not ca
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +37,11 @@ from motefield.llm.bpe import byte_letters
 #: Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed value: the white space of that pattern. A run of so many is one pre-token, but for its
+#: last character before other text; it is encoded apart, as the pattern matcher keeps a state
+#: for each character of a run and gives up at about a million.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 _LOADED: dict[str, tiktoken.Encoding] = {}
@@ -50,6 +59,19 @@ def byte_vocabulary(path: str) -> tiktoken.Encoding:
     return _LOADED[path]
 
 
+def encode(vocab: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a whole text, special tokens in it included."""
+    parts, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        # the last character belongs to what follows, unless the text or its special token does
+        last = run.end() == len(text) or any(text.startswith(mark, run.end()) for mark in vocab.special_tokens_set)
+        stop = run.end() if last else run.end() - 1
+        parts += [vocab.encode_to_numpy(text[at : run.start()], allowed_special="all"), np.array(vocab._encode_single_piece(text[run.start() : stop].encode()), dtype="<u4")]
+        at = stop
+    parts.append(vocab.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(parts).astype("<u4")
+
+
 def cuts(n: int, capacity: int) -> list[int]:
     """Lengths of a document's pieces: whole capacities, then falling powers of two."""
     whole, rest = divmod(n, capacity)
@@ -111,8 +133,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: Column
         for batch in batches:
             kind, out = batch.schema.field(0).type, []
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = vocab.encode_to_numpy(value.as_py(), allowed_special="all").astype("<u4")
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
+                ids = np.append(encode(vocab, value.as_py()), np.uint32(end)).astype("<u4")
                 raw, n, start, name = ids.tobytes(), len(ids), 0, name.as_py()
                 for length in cuts(n, capacity):
                     crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
