@@ -2,11 +2,18 @@
 
 ``mux`` stores a payload losslessly as 8-bit PCM samples: a file header, one segment with
 its info, one audio track, clusters of laced blocks and a cue for each cluster. ``packets``
-parses such bytes: variable-length element ids and sizes, nested master elements, cluster
+parses such bytes: variable-length element ids and sizes, master elements nested to any depth,
+segments and clusters of unknown size, cluster
 times, simple blocks and block groups, the four lacings, and cues; it gives one entry for
 each frame with its track, timestamp and byte range. Reading the byte ranges of a track in
 order gives the payload back.
 
+Times are in ticks of the file's scale and in nanoseconds. The frames of a laced block are
+apart by the track's default duration, else by an equal share of the block's own, else not at
+all. A simple block's flag says whether it is a key frame; a block of a group is one unless it
+refers to another. A cluster of unknown size ends where another cluster or another part of the
+segment begins.
+
 Null text counts as empty. Bytes that are null, empty or break off give the packets before
 the fault and name it in ``error``; nothing is raised. Repeated rows give repeated packets.
 """
@@ -27,6 +34,10 @@ from pyspark.sql import functions as F
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES, CUE = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B, 0xBB
 DOC_TYPE, SCALE, DURATION, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, BITS = 0x4282, 0x2AD7B1, 0x4489, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 TIME, SIMPLE, GROUP, BLOCK, BLOCK_DURATION, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_AT = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xB3, 0xB7, 0xF7, 0xF1
+DEFAULT_DURATION, REFERENCE, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x23E383, 0xFB, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
+#: What ends a segment, and a cluster, of unknown size.
+TOP = {EBML, SEGMENT}
+ENDS = {SEGMENT: TOP, CLUSTER: TOP | {CLUSTER, INFO, TRACKS, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}}
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_PLACES}
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
@@ -91,7 +102,7 @@ def mux(payload: bytes) -> bytes:
     """
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     audio = element(RATE, b"\x47\x3b\x80\x00") + number(CHANNELS, 1) + number(BITS, 8)
-    track = number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio)
+    track = number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio)
     info = number(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", float(len(frames) * FRAME_MS)))
     parts = [element(INFO, info), element(TRACKS, element(TRACK, track))]
     at, cues, turn, done = sum(map(len, parts)), [], 0, 0
@@ -119,13 +130,14 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Media:
-    """What a file holds; a packet is (track, time, offset, size, key, lacing, cluster)."""
+    """What a file holds; a packet is (track, time, offset, size, key, lacing, cluster,
+    nanoseconds), a cue (time, track, place of its cluster)."""
 
     doc_type: str = ""
     scale: int = 1_000_000
     duration: float = 0.0
     tracks: list[tuple[int, str]] = field(default_factory=list)
-    packets: list[tuple[int, int, int, int, bool, str, int]] = field(default_factory=list)
+    packets: list[tuple[int, int, int, int, bool, str, int, int]] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
     blocks: int = 0
@@ -189,67 +201,134 @@ def packets(raw: bytes | None) -> Media:
         media.error = "no bytes"
         return media
     try:
-        _walk(raw, 0, len(raw), media, {"segment": 0, "time": 0, "frame": FRAME_MS, "track": [0, ""], "cue": [0, 0, 0]})
+        _Parser(raw, media).run()
     except Broken as fault:
         media.error = str(fault)
     return media
 
 
-def _walk(raw: bytes, at: int, end: int, media: Media, state: dict) -> None:
-    while at < end:
-        begin = at
-        name, at, _ = read_vint(raw, at, end, keep=True)
-        size, at, unknown = read_vint(raw, at, end)
-        stop = end if unknown else at + size
-        if stop > end:
-            raise Broken(f"element at {begin} breaks off")
-        whole = lambda a=at, b=stop: int.from_bytes(raw[a:b], "big")
+class _Parser:
+    """Walks the elements of a file with a stack of the masters that are open."""
+
+    def __init__(self, raw: bytes, media: Media):
+        self.raw, self.media = raw, media
+        self.segment = self.time = 0
+        self.track: dict[int, object] = {}
+        self.cue, self.group = [0, 0, 0], [0, None, False]
+        self.defaults: dict[int, int] = {}
+
+    def run(self) -> None:
+        raw, at = self.raw, 0
+        open_masters = [(len(raw), 0, False)]
+        while open_masters:
+            end, inside, unknown = open_masters[-1]
+            if at >= end:
+                self.close(inside)
+                open_masters.pop()
+                continue
+            begin = at
+            name, at, _ = read_vint(raw, at, end, keep=True)
+            if unknown and name in ENDS.get(inside, ()):
+                self.close(inside)
+                open_masters.pop()
+                at = begin
+                continue
+            size, at, no_size = read_vint(raw, at, end)
+            stop = end if no_size else at + size
+            if stop > end:
+                raise Broken(f"element at {begin} breaks off")
+            if name in MASTERS:
+                self.open(name, begin, at)
+                open_masters.append((stop, name, no_size))
+            else:
+                self.read(name, begin, at, stop)
+                at = stop
+
+    def open(self, name: int, begin: int, at: int) -> None:
         if name == SEGMENT:
-            state["segment"] = at
+            self.segment = at
         elif name == CLUSTER:
-            media.clusters.append(begin - state["segment"])
-        if name in MASTERS:
-            _walk(raw, at, stop, media, state)
-            if name == TRACK:
-                media.tracks.append(tuple(state["track"]))
-            elif name == CUE:
-                media.cues.append(tuple(state["cue"]))
-        elif name == DOC_TYPE:
-            media.doc_type = raw[at:stop].decode("ascii", "replace")
-        elif name == SCALE:
-            media.scale = whole()
-        elif name == DURATION and size in (4, 8):
-            media.duration = struct.unpack(">f" if size == 4 else ">d", raw[at:stop])[0]
-        elif name == NUMBER:
-            state["track"][0] = whole()
-        elif name == CODEC:
-            state["track"][1] = raw[at:stop].decode("ascii", "replace")
+            self.media.clusters.append(begin - self.segment)
+            self.time = 0
+        elif name == TRACK:
+            self.track = {}
+        elif name == GROUP:
+            self.group = [len(self.media.packets), None, False]
+
+    def close(self, name: int) -> None:
+        if name == TRACK:
+            number = self.track.get(NUMBER, 0)
+            self.media.tracks.append((number, self.track.get(CODEC, "")))
+            self.defaults[number] = self.track.get(DEFAULT_DURATION, 0)
+        elif name == CUE_PLACES:
+            self.media.cues.append(tuple(self.cue))
+        elif name == GROUP:
+            self.close_group()
+
+    def close_group(self) -> None:
+        """A group's duration and references may stand behind its block."""
+        first, duration, refers = self.group
+        own = self.media.packets[first:]
+        for i, p in enumerate(own):
+            step = 0
+            if duration is not None and not self.defaults.get(p[0]):
+                step = i * duration * self.media.scale // len(own)
+            at = self.timely(p[7] + step)
+            self.media.packets[first + i] = (p[0], at // self.media.scale if step else p[1], *p[2:4], not refers, *p[5:7], at)
+
+    @staticmethod
+    def timely(at: int) -> int:
+        if at >> 63 not in (0, -1):
+            raise Broken("a time beyond 64 bits")
+        return at
+
+    def read(self, name: int, begin: int, at: int, stop: int) -> None:
+        raw, media = self.raw, self.media
+        if name in (SIMPLE, BLOCK):
+            self.block(name, begin, at, stop)
         elif name == TIME:
-            state["time"] = whole()
+            self.time = int.from_bytes(raw[at:stop], "big")
+        elif name == BLOCK_DURATION:
+            self.group[1] = int.from_bytes(raw[at:stop], "big")
+        elif name == REFERENCE:
+            self.group[2] = True
         elif name == CUE_TIME:
-            state["cue"][0] = whole()
+            self.cue[0] = int.from_bytes(raw[at:stop], "big")
         elif name == CUE_TRACK:
-            state["cue"][1] = whole()
+            self.cue[1] = int.from_bytes(raw[at:stop], "big")
         elif name == CUE_AT:
-            state["cue"][2] = whole()
-        elif name in (SIMPLE, BLOCK):
-            track, place, _ = read_vint(raw, at, stop)
-            if place + 3 > stop:
-                raise Broken(f"block at {begin} breaks off")
-            time = state["time"] + int.from_bytes(raw[place : place + 2], "big", signed=True)
-            flags = raw[place + 2]
-            how = flags >> 1 & 3
-            sizes, place = lace_sizes(raw, place + 3, stop, how)
-            media.blocks += 1
-            for i, n in enumerate(sizes):
-                media.packets.append((track, time + i * state["frame"], place, n, bool(flags & 0x80) or name == BLOCK, LACINGS[how], len(media.clusters) - 1))
-                place += n
-        at = stop
+            self.cue[2] = int.from_bytes(raw[at:stop], "big")
+        elif name in (NUMBER, DEFAULT_DURATION):
+            self.track[name] = int.from_bytes(raw[at:stop], "big")
+        elif name == CODEC:
+            self.track[name] = raw[at:stop].decode("ascii", "replace")
+        elif name == DOC_TYPE:
+            media.doc_type = raw[at:stop].decode("ascii", "replace")
+        elif name == SCALE:
+            media.scale = int.from_bytes(raw[at:stop], "big") or media.scale
+        elif name == DURATION and stop - at in (4, 8):
+            media.duration = struct.unpack(">f" if stop - at == 4 else ">d", raw[at:stop])[0]
+
+    def block(self, name: int, begin: int, at: int, stop: int) -> None:
+        raw, media = self.raw, self.media
+        track, place, _ = read_vint(raw, at, stop)
+        if place + 3 > stop:
+            raise Broken(f"block at {begin} breaks off")
+        ticks = self.time + int.from_bytes(raw[place : place + 2], "big", signed=True)
+        flags = raw[place + 2]
+        how = flags >> 1 & 3
+        sizes, place = lace_sizes(raw, place + 3, stop, how)
+        media.blocks += 1
+        step, cluster = self.defaults.get(track, 0), len(media.clusters) - 1
+        for i, n in enumerate(sizes):
+            at = self.timely(ticks * media.scale + i * step)
+            media.packets.append((track, at // media.scale, place, n, bool(flags & 0x80) or name == BLOCK, LACINGS[how], cluster, at))
+            place += n
 
 
 def payload_of(raw: bytes, media: Media, track: int = 1) -> bytes:
     """The bytes that a track's packets point to, in order of time."""
-    own = sorted((p for p in media.packets if p[0] == track), key=lambda p: p[1])
+    own = sorted((p for p in media.packets if p[0] == track), key=lambda p: p[7])
     return b"".join(raw[p[2] : p[2] + p[3]] for p in own)
 
 
@@ -257,7 +336,7 @@ def cues_point_to_clusters(media: Media) -> bool:
     return bool(media.cues) and {c[2] for c in media.cues} == set(media.clusters)
 
 
-PACKETS = "track long, time long, offset long, size long, key_frame boolean, lacing string, cluster long, error string"
+PACKETS = "track long, time long, offset long, size long, key_frame boolean, lacing string, cluster long, nanoseconds long, error string"
 
 
 def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
@@ -275,9 +354,9 @@ def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
                 found = packets(value.as_py())
                 rows += [(name.as_py(), *p, None) for p in found.packets]
                 if found.error:
-                    rows.append((name.as_py(), *[None] * 7, found.error))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            kinds = [batch.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.int64(), pa.string()]
+                    rows.append((name.as_py(), *[None] * 8, found.error))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
+            kinds = [batch.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), pa.string(), *[pa.int64()] * 2, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return df.select(key, media).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {PACKETS}")

@@ -37,6 +37,31 @@ def test_bpe_equals_the_library(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest(), repr(text)
 
 
+def test_bpe_of_all_code_points():
+    """Letters, numbers and cases are the library's own, whatever Unicode version this Python has."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.vocabulary(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b1" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for text, found in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text)[0] == struct.pack(f"<{len(found.ids)}I", *found.ids), f"from {text[1]!r}"
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\u3000", "a", "!", "é", "1"])
+def test_very_long_texts(unit):
+    """Three million characters of one kind, which pattern matchers of two libraries give up on."""
+    text = "say" + (unit * 3_000_000)[:3_000_000]
+    byte_path = public_tokenizers.path("byte_bpe_50k.json")
+    byte, byte_lib = packing.byte_vocabulary(byte_path), Tokenizer.from_file(byte_path)
+    for tail in ("", "end", "<|endoftext|>", "\x1f."):
+        if unit.isspace() or not tail:
+            some = text[:20_000] if tail else text
+            assert packing.encode(byte, some + tail).tolist() == byte_lib.encode(some + tail, add_special_tokens=False).ids
+    word_path = public_tokenizers.path("word_bpe_49k.json")
+    ids = Tokenizer.from_file(word_path).encode(text[:300_000], add_special_tokens=False).ids
+    assert bpe.vocabulary(word_path).encode(text[:300_000])[0] == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_bpe_documents_and_decode(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     row = bpe.encode_documents(spark.createDataFrame([(1, "Hello wörld")], "doc_id long, text string"), path).first()
@@ -113,6 +138,45 @@ def test_matroska_unknown_sizes_and_faults(spark):
     assert matroska.packet_table(broken, "doc_id", "media").where("error is not null").count() == 2
 
 
+def _unknown(name, body):
+    return name.to_bytes((name.bit_length() + 7) // 8, "big") + b"\x01" + b"\xff" * 7 + body
+
+
+def test_matroska_live_recording():
+    """Thousands of clusters of unknown size, and masters nested as deep, as a stream writes them."""
+    clusters = [_unknown(matroska.CLUSTER, matroska.number(matroska.TIME, 5 * i) + matroska.element(matroska.SIMPLE, matroska.block([b"ab"], 1, 0, 0, i % 2 == 0))) for i in range(3000)]
+    found = matroska.packets(_unknown(matroska.SEGMENT, b"".join(clusters) + matroska.element(matroska.CUES, b"")))
+    assert not found.error and len(found.clusters) == 3000 and [p[1] for p in found.packets] == [5 * i for i in range(3000)]
+    assert [p[6] for p in found.packets] == list(range(3000)) and [p[4] for p in found.packets[:3]] == [True, False, True]
+    deep = b""
+    for _ in range(3000):
+        deep = matroska.element(matroska.GROUP, deep)
+    assert not matroska.packets(deep).error
+
+
+def test_matroska_durations_and_references():
+    track = lambda n, more=b"": matroska.element(matroska.TRACK, matroska.number(matroska.NUMBER, n) + more)
+    tracks = matroska.element(matroska.TRACKS, track(1, matroska.number(matroska.DEFAULT_DURATION, 2_500_000)) + track(2))
+    frames = [b"a", b"b", b"c"]
+    group = lambda t, more: matroska.element(matroska.GROUP, matroska.element(matroska.BLOCK, matroska.block(frames, t, 4, 2, False)) + more)
+    body = matroska.number(matroska.TIME, 100) + group(1, b"") + group(2, matroska.number(matroska.BLOCK_DURATION, 30) + matroska.number(matroska.REFERENCE, 1)) + group(2, b"")
+    info = matroska.element(matroska.INFO, matroska.number(matroska.SCALE, 500_000))
+    found = matroska.packets(matroska.element(matroska.SEGMENT, info + tracks + matroska.element(matroska.CLUSTER, body)))
+    assert found.tracks == [(1, ""), (2, "")] and found.scale == 500_000
+    assert [(p[0], p[1], p[4]) for p in found.packets] == [(1, 104, True), (1, 109, True), (1, 114, True), (2, 104, False), (2, 114, False), (2, 124, False), (2, 104, True), (2, 104, True), (2, 104, True)]
+    assert [p[7] for p in found.packets[:3]] == [52_000_000, 54_500_000, 57_000_000]
+
+
+def test_matroska_faults_never_raise():
+    rng = random.Random(3)
+    stored = bytearray(matroska.mux(matroska.padded(b"y" * 20_000)))
+    for _ in range(300):
+        raw = bytearray(stored)
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        matroska.packets(bytes(raw))
+
+
 def test_matroska_digests(spark):
     docs = spark.createDataFrame([(1, "é" * 300, 0), (2, None, 0), (3, "é" * 300, 1)], "doc_id long, text string, n_bytes int")
     got = {r.doc_id: r for r in matroska.media_digests(docs).collect()}
