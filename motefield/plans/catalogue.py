@@ -46,7 +46,10 @@ def neighbor_list(spark, d):
     return _pairs(spark, d, 1.2).select("frame", "i", "j", _r("dist"))
 
 
-@query(f"WITH {V.PTS} SELECT a.frame, a.atom AS i, b.atom AS j FROM pts a JOIN pts b ON a.frame = b.frame AND a.type = 'A' AND b.type = 'R' WHERE pow(b.x - a.x - 50 * round((b.x - a.x) / 50), 2) + pow(b.y - a.y - 11 * round((b.y - a.y) / 11), 2) + pow(b.z - a.z - 9 * round((b.z - a.z) / 9), 2) <= 2.25")
+@query(f"""WITH {V.PTS}, a AS MATERIALIZED (SELECT frame, atom, x, y, z FROM pts WHERE type = 'A'), b AS MATERIALIZED (SELECT frame, atom, x, y, z FROM pts WHERE type = 'R'),
+c AS (SELECT frame, a.atom AS i, b.atom AS j, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM a JOIN b USING (frame)),
+m AS MATERIALIZED (SELECT frame, i, j, dx - 50 * round(dx / 50) AS dx, dy - 11 * round(dy / 11) AS dy, dz - 9 * round(dz / 9) AS dz FROM c)
+SELECT frame, i, j FROM m WHERE dx * dx + dy * dy + dz * dz <= 2.25""")
 def cross_neighbors(spark, d):
     p = V.pts(spark, d)
     return neighbors.cross_pairs(p.where("type = 'A'"), p.where("type = 'R'"), V.BOX, 1.5).select("frame", "i", "j")
@@ -64,10 +67,10 @@ def rdf(spark, d):
     return structure.rdf(neighbors.neighbor_pairs(p, V.BOX, 4.4), p, V.BOX, 41, 4.4).select("bin", _r("r"), "n_r", _r("rdf"))
 
 
-@query(f"WITH {V.pairs_sql(4.4)}, {_RDF % ''} SELECT bin, round(sum(r * r * rdf * {4 * math.pi * 0.12!r} * (4.4 / 41)) OVER (ORDER BY bin), 4) AS n FROM g")
+@query(f"WITH {V.pairs_sql(4.4)}, {_RDF % ''} SELECT bin, round(sum(r * r * rdf * {4 * math.pi!r} * rho * (4.4 / 41)) OVER (ORDER BY bin), 4) AS n FROM g CROSS JOIN (SELECT sum(n * n) / sum(n) / 4950.0 AS rho FROM (SELECT count(*) AS n FROM pts GROUP BY frame))")
 def coordination_number(spark, d):
     p = V.pts(spark, d)
-    return structure.coordination(structure.rdf(neighbors.neighbor_pairs(p, V.BOX, 4.4), p, V.BOX, 41, 4.4), 0.12).select("bin", _r("n", 4))
+    return structure.coordination(structure.rdf(neighbors.neighbor_pairs(p, V.BOX, 4.4), p, V.BOX, 41, 4.4), structure.density_around(p, V.BOX)).select("bin", _r("n", 4))
 
 
 _PARTIAL = "AND type_i = 'N' AND type_j = 'N'"
@@ -146,9 +149,11 @@ def _gap(name: str, a: str, b: str) -> str:
     return ", ".join(f"{b}.{c} - {a}.{c} - {l} * round_even(({b}.{c} - {a}.{c}) / {l}, 0) AS {name}{c}" for c, l in zip("xyz", (50, 11, 9), strict=True))
 
 
-@query(f"""WITH {V.PTS}, t AS (SELECT d.frame, d.atom AS donor, h.atom AS hydrogen, a.atom AS acceptor,
- {_gap('a', 'd', 'a')}, {_gap('p', 'h', 'd')}, {_gap('q', 'h', 'a')}
- FROM pts d JOIN pts a ON a.frame = d.frame AND d.atom % 3 = 0 AND a.atom % 3 = 2 JOIN pts h ON h.frame = d.frame AND h.atom = d.atom + 1),
+@query(f"""WITH {V.PTS}, d AS MATERIALIZED (SELECT * FROM pts WHERE atom % 3 = 0), a AS MATERIALIZED (SELECT * FROM pts WHERE atom % 3 = 2), h AS MATERIALIZED (SELECT frame, atom - 1 AS donor, x, y, z FROM pts WHERE atom % 3 = 1),
+g AS (SELECT d.frame, d.atom AS donor, a.atom AS acceptor, d.x AS ux, d.y AS uy, d.z AS uz, a.x AS vx, a.y AS vy, a.z AS vz, {_gap('a', 'd', 'a')} FROM d JOIN a ON a.frame = d.frame),
+n AS MATERIALIZED (SELECT * FROM g WHERE ax * ax + ay * ay + az * az < 9.62),
+t AS (SELECT n.frame, n.donor, h.donor + 1 AS hydrogen, n.acceptor, ax, ay, az, {', '.join(f"u{c} - h.{c} - {l} * round_even((u{c} - h.{c}) / {l}, 0) AS p{c}, v{c} - h.{c} - {l} * round_even((v{c} - h.{c}) / {l}, 0) AS q{c}" for c, l in zip('xyz', (50, 11, 9)))}
+ FROM n JOIN h ON h.frame = n.frame AND h.donor = n.donor),
 c AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS dist, sqrt((px * px + py * py + pz * pz) * (qx * qx + qy * qy + qz * qz)) AS s, px * qx + py * qy + pz * qz AS k FROM t)
 SELECT frame, donor, hydrogen, acceptor, round(dist, 6) AS dist FROM c WHERE dist < 3.1 AND s > 0 AND degrees(acos(greatest(least(k / CASE WHEN s > 0 THEN s ELSE 1 END, 1), -1))) > 101""")
 def hydrogen_bonds(spark, d):
@@ -264,10 +269,10 @@ def static_dielectric(spark, d):
 @query(f"""WITH {V.WALKS}, b AS (SELECT *, CASE WHEN d > 60 OR lag(frame) OVER w IS NULL OR frame - lag(frame) OVER w > 1 THEN 1 ELSE 0 END AS cut FROM (SELECT particle, frame, abs(v) AS d FROM walks) WINDOW w AS (PARTITION BY particle ORDER BY frame)),
 i AS (SELECT *, sum(cut) OVER (PARTITION BY particle ORDER BY frame) AS island FROM b), f AS (SELECT *, max(CASE WHEN d < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY particle, island ORDER BY frame) AS formed FROM i),
 k AS (SELECT particle, frame, island FROM f WHERE formed = 1 AND d <= 60), s AS (SELECT l.range AS lag, count(*) AS n FROM k a CROSS JOIN range(7) l JOIN k b ON a.particle = b.particle AND a.island = b.island AND b.frame = a.frame + l.range GROUP BY 1)
-SELECT CAST(r.range AS INTEGER) AS lag, round(coalesce(n, 0) / (150.0 * (100 - r.range)), 6) AS c FROM range(7) r LEFT JOIN s ON s.lag = r.range""")
+SELECT CAST(r.range AS INTEGER) AS lag, round(coalesce(n, 0) / (p.i * (p.f - r.range)), 6) AS c FROM range(7) r CROSS JOIN (SELECT count(DISTINCT particle) AS i, count(DISTINCT frame) AS f FROM walks) p LEFT JOIN s ON s.lag = r.range""")
 def pair_survival(spark, d):
     dist = V.walks(spark, d).select(F.col("particle").alias("i"), F.lit(0).alias("j"), "frame", F.abs("v").alias("dist"))
-    return dynamics.pair_survival(dist, 150, 100, 20.0, 60.0, 6).select("lag", _r("c"))
+    return dynamics.pair_survival(dist, None, None, 20.0, 60.0, 6).select("lag", _r("c"))
 
 
 _CLUSTERS = f"""WITH RECURSIVE {V.pairs_sql(1.2)}, {V.WAYS}, reach AS (SELECT frame, atom AS a, atom AS b FROM pts UNION SELECT r.frame, r.a, w.j FROM reach r JOIN ways w ON r.frame = w.frame AND r.b = w.i),
@@ -383,7 +388,11 @@ def fcc_crystal(spark, d):
     return generators.build_crystal(spark, cell, generators.lattice_basis("fcc"), (4, 4, 4)).select("atom", *[_r(c) for c in "xyz"])
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT * FROM (VALUES ('A', 0, 0, 0), ('B', 1, 2, 3)) s(species, u, v, w)
+UNION SELECT species, CASE WHEN k IN (0, 1, 3) THEN 10 - u WHEN k = 2 THEN w WHEN k = 4 THEN u + 5 ELSE u END % 10,
+ CASE WHEN k IN (0, 3) THEN 10 - v WHEN k = 2 THEN u WHEN k IN (4, 5) THEN v + 5 ELSE v END % 10,
+ CASE WHEN k IN (1, 3) THEN 10 - w WHEN k = 2 THEN v WHEN k = 5 THEN w + 5 ELSE w END % 10 FROM o, range(6) g(k))
+SELECT species, u / 10.0 AS u, v / 10.0 AS v, w / 10.0 AS w FROM o""")
 def space_group(spark, d):
     sites = spark.createDataFrame([("A", 0.0, 0.0, 0.0), ("B", 0.1, 0.2, 0.3)], "species string, u double, v double, w double")
     return generators.equivalent_positions(sites, ["-x,-y,z", "-x,y,-z", "z,x,y", "-x,-y,-z", "x+1/2,y+1/2,z", "x,y+1/2,z+1/2"])
@@ -432,6 +441,17 @@ def collective_sums(spark, d):
 
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM e),
+v AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l FROM m), u AS (SELECT *, b / sqrt(b * b + pow(l - a, 2)) AS p, (l - a) / sqrt(b * b + pow(l - a, 2)) AS q FROM v),
+d AS (SELECT vec_id, pow((x - mx) * p + (y - my) * q, 2) AS s1, pow((y - my) * p - (x - mx) * q, 2) AS s2 FROM e, u) SELECT vec_id, round(s1, 6) AS s1, round(s2, 6) AS s2 FROM d""")
+def pca_plane(spark, d):
+    """Squares, as a component has no sign of its own; two columns have their axes in closed form."""
+    e = V.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(2)])
+    found = shape.pca(e, ["e0", "e1"])[0].withColumns({"s1": F.col("pc1") * F.col("pc1"), "s2": F.col("pc2") * F.col("pc2")})
+    return found.select("vec_id", _r("s1"), _r("s2"))
+
+
 @query()
 def pca(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)])

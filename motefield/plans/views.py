@@ -53,12 +53,13 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value") - 50
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("particle"), (F.row_number().over(w) - 1).cast("int").alias("frame"), _since_epoch("MICROSECOND").cast("double").alias("time"),
-        F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), v.alias("v"),
+        # values have two decimals: rounded, the sum does not hang on the order of its additions
+        F.round(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("x"), v.alias("v"),
     )
 
 
 WALKS = """walks AS MATERIALIZED (SELECT user_id AS particle, CAST(row_number() OVER w - 1 AS INTEGER) AS frame, CAST(epoch_us(ts) AS DOUBLE) AS time,
-  sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS x, value - 50 AS v
+  round(sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS x, value - 50 AS v
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
