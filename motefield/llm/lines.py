@@ -13,7 +13,8 @@ is a keep bitmap as run lengths, never text: ``keep_runs`` holds the lengths of
 runs of kept and dropped lines, a kept run (of length 0 if need be) first.
 
 A null or empty text is one empty line. Rows that share a document id are one document when
-documents are counted. Tables without rows give none. Other columns are carried where they are named.
+documents are counted, but each row's lines go by its own text. Rows of null id are not counted
+and keep all lines. Tables without rows give none. Other columns are carried where they are named.
 """
 
 from __future__ import annotations
@@ -35,13 +36,16 @@ def line_key(line: Column) -> Column:
 
 
 def line_occurrences(docs: DataFrame, min_chars: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h1, h2, doc, pos) of each line that is long enough, in a key of 128 bits."""
-    lines = docs.where(F.length(text) >= min_chars).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    """(h1, h2, doc, t, pos) of each line that is long enough, in a key of 128 bits; ``t`` is a
+    hash of the text that it is in."""
+    held = docs.where((F.length(text) >= min_chars) & F.col(key).isNotNull())
+    hashed = held.select(F.col(key).alias("doc"), F.xxhash64(text).alias("t"), F.split(F.col(text), "\n", -1).alias("all"))
+    lines = hashed.select("doc", "t", F.posexplode("all").alias("pos", "line"))
     return (
         lines.where(F.length("line") >= min_chars)
-        .select("doc", "pos", line_key(F.col("line")).alias("k"))
+        .select("doc", "t", "pos", line_key(F.col("line")).alias("k"))
         .where(F.length("k") >= min_chars)
-        .select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(11), "k").alias("h2"), "doc", "pos")
+        .select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(11), "k").alias("h2"), "doc", "t", "pos")
     )
 
 
@@ -65,25 +69,27 @@ def common_lines(occurrences: DataFrame, min_docs: int) -> DataFrame:
 
 
 def keep_runs(n_lines: Column, dropped: Column) -> Column:
-    """Run lengths of the bitmap of kept lines, given the sorted positions of dropped ones.
+    """Run lengths of the bitmap of kept lines, a kept run first, given the sorted positions of
+    dropped ones.
 
     A run ends where kept and dropped lines meet; those places are the positions p whose
     neighbour p - 1 is of the other kind, and their differences are the runs.
     """
-    begins = F.array_except(dropped, F.transform(dropped, lambda p: p + 1))
-    ends = F.array_except(F.transform(dropped, lambda p: p + 1), dropped)
-    edges = F.concat(F.array(F.lit(0)), F.array_sort(F.concat(begins, F.filter(ends, lambda p: p < n_lines))), F.array(n_lines))
-    size = F.size(edges)
-    return F.zip_with(F.slice(edges, 2, size - 1), F.slice(edges, 1, size - 1), lambda b, a: b - a)
+    after = F.transform(dropped, lambda p: p + 1)
+    ends = F.array_except(F.array_except(after, dropped), F.array(n_lines))
+    edges = F.concat(F.array(F.lit(0)), F.sort_array(F.concat(F.array_except(dropped, after), ends)), F.array(n_lines))
+    # bound to a variable: what stands inside a lambda, such as ``n_lines``, is evaluated for each element
+    return F.element_at(F.transform(F.array(edges), lambda e: F.zip_with(F.slice(e, 2, F.size(e) - 1), F.slice(e, 1, F.size(e) - 1), lambda b, a: b - a)), 1)
 
 
-def kept_text(lines: Column, runs: Column) -> Column:
-    """The lines of the kept runs, joined: one slice for each kept run."""
-    begins = F.aggregate(runs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    starts = F.filter(begins, lambda _, i: i % 2 == 0)
-    sizes = F.filter(runs, lambda _, i: i % 2 == 0)
-    spans = F.filter(F.arrays_zip(starts.alias("at"), sizes.alias("n")), lambda s: s["n"] > 0)
-    return F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(lines, s["at"] + 1, s["n"]))), "\n")
+def kept_text(lines: Column, dropped: Column) -> Column:
+    """The lines whose positions are not dropped, joined, in work linear in their number."""
+
+    def joined(held: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), dropped)
+        return F.array_join(F.transform(kept, lambda p: F.get(held, p)), "\n")
+
+    return F.element_at(F.transform(F.array(lines), joined), 1)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -93,20 +99,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
     common = common_lines(occurrences, min_docs)
     dropped = (
         occurrences.join(common, ["h1", "h2"]).where(F.col("doc") != F.col("last"))
-        .groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
+        .groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
     )
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), whole.alias("_text"), *carry).join(dropped, F.col(key) == F.col("_doc"), "left")
+    given = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_hash"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
+    rows = given.join(dropped, (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left")
     lines = F.split(F.col("_text"), "\n", -1)
     n_lines = F.size(lines)
     none = F.col("_dropped").isNull()
-    runs = F.when(none, F.array(n_lines)).otherwise(keep_runs(n_lines, F.col("_dropped")))
-    rows = rows.select(F.col(key), "_text", "_dropped", *carry, n_lines.alias("_n"), runs.alias("keep_runs"))
     return rows.select(
-        F.col(key),
-        F.col("_n").cast("long").alias("n_lines"),
+        F.col("_key").alias(key),
+        n_lines.cast("long").alias("n_lines"),
         F.when(none, F.lit(0)).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"),
-        "keep_runs",
-        F.when(none, F.col("_text")).otherwise(kept_text(F.split("_text", "\n", -1), F.col("keep_runs"))).alias("kept"),
-        *carry,
+        F.when(none, F.array(n_lines)).otherwise(keep_runs(n_lines, F.col("_dropped"))).alias("keep_runs"),
+        F.when(none, F.col("_text")).otherwise(kept_text(lines, F.col("_dropped"))).alias("kept"),
+        *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)],
     )

@@ -53,7 +53,7 @@ TOOL_SCHEMAS = [
 def op5_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = spark.createDataFrame(TOOL_SCHEMAS, "tool string, argument string, type string, required boolean, minimum double, maximum double")
     linked = toolcalls.link_tool_calls(*toolcalls.conversation_calls(table(spark, sf_dir, "conversations")), schemas)
-    return linked.select("conv_id", "call_id", "name", "turn", "result_turn", "level", "status", F.array_join("violations", "; ").alias("violations"), "record")
+    return toolcalls.in_order(linked).select("conv_id", "call_id", "name", "turn", "result_turn", "level", "status", F.array_join("violations", "; ").alias("violations"), "record")
 
 
 OP5_SQL = r"""
@@ -81,7 +81,7 @@ FROM c FULL JOIN r ON c.call_id = r.call_id
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("keep_runs", ",").alias("keep_runs"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP6_SQL = r"""
@@ -100,10 +100,20 @@ WITH l AS (
 ), m AS (
   SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.last AS gone
   FROM k LEFT JOIN c ON k.key = c.key
+), t AS (
+  SELECT doc_id, pos, gone, CASE WHEN coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) <> gone THEN 1 ELSE 0 END AS turn FROM m
+), n AS (
+  SELECT doc_id, sum(turn) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t
+), r AS (
+  SELECT doc_id, run, count(*) AS size FROM n GROUP BY doc_id, run
+), b AS (
+  SELECT doc_id, CASE WHEN min(run) = 1 THEN '0,' ELSE '' END || string_agg(size, ',' ORDER BY run) AS keep_runs FROM r GROUP BY doc_id
+), g AS (
+  SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  FROM m GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+SELECT g.*, b.keep_runs FROM g JOIN b ON g.doc_id = b.doc_id
 """
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]

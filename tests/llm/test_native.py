@@ -51,6 +51,20 @@ def test_lines_of_repeated_and_no_rows(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_null_ids_and_of_other_texts_under_one_id(spark):
+    df = spark.createDataFrame([(None, "long enough\nx")] * 6 + [(1, "long enough\nx"), (1, "x\nlong enough"), (1, None), (2, "long enough")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.kept, tuple(r.keep_runs)) for r in lines.dedup_lines(df, 5, 2).collect())
+    assert got == sorted([("None", "long enough\nx", (2,))] * 6 + [("1", "x", (0, 1, 1)), ("1", "x", (1, 1)), ("1", "", (1,)), ("2", "long enough", (1,))])
+
+
+def test_lines_of_a_long_document(spark):
+    text = lambda i: "\n".join(f"a line that all have {j}" if j % 2 else f"{i} {j}" for j in range(50_000))
+    df = spark.createDataFrame([(i, text(i)) for i in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.dedup_lines(df, 15, 3).collect()}
+    assert [got[i].n_dropped for i in range(3)] == [25_000, 25_000, 0]
+    assert got[0].kept == "\n".join(f"0 {j}" for j in range(0, 50_000, 2)) and got[0].keep_runs == [1] * 50_000 and got[2].kept == text(2)
+
+
 def test_urls(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("twice.net", "/", "allow"), ("twice.net", "/", "block"), (None, "/", "block")]
     cases = {
@@ -97,7 +111,11 @@ def test_tool_calls(spark):
     ]
     results = [(1, 2, "a", "ok"), (1, 4, "a", "later"), (9, 1, "nobody", None), (9, 2, None, "stray")]
     df = toolcalls.link_tool_calls(spark.createDataFrame([(*r, 1, 1) for r in rows], CALLS).repartition(3), spark.createDataFrame([(*r, "n") for r in results], RESULTS), rules)
-    got = {r.call_id: r for r in df.collect() if r.call_id}
+    assert [(r.conv_id, r.status, r.level, r.name) for r in df.where("call_id = 'a'").orderBy("conv_id").collect()] == [(1, "linked", 0, "f"), (3, "pending", 0, "g")]
+    order = [(r.conv_id, r.call_id) for r in toolcalls.in_order(df.where("call_id is not null and conv_id = 1")).collect()]
+    assert [c for _, c in order] == ["a", "e", "f", "h", "b", "c", "d"]
+    assert {r.call_id: r.repeats for r in df.collect() if r.repeats} == {"a": 1}
+    got = {r.call_id: r for r in df.orderBy(F.desc("conv_id")).collect() if r.call_id}
     assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 0, "f": 0, "h": 0, "x": None, "y": None, "z": None, "nobody": None}
     assert {k: r.violations for k, r in got.items()} == {
         "a": [], "b": ["type of n"], "c": ["range of n", "unknown q"], "d": ["unknown tool"], "e": ["not an object"], "f": ["not an object"],
