@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from motefield.llm import lines, minhash, packing, substrings, toxicity
 from motefield.llm.queries import table, tokenizer_path
-from motefield.storage import materialize
+from motefield.storage import materialize, temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table of documents; what a stage keeps is written and read again."""
+    """All stages on the table of documents; what a stage keeps is written and read again, and
+    then what it wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporary(spark, keep=f"kept_{name}"):
+            docs = materialize(stage(spark, docs, sf_dir), f"kept_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

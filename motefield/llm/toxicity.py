@@ -3,21 +3,26 @@ make document scores.
 
 Training. A bounded sample of labelled documents (``SAMPLE`` of them, the first in the order
 of a hash of their id) gives, for each feature of a token - the lower-cased word and
-its beginnings of 3 to 6 bytes, as 64-bit hashes - the number of toxic and of clean documents that have it. A
-feature whose share in toxic documents is beyond chance (a likelihood ratio that no feature
-of so many would reach by accident) and e^3 times that in clean ones is put to the same test
-once more with the different words before it in place of documents, which the words of a copied
-text or passage fail. A feature that passes marks tokens: tokens of
+its beginnings of 3 to 6 bytes, as 64-bit hashes - the number of toxic and of clean documents
+that have it. Features of at least ``SUPPORT`` toxic documents, and of a larger share of these
+than of clean ones, are counted once more by the different words before them, ``BURST`` of a
+document at most and those of a copied passage once. A feature whose counts are beyond chance
+(a likelihood ratio above ``CHANCE``, which no feature of so many would reach by accident) and
+e^2 times as frequent in toxic documents marks tokens: tokens of
 toxic documents with such a feature are labelled 1, all others 0. Sentences with labelled
 tokens, sentences of clean documents that have such a feature all the same, and others,
 ``SENTENCES`` of each at most, train the field: weights of features, of the
-two states' transitions and of the start, by gradients from forward-backward marginals.
+two states' transitions and of the start, by gradients from forward-backward marginals. One
+task does this on an executor, as the sentences are of a bounded number; the driver gets the
+weights alone.
 
 Scoring. Each whole text is cut into sentences (at line ends and full stops, and after
 ``LONGEST`` tokens); forward-backward gives each token's marginal probability of being toxic.
-A document's score is the probability that any token is, over tokens of at least ``FLOOR``;
-spans of tokens of at least one half are the offending offsets. Tasks get the weights of features that training
-sentences have, a bounded number of them.
+The sum of a document's marginals, those of at least ``FLOOR``, is its expected number of toxic
+tokens; its score is a logistic function of that number, of the number of tokens and of their
+ratio, fitted on the sample's documents, so that one such word in a long text weighs less than
+many in a short one. Spans of tokens of at least one half are the offending offsets. Tasks get
+the weights of features that training sentences have, a bounded number of them.
 
 Labels that are null, or of documents that do not exist, are ignored; without labelled
 documents of both kinds every score is 0. Null text counts as empty, and an empty text scores
@@ -36,12 +41,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.llm.words import BASES, CHUNK, mix, powers, seeded, text_column
-from motefield.storage import materialize
+from motefield.storage import forget, materialize
 
 #: Documents and sentences (with and without labelled tokens) that training sees at most.
 SAMPLE, SENTENCES = 16_000, 8_000
+#: Of the sentences without such tokens, which are many, one in so many is drawn from.
+ONE_IN = 16
+#: Toxic documents that a feature must have, and different words before it that one document
+#: can count for.
+SUPPORT, BURST = 4, 3
 #: The likelihood ratio (as a logarithm) beyond which a feature marks tokens.
-CHANCE = 13.5
+CHANCE = 10.0
 #: Emission of a token none of whose features is known: one feature alone does not make a
 #: token toxic, several that agree do.
 PRIOR = -6.0
@@ -145,6 +155,7 @@ class Field:
 
     def __init__(self, lookup: Lookup, weights: np.ndarray, moves: np.ndarray, begin: np.ndarray):
         self.lookup, self.weights, self.moves, self.begin = lookup, weights, moves, begin
+        self.link: np.ndarray | None = None
 
     def marginals(self, emission: np.ndarray, first: np.ndarray, length: np.ndarray, moves: bool = False):
         """P(state 1) of each token; with ``moves`` also expected transitions and log Z."""
@@ -185,6 +196,16 @@ class Field:
         emission = PRIOR + np.bincount(at // width, weights=self.weights[spot], minlength=n)
         return self.marginals(emission, tokens.first, tokens.length)
 
+    @staticmethod
+    def hits(p: np.ndarray, tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Expected toxic tokens, and tokens, of each of ``n`` texts."""
+        use = p >= FLOOR
+        return np.bincount(tokens.doc[use], weights=p[use], minlength=n), np.bincount(tokens.doc, minlength=n)
+
+    def documents(self, p: np.ndarray, tokens: Tokens, n: int) -> np.ndarray:
+        """Scores of ``n`` texts from the marginals of their tokens."""
+        return 1 / (1 + np.exp(-evidence(*self.hits(p, tokens, n)) @ self.link))
+
 
 def train(tokens: Tokens, labels: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 0.02) -> Field:
     """Maximum a posteriori weights by Adam steps on the exact gradient."""
@@ -250,27 +271,40 @@ def contexts(sample: DataFrame, marks: Lookup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(0).to_numpy(zero_copy_only=False)
+            toxic, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             for rows, tokens in token_chunks(text_column(batch, 1)):
                 before = np.zeros(len(tokens.doc), dtype=np.uint64)
                 before[1:] = np.where(tokens.doc[1:] == tokens.doc[:-1], tokens.features[:-1, 0], NONE)
                 at, _ = marks.find(tokens.features)
                 token = at // tokens.features.shape[1]
-                columns = [tokens.features.ravel()[at].view(np.int64), before[token].view(np.int64), toxic[rows][tokens.doc[token]].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["feature", "before", "bad"])
+                columns = [tokens.features.ravel()[at].view(np.int64), before[token].view(np.int64), toxic[rows][tokens.doc[token]].astype(np.int64), ids[rows][tokens.doc[token]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["feature", "before", "bad", "doc"])
+
+    seen = sample.select("toxic", "text", "doc").mapInArrow(run, "feature long, before long, bad long, doc long").groupBy("feature", "before", "bad").agg(F.min("doc").alias("doc"))
+    told = seen.groupBy("feature", "doc", "bad").agg(F.least(F.count("*"), F.lit(BURST)).alias("n"))
+    return told.groupBy("feature").agg(F.sum(F.col("n") * F.col("bad")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("bad"))).alias("clean"))
 
-    seen = sample.select("toxic", "text").mapInArrow(run, "feature long, before long, bad long").distinct()
-    return seen.groupBy("feature").agg(F.sum("bad").alias("toxic"), F.sum(1 - F.col("bad")).alias("clean"))
+
+def _ratio(toxic: int, clean: int) -> Column:
+    return ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
+
+
+def _lookup(kept: DataFrame) -> Lookup:
+    return Lookup(np.sort(np.array([r.feature for r in kept.select("feature").collect()], dtype=np.int64).view(np.uint64)))
+
+
+def leaning(counts: DataFrame, toxic: int, clean: int) -> Lookup:
+    """Features of enough toxic documents that clean ones have less often; the sample bounds
+    their number."""
+    return _lookup(counts.where((F.col("toxic") >= SUPPORT) & (_ratio(toxic, clean) > float(np.e))))
 
 
 def telling(counts: DataFrame, toxic: int, clean: int) -> Lookup:
-    """Features that toxic documents have beyond chance; the sample bounds their number."""
+    """Features that toxic documents have beyond chance."""
     share = toxic / (toxic + clean)
     n = F.col("toxic") + F.col("clean")
     part = lambda x, s: F.when(x > 0, x * F.log(x / (n * s))).otherwise(0.0)
-    ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    kept = counts.where((ratio > float(np.exp(3))) & (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share) > CHANCE))
-    return Lookup(np.sort(np.array([r.feature for r in kept.select("feature").collect()], dtype=np.int64).view(np.uint64)))
+    return _lookup(counts.where((_ratio(toxic, clean) > float(np.exp(2))) & (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share) > CHANCE)))
 
 
 def sentences(sample: DataFrame, marks: Lookup) -> DataFrame:
@@ -288,8 +322,7 @@ def sentences(sample: DataFrame, marks: Lookup) -> DataFrame:
                 hit = np.add.reduceat(marks.any(tokens.features), tokens.first) > 0
                 kind = np.where(hit, 1 + bad, 0)
                 order = mix(tokens.features[tokens.first, 0] + tokens.length.astype(np.uint64) + seeded(7))
-                # sentences of kind 0 are many: one in 16 is enough to choose from
-                use = np.flatnonzero(hit | (order % np.uint64(16) == 0))
+                use = np.flatnonzero(hit | (order % np.uint64(ONE_IN) == 0))
                 raw = [x.as_py().encode() for x in column.slice(rows.start, rows.stop - rows.start)]
                 last = tokens.first + tokens.length - 1
                 text = [raw[doc[i]][tokens.start[tokens.first[i]] - tokens.base[tokens.first[i]] : tokens.end[last[i]] - tokens.base[last[i]]].decode(errors="replace") for i in use]
@@ -305,21 +338,79 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # a number of rows that the limit bounds, 12 bytes each
     chosen = F.broadcast(told.orderBy(F.xxhash64("doc"), "doc").limit(sample))
     pairs = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "doc")
-    rows = materialize(pairs.select("toxic", "text"), "labelled")
+    rows = materialize(pairs.select("toxic", "text", "doc"), "labelled")
     size = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, clean = int(size[0]), int(size[1] - size[0])
     if not toxic or not clean:
         return None
-    marks = telling(contexts(rows, telling(feature_counts(rows), toxic, clean)), toxic, clean)
+    marks = telling(contexts(rows, leaning(feature_counts(rows), toxic, clean)), toxic, clean)
     held = materialize(sentences(rows, marks), "sentences")
-    some = [r for kind in (2, 1, 0) for r in held.where(F.col("kind") == kind).orderBy("order", "text").limit(SENTENCES).collect()]
-    if not some:
-        return None
-    column = pa.array([r.text for r in some], pa.string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1).astype(np.int64)
-    tokens = Tokens(np.frombuffer(column.buffers()[2], dtype=np.uint8), offsets)
-    label = marks.any(tokens.features) & (np.array([r.toxic for r in some])[tokens.doc] == 1)
-    return train(tokens, label.astype(np.int64))
+    kinds = [held.where(F.col("kind") == kind).orderBy("order", "text").limit(SENTENCES) for kind in (2, 1, 0)]
+    told = trained(kinds[0].union(kinds[1]).union(kinds[2]), marks).first()
+    field = None
+    if told is not None:
+        weights, rest = np.frombuffer(told.weights), np.frombuffer(told.rest)
+        field = Field(Lookup(np.frombuffer(told.features, dtype=np.uint64)), weights, rest[:4].reshape(2, 2), rest[4:])
+        field.link = np.frombuffer(linked(rows, field).first().link)
+    forget(rows)
+    forget(held)
+    return field
+
+
+def linked(sample: DataFrame, field: Field) -> DataFrame:
+    """(link): weights of a document's evidence, by Newton steps on the sample's labels: the
+    evidence is counted by all tasks, and one fits a few numbers of each document."""
+    model = sample.sparkSession.sparkContext.broadcast(field)  # as in score_documents
+    names = ["toxic", "hits", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, tokens in token_chunks(text_column(batch, 1)):
+                hits, n = model.value.hits(model.value.score(tokens), tokens, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[rows].astype(float)), pa.array(hits), pa.array(n.astype(float))], names)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), pa.schema([(c, pa.float64()) for c in names])).sort_by([(c, "ascending") for c in names])
+        y, hits, n = (rows.column(c).to_numpy() for c in names)
+        yield pa.RecordBatch.from_arrays([pa.array([logistic(evidence(hits, n), y).tobytes()], pa.binary())], ["link"])
+
+    seen = sample.select("toxic", "text").mapInArrow(count, "toxic double, hits double, n double")
+    return seen.coalesce(1).mapInArrow(solve, "link binary")
+
+
+def evidence(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What a document's score is a function of, given its expected toxic tokens and its tokens."""
+    return np.stack((np.ones(len(n)), np.log1p(hits), np.log1p(n) / 8, np.log1p(50 * hits / (n + 25))), axis=1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
+    w, keep = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        w += step / max(1.0, float(np.abs(step).max()) / 2)
+    return w
+
+
+def trained(some: DataFrame, marks: Lookup) -> DataFrame:
+    """(features, weights, rest) of the field trained on ``some`` sentences, 3 x ``SENTENCES``
+    of them at most, in one task; no row for no sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), pa.schema([("kind", pa.int32()), ("toxic", pa.int32()), ("order", pa.int64()), ("text", pa.string())]))
+        if not rows.num_rows:
+            return
+        rows = rows.sort_by([("kind", "descending"), ("order", "ascending"), ("text", "ascending")])
+        column = rows.column("text").combine_chunks()
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1).astype(np.int64)
+        tokens = Tokens(np.frombuffer(column.buffers()[2], dtype=np.uint8), offsets)
+        label = marks.any(tokens.features) & (rows.column("toxic").to_numpy()[tokens.doc] == 1)
+        field = train(tokens, label.astype(np.int64))
+        rest = np.concatenate((field.moves.ravel(), field.begin))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (field.lookup.keys, field.weights, rest)], ["features", "weights", "rest"])
+
+    return some.coalesce(1).mapInArrow(run, "features binary, weights binary, rest binary")
 
 
 SCORES = "score double, predicted int, n_tokens long, spans array<struct<start:int,end:int>>"
@@ -338,9 +429,7 @@ def score_documents(docs: DataFrame, field: Field | None, key: str = "doc_id", t
             for rows, tokens in token_chunks(text_column(batch, 1)):
                 n = rows.stop - rows.start
                 p = known.score(tokens) if known is not None else np.zeros(len(tokens.start))
-                use = p >= FLOOR
-                miss = np.bincount(tokens.doc[use], weights=np.log1p(-np.minimum(p[use], 1 - 1e-12)), minlength=n)
-                score = -np.expm1(miss)
+                score = known.documents(p, tokens, n) if known is not None else np.zeros(n)
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 last = -2
                 for i in np.flatnonzero(p >= 0.5):
@@ -367,10 +456,7 @@ def clean_documents(docs: DataFrame, field: Field | None, text: str = "text", th
             column = text_column(batch, at)
             filled = pa.compute.fill_null(column, "")
             for rows, tokens in token_chunks(filled) if known is not None else ():
-                p = known.score(tokens)
-                use = p >= FLOOR
-                miss = np.bincount(tokens.doc[use], weights=np.log1p(-np.minimum(p[use], 1 - 1e-12)), minlength=rows.stop - rows.start)
-                keep[rows] = -np.expm1(miss) < threshold
+                keep[rows] = known.documents(known.score(tokens), tokens, rows.stop - rows.start) < threshold
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -63,6 +63,23 @@ def test_held_out_labels(spark):
     assert sum(clean) <= 0.05 * len(clean)  # 399 labels of which 300 train
 
 
+def test_held_out_quality(spark):
+    """3,980 labels, of which 990 are held out, 120 of these toxic."""
+    scored = queries.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    told = scored.join(queries.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").select("toxic", "score", "predicted").toPandas()
+    bad, good = told[told.toxic == 1], told[told.toxic == 0]
+    assert bad.predicted.mean() >= 0.9 and good.predicted.mean() <= 0.01
+    ranks = told.score.rank()[told.toxic == 1].sum() - len(bad) * (len(bad) + 1) / 2
+    assert ranks / (len(bad) * len(good)) >= 0.95
+
+
+def test_evidence_weighs_length():
+    hits, n = np.array([0.0, 1.0, 1.0, 5.0, 5.0] * 20), np.array([100.0, 20.0, 2000.0, 300.0, 9000.0] * 20)
+    w = toxicity.logistic(toxicity.evidence(hits, n), np.array([0.0, 1.0, 0.0, 1.0, 0.0] * 20))
+    p = 1 / (1 + np.exp(-toxicity.evidence(hits, n) @ w))
+    assert p[1] > 0.7 and p[3] > 0.7 and max(p[0], p[2], p[4]) < 0.3
+
+
 def test_edges(spark):
     letters = "abcdefghijklmnopqrst"
     name = lambda i: letters[i % 20] + letters[i // 20] + "x"
