@@ -2,7 +2,9 @@
 
 Each step replaces a node's neighbours by the smallest of them, so the table shrinks to
 stars in a number of rounds that grows with the logarithm of the longest path. Every step is
-a partial aggregate and an equi-join; no node's neighbours are gathered anywhere.
+a partial aggregate and an equi-join; no node's neighbours are gathered anywhere. The least
+neighbours are written before they are joined, so the join shuffles plain tables and adaptive
+execution splits the rows of a node with very many neighbours.
 """
 
 from __future__ import annotations
@@ -13,15 +15,17 @@ from pyspark.sql import functions as F
 from motefield.storage import forget, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, held: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    held.append(least)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(down: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """Of edges whose ``u`` is the larger end."""
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    held.append(least)
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -33,19 +37,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     edges give no rows. Nodes without an edge are the caller's to add.
     """
     named = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    now = materialize(named.select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "edges")
-    loops = now.where("u = v").select("u", "v")
-    state, now, held = None, now.where("u <> v"), None
+    given = materialize(named.select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "edges")
+    now, state = given.where("u <> v"), None
     for _ in range(rounds):
-        after = materialize(_small_star(_large_star(now).distinct()).distinct(), "star")
+        held: list[DataFrame] = [] if now is None or state is None else [now]
+        down = materialize(_large_star(now, held), "down")
+        after = materialize(_small_star(down, held).distinct(), "star")
+        for old in (*held, down):
+            forget(old)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if held is not None:
-            forget(held)
-        now = held = after
+        now = after
         if mark == state:
             break
         state = mark
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = now.select(F.col("v").alias("u"), "v")
+    loops = given.where("u = v").select("u", "v")
     return now.union(roots).union(loops.join(now, "u", "left_anti").join(roots.select("u").distinct(), "u", "left_anti")).distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))
