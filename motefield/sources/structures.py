@@ -27,28 +27,30 @@ def _files(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
 
 
-def read_lammps_dump(spark: SparkSession, path) -> DataFrame:
+def read_lammps_dump(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
     """(file, timestep, lo, hi, and the columns that the dump names) of every frame.
 
-    A record is what stands between two ``ITEM: TIMESTEP`` lines. The first frame's header names
-    the columns; ``id``, ``mol`` and ``type`` are long where they are numbers, all else double.
+    A record is what stands between two ``ITEM: TIMESTEP`` lines, and each is read by the names
+    in its own header. Which columns there are is ``columns``, or found by a pass over the
+    headers; a frame without one of them has nulls there. ``id``, ``mol``, ``type`` and image
+    flags are long, ``element`` is text, all else double; what doesn't fit is null.
     """
     frames = spark.read.text(path, lineSep="ITEM: TIMESTEP\n").where(F.length(F.trim("value")) > 0)
     lines = frames.select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
-    first = lines.select(F.filter("l", lambda v: v.startswith("ITEM: ATOMS")).getItem(0).alias("h")).first()
-    if first is None:
-        return spark.createDataFrame([], "file string, timestep long, lo array<double>, hi array<double>")
-    names = first.h.split()[2:]
+    header = F.slice(F.split(F.trim(F.get(F.filter("l", lambda v: v.startswith("ITEM: ATOMS")), F.lit(0))), r"\s+"), F.lit(3), F.lit(1000))
+    if columns is None:
+        # as many rows as frames have different headers
+        heads = frames.select(F.regexp_extract("value", "ITEM: ATOMS ([^\n]*)", 1).alias("h")).distinct().select(F.array_distinct(F.flatten(F.collect_list(F.split(F.trim("h"), r"\s+")))).alias("n")).first()
+        columns = sorted({c for c in heads.n if c})
     bounds = F.transform(F.slice("l", 5, 3), lambda v: F.transform(F.split(F.trim(v), r"\s+"), lambda x: x.try_cast("double")))
     rows = lines.select(
         "file", F.trim(F.col("l")[0]).cast("long").alias("timestep"),
-        F.transform(bounds, lambda b: b[0]).alias("lo"), F.transform(bounds, lambda b: b[1]).alias("hi"),
+        F.transform(bounds, lambda b: b[0]).alias("lo"), F.transform(bounds, lambda b: b[1]).alias("hi"), header.alias("h"),
         F.explode(F.slice("l", 9, F.trim(F.col("l")[2]).cast("int"))).alias("v"),
     ).withColumn("p", F.split(F.trim("v"), r"\s+"))
     whole = {"id", "mol", "type", "ix", "iy", "iz"}
-    text = {"element"}
-    columns = [(F.col("p")[k] if n in text else _number(F.col("p")[k], "long" if n in whole else "double")).alias(n) for k, n in enumerate(names)]
-    return rows.select("file", "timestep", "lo", "hi", *columns)
+    word = lambda n: F.get("p", F.array_position("h", n).cast("int") - 1)
+    return rows.select("file", "timestep", "lo", "hi", *[(word(n) if n == "element" else _number(word(n), "long" if n in whole else "double")).alias(n) for n in columns])
 
 
 def read_pdb(spark: SparkSession, path, models: bool = False) -> DataFrame:
