@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
     """``key``, ``n_lines``, ``n_dropped``, ``keep_runs`` and the ``kept`` text of each row, and
     the columns named in ``carry``."""
     occurrences = materialize(line_occurrences(docs, min_chars, key, text), "lines")
-    common = common_lines(occurrences, min_docs)
+    # written, so that the join can split the rows of a very common line
+    common = materialize(common_lines(occurrences, min_docs), "common")
     dropped = (
         occurrences.join(common, ["h1", "h2"]).where(F.col("doc") != F.col("last"))
         .groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
