@@ -179,3 +179,42 @@ def static_dielectric(dipoles: DataFrame, values, volume: float, temperature: fl
     """eps_inf plus the fluctuation of the total dipole over 3 eps0 V k T."""
     total = sum((F.var_pop(v) for v in values), F.lit(0.0))
     return dipoles.agg(total.alias("variance")).select("variance", (eps_inf + F.col("variance") / (3 * EPS0 * volume * BOLTZMANN * temperature)).alias("epsilon"))
+
+
+def dipole_strength(variance: float, volume: float, temperature: float) -> float:
+    """What a dipole's variance adds to the static permittivity."""
+    return variance / (3 * EPS0 * volume * BOLTZMANN * temperature)
+
+
+def debye_relaxation(dipoles: DataFrame, values, max_lag: int, keys=()) -> DataFrame:
+    """(lag, acf, n, phi, zero_lag_variance) of the fluctuation of the total dipole about its
+    mean; ``phi`` is the curve over its first point."""
+    values = list(values)
+    means = dipoles.agg(*[F.avg(v).alias(f"_m{v}") for v in values])  # one row
+    moved = dipoles.join(F.broadcast(means), F.lit(True)).withColumns({v: F.col(v) - F.col(f"_m{v}") for v in values})
+    curve = acf(moved, values, max_lag, keys=())
+    first = curve.where("lag = 0").select(F.col("acf").alias("zero_lag_variance"))  # one row
+    return curve.join(F.broadcast(first), F.lit(True)).withColumn("phi", F.col("acf") / F.col("zero_lag_variance"))
+
+
+def current_density(dipoles: DataFrame, values, dt: float, volume: float, frame: str = "frame") -> DataFrame:
+    """(frame, values): central differences of the total dipole over the volume, one-sided at
+    the ends; neighbours in time come by equi-joins."""
+    values = list(values)
+    held = dipoles.select(frame, *values)
+    near = lambda step: held.select((F.col(frame) - step).alias(frame), *[F.col(v).alias(f"_{v}{'a' if step > 0 else 'b'}") for v in values])
+    joined = held.join(near(1), frame, "left").join(near(-1), frame, "left")
+
+    def rate(v: str) -> Column:
+        a, b = F.col(f"_{v}a"), F.col(f"_{v}b")
+        steps = F.when(a.isNull() | b.isNull(), 1.0).otherwise(2.0)
+        return ((F.coalesce(a, F.col(v)) - F.coalesce(b, F.col(v))) / (steps * dt * volume)).alias(v)
+
+    return joined.select(frame, *[rate(v) for v in values])
+
+
+def split_dipole(atoms: DataFrame, mask: Column, weight: str = "charge", values=("x", "y", "z"), by=("frame",)) -> DataFrame:
+    """(by, x_in, ..., x_out, ...): the dipole of the atoms of a mask and of all others, in one
+    aggregate."""
+    terms = [F.sum(F.when(F.coalesce(mask, F.lit(False)) == side, F.col(weight) * F.col(v)).otherwise(0.0)).alias(f"{v}_{name}") for side, name in ((True, "in"), (False, "out")) for v in values]
+    return atoms.groupBy(*by).agg(*terms)

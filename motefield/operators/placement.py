@@ -37,7 +37,7 @@ class Constraint:
 
 
 def _counted(broken: Column, pushes, name: str) -> Constraint:
-    zero = F.lit(0.0)
+    zero, name = F.lit(0.0), name.replace(".", "_")  # a dot would part a column's name
     return Constraint({name: F.count_if(broken).cast("double")}, F.col(name), tuple(F.when(broken, p).otherwise(zero) for p in pushes))
 
 

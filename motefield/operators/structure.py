@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -112,16 +113,57 @@ def harmonic_means(pairs: DataFrame, order: int) -> tuple[DataFrame, list[str]]:
     return ways.select("frame", F.col("i").alias("atom"), *[t.alias(n) for t, n in zip(terms, names, strict=True)]).groupBy("frame", "atom").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in names]), names
 
 
-def steinhardt(pairs: DataFrame, order: int, average: bool = False) -> DataFrame:
+def steinhardt(pairs: DataFrame, order: int, average: bool = False, third: bool = False, normalize: bool = False) -> DataFrame:
     """(frame, atom, q): bond-order parameter of one degree; ``average`` takes the mean of the
-    harmonics over an atom and its neighbours before the norm."""
+    harmonics over an atom and its neighbours before the norm; with ``third`` also ``w``, the
+    third-order invariant, normalised on request."""
     means, names = harmonic_means(pairs, order)
     if average:
         ways = both_ways(pairs.where("dist > 0")).select("frame", "i", "j")
         around = ways.join(means.drop("n").withColumnRenamed("atom", "j"), ["frame", "j"]).select("frame", F.col("i").alias("atom"), *names)
         means = around.unionByName(means.select("frame", "atom", *names)).groupBy("frame", "atom").agg(*[F.avg(n).alias(n) for n in names])
     total = sum((F.col(n) ** 2 for n in names), F.lit(0.0))
-    return means.select("frame", "atom", F.sqrt(total * (4 * math.pi / (2 * order + 1))).alias("q"))
+    more = [third_order(means, names, order, normalize).alias("w")] if third else []
+    return means.select("frame", "atom", F.sqrt(total * (4 * math.pi / (2 * order + 1))).alias("q"), *more)
+
+
+def wigner_3j(order: int, m1: int, m2: int, m3: int) -> float:
+    """The 3j symbol of three equal degrees, by Racah's sum in whole numbers."""
+    if m1 + m2 + m3:
+        return 0.0
+    f, n = math.factorial, order
+    total = Fraction(0)
+    for k in range(max(0, -m1, m2), min(n, n - m1, n + m2) + 1):
+        total += Fraction((-1) ** k, f(k) * f(n - k) * f(n - m1 - k) * f(n + m2 - k) * f(k + m1) * f(k - m2))
+    square = Fraction(f(n) ** 3, f(3 * n + 1)) * f(n + m1) * f(n - m1) * f(n + m2) * f(n - m2) * f(n + m3) * f(n - m3)
+    return (-1) ** (m3 % 2) * float(total) * math.sqrt(square)
+
+
+def third_order(means: DataFrame, names: list[str], order: int, normalize: bool = False) -> Column:
+    """The third-order invariant w of mean real harmonics: the 3j-weighted sum of products of
+    three complex ones whose m sum to 0; ``normalize`` divides by their norm cubed, null where
+    that is 0. Odd degrees cancel."""
+
+    def part(m: int) -> tuple[Column, Column]:
+        if m == 0:
+            return F.col(names[0]), F.lit(0.0)
+        c, s = F.col(names[2 * abs(m) - 1]) / math.sqrt(2), F.col(names[2 * abs(m)]) / math.sqrt(2)
+        return (c * (-1) ** m, s * (-1) ** m) if m > 0 else (c, -s)
+
+    total = F.lit(0.0)
+    if order % 2 == 0:
+        for m1 in range(-order, order + 1):
+            for m2 in range(m1, order + 1):
+                m3 = -m1 - m2
+                if not m2 <= m3 <= order:
+                    continue
+                (a, b), (c, d), (e, f) = part(m1), part(m2), part(m3)
+                ways = 6 // {1: 6, 2: 2, 3: 1}[len({m1, m2, m3})]
+                total = total + ((a * c - b * d) * e - (a * d + b * c) * f) * (wigner_3j(order, m1, m2, m3) * ways)
+    if not normalize:
+        return total
+    norm = sum((F.col(n) ** 2 for n in names), F.lit(0.0))
+    return F.when(norm > 1e-12, total / F.pow(F.greatest(norm, F.lit(1e-12)), 1.5))
 
 
 def solid_liquid(pairs: DataFrame, order: int, q_threshold: float = 0.7, n_threshold: int = 6) -> DataFrame:
