@@ -19,7 +19,8 @@ Exact copies of a text are found first, by a 128-bit hash of the text; all but t
 document lose all words, if they have a window at all, and send no windows.
 
 Null text has no words. Rows that share an id count as one document when sources are sought
-and are judged each on its own. Texts are processed whole; an empty table gives no rows;
+and are judged each on its own text: starts of windows carry a tag of the text that they are
+in. Rows of null id are no source and keep all words. Texts are processed whole; an empty table gives no rows;
 other columns are not carried.
 """
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.llm.words import GOLDEN, Words, chunks, mix, seeded, text_column
@@ -154,20 +155,28 @@ def shared_names(docs: DataFrame, size: int) -> DataFrame:
     """(doc, names, early): the shared symbols of each document, and for each whether a
     smaller document has it."""
     rows = symbol_rows(docs, size)
+    # written, so that the join can split the rows of a very common symbol
     ends = rows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("name", "least")
-    return rows.join(ends, "name").groupBy("doc").agg(F.collect_list(F.struct("name", (F.col("least") < F.col("doc")).alias("early"))).alias("shared")).select("doc", F.col("shared.name").alias("names"), F.col("shared.early").alias("early"))
+    return rows.join(materialize(ends, "names"), "name").groupBy("doc").agg(F.collect_list(F.struct("name", (F.col("least") < F.col("doc")).alias("early"))).alias("shared")).select("doc", F.col("shared.name").alias("names"), F.col("shared.early").alias("early"))
 
 
-def window_rows(marked: DataFrame, size: int, early: bool) -> DataFrame:
-    """(h1, h2, doc, pos) of windows that may repeat; with ``early`` only those whose symbols
-    all lie in some smaller document, else once a document and without places."""
-    from pyspark.sql.types import LongType, StructField, StructType
+#: Starts are kept as places with a tag of the text in the bits above these.
+PLACE = (1 << 32) - 1
+
+
+def text_tag(text: Column) -> Column:
+    return F.xxhash64(F.lit(9), text).bitwiseAND(F.lit((1 << 31) - 1))
+
 
+def window_rows(marked: DataFrame, size: int, early: bool) -> DataFrame:
+    """(h1, h2, doc) of windows that may repeat, once a document; with ``early`` only those whose
+    symbols all lie in some smaller document, and with their tagged places in the text, so that
+    a window that fills a text by repeating is one row still."""
     names = ["h1", "h2", "doc", "pos"] if early else ["h1", "h2", "doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
             lists, flags = batch.column(2), batch.column(3)
             offsets = lists.offsets.to_numpy()
             known = lists.values.to_numpy(zero_copy_only=False)
@@ -192,43 +201,49 @@ def window_rows(marked: DataFrame, size: int, early: bool) -> DataFrame:
                     spot = np.minimum(np.searchsorted(key, sought), len(key) - 1)
                     shared = key[spot] == sought
                 at = np.flatnonzero(candidates(words, shared, low, high, valid, size))
+                if not len(at):
+                    continue
+                at = at[np.lexsort((h2[at], h1[at], words.doc[at]))]
                 text = words.doc[at]
-                if not early and len(at):
-                    order = np.lexsort((h2[at], h1[at], text))
-                    at, text = at[order], text[order]
-                    new = np.ones(len(at), dtype=bool)
-                    new[1:] = (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1]) | (text[1:] != text[:-1])
-                    at, text = at[new], text[new]
-                own_id, pos = ids[words.rows][text], at - words.first[text]
-                for s in range(0, len(at), BATCH):
-                    cut = slice(s, s + BATCH)
-                    columns = [h1[at[cut]].view(np.int64), h2[at[cut]].view(np.int64), own_id[cut]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*columns, *([pos[cut]] if early else []))], names)
-
-    schema = StructType([StructField(x, LongType()) for x in names])
-    return marked.select("doc", "text", "names", "early").mapInArrow(run, schema)
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(new)
+                own_id, ends = ids[words.rows][text[first]], np.append(first, len(at))
+                place = (tags[words.rows][text] << 32) | (at - words.first[text])
+                for s in range(0, len(first), BATCH):
+                    cut = first[s : s + BATCH]
+                    columns = [pa.array(c, pa.int64()) for c in (h1[at[cut]].view(np.int64), h2[at[cut]].view(np.int64), own_id[s : s + BATCH])]
+                    if early:
+                        bounds = ends[s : s + len(cut) + 1]
+                        columns.append(pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(place[bounds[0] : bounds[-1]], pa.int64())))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "h1 long, h2 long, doc long" + (", pos array<long>" if early else "")
+    return marked.select("doc", "text", "names", "early", "tag").mapInArrow(run, schema)
 
 
 def copies_of(docs: DataFrame) -> DataFrame:
-    """(doc, first) of documents whose whole text a smaller document has."""
+    """(doc, first) of documents all of whose texts smaller documents have."""
     keyed = docs.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2"))
     least = keyed.groupBy("t1", "t2").agg(F.min("doc").alias("first"))
-    return keyed.join(least, ["t1", "t2"]).where("doc <> first").select("doc", "first").distinct()
+    return keyed.join(materialize(least, "texts"), ["t1", "t2"]).groupBy("doc").agg(F.min("first").alias("first"), F.max("first").alias("last")).where("last < doc").select("doc", "first")
 
 
 def removed_starts(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc, first, starts): first: the smaller document with the same text, if there is one,
-    and then all windows go; else the sorted starts of the windows that go."""
+    """(doc, first, starts): first: a smaller document with the same text, if there is one,
+    and then all windows go; else the tagged starts of the windows that go."""
+    docs = docs.where("doc is not null").withColumn("tag", text_tag(F.col("text")))
     shared = materialize(shared_names(docs, size), "shared")
     copies = materialize(copies_of(docs), "copies")
     nothing = F.array().cast("array<long>"), F.array().cast("array<boolean>")
     marked = (
         docs.join(shared, "doc", "left").join(copies, "doc", "left_anti")
-        .select("doc", "text", F.coalesce("names", nothing[0]).alias("names"), F.coalesce("early", nothing[1]).alias("early"))
+        .select("doc", "text", F.coalesce("names", nothing[0]).alias("names"), F.coalesce("early", nothing[1]).alias("early"), "tag")
     )
-    least = window_rows(marked, size, False).groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most")
-    gone = window_rows(marked, size, True).join(least, ["h1", "h2"]).where("least < doc")
-    starts = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.col("pos").cast("int"))).alias("starts"))
+    least = window_rows(marked, size, False).groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("h1", "h2", "least")
+    # written, so that the join can split the rows of a window that very many documents have
+    gone = window_rows(marked, size, True).join(materialize(least, "windows"), ["h1", "h2"]).where("least < doc")
+    starts = gone.groupBy("doc").agg(F.flatten(F.collect_list("pos")).alias("starts"))
     return starts.join(copies, "doc", "full")
 
 
@@ -250,22 +265,25 @@ def dedup_substrings(rows: DataFrame, key: str = "doc_id", text: str = "text", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests = [], [], []
-            for value, first, starts in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for value, tag, first, starts in zip(*(batch.column(c) for c in (1, 2, 3, 4)), strict=True):
                 words = value.as_py().encode().split()  # bytes split at exactly the bytes 9-13 and 32
-                over = _gone(len(words), first, starts, size)
+                over = _gone(len(words), tag, first, starts, size)
                 counts.append(len(words))
                 removed.append(int(over.sum()) if over is not None else 0)
                 digests.append(hashlib.sha256(b" ".join(words if over is None else [w for w, g in zip(words, over, strict=True) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names)
 
-    return docs.join(gone, "doc", "left").select("doc", "text", "first", "starts").mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept_sha256 string")
+    return docs.join(gone, "doc", "left").select("doc", "text", text_tag(F.col("text")), "first", "starts").mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _gone(n: int, first: pa.Scalar, starts: pa.Scalar, size: int) -> np.ndarray | None:
+def _gone(n: int, tag: pa.Scalar, first: pa.Scalar, starts: pa.Scalar, size: int) -> np.ndarray | None:
     """Which of a text's words go; None: none of them."""
     if first.is_valid:
         return np.ones(n, dtype=bool) if n >= size else None
-    return _covered(n, starts.values.to_numpy(), size) if starts.is_valid else None
+    if not starts.is_valid:
+        return None
+    at = starts.values.to_numpy()
+    return _covered(n, at[at >> 32 == tag.as_py()] & PLACE, size)
 
 
 def cut_documents(rows: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -275,24 +293,26 @@ def cut_documents(rows: DataFrame, key: str = "doc_id", text: str = "text", size
     space inside them included, and are joined by a space.
     """
     docs = rows.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    gone = removed_starts(docs, size).select(F.col("doc").alias("_doc"), F.col("first").alias("_first"), F.col("starts").alias("_starts"))
+    gone = removed_starts(docs, size).toDF("_doc", "_starts", "_first")
     at, names = rows.columns.index(text), rows.columns
+    plain = [f"_c{i}" for i in range(len(names))]  # no column of the input can clash with those joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, first, starts = batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            column, (tag, first, starts) = batch.column(at), (batch.column(batch.num_columns - k) for k in (3, 2, 1))
             changed = column.to_pylist()
             for i in range(batch.num_rows):
                 if changed[i] is None or not (first[i].is_valid or starts[i].is_valid):
                     continue
                 raw = changed[i].encode()
                 spans = [m.span() for m in WORD.finditer(raw)]
-                over = _gone(len(spans), first[i], starts[i], size)
+                over = _gone(len(spans), tag[i], first[i], starts[i], size)
                 if over is None or not over.any():
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate(([True], over, [True])).astype(np.int8)))
                 changed[i] = b" ".join(raw[spans[a][0] : spans[b - 1][1]] for a, b in edge.reshape(-1, 2)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(changed, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns - 2)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(changed, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns - 3)], names=names)
 
-    joined = rows.join(gone, F.col(key).cast("long") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(run, rows.schema)
+    own = F.col(plain[names.index(key)]).cast("long")
+    joined = rows.toDF(*plain).join(gone, own == F.col("_doc"), "left")
+    return joined.select(*plain, text_tag(F.coalesce(plain[at], F.lit(""))), "_first", "_starts").mapInArrow(run, rows.schema)

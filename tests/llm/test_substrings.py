@@ -88,3 +88,31 @@ def test_other_sizes_against_brute_force(spark, size):
     assert sorted(map(tuple, substrings.dedup_substrings(df, size=size).collect())) == want
     words = {r.doc_id: len((r.text or "").split()) for r in substrings.cut_documents(df, size=size).collect()}
     assert words == {i: n - gone for i, n, gone, _ in want}
+
+
+@pytest.mark.parametrize("size", [20, 50, 150])
+def test_other_window_sizes_with_runs_of_one_word(spark, size):
+    rng = random.Random(size)
+    word = lambda: f"w{rng.randrange(500)}"
+    passages = [[word() for _ in range(size // 3)] + ["same"] * (2 * size // 3) + [word() for _ in range(size // 3)] for _ in range(3)]
+    docs = []
+    for i in range(24):
+        w = [word() for _ in range(rng.randrange(0, 2 * size))]
+        if i % 2:
+            w[len(w) // 2 : len(w) // 2] = passages[i % 3]
+        docs.append((i, " ".join(w)))
+    docs += [(50, "same " * (4 * size)), (51, "same " * (5 * size))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in substrings.dedup_substrings(df, size=size).collect())
+    assert got == brute(docs, size) and sum(r[2] for r in got) > 5 * size
+
+
+def test_other_texts_under_one_id_and_null_ids(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(3))
+    docs = [(1, a), (2, a), (2, b), (3, f"x {b}"), (3, f"{c} y"), (None, a), (None, None), (4, c), (5, "")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in docs], "doc_id long, text string, _doc int, _starts int, tag int")
+    got = sorted((str(r.doc_id), str(r.text)) for r in substrings.cut_documents(df).collect())
+    # of id 2 the copy goes and the other text stays; of 3 the part that 2 has; 4 repeats 3
+    assert got == sorted([("1", a), ("2", ""), ("2", b), ("3", "x"), ("3", f"{c} y"), ("None", a), ("None", "None"), ("4", ""), ("5", "")])
+    assert substrings.cut_documents(df).columns == df.columns
