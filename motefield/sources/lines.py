@@ -24,6 +24,18 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
     return materialize(raw, "text")
 
 
+def ranked_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line, value) with a file's lines numbered from 0: lines are counted by split, and
+    the sums over the splits before - as many rows as splits - added."""
+    told = numbered_lines(spark, path).withColumn("split", F.col("at.split"))
+    sizes = told.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at.line").alias("first"))
+    splits = sizes.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("split", "n", "first"))).alias("s"))
+    joined = told.join(splits, "file")
+    before = F.aggregate(F.filter("s", lambda x: x["split"] < F.col("split")), F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    own = F.element_at(F.filter("s", lambda x: x["split"] == F.col("split")), 1)
+    return joined.select("file", (before + F.col("at.line") - own["first"]).alias("line"), "value")
+
+
 def in_sections(lines: DataFrame, heading: Column) -> DataFrame:
     """Lines with ``section``, the last heading at or before them (null before the first), and
     ``opens``, that heading's place. ``heading`` is a Column: the section's name on the lines

@@ -1,7 +1,8 @@
 """Text formats of structures and trajectories as DataFrames of atoms.
 
-Where a format names its frames, they are Spark's records (``lineSep``), so that one large
-file is read by many tasks; other formats are read a file to a record. Parsing is Column
+Where a format names its frames, they are Spark's records (``lineSep``), and XYZ frames are
+told by the numbers of their lines, so that one large file is read by many tasks; PDB, GRO, MOL2
+and XSF, formats of single structures, are read a file to a record. Parsing is Column
 expressions: split lines, fixed-width substrings, casts. A field that is no number becomes
 null. Lengths are in Angstrom.
 """
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motefield.sources.lines import ranked_lines
+from motefield.sources.writers import write_xyz as write_xyz
+
 NM = 10.0
 
 
@@ -88,14 +92,18 @@ def read_gro(spark: SparkSession, path) -> DataFrame:
 
 def read_xyz(spark: SparkSession, path) -> DataFrame:
     """(file, frame, comment, atom, element, x, y, z) of all frames of files whose frames have as
-    many atoms as their first one."""
-    lines = _files(spark, path).select("file", F.split("value", "\n").alias("l")).withColumn("n", F.trim(F.col("l")[0]).cast("int"))
+    many atoms as their first one.
+
+    Lines are numbered over a file's splits, so a frame is a number of lines by division and a
+    file of any size is read by many tasks. A frame that says another number is an error."""
+    lines = ranked_lines(spark, path)
+    first = lines.where("line = 0").select("file", F.trim("value").try_cast("long").alias("n"))
     step = F.col("n") + 2
-    frames = lines.withColumn("frame", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("l") / step)).cast("int") - 1, F.lit(0)))))
-    at = F.col("frame") * step
-    same = F.assert_true(F.trim(F.element_at("l", (at + 1).cast("int"))).cast("int") == F.col("n"), "frames differ in their number of atoms")
-    rows = frames.where(same.isNull()).select("file", "frame", F.element_at("l", (at + 2).cast("int")).alias("comment"), F.posexplode(F.slice("l", at + 3, F.col("n"))).alias("atom", "v")).withColumn("p", F.split(F.trim("v"), r"\s+"))
-    return rows.select("file", "frame", "comment", F.col("atom").cast("long").alias("atom"), F.col("p")[0].alias("element"), *[_number(F.col("p")[k + 1]).alias(c) for k, c in enumerate("xyz")])
+    placed = lines.join(first, "file").select("file", "n", F.floor(F.col("line") / step).alias("frame"), (F.col("line") % step - 2).alias("atom"), "value")
+    other = F.when((F.col("atom") == -2) & (F.trim("value") != "") & ~F.coalesce(F.trim("value").try_cast("long") == F.col("n"), F.lit(False)), F.raise_error(F.lit("frames differ in their number of atoms")).cast("string"))
+    comments = placed.where("atom < 0").withColumn("_e", other).groupBy("file", "frame").agg(F.max(F.when(F.col("atom") == -1, F.col("value"))).alias("comment"), F.max("_e").alias("_e")).where("_e is null").drop("_e")
+    rows = placed.where("atom >= 0").join(comments, ["file", "frame"]).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    return rows.select("file", F.col("frame").cast("int").alias("frame"), "comment", "atom", F.col("p")[0].alias("element"), *[_number(F.get("p", F.lit(k + 1))).alias(c) for k, c in enumerate("xyz")])
 
 
 def _section(lines: Column, opens: str, closes: str) -> Column:
@@ -138,16 +146,3 @@ def read_xsf(spark: SparkSession, path) -> DataFrame:
     count = F.split(F.trim(F.get("s", F.lit(0))), r"\s+")[0].try_cast("int")
     rows = held.select("file", "cell", F.posexplode(F.slice("s", F.lit(2), F.coalesce(count, F.lit(0)))).alias("atom", "v")).withColumn("p", F.split(F.trim("v"), r"\s+"))
     return rows.select("file", "cell", F.col("atom").cast("long").alias("atom"), _number(F.col("p")[0], "int").alias("atomic_number"), *[_number(F.get("p", F.lit(k + 1))).alias(c) for k, c in enumerate("xyz")])
-
-
-def xyz_frames(atoms: DataFrame) -> DataFrame:
-    """(frame, value): each frame of (frame, atom, element, x, y, z) as the text of an XYZ frame;
-    a frame is one record of the format and so one row."""
-    line = F.concat_ws(" ", "element", *[F.format_string("%.6f", F.col(c)) for c in "xyz"])
-    held = F.array_sort(F.collect_list(F.struct("atom", line.alias("line"))))
-    return atoms.groupBy("frame").agg(held.alias("rows")).select("frame", F.concat_ws("\n", F.size("rows").cast("string"), F.concat(F.lit("frame "), F.col("frame").cast("string")), F.array_join(F.col("rows.line"), "\n")).alias("value"))
-
-
-def write_xyz(atoms: DataFrame, path: str) -> None:
-    """Frames in order, in files that follow one another by name: a range partitioning by frame."""
-    xyz_frames(atoms).repartitionByRange("frame").sortWithinPartitions("frame").select("value").write.text(path)
