@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,29 +11,14 @@ from motefield.functions import geometry, predicates
 from motefield.functions.box import Box
 from motefield.operators import components, dynamics, forcefield, generators, graph, neighbors, shape, structure, trajectory
 from motefield.operators.histogram import histogram, histogram_nd
+from motefield.plans import extended  # noqa: F401  registers its queries
 from motefield.plans import views as V
+from motefield.plans.registry import ORACLE_SQL as ORACLE_SQL
+from motefield.plans.registry import QUERIES as QUERIES
+from motefield.plans.registry import query, rounded
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "rdf"
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name, with the SQL of the same result."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _r(name: str, digits: int = 6):
-    """Rounded, and zero without a sign."""
-    return (F.round(F.col(name), digits) + 0.0).alias(name)
+_r = rounded
 
 
 def _pairs(spark: SparkSession, d: str, cutoff: float, carry=()) -> DataFrame:
