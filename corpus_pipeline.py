@@ -29,9 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = lines.dedup_lines(docs, carry=others)
-    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    # under names of their own, columns of the input clash with none of the operator's
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    others = tuple(own[c] for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = lines.dedup_lines(docs.toDF(*own.values()), key=own["doc_id"], text=own["text"], carry=others)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[changed.get(c, F.col(name)).alias(c) for c, name in own.items()])
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
