@@ -59,6 +59,29 @@ def test_blocks(spark, monkeypatch):
     check(spark, t["vec_id"].to_pylist(), t["embedding"].to_pylist())
 
 
+def test_planted_groups_over_many_blocks(spark, monkeypatch):
+    """Four groups of 1,200 vectors about the threshold: blocks, probes and links counted once."""
+    monkeypatch.setattr(embeddings, "BLOCK", 128)
+    rng = np.random.default_rng(11)
+    parts = []
+    for spread in (0.01, 0.025, 0.029, 0.032):
+        centre = rng.standard_normal(64)
+        parts.append(centre / np.linalg.norm(centre) + spread * rng.standard_normal((1200, 64)))
+    x = np.concatenate((*parts, rng.standard_normal((600, 64)))).astype(np.float32)
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df.repartition(5)).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    true, found = near.sum(1), np.array([got[int(i)].n_links for i in ids])
+    assert (found <= true).all() and true.sum() > 1_000_000
+    assert found.sum() >= 0.999 * true.sum()  # recall of links
+    component = np.array([got[int(i)].component_id for i in ids])
+    a, b = np.nonzero(near)
+    assert (component[a] == component[b]).mean() >= 0.9999
+
+
 def test_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
