@@ -40,16 +40,23 @@ def build_crystal(spark: SparkSession, cell: list[list[float]], basis: list[tupl
 
 
 def parse_triplet(text: str) -> tuple[np.ndarray, list[Fraction]]:
-    """Rotation and translation of a symmetry operation such as ``-y+1/2, x, z``."""
+    """Rotation and translation of a symmetry operation such as ``-y+1/2, x, z``: three sums of
+    whole multiples of x, y, z and of fractions or decimals. Anything else is an error."""
+    parts = re.sub(r"\s", "", text.lower()).split(",")
+    if len(parts) != 3:
+        raise ValueError(f"{text!r} has {len(parts)} components for 3")
     rotation, shift = np.zeros((3, 3), dtype=int), []
-    for i, part in enumerate(text.lower().replace(" ", "").split(",")):
+    for i, part in enumerate(parts):
+        terms = re.findall(r"([+-]?)(?:(\d*)\*?([xyz])|(\d+(?:\.\d+)?(?:/\d+)?))(?=[+-]|$)", part)
+        if not part or "".join(s + (n + a if a else v) for s, n, a, v in terms) != part.replace("*", ""):
+            raise ValueError(f"{part!r} in {text!r} is no sum of x, y, z and numbers")
         moved = Fraction(0)
-        for sign, term in re.findall(r"([+-]?)([^+-]+)", part):
+        for sign, count, axis, value in terms:
             s = -1 if sign == "-" else 1
-            if term in ("x", "y", "z"):
-                rotation[i, "xyz".index(term)] += s
+            if axis:
+                rotation[i, "xyz".index(axis)] += s * int(count or 1)
             else:
-                moved += s * Fraction(term)
+                moved += s * Fraction(*map(Fraction, value.split("/")))
         shift.append(moved % 1)
     return rotation, shift
 
@@ -74,9 +81,10 @@ def close_group(triplets: list[str], most: int = 1536) -> list[tuple[np.ndarray,
     return list(known.values())
 
 
-def equivalent_positions(sites: DataFrame, triplets: list[str], digits: int = 5) -> DataFrame:
-    """(columns of sites, u, v, w): every operation on every site, equal places once."""
-    ops = close_group(triplets)
+def equivalent_positions(sites: DataFrame, triplets: list[str], digits: int = 5, close: bool = True) -> DataFrame:
+    """(columns of sites, u, v, w): every operation on every site, equal places once. Operations
+    are generators of a group, or with ``close`` off the whole list of them."""
+    ops = close_group(triplets) if close else [parse_triplet(t) for t in triplets]
     moved = F.array(*[F.struct(*[F.pmod(sum((F.col(c) * int(r[i, j]) for j, c in enumerate("uvw") if r[i, j]), F.lit(float(t[i]))), F.lit(1.0)).alias(n) for i, n in enumerate("uvw")]) for r, t in ops])
     others = [c for c in sites.columns if c not in ("u", "v", "w")]
     rows = sites.select(*others, F.explode(moved).alias("p")).select(*others, *[F.round(F.pmod(F.round(F.col(f"p.{n}"), digits), F.lit(1.0)), digits).alias(n) for n in "uvw"])

@@ -39,9 +39,15 @@ def _offsets(grid: list[int | None]) -> list[tuple[int, int, int]]:
     return list(product(*steps))
 
 
+def _opposite(o: tuple[int, int, int], grid) -> tuple[int, int, int]:
+    """The offset that leads back; on an axis of one or two cells an offset is its own opposite."""
+    return tuple((-v) % n if n else -v for v, n in zip(o, grid, strict=True))
+
+
 def _around(df: DataFrame, offsets, grid) -> DataFrame:
-    """Each row once for each offset, its cell moved there."""
-    array = F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for a, v in zip("abc", o, strict=True)], F.lit(any(o)).alias("far")) for o in offsets])
+    """Each row once for each offset, its cell moved there; ``_far``: the offset has another as
+    its opposite."""
+    array = F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for a, v in zip("abc", o, strict=True)], F.lit(o != _opposite(o, grid)).alias("far")) for o in offsets])
     moved = df.withColumn("_o", F.explode(array))
     for c, a, n in zip(("_cx", "_cy", "_cz"), "abc", grid, strict=True):
         to = F.col(c) + F.col(f"_o.{a}")
@@ -56,8 +62,8 @@ def _placed(df: DataFrame, box: Box, cutoff: float, grid, keys, atom: str, carry
 
 def _measured(joined: DataFrame, box: Box, cutoff: float) -> DataFrame:
     dx, dy, dz = box.minimum_image(tuple(F.col(f"_{c}_j") - F.col(f"_{c}_i") for c in XYZ))
-    near = joined.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("dist", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2))
-    return near.where(F.col("dist") <= cutoff)
+    near = joined.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("_d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    return near.where(F.col("_d2") <= cutoff * cutoff).withColumn("dist", F.sqrt("_d2")).drop("_d2")
 
 
 def neighbor_pairs(atoms: DataFrame, box: Box, cutoff: float, keys=("frame",), atom: str = "atom", carry=()) -> DataFrame:
@@ -66,27 +72,20 @@ def neighbor_pairs(atoms: DataFrame, box: Box, cutoff: float, keys=("frame",), a
     neighbours. The cutoff must not exceed half the least face distance of a periodic box.
     """
     keys, grid = list(keys), _grid(box, cutoff)
-    offsets = _offsets(grid)
-    half = all(n is None or n >= 3 for n in grid)
-    if half:  # of an offset and its opposite, the later one is enough
-        wrapped = lambda o: tuple((-v) % n if n else -v for v, n in zip(o, grid, strict=True))
-        offsets = [o for o in offsets if o >= wrapped(o)]
+    # of an offset and its opposite the later one is enough; one that is its own opposite meets a pair from either end
+    offsets = [o for o in _offsets(grid) if o >= _opposite(o, grid)]
     left = _around(_placed(atoms, box, cutoff, grid, keys, atom, carry, "i"), offsets, grid)
     right = _placed(atoms, box, cutoff, grid, keys, atom, carry, "j")
-    joined = left.join(right, [*keys, "_cx", "_cy", "_cz"])
-    if half:
-        joined = joined.where(F.col("_far") | (F.col("i") < F.col("j")))
-        near = _measured(joined, box, cutoff)
-        swap = F.col("i") > F.col("j")
-        flip = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-        sign = F.when(swap, -1.0).otherwise(1.0)
-        pairs = [(f"{c}_i", f"{c}_j") for c in carry]
-        return near.select(
-            *keys, flip("i", "j").alias("i"), flip("j", "i").alias("j"), (F.col("dx") * sign).alias("dx"), (F.col("dy") * sign).alias("dy"), (F.col("dz") * sign).alias("dz"), "dist",
-            *[flip(a, b).alias(a) for a, b in pairs], *[flip(b, a).alias(b) for a, b in pairs],
-        )
-    near = _measured(joined.where("i < j"), box, cutoff)
-    return near.select(*keys, "i", "j", "dx", "dy", "dz", "dist", *[f"{c}_{s}" for s in "ij" for c in carry])
+    joined = left.join(right, [*keys, "_cx", "_cy", "_cz"]).where(F.col("_far") | (F.col("i") < F.col("j")))
+    near = _measured(joined, box, cutoff)
+    swap = F.col("i") > F.col("j")
+    flip = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    sign = F.when(swap, -1.0).otherwise(1.0)
+    pairs = [(f"{c}_i", f"{c}_j") for c in carry]
+    return near.select(
+        *keys, flip("i", "j").alias("i"), flip("j", "i").alias("j"), (F.col("dx") * sign).alias("dx"), (F.col("dy") * sign).alias("dy"), (F.col("dz") * sign).alias("dz"), "dist",
+        *[flip(a, b).alias(a) for a, b in pairs], *[flip(b, a).alias(b) for a, b in pairs],
+    )
 
 
 def cross_pairs(points: DataFrame, others: DataFrame, box: Box, cutoff: float, keys=("frame",), atom: str = "atom", carry=()) -> DataFrame:

@@ -33,19 +33,26 @@ def cluster_sizes(members: DataFrame, min_size: int = 1) -> DataFrame:
 
 def moments(rows: DataFrame, by, mass: Column | None = None) -> DataFrame:
     """(by, n, mass, cx.., mx.., gxx..gzz, ixx..izz, rg) of each group: geometric centre, centre
-    of mass, gyration tensor about the first, inertia tensor and radius about the second, all
-    from one aggregate of raw coordinates."""
-    m = F.lit(1.0) if mass is None else mass
+    of mass, gyration tensor about the first, inertia tensor and radius about the second. Without
+    masses one aggregate gives all; with masses a first one gives a point to sum about."""
     xyz = ("x", "y", "z")
     cells = [(a, b) for i, a in enumerate(xyz) for b in xyz[i:]]
-    sums = rows.withColumn("_m", m).groupBy(*by).agg(
+    held = rows.withColumn("_m", F.lit(1.0) if mass is None else mass)
+    about = {c: F.col(c) for c in xyz}
+    if mass is not None:  # sums about a point of the group: far from the origin raw ones would cancel
+        by = list(by)
+        first = held.groupBy(*by).agg(*[F.avg(c).alias(f"_o{c}") for c in xyz])
+        held = held.join(first, by)
+        about = {c: F.col(c) - F.col(f"_o{c}") for c in xyz}
+    sums = held.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("_m").alias("mass"),
         *[F.avg(c).alias(f"c{c}") for c in xyz], *[(F.sum(F.col("_m") * F.col(c)) / F.sum("_m")).alias(f"m{c}") for c in xyz],
-        *[F.avg(F.col(a) * F.col(b)).alias(f"_g{a}{b}") for a, b in cells], *[(F.sum(F.col("_m") * F.col(a) * F.col(b))).alias(f"_i{a}{b}") for a, b in cells],
+        *[F.covar_pop(a, b).alias(f"_g{a}{b}") for a, b in cells],
+        *([] if mass is None else [(F.sum(F.col("_m") * about[a] * about[b]) - F.sum(F.col("_m") * about[a]) * F.sum(F.col("_m") * about[b]) / F.sum("_m")).alias(f"_i{a}{b}") for a, b in cells]),
     )
-    second = {f"{a}{b}": F.col(f"_i{a}{b}") - F.col("mass") * F.col(f"m{a}") * F.col(f"m{b}") for a, b in cells}
+    out = {f"g{a}{b}": F.col(f"_g{a}{b}") for a, b in cells}
+    second = {f"{a}{b}": F.col("n") * F.col(f"_g{a}{b}") if mass is None else F.col(f"_i{a}{b}") for a, b in cells}
     trace = second["xx"] + second["yy"] + second["zz"]
-    out = {f"g{a}{b}": F.col(f"_g{a}{b}") - F.col(f"c{a}") * F.col(f"c{b}") for a, b in cells}
     out |= {f"i{a}{b}": (trace - second[f"{a}{b}"]) if a == b else -second[f"{a}{b}"] for a, b in cells}
     out["rg"] = F.sqrt(F.greatest(trace, F.lit(0.0)) / F.col("mass"))
     return sums.withColumns(out).drop(*[f"_{k}{a}{b}" for k in "gi" for a, b in cells])

@@ -1,6 +1,7 @@
 """Operators on inputs whose results are known in closed form."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,30 @@ def test_debye_fit_of_a_debye_spectrum(spark):
     omega, tau, step = F.col("omega"), 8.5, 70.0
     rows = spark.range(1, 400).select((F.col("id") * 0.001).alias("omega")).select("omega", (2 + step / (1 + (omega * tau) ** 2)).alias("eps_real"), (step * omega * tau / (1 + (omega * tau) ** 2)).alias("eps_imag"))
     assert signal.fit_debye(rows, 2.0).first().tau == pytest.approx(tau)
+
+
+def test_triplets_of_every_form():
+    r, t = generators.parse_triplet("-y+1/2, 2x - z, z + .25" .replace(".25", "0.25"))
+    assert r.tolist() == [[0, -1, 0], [2, 0, -1], [0, 0, 1]] and [float(v) for v in t] == [0.5, 0.0, 0.25]
+    for bad in ("x,y", "x,y,z,x", "x,,z", "x,y,w", "x,y,z/"):
+        with pytest.raises(ValueError):
+            generators.parse_triplet(bad)
+
+
+def test_moments_far_from_the_origin(spark):
+    rows = spark.range(50).select(F.lit(0).alias("g"), *[(F.lit(1e7) + F.col("id") * k / 8).alias(c) for k, c in enumerate("xyz", 1)])
+    near = rows.select("g", *[(F.col(c) - 1e7).alias(c) for c in "xyz"])
+    for mass in (None, F.lit(2.0) + F.col("x") - F.col("x")):
+        far, close = (shape.moments(df, ["g"], mass).first() for df in (rows, near))
+        assert (far.gxx, far.ixy, far.rg) == pytest.approx((close.gxx, close.ixy, close.rg), rel=1e-6)
+
+
+@pytest.mark.parametrize("lengths", [(9.0, 5.0, 4.2), (4.1, 4.1, 4.1), (30.0, 4.5, 9.0)])
+def test_pairs_of_thin_boxes_against_all_pairs(spark, lengths):
+    """Axes of one, two and more cells."""
+    rng = random.Random(str(lengths))
+    points = [tuple(rng.random() * n for n in lengths) for _ in range(60)]
+    df = spark.createDataFrame([(0, i, *p) for i, p in enumerate(points)], "frame int, atom long, x double, y double, z double")
+    gap = lambda a, b: math.sqrt(sum((d - n * round(d / n)) ** 2 for d, n in ((q - p, n) for p, q, n in zip(a, b, lengths))))
+    want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if gap(points[i], points[j]) <= 2.0)
+    assert sorted((r.i, r.j) for r in neighbors.neighbor_pairs(df, Box.orthogonal(*lengths), 2.0).collect()) == want
