@@ -115,3 +115,58 @@ def merge_pair_parameters(atom_types: DataFrame, pair_types: DataFrame) -> DataF
     own = set(atom_types.columns)
     extra = pair_types.select(*[c for c in pair_types.columns if c == "type" or c not in own and c != "id"]).dropDuplicates(["type"])
     return atom_types.join(extra, "type", "left")
+
+
+def fourier_torsion(phi: Column, terms: list[tuple[Column, int, Column]]) -> Column:
+    """Sum of k (1 + cos(n phi - phase)) over terms of (k, n, phase)."""
+    return sum((k * (1 + F.cos(n * phi - phase)) for k, n, phase in terms), F.lit(0.0))
+
+
+def charmm_torsion(phi: Column, k: Column, n: Column, phase: Column) -> Column:
+    return k * (1 + F.cos(n * phi - phase))
+
+
+def cvff_improper(phi: Column, k: Column, sign: Column, n: Column) -> Column:
+    """k (1 + d cos(n phi)), d either 1 or -1."""
+    return k * (1 + sign * F.cos(n * phi))
+
+
+def class2_bond_bond(r1: Column, r2: Column, m: Column, a: Column, b: Column) -> Column:
+    """Cross term of two bonds of an angle."""
+    return m * (r1 - a) * (r2 - b)
+
+
+def class2_bond_angle(r1: Column, r2: Column, theta: Column, n1: Column, n2: Column, a: Column, b: Column, theta0: Column) -> Column:
+    """Cross terms of an angle with each of its bonds."""
+    return (n1 * (r1 - a) + n2 * (r2 - b)) * (theta - theta0)
+
+
+def damped_coulomb(r: Column, qi: Column, qj: Column, damping: Column, constant: float = 332.06371) -> Column:
+    """Coulomb's energy times a damping factor, Thole's or Tang and Toennies' for example."""
+    return coulomb(r, qi, qj, constant) * damping
+
+
+def scale_lj(pair_types: DataFrame, fragments: DataFrame, factors: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """Pair types (i, j, epsilon, sigma) with epsilon times the factor of the fragments of i and
+    j; ``fragments``: (type, fragment), ``factors``: (fragment_i, fragment_j, k) in either order. Types of
+    no fragment and pairs without a factor stay. ``sigma`` scales that of pairs with one."""
+    own = fragments.select("type", "fragment").dropDuplicates(["type"])
+    low, high = F.least("fragment_i", "fragment_j"), F.greatest("fragment_i", "fragment_j")
+    known = factors.groupBy(low.alias("_a"), high.alias("_b")).agg(F.min("k").alias("_k"))
+    rows = pair_types.join(own.withColumnsRenamed({"type": "i", "fragment": "_p"}), "i", "left").join(own.withColumnsRenamed({"type": "j", "fragment": "_q"}), "j", "left")
+    met = rows.join(known, (F.least("_p", "_q") == F.col("_a")) & (F.greatest("_p", "_q") == F.col("_b")) & F.col("_p").isNotNull() & F.col("_q").isNotNull(), "left")
+    scaled = {"epsilon": F.col("epsilon") * F.coalesce("_k", F.lit(1.0)), "sigma": F.col("sigma") * F.when(F.col("_k").isNotNull(), sigma).otherwise(1.0)}
+    return met.withColumns(scaled).select(pair_types.columns)
+
+
+def write_onto(rows: DataFrame, match: DataFrame, key: str = "atom") -> DataFrame:
+    """Rows with the annotations of a match of (key, names...), which win over columns of the
+    rows where they are not null. A match without some of the rows is an error when the result
+    is read: it is of another graph."""
+    names = [c for c in match.columns if c != key]
+    other = match.select(F.col(key), F.lit(True).alias("_met"), *[F.col(c).alias(f"_m_{c}") for c in names])
+    joined = rows.join(other, key, "left")
+    sure = F.coalesce(F.col("_met"), F.raise_error(F.lit("a match does not cover the graph")).cast("boolean"))
+    old = lambda c: [F.col(c)] if c in rows.columns else []
+    kept = joined.where(sure).withColumns({c: F.coalesce(F.col(f"_m_{c}"), *old(c)) for c in names})
+    return kept.select(*rows.columns, *[c for c in names if c not in rows.columns])

@@ -135,6 +135,25 @@ def alternating_sequence(units: list[str], n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(F.array(*map(F.lit, units)), (i % len(units) + 1).cast("int")))
 
 
+def weighted_sequence(units: dict[str, float], n: Column, key: Column, seed: int = 0) -> Column:
+    """``n`` units drawn by weight, each by a hash of seed, ``key`` (the chain) and place, so that
+    a task that runs again draws the same."""
+    total, edges, at = sum(units.values()), [], 0.0
+    for w in units.values():
+        at += w / total
+        edges.append(at)
+
+    def drawn(i: Column) -> Column:
+        u = F.xxhash64(F.lit(seed), key, i).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+        names = list(units)
+        out = F.lit(names[-1])
+        for name, edge in reversed(list(zip(names[:-1], edges[:-1], strict=True))):
+            out = F.when(u < edge, name).otherwise(out)
+        return out
+
+    return F.transform(F.sequence(F.lit(0), n - 1), drawn)
+
+
 def block_sequence(fractions: dict[str, float], n: int) -> list[tuple[str, int]]:
     """Units of each block of n, by largest remainder."""
     total = sum(fractions.values())

@@ -49,3 +49,9 @@ def zip_frames(*tables: DataFrame, frame: str = "frame") -> DataFrame:
     for t in tables[1:]:
         out = out.join(t, frame)
     return out
+
+
+def map_frames(df: DataFrame, step, schema: str, keys=("frame",)) -> DataFrame:
+    """``step`` on each frame's rows as a pandas frame, in the order of the frames' own tasks: for
+    what Columns can't say. A frame is one group, so it must fit in a task."""
+    return df.groupBy(*keys).applyInPandas(step, schema)
