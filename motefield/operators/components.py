@@ -30,6 +30,13 @@ def _small_star(down: DataFrame, held: list[DataFrame]) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour and that one none: then it is the least of all
+    that edges connect, and another round would change nothing."""
+    n, different = edges.agg(F.count("*"), F.countDistinct("u")).first()
+    return n == different and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component) of every node that an edge names; component: the least node reachable.
 
@@ -38,18 +45,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     """
     named = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     given = materialize(named.select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "edges")
-    now, state = given.where("u <> v"), None
-    for _ in range(rounds):
-        held: list[DataFrame] = [] if now is None or state is None else [now]
+    now = given.where("u <> v")
+    for turn in range(rounds):
+        held: list[DataFrame] = [now] if turn else []
         down = materialize(_large_star(now, held), "down")
-        after = materialize(_small_star(down, held).distinct(), "star")
+        now = materialize(_small_star(down, held).distinct(), "star")
         for old in (*held, down):
             forget(old)
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        now = after
-        if mark == state:
+        if _are_stars(now):
             break
-        state = mark
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = now.select(F.col("v").alias("u"), "v")

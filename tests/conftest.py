@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from motefield.storage import temporary
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,5 +16,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    with temporary(session):
+        yield session
     session.stop()

@@ -119,3 +119,22 @@ def test_pairs_of_thin_boxes_against_all_pairs(spark, lengths):
     gap = lambda a, b: math.sqrt(sum((d - n * round(d / n)) ** 2 for d, n in ((q - p, n) for p, q, n in zip(a, b, lengths))))
     want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if gap(points[i], points[j]) <= 2.0)
     assert sorted((r.i, r.j) for r in neighbors.neighbor_pairs(df, Box.orthogonal(*lengths), 2.0).collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "hub", "pairs"])
+def test_components_against_union_find(spark, kind):
+    rng = random.Random(kind)
+    edges = {
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 7), (900, 900), (None, 3)],
+        "chain": [(i, i + 1) for i in rng.sample(range(300), 300)],
+        "hub": [(5_000, i) for i in range(500)] + [(6_000, 5_000), (6_000, 9_000)],
+        "pairs": [(2 * i, 2 * i + 1) for i in range(50)] * 2,
+    }[kind]
+    root = {}
+    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
+    for a, b in edges:
+        if a is not None:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    assert {(r.node, r.component) for r in components.connected_components(df).collect()} == {(i, find(i)) for i in list(root)}
