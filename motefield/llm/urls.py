@@ -36,8 +36,8 @@ def path_of(url: Column) -> Column:
 
 
 def expression_digest(host: Column, path: Column) -> Column:
-    """SHA-256 of an expression; a line feed cannot occur in a host and so divides the two."""
-    return F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256)
+    """SHA-256 of an expression, led by the host's length so that the two parts can't be mistaken."""
+    return F.sha2(F.concat(F.length(host).cast("string"), F.lit("\n"), host, path).cast("binary"), 256)
 
 
 def short_prefix(digest: Column) -> Column:
