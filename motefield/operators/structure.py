@@ -272,9 +272,16 @@ def structure_factor(atoms: DataFrame, k_values: list[float], block: int = 256)
     return parts.groupBy("frame", "k").agg(F.sum("part").alias("s")).join(sizes, "frame").select("frame", "k", (F.col("s") / F.col("n")).alias("s"))
 
 
-def spatial_distribution(atoms: DataFrame, reference: list[int], template, target: list[int], box: Box, n: int, extent: float) -> DataFrame:
-    """(bx, by, bz, count) of target atoms in the body frame of a molecule: the reference atoms
-    of a frame (a fixed few) are fitted to the template, targets are turned and binned."""
+def spatial_distribution(atoms: DataFrame, reference: list[int], template, target: list[int], box: Box, n, extent, bulk_density: float | None = None, orientations: DataFrame | None = None) -> DataFrame:
+    """(bx, by, bz, count, density) of target atoms in the body frame of a molecule: the
+    reference atoms of a frame (a fixed few) are fitted to the template, targets are turned and
+    binned; ``n`` and ``extent`` are numbers or one for each axis. Density is by volume and
+    frame. With ``bulk_density`` also ``g_sdf``, the density over it; with ``orientations``
+    (frame, atom, tail), the tail of the vector that an atom heads, also ``ux``, ``uy``, ``uz``,
+    the mean unit vector of a voxel in the body frame. Target atoms are none of the reference."""
+    if set(reference) & set(target):
+        raise ValueError("a target atom is one of the reference")
+    n, extent = ([v] * 3 if isinstance(v, int | float) else list(v) for v in (n, extent))
     fixed = np.array(template, dtype=float)
     fixed = fixed - fixed.mean(axis=0)
     order = {a: k for k, a in enumerate(reference)}
@@ -293,5 +300,22 @@ def spatial_distribution(atoms: DataFrame, reference: list[int], template, targe
     frames = atoms.where(F.col("atom").isin(reference)).groupBy("frame").applyInPandas(fit, schema)
     rows = atoms.where(F.col("atom").isin(target)).join(frames, "frame")
     d = box.minimum_image(tuple(F.col(c) - F.col(f"o{c}") for c in "xyz"))
-    turned = [d[0] * F.col(f"r{3 * k}") + d[1] * F.col(f"r{3 * k + 1}") + d[2] * F.col(f"r{3 * k + 2}") for k in range(3)]
-    return histogram_nd(rows, [(a, t, n, -extent, extent) for a, t in zip(("bx", "by", "bz"), turned, strict=True)])
+    turn = lambda v: [v[0] * F.col(f"r{3 * k}") + v[1] * F.col(f"r{3 * k + 1}") + v[2] * F.col(f"r{3 * k + 2}") for k in range(3)]
+    places = rows.withColumns({f"_t{c}": t for c, t in zip("xyz", turn(d), strict=True)})
+    axes = [(f"b{c}", F.col(f"_t{c}"), m, -e, e) for c, m, e in zip("xyz", n, extent, strict=True)]
+    voxel = math.prod(2 * e / m for m, e in zip(n, extent, strict=True))
+    seen = frames.agg(F.count("*").alias("_n"))  # one row
+    density = F.when(F.col("_n") > 0, F.col("count") / (F.col("_n") * voxel)).otherwise(0.0)
+    cells = histogram_nd(places, axes).join(F.broadcast(seen), F.lit(True)).withColumn("density", density).drop("_n")
+    if bulk_density is not None:
+        cells = cells.withColumn("g_sdf", F.col("density") / bulk_density)
+    if orientations is not None:
+        tails = atoms.select("frame", F.col("atom").alias("tail"), *[F.col(c).alias(f"_e{c}") for c in "xyz"])
+        ways = places.join(orientations.select("frame", "atom", "tail"), ["frame", "atom"]).join(tails, ["frame", "tail"])
+        v = box.minimum_image(tuple(F.col(c) - F.col(f"_e{c}") for c in "xyz"))
+        size = F.sqrt(v[0] ** 2 + v[1] ** 2 + v[2] ** 2)
+        unit = ways.withColumns({f"_u{c}": t for c, t in zip("xyz", turn([w / size for w in v]), strict=True)})
+        binned = unit.select(*[bin_of(value, m, low, high).alias(name) for name, value, m, low, high in axes], *[F.col(f"_u{c}").alias(f"u{c}") for c in "xyz"])
+        means = binned.groupBy("bx", "by", "bz").agg(*[F.avg(f"u{c}").alias(f"u{c}") for c in "xyz"])
+        cells = cells.join(means, ["bx", "by", "bz"], "left")
+    return cells

@@ -336,3 +336,53 @@ def chain_distributions(spark, d):
     n = F.col("n")
     rows = spark.range(1, 21).select(F.col("id").alias("n"))
     return rows.select("n", F.round(generators.flory_schulz_pmf(n, 0.9), 8).alias("flory"), F.round(generators.truncated_poisson_pmf(n, 4.0), 8).alias("poisson"), F.element_at(generators.alternating_sequence(["A", "B", "C"], n.cast("int")), -1).alias("unit"))
+
+
+_TENSOR = f"""{V.pairs_sql(1.5)}, {V.WAYS}, q AS MATERIALIZED (SELECT frame, i, avg(1.5 * dx * dx / (dist * dist) - 0.5) AS a, avg(1.5 * dy * dy / (dist * dist) - 0.5) AS b, avg(1.5 * dz * dz / (dist * dist) - 0.5) AS c,
+ avg(1.5 * dx * dy / (dist * dist)) AS d, avg(1.5 * dx * dz / (dist * dist)) AS e, avg(1.5 * dy * dz / (dist * dist)) AS f FROM ways WHERE dist > 0 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_TENSOR}, m AS (SELECT * FROM q UNION ALL SELECT w.frame, w.i, q.a, q.b, q.c, q.d, q.e, q.f FROM ways w JOIN q ON q.frame = w.frame AND q.i = w.j WHERE w.dist > 0),
+t AS (SELECT frame, i, avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(d) AS d, avg(e) AS e, avg(f) AS f FROM m GROUP BY 1, 2)
+SELECT frame, i AS atom, round(sqrt((a * a + b * b + c * c + 2 * (d * d + e * e + f * f)) / 1.5), 5) AS q FROM t""")
+def steinhardt_average(spark, d):
+    """Degree two: harmonics averaged over neighbours are the mean of neighbours' tensors."""
+    pairs = neighbors.neighbor_pairs(V.pts(spark, d), V.BOX, 1.5)
+    return structure.steinhardt(pairs, 2, average=True).select("frame", "atom", _r("q", 5))
+
+
+@query(f"""WITH {V.pairs_sql(2.1)}, {V.WAYS}, r AS (SELECT cos(i * 0.37) * dx + sin(i * 0.37) * dy AS x, cos(i * 0.37) * dy - sin(i * 0.37) * dx AS y FROM ways WHERE dist > 0),
+b AS (SELECT CAST(floor((x + 1.9) / 0.76) AS INTEGER) AS bx, CAST(floor((y + 1.9) / 0.76) AS INTEGER) AS by_ FROM r WHERE abs(x) < 1.9 AND abs(y) < 1.9)
+SELECT CAST(p.range AS INTEGER) AS bx, CAST(q.range AS INTEGER) AS "by", count(b.bx) AS count FROM range(5) p CROSS JOIN range(5) q LEFT JOIN b ON b.bx = p.range AND b.by_ = q.range GROUP BY 1, 2""")
+def pmft_turned(spark, d):
+    p = V.pts(spark, d)
+    turned = p.select("frame", "atom", (F.col("atom") * 0.37).alias("angle"))
+    return structure.pmft_xy(neighbors.neighbor_pairs(p, V.BOX, 2.1), 1.9, 1.9, 5, 5, turned).select("bx", "by", "count")
+
+
+@query(f"""WITH {V.PTS}, m AS (SELECT t.frame, t.x - r.x AS dx, t.y - r.y AS dy, t.z - r.z AS dz FROM pts t JOIN pts r ON r.frame = t.frame AND r.atom = 0 WHERE t.atom BETWEEN 1 AND 60),
+w AS (SELECT dx - 50 * round_even(dx / 50, 0) AS x, dy - 11 * round_even(dy / 11, 0) AS y, dz - 9 * round_even(dz / 9, 0) AS z FROM m),
+b AS (SELECT CAST(floor((x + 12.3) / 8.2) AS INTEGER) AS bx, CAST(floor((y + 5.7) / 3.8) AS INTEGER) AS by_, CAST(floor((z + 4.7) / 4.7) AS INTEGER) AS bz FROM w WHERE abs(x) < 12.3 AND abs(y) < 5.7 AND abs(z) < 4.7)
+SELECT CAST(p.range AS INTEGER) AS bx, CAST(q.range AS INTEGER) AS "by", CAST(r.range AS INTEGER) AS bz, count(b.bx) AS count, round(count(b.bx) / ((SELECT count(DISTINCT frame) FROM pts) * 8.2 * 3.8 * 4.7), 8) AS density, round(count(b.bx) / ((SELECT count(DISTINCT frame) FROM pts) * 8.2 * 3.8 * 4.7) / 0.12, 6) AS g_sdf
+FROM range(3) p CROSS JOIN range(3) q CROSS JOIN range(2) r LEFT JOIN b ON b.bx = p.range AND b.by_ = q.range AND b.bz = r.range GROUP BY 1, 2, 3""")
+def spatial_distribution(spark, d):
+    """One reference atom has no direction: the body frame is the box's, about that atom."""
+    found = structure.spatial_distribution(V.pts(spark, d), [0], [[0.0, 0.0, 0.0]], list(range(1, 61)), V.BOX, (3, 3, 2), (12.3, 5.7, 4.7), 0.12)
+    return found.select("bx", "by", "bz", "count", _r("density", 8), _r("g_sdf"))
+
+
+@query(f"""WITH {V.WALKS}, k AS (SELECT particle, frame FROM (SELECT particle, frame, d, max(CASE WHEN d < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY particle, island ORDER BY frame) AS formed FROM (SELECT particle, frame, d, sum(cut) OVER (PARTITION BY particle ORDER BY frame) AS island
+ FROM (SELECT particle, frame, abs(v) AS d, CASE WHEN abs(v) > 60 OR lag(frame) OVER w IS NULL OR frame - lag(frame) OVER w > 1 THEN 1 ELSE 0 END AS cut FROM walks WINDOW w AS (PARTITION BY particle ORDER BY frame)))) WHERE formed = 1 AND d <= 60),
+s AS (SELECT l.range AS lag, count(*) AS n FROM k a CROSS JOIN range(7) l JOIN k b ON a.particle = b.particle AND b.frame = a.frame + l.range GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS lag, round(coalesce(n, 0) / (p.i * (p.f - r.range)), 6) AS c FROM range(7) r CROSS JOIN (SELECT count(DISTINCT particle) AS i, count(DISTINCT frame) AS f FROM walks) p LEFT JOIN s ON s.lag = r.range""")
+def pair_survival_intermittent(spark, d):
+    dist = V.walks(spark, d).select(F.col("particle").alias("i"), F.lit(0).alias("j"), "frame", F.abs("v").alias("dist"))
+    return dynamics.pair_survival(dist, None, None, 20.0, 60.0, 6, continuous=False).select("lag", _r("c"))
+
+
+@query(f"""WITH {V.PTS}, p AS (SELECT atom AS particle, frame, x, y, z FROM pts WHERE atom < 80 AND frame <= 30), m AS (SELECT l.lag, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a CROSS JOIN (SELECT unnest([1, 3]) AS lag) l JOIN p b ON b.frame = a.frame + l.lag AND b.particle <> a.particle),
+r AS (SELECT lag, sqrt(pow(dx - 50 * round_even(dx / 50, 0), 2) + pow(dy - 11 * round_even(dy / 11, 0), 2) + pow(dz - 9 * round_even(dz / 9, 0), 2)) AS r FROM m)
+SELECT lag, CAST(floor(r / (4.4 / 7)) AS INTEGER) AS bin, count(*) AS count FROM r WHERE r < 4.4 GROUP BY 1, 2""")
+def van_hove_distinct(spark, d):
+    p = V.pts(spark, d).where("atom < 80 and frame <= 30").select(F.col("atom").alias("particle"), "frame", "x", "y", "z")
+    return dynamics.van_hove_distinct(p, V.BOX, 7, 4.4, [1, 3]).select("lag", "bin", "count")

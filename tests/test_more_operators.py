@@ -151,3 +151,23 @@ def test_workflow(spark):
         Workflow().add("a", lambda x: x, {"x": "b"}).add("b", lambda x: x, {"x": "a"})
     with pytest.raises(KeyError):
         w.run()
+
+
+def test_spatial_distribution_in_the_body_frame(spark):
+    """A molecule that turns and drifts keeps its neighbour, and the neighbour's direction, in one voxel."""
+    template = np.array([[1.0, 0, 0], [-0.5, 0.8, 0], [-0.5, -0.8, 0.3]])
+    head, tail = np.array([1.2, 1.3, 0.7]), np.array([1.2, 0.3, 0.7])
+    rows = []
+    for f in range(5):
+        q, _ = np.linalg.qr(np.random.default_rng(f).standard_normal((3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        for a, p in enumerate([*(template - template.mean(axis=0)), head, tail]):
+            rows.append((f, a, *map(float, q @ p + 3.0 * f)))
+    atoms = spark.createDataFrame(rows, "frame int, atom long, x double, y double, z double")
+    ways = spark.createDataFrame([(f, 3, 4) for f in range(5)], "frame int, atom long, tail long")
+    cells = structure.spatial_distribution(atoms, [0, 1, 2], template, [3], Box.cubic(50.0), (4, 4, 4), (2.0, 2.0, 2.0), 0.5, ways)
+    (row,) = cells.where("count > 0").collect()
+    assert (row.bx, row.by, row.bz, row["count"]) == (3, 3, 2, 5) and (row.density, row.g_sdf) == pytest.approx((1.0, 2.0))
+    assert (row.ux, row.uy, row.uz) == pytest.approx((0.0, 1.0, 0.0), abs=1e-9)
+    with pytest.raises(ValueError):
+        structure.spatial_distribution(atoms, [0, 1], template[:2], [1], Box.cubic(50.0), 4, 2.0)
