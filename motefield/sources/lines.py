@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from motefield.storage import materialize
 
 
-def numbered_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, at, value): ``at`` sorts the lines of a file. Carriage returns are dropped."""
-    raw = spark.read.text(path).select(
+def numbered_lines(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
+    """(file, at, value): ``at`` sorts the lines of a file, or what stands between separators.
+    Carriage returns are dropped."""
+    raw = (spark.read.text(path) if separator is None else spark.read.text(path, lineSep=separator)).select(
         F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).alias("at"),
         F.regexp_replace("value", "\r$", "").alias("value"),
     )

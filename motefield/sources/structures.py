@@ -1,18 +1,17 @@
 """Text formats of structures and trajectories as DataFrames of atoms.
 
-Where a format names its frames, they are Spark's records (``lineSep``), and XYZ frames are
-told by the numbers of their lines, so that one large file is read by many tasks; PDB, GRO, MOL2
-and XSF, formats of single structures, are read a file to a record. Parsing is Column
+Where a format names its frames, they are Spark's records (``lineSep``), and XYZ frames are told
+by the numbers of their lines, so that one large file is read by many tasks. GRO, MOL2 and XSF, formats of single structures, are read a file to a record. Parsing is Column
 expressions: split lines, fixed-width substrings, casts. A field that is no number becomes
 null. Lengths are in Angstrom.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motefield.sources.lines import ranked_lines
+from motefield.sources.lines import numbered_lines, ranked_lines
 from motefield.sources.writers import write_xyz as write_xyz
 
 NM = 10.0
@@ -60,8 +59,11 @@ def read_lammps_dump(spark: SparkSession, path, columns: list[str] | None = None
 def read_pdb(spark: SparkSession, path, models: bool = False) -> DataFrame:
     """(file, model, id, name, res_name, chain, res_id, x, y, z, element) of atom records: of the
     first model, or with ``models`` of all."""
-    parts = _files(spark, path).select("file", F.posexplode(F.split("value", r"\nENDMDL")).alias("model", "part"))
-    lines = parts.where(F.lit(True) if models else F.col("model") == 0).select("file", "model", F.explode(F.split("part", "\n")).alias("v"))
+    records = numbered_lines(spark, path, "ENDMDL")
+    # places alone are ranked, a row for each model
+    ranks = records.select("file", "at").withColumn("model", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
+    held = records.join(ranks if models else ranks.where("model = 0"), ["file", "at"])
+    lines = held.select("file", "model", F.explode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("v"))
     atoms = lines.where(F.col("v").startswith("ATOM  ") | F.col("v").startswith("HETATM"))
     v = F.col("v")
     return atoms.select(
@@ -72,7 +74,7 @@ def read_pdb(spark: SparkSession, path, models: bool = False) -> DataFrame:
 
 def read_pdb_bonds(spark: SparkSession, path) -> DataFrame:
     """(file, atomi, atomj) of CONECT records, each undirected pair once."""
-    lines = _files(spark, path).select("file", F.explode(F.split("value", "\n")).alias("v")).where(F.col("v").startswith("CONECT"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("v")).where(F.col("v").startswith("CONECT"))
     v = F.col("v")
     ends = F.filter(F.array(*[_number(_field(v, 12 + 5 * k, 5), "long") for k in range(4)]), lambda e: e.isNotNull())
     pairs = lines.select("file", _number(_field(v, 7, 5), "long").alias("a"), F.explode(ends).alias("b"))
