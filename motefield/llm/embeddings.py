@@ -15,7 +15,8 @@ within the group reach. Pairs themselves are never emitted. A pair that meets in
 buckets counts in the first that it shares.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
-nor do vectors of different lengths with each other. Equal vectors are compared once and
+nor do vectors of different lengths with each other. Rows of null id link with nothing either:
+their component is null and they are kept. Equal vectors are compared once and
 count as linked copies. A row repeated with id and vector counts once; an empty table gives
 none; other columns are not carried.
 """
@@ -176,7 +177,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     value = F.col(vector).cast("array<double>")
     good = F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)
     given = rows.select(F.col(key).cast("long").alias("id"), value.alias("v"))
-    sound = given.where(good).select("id", F.col("v").alias("vector"), F.transform("v", lambda x: x + F.lit(0.0)).alias("w"))
+    sound = given.where(good & F.col("id").isNotNull()).select("id", F.col("v").alias("vector"), F.transform("v", lambda x: x + F.lit(0.0)).alias("w"))
     keyed = sound.select("id", "vector", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(3), "w").alias("h2"))
     keyed = materialize(keyed, "vectors")
     groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
@@ -200,5 +201,5 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         members.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    alone = given.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    alone = given.where(~F.coalesce(good, F.lit(False)) | F.col("id").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.union(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

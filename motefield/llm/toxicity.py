@@ -239,8 +239,8 @@ def train(tokens: Tokens, labels: np.ndarray, rounds: int = 120, rate: float = 0
 
 
 def held_out(key: Column) -> Column:
-    """Whether crc32 of the id as text leaves 2 when divided by 4."""
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text leaves 2 when divided by 4; not so for a null id."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:

@@ -87,6 +87,8 @@ def test_empty_and_repeated(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     rows = embeddings.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], schema)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [(1, 1, 1), (2, 1, 1)]
+    rows = embeddings.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (None, None), (3, [1.0, 0.0])], schema)).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in rows) == [("3", 0, 3, True), ("None", 0, None, True), ("None", 0, None, True)]
 
 
 def test_plan_widens_with_the_table():
