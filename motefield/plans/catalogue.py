@@ -51,10 +51,10 @@ def rdf(spark, d):
     return structure.rdf(neighbors.neighbor_pairs(p, V.BOX, 4.4), p, V.BOX, 41, 4.4).select("bin", _r("r"), "n_r", _r("rdf"))
 
 
-@query(f"WITH {V.pairs_sql(4.4)}, {_RDF % ''} SELECT bin, round(sum(r * r * rdf * {4 * math.pi!r} * rho * (4.4 / 41)) OVER (ORDER BY bin), 4) AS n FROM g CROSS JOIN (SELECT sum(n * n) / sum(n) / 4950.0 AS rho FROM (SELECT count(*) AS n FROM pts GROUP BY frame))")
+@query(f"WITH {V.pairs_sql(4.4)}, {_RDF % ''} SELECT bin, round(sum(r * r * rdf * {4 * math.pi!r} * rho * (4.4 / 41)) OVER (ORDER BY bin), 6) AS n FROM g CROSS JOIN (SELECT sum(n * n) / sum(n) / 4950.0 AS rho FROM (SELECT count(*) AS n FROM pts GROUP BY frame))")
 def coordination_number(spark, d):
     p = V.pts(spark, d)
-    return structure.coordination(structure.rdf(neighbors.neighbor_pairs(p, V.BOX, 4.4), p, V.BOX, 41, 4.4), structure.density_around(p, V.BOX)).select("bin", _r("n", 4))
+    return structure.coordination(structure.rdf(neighbors.neighbor_pairs(p, V.BOX, 4.4), p, V.BOX, 41, 4.4), structure.density_around(p, V.BOX)).select("bin", _r("n"))
 
 
 _PARTIAL = "AND type_i = 'N' AND type_j = 'N'"
