@@ -40,6 +40,8 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Fixed value: the white space of that pattern. A run of so many is one pre-token, but for its
 #: last character before other text; it is encoded apart, as the pattern matcher keeps a state
 #: for each character of a run and gives up at about a million.
+#: Texts of at most ``WIDE`` characters can hold no run that long and are not searched for one.
+WIDE = 500_000
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -59,8 +61,10 @@ def byte_vocabulary(path: str) -> tiktoken.Encoding:
     return _LOADED[path]
 
 
-def encode(vocab: tiktoken.Encoding, text: str) -> np.ndarray:
+def encode(vocab: tiktoken.Encoding, text: str, wide: int = WIDE) -> np.ndarray:
     """Ids of a whole text, special tokens in it included."""
+    if len(text) <= wide:
+        return vocab.encode_to_numpy(text, allowed_special="all").astype("<u4")
     parts, at = [], 0
     for run in LONG_SPACE.finditer(text):
         # the last character belongs to what follows, unless the text or its special token does
