@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, substrings, toolcalls, toxicity, urls
+from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, pieces, substrings, toolcalls, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,6 +178,10 @@ FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 """
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embeddings": op1_embeddings,
     "op2_matroska": op2_matroska,
@@ -189,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_substrings": op10_substrings,
+    "op13_pieces": op13_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_toolcalls": OP5_SQL, "op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL}
