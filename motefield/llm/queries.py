@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, pieces, substrings, toolcalls, toxicity, urls
+from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, pieces, runs, substrings, toolcalls, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,6 +178,66 @@ FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 """
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of documents whose number's CRC-32 ends in 0, the words from a place on repeat a period of them."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = docs.select("doc_id", "text", (crc % 10 == 0).alias("chosen"), F.floor(crc / 10).alias("g"))
+    at = at.select("doc_id", "text", "g", F.when(F.col("chosen"), words).alias("w"))
+    at = at.select("doc_id", "text", "g", "w", F.size("w").alias("n")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    at = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    moved = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return at.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(planted_repeats(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) AS h
+  FROM documents
+), e AS (
+  SELECT *, CAST(len(ws) AS BIGINT) AS n, h // 10 AS g FROM d
+), f AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e
+), p AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f
+), w AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[1 + a + (i - a) % p] END) END AS ws FROM p
+), s AS (
+  SELECT doc_id, ws, unnest(range(0, n - 15)) AS i FROM w WHERE n >= 24
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 16], ' ')) AS k FROM s
+), m AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i
+), l AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m
+), o AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM l GROUP BY doc_id, q, stretch
+), r AS (
+  SELECT doc_id, start, length, min(q) AS period FROM o WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length
+), b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+         arg_min({'s': start, 'n': length, 'p': period}, {'e': -(length / period), 's': start, 'p': period}) AS best
+  FROM r GROUP BY doc_id
+), x AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), t AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM w
+), c AS (
+  SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept FROM t ANTI JOIN x ON t.doc_id = x.doc_id AND t.i = x.i GROUP BY t.doc_id
+)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.p AS period, 1000 * best.n // best.p AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN b ON w.doc_id = b.doc_id LEFT JOIN c ON w.doc_id = c.doc_id
+"""
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -193,7 +253,8 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_substrings": op10_substrings,
+    "op12_runs": op12_runs,
     "op13_pieces": op13_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_toolcalls": OP5_SQL, "op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_toolcalls": OP5_SQL, "op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL, "op12_runs": OP12_SQL}
