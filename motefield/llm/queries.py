@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm import bpe, embeddings, lines, matroska, minhash, packing, pieces, runs, substrings, toolcalls, toxicity, urls
+from motefield.llm import bpe, divergence, embeddings, lines, matroska, minhash, packing, pieces, runs, substrings, toolcalls, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,6 +178,46 @@ FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 """
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM t GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), o AS (
+  SELECT c.lang, c.source, c.term, c.n FROM c JOIN k ON c.lang = k.lang AND c.term = k.term
+), s AS (
+  SELECT g.lang, g.source, coalesce(sum(o.n), 0)::HUGEINT AS n FROM g LEFT JOIN o ON g.lang = o.lang AND g.source = o.source GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(o.n, 0) AS count, 1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 1) // (s.n + v.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 1)::HUGEINT // (v.n + v.v) AS whole
+  FROM s JOIN k ON s.lang = k.lang JOIN v ON s.lang = v.lang LEFT JOIN o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), q AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), e AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - whole) * (p - whole) // whole AS value FROM p WHERE count > 0 AND p > whole
+), u AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM q UNION ALL SELECT * FROM e)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM u WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def planted_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; of documents whose number's CRC-32 ends in 0, the words from a place on repeat a period of them."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -253,8 +293,9 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_substrings": op10_substrings,
+    "op11_divergence": op11_divergence,
     "op12_runs": op12_runs,
     "op13_pieces": op13_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_toolcalls": OP5_SQL, "op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL, "op12_runs": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_toolcalls": OP5_SQL, "op6_lines": OP6_SQL, "op7_urls": OP7_SQL, "op10_substrings": OP10_SQL, "op11_divergence": OP11_SQL, "op12_runs": OP12_SQL}
