@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motefield.functions.box import Box
+from motefield.storage import materialize
 
 #: Lattice points: x in 1..50, y in 0..10, z in 0..8.
 BOX = Box.orthogonal(50.0, 11.0, 9.0)
@@ -85,3 +88,35 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAPH = """graph AS MATERIALIZED (SELECT CAST(n_nationkey + 100 AS BIGINT) AS atomi, CAST(n_regionkey AS BIGINT) AS atomj FROM nation
   UNION ALL SELECT CAST(s_suppkey + 1000 AS BIGINT), CAST(s_nationkey + 100 AS BIGINT) FROM supplier),
 edges AS MATERIALIZED (SELECT atomi AS a, atomj AS b FROM graph UNION ALL SELECT atomj, atomi FROM graph)"""
+
+
+def molecules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms (atom, mol, label, mass, charge) and bonds (atomi < atomj, kind, strength), written: an atom for each line.
+
+    An order's lines are a ring, with a chord from the first to the middle of six and more; orders are linked
+    in molecules of eight.
+    """
+    w = Window.partitionBy("l_orderkey")
+    number = F.row_number().over(w.orderBy(*_ORDER[1:])) - 1
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), number.cast("long").alias("k"), F.count("*").over(w).alias("n"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("mass"), F.round(F.col("l_tax") * 100).cast("long").alias("charge"))
+    lines = materialize(lines, "lines")
+    atom = F.col("ord") * 1000 + F.col("k")
+    atoms = lines.select(atom.alias("atom"), F.floor(F.col("ord") / 8).alias("mol"), "label", "mass", "charge")
+    first = lines.where("k = 0").select("ord", "n", (F.col("ord") * 1000).alias("atomi"))
+    parts = [
+        lines.where("k < n - 1").select(atom.alias("atomi"), (atom + 1).alias("atomj"), F.lit("chain").alias("kind")),
+        first.where("n > 2").select("atomi", (F.col("atomi") + F.col("n") - 1).alias("atomj"), F.lit("ring").alias("kind")),
+        first.where("n > 5").select("atomi", (F.col("atomi") + F.floor(F.col("n") / 2)).alias("atomj"), F.lit("chord").alias("kind")),
+        first.where("ord % 8 <> 7").select((F.col("ord") + 1).alias("ord"), "atomi").join(first.select("ord", (F.col("atomi") + F.col("n") - 1).alias("atomj")), "ord").select("atomi", "atomj", F.lit("link").alias("kind")),
+    ]
+    bonds = reduce(DataFrame.union, parts)
+    return atoms, materialize(bonds.withColumn("strength", (1 + (F.col("atomi") + F.col("atomj")) % 2).cast("int")), "bonds")
+
+
+MOLECULES = f"""lines AS MATERIALIZED (SELECT l_orderkey AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_ORDER[1:])}) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n,
+  l_returnflag AS label, l_quantity AS mass, CAST(round(l_tax * 100) AS BIGINT) AS charge FROM lineitem),
+atoms AS MATERIALIZED (SELECT ord * 1000 + k AS atom, ord // 8 AS mol, label, mass, charge FROM lines),
+bonds AS MATERIALIZED (SELECT *, CAST(1 + (atomi + atomj) % 2 AS INTEGER) AS strength FROM (SELECT ord * 1000 + k AS atomi, ord * 1000 + k + 1 AS atomj, 'chain' AS kind FROM lines WHERE k < n - 1
+  UNION ALL SELECT ord * 1000, ord * 1000 + n - 1, 'ring' FROM lines WHERE k = 0 AND n > 2 UNION ALL SELECT ord * 1000, ord * 1000 + n // 2, 'chord' FROM lines WHERE k = 0 AND n > 5
+  UNION ALL SELECT a.ord * 1000, b.ord * 1000 + b.n - 1, 'link' FROM lines a JOIN lines b ON a.k = 0 AND b.k = 0 AND b.ord = a.ord + 1 AND a.ord % 8 <> 7)),
+ways AS MATERIALIZED (SELECT atomi AS a, atomj AS b, kind, strength FROM bonds UNION ALL SELECT atomj, atomi, kind, strength FROM bonds)"""
