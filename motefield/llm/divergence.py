@@ -10,8 +10,8 @@
   UTF-8 bytes. However common, a term has one row per trie at most.
 * Traverse: each range is read again in that order, behind a line for each of its languages that
   holds the totals of all its sources. They give a term's probability in every source, those that
-  lack it included. Sums by pair of sources and the best candidates by source leave the task; ties
-  keep the order of the traversal. Spark adds the sums and ranks.
+  lack it included. Sums by pair of sources and the best candidates by source leave the task, ties
+  in the order of their bytes. Spark adds the sums and ranks.
 
 Probabilities are whole numbers of ``SCALE``: p = 1 + floor(SCALE (count + 1) / (N + V)), where N counts a
 source's kept terms and V a language's. The divergence of p from q is floor((p - q)^2 / q). All of it is
@@ -43,6 +43,8 @@ SCALE = 1_000_000_000
 CHUNK, LEAVES = 4 << 20, 1_000_000
 #: Numbers in one table of terms by sources; sources whose pair sums a task holds as one table.
 CELLS, SQUARE = 1 << 20, 2048
+#: Terms that are worth a task of their own in the traversal.
+TERMS = 20_000
 #: Parts in which candidates are ranked before they are ranked together.
 PARTS = 256
 
@@ -333,8 +335,8 @@ class _Language:
         self.name, self.sources, self.whole, self.all = name, sources, totals + kinds, int(totals.sum()) + kinds
         s = self.size = len(sources)
         self.sums = np.zeros((s, s), dtype=np.int64) if s <= SQUARE else None
-        self.value: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * s
-        self.term: list[list[str]] = [[]] * s
+        #: By source (-value, term), the order of the report: strings compare as their UTF-8 bytes do.
+        self.best: list[list[tuple[int, str]]] = [[]] * s
 
     def add(self, terms: pa.Array, sources: pa.ListArray, counts: pa.ListArray, top: int) -> Iterator[pa.RecordBatch]:
         """Terms in the order of their bytes; pair sums come out at once only where they are too many to hold."""
@@ -359,10 +361,8 @@ class _Language:
                 if len(found) > top:
                     best = np.sort(np.argsort(-value, kind="stable")[:top])
                     found, value = found[best], value[best]
-                value = np.concatenate((self.value[s], value))
-                names = self.term[s] + terms.take(pa.array(found + low)).to_pylist()
-                best = np.argsort(-value, kind="stable")[:top]  # equal values stay in the order of the traversal
-                self.value[s], self.term[s] = value[best], [names[i] for i in best.tolist()]
+                new = zip((-value).tolist(), terms.take(pa.array(found + low)).to_pylist(), strict=True)
+                self.best[s] = sorted([*self.best[s], *new])[:top]
 
     def _pairs(self, s: int, sums: np.ndarray) -> pa.RecordBatch:
         keep = np.arange(self.size) != s
@@ -377,8 +377,8 @@ class _Language:
         for s in range(self.size):
             if self.sums is not None and self.size > 1:
                 yield self._pairs(s, self.sums[s])
-            if self.term[s]:
-                yield self._batch(s, "term", pa.array(self.term[s], pa.string()), pa.array(self.value[s]))
+            if self.best[s]:
+                yield self._batch(s, "term", pa.array([t for _, t in self.best[s]], pa.string()), pa.array([-v for v, _ in self.best[s]], pa.int64()))
 
 
 def _traverse(top: int):
@@ -395,7 +395,7 @@ def _traverse(top: int):
                     rows = batch.slice(low, edge - low)
                     lists = [_from_zero(rows.column(c)) for c in (4, 5)]
                     yield from now.add(rows.column(2), *lists, top)
-                if edge < batch.num_rows:
+                if edge < batch.num_rows and (now is None or now.name != batch.column(0)[edge].as_py()):
                     if now is not None:
                         yield from now.close()
                     sources, totals = (batch.column(c)[edge].values for c in (4, 5))
@@ -419,6 +419,8 @@ def divergence_audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, t
     heads = totals.join(kept.select("lang", "range").distinct(), "lang").select("lang", "range", F.lit(True).alias("head"), F.lit("").alias("term"), "kinds", "sources", F.col("totals").alias("counts"))
     lines = kept.select("lang", "range", F.lit(False).alias("head"), "term", F.lit(0).cast("long").alias("kinds"), "sources", "counts")
     dealt = heads.unionByName(lines).repartitionByRange("range").sortWithinPartitions("range", "lang", F.desc("head"), "term")
+    # a task emits pairs and candidates however few terms it has, so tasks are as many as the terms ask for
+    dealt = dealt.coalesce(max(1, -(-kept.count() // TERMS)))
     traversed = dealt.select("lang", "head", "term", "kinds", "sources", "counts").mapInArrow(_traverse(top), "lang string, source string, part string, item string, value long")
     found = materialize(traversed.withColumn("deal", F.spark_partition_id() % PARTS), "found")
     names = totals.select("lang", F.explode("sources").alias("source"))
