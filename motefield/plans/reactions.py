@@ -1,10 +1,11 @@
-"""Registered queries on molecules of the lines of orders: patterns, choices among their matches, edits."""
+"""Registered queries on molecules of the lines of orders: patterns, choices among their matches, edits,
+classes of equivalent atoms, rings, regions that are alike."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motefield.operators import assembly, matching
+from motefield.operators import assembly, matching, perception
 from motefield.plans import views as V
 from motefield.plans.registry import query
 
@@ -73,3 +74,37 @@ def random_links(spark, d):
     p = V.pts(spark, d).withColumn("mol", F.col("atom") % 7)
     near = assembly.site_pairs(p.where("type = 'A'"), p.where("type = 'R'"), V.BOX, 1.2).withColumns({"mol_i": F.col("i") % 7, "mol_j": F.col("j") % 7})
     return matching.limited_pairs(near, 3, ("frame",), 0.6, priority=F.expr(_LINKS)).select("frame", "i", "j")
+
+
+@query(f"""WITH RECURSIVE {V.MOLECULES}, c AS (SELECT 0 AS step, atom, md5(label) AS c FROM atoms UNION ALL
+SELECT a.step + 1, a.atom, md5(any_value(a.c) || string_agg(w.strength || b.c, ',' ORDER BY w.strength || b.c)) FROM c a JOIN ways w ON w.a = a.atom JOIN c b ON b.atom = w.b WHERE a.step < 60 GROUP BY a.step, a.atom),
+l AS (SELECT atom, arg_max(c, step) AS c FROM c GROUP BY atom) SELECT atom, min(atom) OVER (PARTITION BY c) AS class FROM l""")
+def equivalent_atoms(spark, d):
+    return perception.equivalence_classes(*V.molecules(spark, d), F.col("label"), F.col("strength"))[0]
+
+
+@query(f"""WITH RECURSIVE {V.MOLECULES}, p AS (SELECT a AS s, a, [a] AS path FROM (SELECT DISTINCT a FROM ways WHERE kind <> 'link') UNION ALL
+SELECT p.s, w.b, list_append(path, w.b) FROM p JOIN ways w ON w.a = p.a AND w.kind <> 'link' WHERE w.b > p.s AND NOT list_contains(path, w.b)),
+y AS (SELECT s // 1000 AS ord, len(path) AS size, row_number() OVER (PARTITION BY s // 1000 ORDER BY len(path)) AS n FROM p JOIN ways w ON w.a = p.a AND w.b = p.s AND w.kind <> 'link' WHERE len(path) > 2 AND path[2] < path[-1]),
+e AS (SELECT ord, (SELECT count(*) FROM bonds WHERE kind <> 'link' AND atomi // 1000 = ord) - count(*) + 1 AS rings FROM lines GROUP BY ord)
+SELECT y.ord // 8 AS mol, CAST(size AS BIGINT) AS size, count(*) AS n FROM y JOIN e ON e.ord = y.ord AND y.n <= e.rings GROUP BY 1, 2""")
+def ring_sizes(spark, d):
+    """Links between orders are in no ring; of an order with two rings the two smallest of its three are the set."""
+    atoms, bonds = V.molecules(spark, d)
+    rings = perception.smallest_rings(bonds).withColumn("atom", F.get("atoms", 0))
+    return rings.join(atoms.select("atom", "mol"), "atom").groupBy("mol", F.col("size").cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {V.MOLECULES}, h1 AS (SELECT a AS center, b AS atom FROM ways), h2 AS (SELECT DISTINCT h1.center, w.b AS atom FROM h1 JOIN ways w ON w.a = h1.atom),
+r AS MATERIALIZED (SELECT center, atom, min(hops) AS hops FROM (SELECT atom AS center, atom, 0 AS hops FROM atoms UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x.center, w.a, w.b, w.strength FROM r x JOIN ways w ON w.a = x.atom JOIN r y ON y.center = x.center AND y.atom = w.b),
+c AS (SELECT 0 AS step, center, atom, md5(label || hops) AS c FROM r JOIN atoms USING (atom) UNION ALL
+SELECT a.step + 1, a.center, a.atom, md5(any_value(a.c) || coalesce(string_agg(l.strength || b.c, ',' ORDER BY l.strength || b.c), '')) FROM c a LEFT JOIN l ON l.center = a.center AND l.a = a.atom LEFT JOIN c b ON b.center = l.center AND b.atom = l.b WHERE a.step < 6 GROUP BY a.step, a.center, a.atom),
+f AS (SELECT center, md5(string_agg(c, ',' ORDER BY c)) AS form, count(*) AS n_atoms FROM c WHERE step = 6 GROUP BY center)
+SELECT min(center) AS region, count(*) AS n_centers, any_value(n_atoms) AS n_atoms FROM f GROUP BY form""")
+def distinct_balls(spark, d):
+    """Every atom's surroundings of two bonds; each kind once, with what it is counted from."""
+    atoms, bonds = V.molecules(spark, d)
+    same, places = perception.alike_regions(atoms, bonds, atoms.select(F.col("atom").alias("center"), "atom"), 2, F.col("label"), F.col("strength"))
+    sizes = perception.evaluate_once(atoms, same, places, lambda p: p.groupBy("region").agg(F.count("*").alias("n_atoms")).withColumn("place", F.lit(0)))
+    return same.join(sizes.select("center", "n_atoms"), "center").groupBy("region").agg(F.count("*").alias("n_centers"), F.max("n_atoms").alias("n_atoms"))
