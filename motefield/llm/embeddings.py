@@ -180,7 +180,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     sound = given.where(good & F.col("id").isNotNull()).select("id", F.col("v").alias("vector"), F.transform("v", lambda x: x + F.lit(0.0)).alias("w"))
     keyed = sound.select("id", "vector", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(3), "w").alias("h2"))
     keyed = materialize(keyed, "vectors")
-    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
+    # aggregates are written before they are joined: a join of written tables splits the rows of a hot key
+    groups = materialize(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")), "groups")
     reps = keyed.join(groups, ["h1", "h2"]).where("id = rep").select("rep", "copies", F.size("vector").alias("dim"), "vector").dropDuplicates(["rep", "vector"])
     # one row for each dimension that occurs
     shapes = {r.dim: plan(r["n"], r.dim, threshold) for r in keyed.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
@@ -188,13 +189,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     placed = table.select("rep", "copies", "unit", "places", F.explode("places").alias("place"))
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = (
-        placed.join(sizes, "place")
+        placed.join(materialize(sizes, "sizes"), "place")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("place", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "unit", "places")
     )
     found = materialize(blocks.groupBy("place", "low", "high").applyInPandas(compare_blocks(threshold), "rep long, links long, hub long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = materialize(found.groupBy("rep").agg(F.sum("links").alias("links")), "counts")
     parts = connected_components(found.where("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst")))
     members = keyed.select("id", "h1", "h2").distinct().join(groups, ["h1", "h2"])
     linked = (

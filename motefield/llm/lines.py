@@ -103,7 +103,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
         .groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("pos")).alias("_dropped"))
     )
     given = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_hash"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
-    rows = given.join(dropped, (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left")
+    # written too, so that the join can split the copies of a row that is repeated very often
+    rows = given.join(materialize(dropped, "dropped"), (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left")
     lines = F.split(F.col("_text"), "\n", -1)
     n_lines = F.size(lines)
     none = F.col("_dropped").isNull()

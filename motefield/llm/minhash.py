@@ -247,7 +247,7 @@ def in_blocks(rows: DataFrame, group: str, block: int, parts: int) -> DataFrame:
 def open_groups(stars: DataFrame, group: str) -> DataFrame:
     """Rows of the groups in which something is not tied to the leader, with both counts."""
     counts = stars.groupBy(group).agg(F.count_if("star").alias("inner"), F.count_if(~F.col("star")).alias("outer")).where("outer > 0")
-    return stars.select(group, "doc", "star").join(counts, group)
+    return stars.select(group, "doc", "star").join(materialize(counts, "counts"), group)
 
 
 def near_leaders(met: DataFrame, threshold: float, least: float, sizes: bool) -> DataFrame:
@@ -332,7 +332,8 @@ def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "te
     edge, by_size = "src long, dst long", weights == "set"
     docs = rows.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = materialize(signed(docs, weights), "signed")
-    copies = table.groupBy("t1", "t2").agg(F.min("doc").alias("rep"))
+    # aggregates are written before they are joined: a join of written tables splits the rows of a hot key
+    copies = materialize(table.groupBy("t1", "t2").agg(F.min("doc").alias("rep")), "copies")
     members = materialize(table.select("doc", "t1", "t2").distinct().join(copies, ["t1", "t2"]).select("doc", "rep"), "members")
     reps = table.join(members.where("doc = rep").select("doc").distinct(), "doc", "left_semi").where("n > 0")
     marks = reps.select("doc", "n", "sig").dropDuplicates(["doc"])
@@ -345,7 +346,7 @@ def near_duplicate_classes(rows: DataFrame, key: str = "doc_id", text: str = "te
     more = met.groupBy("band", "low", "high").applyInPandas(forest(threshold, least, by_size, False), edge)
     ties = materialize(stars.where("star and doc <> lead").select(F.col("lead").alias("src"), F.col("doc").alias("dst")).union(more).distinct(), "ties")
     clusters = connected_components(ties).withColumnsRenamed({"node": "doc", "component": "cluster"})
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
     placed = materialize(clusters.join(sizes, "cluster"), "clusters")
     alike = materialize(like_leaders(placed.join(shingle_sets(docs, weights, bitmap(placed.select("doc"))), "doc"), threshold, EXACT_BLOCK, parts), "alike")
     rest = materialize(open_groups(alike, "cluster"), "open")

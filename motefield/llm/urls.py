@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motefield.storage import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,11 +81,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         .groupBy("host", "path")
         .agg(F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), "r_host", "r_path", "r_verdict")).alias("best"))
     )
-    return (
-        split.join(longest, ["host", "path"], "left")
-        .select(
-            F.col("_key").alias(key), "host", "path",
-            F.concat("best.r_host", "best.r_path").alias("rule"),
-            F.coalesce("best.r_verdict", F.lit("allow")).alias("verdict"),
-        )
+    # no rule fits an empty host, so these rows need no join; written, so that the join can split the rows of an url that very many pages share
+    judged = split.where("host <> ''").join(materialize(longest, "urls"), ["host", "path"], "left").select("_key", "host", "path", "best")
+    apart = split.where("host = ''").select("_key", "host", "path", F.lit(None).cast(judged.schema["best"].dataType).alias("best"))
+    return judged.union(apart).select(
+        F.col("_key").alias(key), "host", "path",
+        F.concat("best.r_host", "best.r_path").alias("rule"),
+        F.coalesce("best.r_verdict", F.lit("allow")).alias("verdict"),
     )

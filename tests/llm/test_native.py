@@ -133,3 +133,20 @@ def test_long_chains_and_nothing(spark):
     got = {int(r.call_id): r.level for r in toolcalls.levels(chain).collect()}
     assert got == {i: i for i in range(300)}
     assert toolcalls.link_tool_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), rules).count() == 0
+
+
+def test_a_url_that_half_of_all_pages_share_is_dealt_over_tasks(spark):
+    rules = spark.createDataFrame([("example.org", "/a", "block")], "host string, path string, verdict string")
+    pages = spark.range(0, 200_000, 1, 20).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, F.lit("http://example.org/abc")).when(F.col("id") % 4 == 1, F.concat(F.lit("http://h.com/"), F.col("id").cast("string"))).alias("url"))
+    set_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "40", "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in set_}
+    for k, v in set_.items():
+        spark.conf.set(k, v)
+    try:
+        found = urls.filter_urls(pages, rules)
+        sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sum(sizes) == 200_000 and sizes[-1] < 20_000
+        assert {tuple(r) for r in found.groupBy("verdict", "rule").count().collect()} == {("block", "example.org/a", 100_000), ("allow", None, 100_000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
