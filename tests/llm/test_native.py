@@ -145,7 +145,7 @@ def test_a_url_that_half_of_all_pages_share_is_dealt_over_tasks(spark):
     try:
         found = urls.filter_urls(pages, rules)
         sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
-        assert sum(sizes) == 200_000 and sizes[-1] < 20_000
+        assert sum(sizes) == 200_000 and sizes[-1] < 50_000  # the shared url alone has 100,000
         assert {tuple(r) for r in found.groupBy("verdict", "rule").count().collect()} == {("block", "example.org/a", 100_000), ("allow", None, 100_000)}
     finally:
         for k, v in before.items():
