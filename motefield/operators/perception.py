@@ -1,4 +1,4 @@
-"""What a topology graph says by itself: classes of equivalent atoms, rings, regions that are alike.
+"""What a topology graph says by itself: classes of equivalent atoms, rings, double bonds, regions that are alike.
 
 Colours are pairs of 64-bit hashes. An atom's next colour is a hash of its own and of the sum of its
 neighbours' hashed colours; sums are added up before they are shuffled, so an atom of very many
@@ -7,9 +7,11 @@ bonds is never gathered. All tables that a round joins are written, so hot keys
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +173,134 @@ def smallest_rings(bonds: DataFrame) -> DataFrame:
     return rings.select(F.sha2(F.to_json(F.array_sort("ring")), 256).alias("ring"), "part", "size", atoms.alias("atoms"), F.array_sort("ring").alias("edges"))
 
 
+# --- double bonds --------------------------------------------------------------------------
+
+
+def most_pairs(near: list[list[int]]) -> list[int]:
+    """The partner of each node in a largest matching, -1 for none; ``near`` lists each node's neighbours.
+
+    From each free node a search tree grows over pairs; two even nodes that meet close an odd ring, which from then on
+    counts as its base, and a free node that is met ends a path along which pairs are swapped.
+    """
+    n = len(near)
+    mate = [-1] * n
+    for a in range(n):  # a start that is near a largest one: the neighbour of fewest bonds first
+        if mate[a] < 0:
+            free = [b for b in near[a] if mate[b] < 0]
+            if free:
+                b = min(free, key=lambda v: len(near[v]))
+                mate[a], mate[b] = b, a
+    for root in range(n):
+        if mate[root] < 0:
+            _augment(root, near, mate)
+    return mate
+
+
+def _augment(root: int, near: list[list[int]], mate: list[int]) -> None:
+    # only nodes that the search meets have entries
+    base: dict[int, int] = {}
+    parent: dict[int, int] = {}
+    even, queue = {root}, deque([root])
+    at = lambda v: base.get(v, v)
+
+    def up(v: int) -> Iterator[int]:
+        """Bases of even nodes from ``v`` to the root."""
+        while True:
+            v = at(v)
+            yield v
+            if v == root or mate[v] < 0:
+                return
+            v = parent[mate[v]]
+
+    def close(v: int, top: int, child: int, ring: set[int]) -> None:
+        while at(v) != top:
+            ring |= {at(v), at(mate[v])}
+            parent[v] = child
+            child = mate[v]
+            v = parent[child]
+
+    while queue:
+        v = queue.popleft()
+        for w in near[v]:
+            if at(v) == at(w) or mate[v] == w:
+                continue
+            if w in even:
+                above = set(up(v))
+                top = next(b for b in up(w) if b in above)
+                ring: set[int] = set()
+                close(v, top, w, ring)
+                close(w, top, v, ring)
+                for u in [u for u in (even | set(parent)) if at(u) in ring]:
+                    base[u] = top
+                    if u not in even:
+                        even.add(u)
+                        queue.append(u)
+            elif w not in parent:
+                parent[w] = v
+                if mate[w] < 0:
+                    while w >= 0:
+                        v = parent[w]
+                        following = mate[v]
+                        mate[w], mate[v], w = v, w, following
+                    return
+                even.add(mate[w])
+                queue.append(mate[w])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of (part, atomi, atomj) rows that come part by part."""
+
+    def solve(part: int, ends: list[tuple[int, int]]) -> pa.RecordBatch:
+        names = sorted({v for e in ends for v in e})
+        number = {v: i for i, v in enumerate(names)}
+        near: list[list[int]] = [[] for _ in names]
+        for a, b in ends:
+            near[number[a]].append(number[b])
+            near[number[b]].append(number[a])
+        mate = most_pairs(near)
+        found = [(names[i], names[m]) for i, m in enumerate(mate) if m > i]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([part] * len(found), [a for a, _ in found], [b for _, b in found])], ["part", "atomi", "atomj"])
+
+    now, ends = None, []
+    for batch in batches:
+        for part, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if part != now:
+                if ends:
+                    yield solve(now, ends)
+                now, ends = part, []
+            ends.append((a, b))
+    if ends:
+        yield solve(now, ends)
+
+
+def kekule_orders(atoms: DataFrame, bonds: DataFrame, takes: Column, aromatic: Column) -> tuple[DataFrame, DataFrame]:
+    """(bonds with ``order``, (part, atom) of atoms left over): single and double bonds of aromatic systems.
+
+    ``takes`` says which atoms must have a double bond, ``aromatic`` which bonds may be one (null: no). The double bonds are
+    a largest matching of each system, a connected part of such atoms and bonds; a system that has
+    atoms left over has no legal set of double bonds, and they are named. ``order`` is 2 or 1 for aromatic bonds and null
+    for others; of parallel bonds each has the order.
+
+    Systems are independent, dealt by their name and solved one after the other; one system is in one task, whose memory grows with the
+    largest system, not with the number of them.
+    """
+    inside = materialize(atoms.where(F.coalesce(takes, F.lit(False)) & F.col("atom").isNotNull()).select("atom").distinct(), "takes")
+    edges = undirected(bonds.where(F.coalesce(aromatic, F.lit(False))))
+    for end in ("atomi", "atomj"):
+        edges = edges.join(inside.withColumnRenamed("atom", end), end, "left_semi")
+    edges = materialize(edges.select("atomi", "atomj"), "aromatic")
+    part = materialize(connected_components(edges, "atomi", "atomj").select(F.col("node").alias("atom"), F.col("component").alias("part")), "systems")
+    rows = edges.join(part.withColumnRenamed("atom", "atomi"), "atomi").select(F.col("part").cast("long"), F.col("atomi").cast("long"), F.col("atomj").cast("long"))
+    pairs = materialize(rows.repartition("part").sortWithinPartitions("part", "atomi", "atomj").mapInArrow(_paired, "part long, atomi long, atomj long"), "pairs")
+    double = pairs.select(F.col("atomi").alias("_a"), F.col("atomj").alias("_b"), F.lit(True).alias("_double"))
+    with_ends = bonds.withColumns({"_a": F.least("atomi", "atomj"), "_b": F.greatest("atomi", "atomj")})
+    order = F.when(F.coalesce(aromatic, F.lit(False)), F.when(F.col("_double"), 2).otherwise(1))
+    ordered = with_ends.join(double, ["_a", "_b"], "left").withColumn("order", order).drop("_a", "_b", "_double")
+    taken = pairs.select(F.explode(F.array("atomi", "atomj")).alias("atom"))
+    left = inside.join(taken, "atom", "left_anti").join(part, "atom", "left").select(F.coalesce("part", "atom").alias("part"), "atom")
+    return ordered, left
+
+
 # --- regions -------------------------------------------------------------------------------
 
 

@@ -1,5 +1,5 @@
 """Registered queries on molecules of the lines of orders: patterns, choices among their matches, edits,
-classes of equivalent atoms, rings, regions that are alike."""
+classes of equivalent atoms, rings, double bonds, regions that are alike."""
 
 from __future__ import annotations
 
@@ -108,3 +108,22 @@ def distinct_balls(spark, d):
     same, places = perception.alike_regions(atoms, bonds, atoms.select(F.col("atom").alias("center"), "atom"), 2, F.col("label"), F.col("strength"))
     sizes = perception.evaluate_once(atoms, same, places, lambda p: p.groupBy("region").agg(F.count("*").alias("n_atoms")).withColumn("place", F.lit(0)))
     return same.join(sizes.select("center", "n_atoms"), "center").groupBy("region").agg(F.count("*").alias("n_centers"), F.max("n_atoms").alias("n_atoms"))
+
+
+@query(f"""WITH RECURSIVE {V.MOLECULES}, t AS (SELECT ord, list(k ORDER BY k) AS ks FROM lines WHERE label <> 'N' GROUP BY ord),
+e AS (SELECT DISTINCT w.a // 1000 AS ord, w.a % 1000 AS a, w.b % 1000 AS b FROM ways w JOIN atoms p ON p.atom = w.a JOIN atoms q ON q.atom = w.b WHERE w.kind <> 'link' AND p.label <> 'N' AND q.label <> 'N'),
+m AS (SELECT ord, 1::BIGINT AS at, []::BIGINT[] AS used FROM t UNION ALL
+SELECT * FROM (SELECT m.ord, m.at + 1 AS at, m.used FROM m JOIN t ON t.ord = m.ord WHERE m.at <= len(t.ks) UNION ALL
+SELECT m.ord, m.at + 1, m.used || [e.a, e.b] FROM m JOIN t ON t.ord = m.ord JOIN e ON e.ord = m.ord AND e.a = t.ks[m.at] WHERE m.at <= len(t.ks) AND e.b > e.a AND NOT list_has_any(m.used, [e.a, e.b]))),
+b AS (SELECT ord, CAST(max(len(used)) // 2 AS BIGINT) AS n_double FROM m GROUP BY ord)
+SELECT t.ord, n_double, CAST(len(ks) - 2 * n_double AS BIGINT) AS n_left FROM t JOIN b ON t.ord = b.ord""")
+def double_bonds(spark, d):
+    """Of every order's rings the most double bonds between lines that are not N; all matchings in SQL."""
+    atoms, bonds = V.molecules(spark, d)
+    ordered, left = perception.kekule_orders(atoms, bonds, F.col("label") != "N", F.col("kind") != "link")
+    ord_ = lambda c: F.floor(F.col(c) / 1000).alias("ord")
+    all_ = atoms.where("label <> 'N'").select(ord_("atom")).distinct()
+    # a bond counts once, and an atom with two would leave fewer atoms over than there are
+    double = ordered.where("order = 2").select("atomi", "atomj").distinct().groupBy(ord_("atomi")).agg(F.count("*").alias("n_double"))
+    rest = left.groupBy(ord_("atom")).agg(F.count("*").alias("n_left"))
+    return all_.join(double, "ord", "left").join(rest, "ord", "left").select("ord", F.coalesce("n_double", F.lit(0)).alias("n_double"), F.coalesce("n_left", F.lit(0)).alias("n_left"))

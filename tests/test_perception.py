@@ -145,3 +145,34 @@ def test_each_kind_of_region_is_evaluated_once(spark):
     assert len(seen) == 3 and len(found) == 300
     assert {(r.atom % 3, r.kind) for r in found} == {(0, "N0"), (1, "C1"), (2, "C2")}
     assert places.where("center is null").count() == 0
+
+
+def test_largest_matchings_equal_trying_all():
+    draw = random.Random(8)
+
+    def best(edges):
+        if not edges:
+            return 0
+        (a, b), *rest = edges
+        return max(best(rest), 1 + best([e for e in rest if not {a, b} & set(e)]))
+
+    for _ in range(1500):
+        n = draw.randrange(1, 11)
+        edges = sorted({tuple(sorted(draw.sample(range(n), 2))) for _ in range(draw.randrange(0, 14))}) if n > 1 else []
+        mate = perception.most_pairs([[b for e in edges for b in e if a in e and b != a] for a in range(n)])
+        assert all(m < 0 or (mate[m] == a and tuple(sorted((a, m))) in edges) for a, m in enumerate(mate))
+        assert sum(m >= 0 for m in mate) == 2 * best(edges)
+
+
+def test_double_bonds_of_fused_odd_rings_and_atoms_left_over(spark):
+    azulene = [(i, i + 1) for i in range(9)] + [(0, 9), (3, 7)]  # rings of five and seven
+    rows = [(*e, "ar") for e in azulene] + [(20, 21, "ar"), (21, 22, "ar"), (22, 20, "ar"), (20, 1, "s"), (30, 31, None), (5, 4, "ar"), (None, 3, "ar")]
+    bonds = spark.createDataFrame(rows, "atomi long, atomj long, kind string")
+    atoms = spark.createDataFrame([(i, i != 31) for i in [*range(10), 20, 21, 22, 30, 31, 40]], "atom long, need boolean")
+    ordered, left = perception.kekule_orders(atoms, bonds, F.col("need"), F.col("kind") == "ar")
+    found = ordered.collect()
+    assert len(found) == len(rows) and all((r.order is None) == (r.kind != "ar") for r in found)
+    double = {tuple(sorted((r.atomi, r.atomj))) for r in found if r.order == 2}
+    assert sorted(a for e in double if max(e) < 10 for a in e) == list(range(10))
+    over = sorted(map(tuple, left.collect()))
+    assert len(over) == 3 and over[0][0] == 20 and over[1:] == [(30, 30), (40, 40)]
