@@ -365,20 +365,27 @@ def soft_potential(spark, d):
     return forcefield.soft_potential(bonded, graph.exclude_bonded(near, bonds), 2.0, 3.0, 2.2).select("frame", _r("energy", 4))
 
 
-@query("""SELECT (a.range + 4 * b.range + 16 * c.range) * 4 + s.k AS atom, round(CAST(5.26 * (a.range + s.u) AS DOUBLE), 6) AS x, round(CAST(5.26 * (b.range + s.v) AS DOUBLE), 6) AS y, round(CAST(5.26 * (c.range + s.w) AS DOUBLE), 6) AS z
-FROM range(4) a, range(4) b, range(4) c, (VALUES (0, 0, 0, 0), (1, 0.5, 0.5, 0), (2, 0.5, 0, 0.5), (3, 0, 0.5, 0.5)) s(k, u, v, w)""")
+@query("""WITH n AS (SELECT CAST(ceil(cbrt(max(s_suppkey) + 1)) AS BIGINT) AS n FROM supplier), c AS (SELECT s_suppkey AS id, s_nationkey AS nation, s_suppkey % n AS a, s_suppkey // n % n AS b, s_suppkey // (n * n) AS c FROM supplier, n)
+SELECT id * 4 + s.k AS atom, nation, round(CAST(5.26 * (a + s.u) AS DOUBLE), 6) AS x, round(CAST(5.26 * (b + s.v) AS DOUBLE), 6) AS y, round(CAST(5.26 * (c + s.w) AS DOUBLE), 6) AS z
+FROM c, (VALUES (0, 0, 0, 0), (1, 0.5, 0.5, 0), (2, 0.5, 0, 0.5), (3, 0, 0.5, 0.5)) s(k, u, v, w)""")
 def fcc_crystal(spark, d):
+    """A cell for each supplier's number, whose nation its atoms are of."""
+    suppliers = V.table(spark, d, "supplier")
+    n = suppliers.agg(F.ceil(F.cbrt(F.max("s_suppkey") + 1)).alias("n")).first()["n"]
     cell = [[5.26, 0, 0], [0, 5.26, 0], [0, 0, 5.26]]
-    return generators.build_crystal(spark, cell, generators.lattice_basis("fcc"), (4, 4, 4)).select("atom", *[_r(c) for c in "xyz"])
+    atoms = generators.build_crystal(spark, cell, generators.lattice_basis("fcc"), (n, n, n)).withColumn("s_suppkey", F.floor(F.col("atom") / 4))
+    return atoms.join(suppliers.select("s_suppkey", F.col("s_nationkey").alias("nation")), "s_suppkey").select("atom", "nation", *[_r(c) for c in "xyz"])
 
 
-@query("""WITH RECURSIVE o AS (SELECT * FROM (VALUES ('A', 0, 0, 0), ('B', 1, 2, 3)) s(species, u, v, w)
+@query("""WITH RECURSIVE o AS (SELECT s_suppkey AS species, s_suppkey % 10 AS u, s_nationkey % 10 AS v, s_suppkey // 10 % 10 AS w FROM supplier
 UNION SELECT species, CASE WHEN k IN (0, 1, 3) THEN 10 - u WHEN k = 2 THEN w WHEN k = 4 THEN u + 5 ELSE u END % 10,
  CASE WHEN k IN (0, 3) THEN 10 - v WHEN k = 2 THEN u WHEN k IN (4, 5) THEN v + 5 ELSE v END % 10,
  CASE WHEN k IN (1, 3) THEN 10 - w WHEN k = 2 THEN v WHEN k = 5 THEN w + 5 ELSE w END % 10 FROM o, range(6) g(k))
 SELECT species, u / 10.0 AS u, v / 10.0 AS v, w / 10.0 AS w FROM o""")
 def space_group(spark, d):
-    sites = spark.createDataFrame([("A", 0.0, 0.0, 0.0), ("B", 0.1, 0.2, 0.3)], "species string, u double, v double, w double")
+    """A site for each supplier, at tenths of the cell that its keys give."""
+    tenth = lambda c: (F.expr(c) % 10 / 10).cast("double")
+    sites = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("species"), tenth("s_suppkey").alias("u"), tenth("s_nationkey").alias("v"), tenth("s_suppkey div 10").alias("w"))
     return generators.equivalent_positions(sites, ["-x,-y,z", "-x,y,-z", "z,x,y", "-x,-y,-z", "x+1/2,y+1/2,z", "x,y+1/2,z+1/2"])
 
 
@@ -450,5 +457,5 @@ def kmeans(spark, d):
 
 @query()
 def chain_lengths(spark, d):
-    """Ten thousand chain masses of a Schulz-Zimm distribution, seeded."""
-    return generators.sample_chains(spark, 10_000, lambda rng, n: rng.gamma(2.0, 500.0, n), seed=7)
+    """A chain mass of a Schulz-Zimm distribution for each order, seeded."""
+    return generators.sample_chains(spark, V.table(spark, d, "orders").count(), lambda rng, n: rng.gamma(2.0, 500.0, n), seed=7)

@@ -300,12 +300,12 @@ def debye_fit(spark, d):
     return dynamics.debye_fit(dynamics.acf(V.walks(spark, d), ["v"], 10), "acf", 0.5).select(_r("amplitude", 1), "n_samples")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_tax AS t, l_discount AS d, l_extendedprice / 40000 AS p FROM lineitem WHERE l_orderkey % 50 = 0)
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_tax AS t, l_discount AS d, l_extendedprice / 40000 AS p FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, round(0.5 * 2.0 * pow(q - 20, 2), 4) AS harmonic, round(3.0 * pow(1 - exp(-0.1 * (q - 20)), 2), 4) AS morse, round(30 * exp(-q / 9.0) - 4 / pow(q, 6), 6) AS buckingham,
  round(332.06371 * 0.25 * -0.5 / q, 5) AS coulomb FROM r""")
 def potentials(spark, d):
     q, lit = F.col("l_quantity"), F.lit
-    rows = V.table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    rows = V.table(spark, d, "lineitem")
     held = rows.withColumns({
         "harmonic": forcefield.harmonic(q, lit(2.0), lit(20.0)), "morse": forcefield.morse(q, lit(3.0), lit(0.1), lit(20.0)),
         "buckingham": forcefield.buckingham(q, lit(30.0), lit(9.0), lit(4.0)), "coulomb": forcefield.coulomb(q, lit(0.25), lit(-0.5)),
@@ -313,14 +313,16 @@ def potentials(spark, d):
     return held.select("l_orderkey", "l_linenumber", "l_partkey", _r("harmonic", 4), _r("morse", 4), _r("buckingham"), _r("coulomb", 5))
 
 
-@query("""WITH c AS (SELECT range AS i FROM range(40)), p AS (SELECT i, 0.1 * i AS r FROM c) SELECT i, round(1 - (1 + 2.6 / pow(1.5 * 0.7, 1 / 6.0) * r / 2) * exp(-2.6 / pow(1.5 * 0.7, 1 / 6.0) * r), 6) + 0.0 AS thole,
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS i, 0.1 * l_quantity AS r FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(1 - (1 + 2.6 / pow(1.5 * 0.7, 1 / 6.0) * r / 2) * exp(-2.6 / pow(1.5 * 0.7, 1 / 6.0) * r), 6) + 0.0 AS thole,
  round(1 - exp(-4.5 * r) * (1 + 4.5 * r + pow(4.5 * r, 2) / 2 + pow(4.5 * r, 3) / 6 + pow(4.5 * r, 4) / 24), 6) + 0.0 AS tang_toennies, round((-2 * i - 1.5 * (i % 3)) / 4.184, 6) + 0.0 AS f1, round(-0.25 * (i % 5) / 4.184, 6) + 0.0 AS f4 FROM p""")
 def damping_and_torsions(spark, d):
-    i = F.col("id").cast("double")
+    """At a tenth of every line's quantity."""
+    i = F.col("l_quantity").cast("double")
     r = i * 0.1
     f = geometry.rb_to_opls(F.lit(0.0), i, F.lit(0.0), i % 3, i % 5, F.lit(0.0))
-    found = spark.range(40).select(F.col("id").alias("i"), geometry.thole(r, F.lit(2.6), F.lit(1.5), F.lit(0.7)).alias("thole"), geometry.tang_toennies(r, 4.5).alias("tang_toennies"), f[0].alias("f1"), f[3].alias("f4"))
-    return found.select("i", _r("thole"), _r("tang_toennies"), _r("f1"), _r("f4"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    found = V.table(spark, d, "lineitem").select(*keys, geometry.thole(r, F.lit(2.6), F.lit(1.5), F.lit(0.7)).alias("thole"), geometry.tang_toennies(r, 4.5).alias("tang_toennies"), f[0].alias("f1"), f[3].alias("f4"))
+    return found.select(*keys, _r("thole"), _r("tang_toennies"), _r("f1"), _r("f4"))
 
 
 @query("SELECT s_suppkey, round(s_acctbal * 4.184, 4) AS kilojoules, round(s_acctbal * 0.1, 4) AS nanometres FROM supplier")
@@ -331,11 +333,12 @@ def unit_conversion(spark, d):
     return s.select("s_suppkey", F.round(b * energy, 4).alias("kilojoules"), F.round(b * units.factor("length", "real", "si") * 1e9, 4).alias("nanometres"))
 
 
-@query("""WITH n AS (SELECT range + 1 AS n FROM range(30)) SELECT n, round(n * pow(1 - 0.9, 2) * pow(0.9, n - 1), 8) AS flory, round(exp(n * ln(4.0) - 4.0) / CAST(factorial(CAST(n AS INTEGER)) AS DOUBLE) / (1 - exp(-4.0)), 8) AS poisson, ['A', 'B', 'C'][1 + (n - 1) % 3] AS unit FROM n WHERE n <= 20""")
+@query("""WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT n, count(*) AS chains, round(n * pow(1 - 0.9, 2) * pow(0.9, n - 1), 8) AS flory, round(exp(n * ln(4.0) - 4.0) / CAST(factorial(CAST(n AS INTEGER)) AS DOUBLE) / (1 - exp(-4.0)), 8) AS poisson, ['A', 'B', 'C'][1 + (n - 1) % 3] AS unit FROM c GROUP BY n""")
 def chain_distributions(spark, d):
+    """Orders as chains of their lines, beside what two distributions give for each length."""
     n = F.col("n")
-    rows = spark.range(1, 21).select(F.col("id").alias("n"))
-    return rows.select("n", F.round(generators.flory_schulz_pmf(n, 0.9), 8).alias("flory"), F.round(generators.truncated_poisson_pmf(n, 4.0), 8).alias("poisson"), F.element_at(generators.alternating_sequence(["A", "B", "C"], n.cast("int")), -1).alias("unit"))
+    rows = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("chains"))
+    return rows.select("n", "chains", F.round(generators.flory_schulz_pmf(n, 0.9), 8).alias("flory"), F.round(generators.truncated_poisson_pmf(n, 4.0), 8).alias("poisson"), F.element_at(generators.alternating_sequence(["A", "B", "C"], n.cast("int")), -1).alias("unit"))
 
 
 _TENSOR = f"""{V.pairs_sql(1.5)}, {V.WAYS}, q AS MATERIALIZED (SELECT frame, i, avg(1.5 * dx * dx / (dist * dist) - 0.5) AS a, avg(1.5 * dy * dy / (dist * dist) - 0.5) AS b, avg(1.5 * dz * dz / (dist * dist) - 0.5) AS c,
@@ -380,9 +383,9 @@ def pair_survival_intermittent(spark, d):
     return dynamics.pair_survival(dist, None, None, 20.0, 60.0, 6, continuous=False).select("lag", _r("c"))
 
 
-@query(f"""WITH {V.PTS}, p AS (SELECT atom AS particle, frame, x, y, z FROM pts WHERE atom < 80 AND frame <= 30), m AS (SELECT l.lag, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a CROSS JOIN (SELECT unnest([1, 3]) AS lag) l JOIN p b ON b.frame = a.frame + l.lag AND b.particle <> a.particle),
+@query(f"""WITH {V.PTS}, p AS (SELECT atom AS particle, frame, x, y, z FROM pts), m AS (SELECT l.lag, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a CROSS JOIN (SELECT unnest([1, 3]) AS lag) l JOIN p b ON b.frame = a.frame + l.lag AND b.particle <> a.particle),
 r AS (SELECT lag, sqrt(pow(dx - 50 * round_even(dx / 50, 0), 2) + pow(dy - 11 * round_even(dy / 11, 0), 2) + pow(dz - 9 * round_even(dz / 9, 0), 2)) AS r FROM m)
 SELECT lag, CAST(floor(r / (4.4 / 7)) AS INTEGER) AS bin, count(*) AS count FROM r WHERE r < 4.4 GROUP BY 1, 2""")
 def van_hove_distinct(spark, d):
-    p = V.pts(spark, d).where("atom < 80 and frame <= 30").select(F.col("atom").alias("particle"), "frame", "x", "y", "z")
+    p = V.pts(spark, d).select(F.col("atom").alias("particle"), "frame", "x", "y", "z")
     return dynamics.van_hove_distinct(p, V.BOX, 7, 4.4, [1, 3]).select("lag", "bin", "count")
