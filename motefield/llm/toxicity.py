@@ -25,9 +25,10 @@ many in a short one. Spans of tokens of at least one half are the offending offs
 the weights of features that training sentences have, a bounded number of them.
 
 Labels that are null, or of documents that do not exist, are ignored; without labelled
-documents of both kinds every score is 0. Null text counts as empty, and an empty text scores
-0. A document labelled twice is toxic if any label says so. Repeated rows are scored each;
-empty tables give no rows; other columns are not carried.
+documents of both kinds every score is 0. Null text counts as empty, and an empty text has the
+score that the logistic function gives to no tokens (0.027 at sf0.01). A document labelled twice is
+toxic if any label says so. Repeated rows are scored each; empty tables give no rows; other columns
+are not carried.
 """
 
 from __future__ import annotations
