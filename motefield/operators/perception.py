@@ -112,7 +112,7 @@ def _eliminate(new: DataFrame, basis: DataFrame | None) -> DataFrame:
         rows = joined.select("id", "part", "size", "ring", F.when(F.col("mine"), F.col("rest")).otherwise(_difference(F.col("rest"), F.col("other"))).alias("rest"))
 
 
-def smallest_rings(bonds: DataFrame) -> DataFrame:
+def smallest_rings(bonds: DataFrame, max_size: int | None = None) -> DataFrame:
     """(ring, part, size, atoms, edges): a smallest set of rings of which all rings are sums; ``part``: the
     least atom of the connected part that it is in. A part of E bonds and V atoms has E - V + 1 rings.
 
@@ -123,6 +123,8 @@ def smallest_rings(bonds: DataFrame) -> DataFrame:
     smallest first, if they are no sum of those kept (``_eliminate``); a part with all its rings takes part no
     longer. So rounds are half the largest ring of a fused part, and no part is gathered in one task.
 
+    With ``max_size`` only rings of at most so many atoms are sought, and rounds end there.
+
     Which of several rings of one size is kept is the choice of hashes; sizes are the same for any
     choice. Loops and nulls are left out, parallel bonds are one, no bonds have no rings.
     """
@@ -141,8 +143,9 @@ def smallest_rings(bonds: DataFrame) -> DataFrame:
     both = ends.select("part", F.col("atomi").alias("a"), F.col("atomj").alias("b")).union(ends.select("part", F.col("atomj").alias("a"), F.col("atomi").alias("b")))
     ways = materialize(both.join(key.select(F.col("atom").alias("b"), F.col("key").alias("kb")), "b").select("part", "a", "b", "kb"), "ways")
     level = materialize(key.select("part", F.col("atom").alias("root"), F.col("key").alias("kr"), "atom", F.array("atom").alias("path")), "level")
-    before, basis, kept = level.limit(0), None, []
-    while not open_.isEmpty():
+    before, basis, kept, reach = level.limit(0), None, [], 1  # the smallest ring that a round can close
+    while not open_.isEmpty() and (max_size is None or reach <= max_size):
+        reach += 2
         step = level.join(ways.drop("part"), F.col("atom") == F.col("a")).where("kb < kr").select("part", "root", "kr", F.col("b").alias("atom"), F.concat("path", F.array("b")).alias("path"))
         step = step.join(before.select("root", "atom"), ["root", "atom"], "left_anti")
         # paths that meet at a bond: both its ends are of this level
@@ -169,6 +172,8 @@ def smallest_rings(bonds: DataFrame) -> DataFrame:
     if basis is not None:
         found.append(basis.select("part", "size", "ring"))
     rings = reduce(DataFrame.union, found)
+    if max_size is not None:
+        rings = rings.where(F.col("size") <= max_size)
     atoms = F.array_sort(F.array_distinct(F.flatten(F.transform("ring", lambda e: F.array(e["a"], e["b"])))))
     return rings.select(F.sha2(F.to_json(F.array_sort("ring")), 256).alias("ring"), "part", "size", atoms.alias("atoms"), F.array_sort("ring").alias("edges"))
 
@@ -318,6 +323,38 @@ def regions(bonds: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
     return reduce(DataFrame.union, seen)
 
 
+def ring_systems(bonds: DataFrame, max_size: int) -> DataFrame:
+    """(atom, system): atoms of rings of at most ``max_size`` atoms; rings that share an atom are one system,
+    named by its least atom.
+
+    Every ring of that size is a sum of smallest rings no larger than itself, so their bonds hold it.
+    """
+    ends = smallest_rings(bonds, max_size).select(F.explode("edges").alias("e")).select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
+    return connected_components(ends).toDF("atom", "system")
+
+
+def closed_regions(bonds: DataFrame, centers: DataFrame, radius: int, max_ring_size: int) -> DataFrame:
+    """(center, atom, hops, pulled): ``regions`` in which no ring of at most ``max_ring_size`` atoms is cut.
+
+    A ring that the radius reaches comes in whole, with all rings that share atoms with it; ``pulled`` marks what came
+    in so, and its ``hops`` go on within the region. Larger rings are cut like any path.
+    """
+    held = materialize(regions(bonds, centers, radius), "regions")
+    system = materialize(ring_systems(bonds, max_ring_size), "systems")
+    touched = materialize(held.join(system, "atom").select("center", "system").distinct(), "touched")
+    pulled = materialize(touched.join(system, "system").select("center", "atom").join(held, ["center", "atom"], "left_anti"), "pulled")
+    ways = materialize(_ways(undirected(bonds), None).select("a", "b"), "ways")
+    level, found, hops = held.where(F.col("hops") == radius).select("center", "atom"), [held.withColumn("pulled", F.lit(False))], radius
+    rest = pulled
+    while not rest.isEmpty():
+        hops += 1
+        near = level.join(ways, F.col("atom") == F.col("a")).select("center", F.col("b").alias("atom")).distinct()
+        level = materialize(rest.join(near, ["center", "atom"], "left_semi"), "level")
+        found.append(level.select("center", "atom", F.lit(hops).alias("hops"), F.lit(True).alias("pulled")))
+        rest = materialize(rest.join(level, ["center", "atom"], "left_anti"), "rest")
+    return reduce(DataFrame.union, found)
+
+
 def alike_regions(atoms: DataFrame, bonds: DataFrame, centers: DataFrame, radius: int, label: Column, bond_label: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((center, region), (center, atom, hops, place)): which regions are the same but for the names of atoms.
 

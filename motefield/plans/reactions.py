@@ -95,6 +95,23 @@ def ring_sizes(spark, d):
     return rings.join(atoms.select("atom", "mol"), "atom").groupBy("mol", F.col("size").cast("long").alias("size")).agg(F.count("*").alias("n"))
 
 
+_CENTERS = "label = 'A' AND charge = 3"
+
+
+@query(f"""WITH RECURSIVE {V.MOLECULES}, p AS (SELECT a AS s, a, [a] AS path FROM (SELECT DISTINCT a FROM ways WHERE kind <> 'link') UNION ALL
+SELECT p.s, w.b, list_append(path, w.b) FROM p JOIN ways w ON w.a = p.a AND w.kind <> 'link' WHERE w.b > p.s AND NOT list_contains(path, w.b) AND len(path) < 5),
+y AS (SELECT DISTINCT s // 1000 AS ord, unnest(path) AS atom FROM p JOIN ways w ON w.a = p.a AND w.b = p.s AND w.kind <> 'link' WHERE len(path) > 2),
+r AS (SELECT atom AS center, atom, 0 AS hops FROM atoms WHERE {_CENTERS} UNION SELECT r.center, w.b, hops + 1 FROM r JOIN ways w ON w.a = r.atom WHERE hops < 2),
+t AS (SELECT DISTINCT r.center, y.ord FROM r JOIN y ON y.atom = r.atom),
+x AS (SELECT center, y.atom, min(hops) AS hops FROM (SELECT center, atom, hops FROM r UNION ALL SELECT center, y.atom, NULL FROM t JOIN y ON y.ord = t.ord) y GROUP BY 1, 2)
+SELECT center, count(*) AS n_atoms, count(*) FILTER (WHERE hops IS NULL) AS n_pulled FROM x GROUP BY 1""")
+def closed_regions(spark, d):
+    """Two bonds around some lines, with the rings of five and less that they reach; an order's small rings are one system."""
+    atoms, bonds = V.molecules(spark, d)
+    found = perception.closed_regions(bonds, atoms.where(_CENTERS).select(F.col("atom").alias("center"), "atom"), 2, 5)
+    return found.groupBy("center").agg(F.count("*").alias("n_atoms"), F.count_if("pulled").alias("n_pulled"))
+
+
 @query(f"""WITH RECURSIVE {V.MOLECULES}, h1 AS (SELECT a AS center, b AS atom FROM ways), h2 AS (SELECT DISTINCT h1.center, w.b AS atom FROM h1 JOIN ways w ON w.a = h1.atom),
 r AS MATERIALIZED (SELECT center, atom, min(hops) AS hops FROM (SELECT atom AS center, atom, 0 AS hops FROM atoms UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT x.center, w.a, w.b, w.strength FROM r x JOIN ways w ON w.a = x.atom JOIN r y ON y.center = x.center AND y.atom = w.b),

@@ -176,3 +176,19 @@ def test_double_bonds_of_fused_odd_rings_and_atoms_left_over(spark):
     assert sorted(a for e in double if max(e) < 10 for a in e) == list(range(10))
     over = sorted(map(tuple, left.collect()))
     assert len(over) == 3 and over[0][0] == 20 and over[1:] == [(30, 30), (40, 40)]
+
+
+def test_regions_cut_no_small_ring(spark):
+    """Centers on a tail before two fused rings of six, a ring of five on one atom, and a ring of nine."""
+    ring = lambda *v: {tuple(sorted(e)) for e in zip(v, (*v[1:], v[0]), strict=True)}
+    edges = {(0, 1), (1, 2), (2, 3)} | ring(3, 4, 5, 6, 7, 8) | ring(6, 7, 9, 10, 11, 12) | ring(10, 13, 14, 15, 16) | {(16, 20)} | ring(*range(20, 29))
+    bonds = spark.createDataFrame(list(edges), "atomi long, atomj long")
+    centers = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 22)], "center long, atom long")
+    rows = perception.closed_regions(bonds, centers, 2, 6).collect()
+    inside = {c: {r.atom: (r.hops, r.pulled) for r in rows if r.center == c} for c in (1, 2, 3)}
+    assert inside[1] == {0: (0, False), 1: (1, False), 2: (2, False)}
+    assert set(inside[2]) == set(range(17)) and inside[2][3] == (2, False) and inside[2][4] == (3, True) and inside[2][14] == (8, True)
+    assert set(inside[3]) == {20, 21, 22, 23, 24}
+    small = perception.smallest_rings(bonds, 5).collect()
+    assert [(r.size, r.atoms) for r in small] == [(5, [10, 13, 14, 15, 16])]
+    assert len(rows) == sum(map(len, inside.values()))
