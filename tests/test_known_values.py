@@ -138,3 +138,42 @@ def test_components_against_union_find(spark, kind):
             root[q] = p
     df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
     assert {(r.node, r.component) for r in components.connected_components(df).collect()} == {(i, find(i)) for i in list(root)}
+
+
+def test_kmeans_labels_are_a_fixed_point(spark):
+    import numpy as np
+
+    from motefield.plans import catalogue
+
+    found = dict(map(tuple, catalogue.QUERIES["kmeans"](spark, "/root/testdata/sf0.001").collect()))
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding[:8] for r in rows], dtype=float)
+    label = np.array([found[r.vec_id] for r in rows])
+    centers = np.array([x[label == k].mean(axis=0) for k in range(10)])
+    away = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+    # each row is nearest to the mean of its own rows
+    assert (away[np.arange(len(x)), label] <= away.min(axis=1) + 1e-9).all()
+
+
+def test_components_of_pca_are_the_axes_of_most_variance(spark):
+    import numpy as np
+
+    from motefield.plans import catalogue
+
+    found = {r.vec_id: (r.pc1, r.pc2) for r in catalogue.QUERIES["pca"](spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding[:8] for r in rows], dtype=float)
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = (x - x.mean(axis=0)) @ axes[:2].T
+    got = np.array([found[r.vec_id] for r in rows])
+    for k in range(2):
+        assert np.allclose(got[:, k], want[:, k], atol=1e-6) or np.allclose(got[:, k], -want[:, k], atol=1e-6)
+
+
+def test_chain_masses_have_the_moments_of_their_distribution(spark):
+    from motefield.operators import generators
+
+    rows = generators.sample_chains(spark, 40_000, lambda rng, n: rng.gamma(2.0, 500.0, n), seed=7).toPandas()
+    assert len(rows) == 40_000 and rows["chain"].is_unique
+    mn, mw = rows["value"].mean(), (rows["value"] ** 2).sum() / rows["value"].sum()
+    assert abs(mn - 1000) < 15 and abs(mw - 1500) < 30  # the errors expected are 3.5 and 6
