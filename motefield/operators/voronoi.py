@@ -3,12 +3,15 @@
 A particle's neighbours within a cutoff come by the cell join; its own task then cuts a cube by
 the radical plane of each neighbour, nearest plane first, until no plane can reach the cell.
 The work is local: a particle's neighbours are as many as the density allows. ``closed`` says
-that neighbours within the cutoff were enough; where it is false a larger cutoff is needed.
+that neighbours within the cutoff were enough; where it is false a larger cutoff is needed,
+which ``all_cells`` gives to these cells alone, round by round.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from motefield.functions.box import Box
 from motefield.operators.components import connected_components
 from motefield.operators.neighbors import both_ways, cross_pairs, neighbor_pairs
+from motefield.storage import materialize
 
 Faces = list[tuple[int, np.ndarray]]
 
@@ -36,7 +40,9 @@ def _cube(half: float) -> Faces:
 
 
 def _cut(faces: Faces, normal: np.ndarray, at: float, name: int, tiny: float) -> Faces:
-    """What is left on the side of normal . x <= at, with the new face."""
+    """What is left on the side of normal . x <= at, with the new face; a plane that only touches makes none."""
+    if all((corners @ normal - at <= tiny).all() for _, corners in faces):
+        return faces
     out, rim = [], []
     for neighbour, corners in faces:
         high = corners @ normal - at
@@ -76,8 +82,9 @@ def _area(corners: np.ndarray) -> np.ndarray:
     return np.cross(corners[1:-1] - corners[0], corners[2:] - corners[0]).sum(axis=0) / 2
 
 
-def cell(ids: np.ndarray, away: np.ndarray, radii: np.ndarray, own: float, cutoff: float, widest: float) -> tuple[float, list[tuple[int, float]], bool]:
-    """(volume, faces, closed) of the cell about the origin; ``widest``: no radius is larger."""
+def cell(ids: np.ndarray, away: np.ndarray, radii: np.ndarray, own: float, cutoff: float, widest: float, me: int | None = None) -> tuple[float, list[tuple[int, float]], bool]:
+    """(volume, faces, closed) of the cell about the origin; ``widest``: no radius is larger, ``me``: its own
+    id. An id may come several times, as images of one particle; each has a face of its own."""
     square = (away**2).sum(axis=1)
     length = np.sqrt(square)
     plane = (square + own**2 - radii**2) / 2 / np.where(length > 0, length, 1)
@@ -85,26 +92,28 @@ def cell(ids: np.ndarray, away: np.ndarray, radii: np.ndarray, own: float, cutof
     far = cutoff * np.sqrt(3)
     for k in np.argsort(plane, kind="stable"):
         if length[k] == 0:
-            if own < radii[k] or (own == radii[k] and ids[k] == ids.min()):
+            if own < radii[k] or (own == radii[k] and (ids[k] == ids.min() if me is None else ids[k] < me)):
                 faces = []
             continue
         if plane[k] >= far:
             break
-        faces = _cut(faces, away[k] / length[k], plane[k], int(ids[k]), tiny)
+        faces = _cut(faces, away[k] / length[k], plane[k], int(k), tiny)
         if not faces:
             break
         far = max(np.sqrt((c**2).sum(axis=1).max()) for _, c in faces)
+    if not faces:  # nothing is left of it, whatever else is near
+        return 0.0, [], True
     volume, told = 0.0, []
     for neighbour, corners in faces:
         area = _area(corners)
         part = abs(float(area @ corners[0])) / 3
         size = float(np.linalg.norm(area))
-        inner = plane[np.flatnonzero(ids == neighbour)[0]] if neighbour >= 0 else 1.0
+        inner = plane[neighbour] if neighbour >= 0 else 1.0
         volume += part if inner >= 0 else -part
         if size > tiny**2:
-            told.append((neighbour, size))
+            told.append((int(ids[neighbour]) if neighbour >= 0 else neighbour, size))
     reach = (cutoff**2 + own**2 - widest**2) / (2 * cutoff)
-    return volume, told, not any(n < 0 for n, _ in told) and far <= reach
+    return volume, told, not any(n < 0 for n, _ in faces) and far <= reach
 
 
 def radical_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius", keys=("frame",)) -> DataFrame:
@@ -115,18 +124,23 @@ def radical_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radi
     widest = float(atoms.agg(F.max(radius)).first()[0] or 0.0)
     held = atoms.withColumn("_r", F.coalesce(F.col(radius).cast("double"), F.lit(0.0)))
     near = both_ways(neighbor_pairs(held, box, cutoff, keys=keys, carry=("_r",)), carry=("_r",))
+    return _cells(held, near, cutoff, widest, keys)
+
+
+def _cells(held: DataFrame, near: DataFrame, cutoff: float, widest: float, keys: list[str]) -> DataFrame:
+    """Cells of the rows of ``held`` among their neighbours (keys, i, j, dx, dy, dz, _r_j)."""
     listed = near.groupBy(*keys, F.col("i").alias("atom")).agg(F.collect_list(F.struct("j", "dx", "dy", "dz", "_r_j")).alias("near"))
     rows = held.select(*keys, "atom", "_r").join(listed, [*keys, "atom"], "left")
-    schema = ", ".join(f"`{k}` {atoms.schema[k].dataType.simpleString()}" for k in [*keys, "atom"]) + ", volume double, faces array<struct<neighbour:bigint,area:double>>, closed boolean"
+    schema = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in [*keys, "atom"]) + ", volume double, faces array<struct<neighbour:bigint,area:double>>, closed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for own, around in zip(batch["_r"], batch["near"], strict=True):
+            for atom, own, around in zip(batch["atom"], batch["_r"], batch["near"], strict=True):
                 some = [] if around is None else list(around)
                 ids = np.array([s["j"] for s in some], dtype=np.int64)
                 away = np.array([[s["dx"], s["dy"], s["dz"]] for s in some], dtype=float).reshape(-1, 3)
-                volume, faces, closed = cell(ids, away, np.array([s["_r_j"] for s in some], dtype=float), float(own), cutoff, widest)
+                volume, faces, closed = cell(ids, away, np.array([s["_r_j"] for s in some], dtype=float), float(own), cutoff, widest, int(atom))
                 out.append((volume, [{"neighbour": n, "area": a} for n, a in faces if n >= 0], closed))
             told = pd.DataFrame(out, columns=["volume", "faces", "closed"])
             yield pd.concat([batch[[*keys, "atom"]].reset_index(drop=True), told], axis=1)
@@ -134,6 +148,55 @@ def radical_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radi
     return rows.mapInPandas(run, schema)
 
 
+def _image_pairs(some: DataFrame, all_: DataFrame, box: Box, cutoff: float, keys: list[str]) -> DataFrame:
+    """Neighbours of the rows of ``some`` among all images of ``all_`` within the cutoff, their own images included."""
+    counts = [math.ceil(cutoff / d) for d in box.face_distances]
+    place = lambda f: [sum((F.lit(float(box.matrix[r][k])) * f[k] for k in range(3)), F.lit(float(box.origin[r]))).alias(c) for r, c in enumerate("xyz")]
+
+    def wrapped(df: DataFrame) -> DataFrame:
+        inside = [v - F.floor(v) for v in box.fractional(("x", "y", "z"))]
+        return df.select(*keys, "atom", "_r", *[v.alias(f"_f{k}") for k, v in enumerate(inside)])
+
+    moved = wrapped(all_)
+    for k, (n, d) in enumerate(zip(counts, box.face_distances, strict=True)):
+        margin = cutoff / d
+        moved = moved.withColumn(f"_s{k}", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn(f"_f{k}", F.col(f"_f{k}") + F.col(f"_s{k}"))
+        moved = moved.where(F.col(f"_f{k}").between(-margin - 1e-9, 1 + margin + 1e-9))
+    images = moved.select(*keys, "atom", "_r", (F.abs("_s0") + F.abs("_s1") + F.abs("_s2")).alias("_away"), *place([F.col(f"_f{k}") for k in range(3)]))
+    own = wrapped(some)
+    centers = own.select(*keys, "atom", "_r", F.lit(0).alias("_away"), *place([F.col(f"_f{k}") for k in range(3)]))
+    free = Box(((0.0, 0.0, 0.0),) * 3, (False, False, False))
+    near = cross_pairs(centers, images, free, cutoff, keys=keys, carry=("_r", "_away"))
+    return near.where((F.col("i") != F.col("j")) | (F.col("_away_j") > 0)).select(*keys, "i", "j", "dx", "dy", "dz", "_r_j")
+
+
+def all_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius", keys=("frame",), growth: float = 1.5) -> DataFrame:
+    """``radical_cells`` in which every cell is closed, of a box that is periodic along all axes.
+
+    Cells that the cutoff leaves open are made anew with one ``growth`` times as large, among all images of the
+    particles of their frames, own ones included, until none is open; the others are not touched again. So the
+    first cutoff changes the work and not the result, and a box of few particles has whole cells too. Rows
+    with a null coordinate have no cell.
+    """
+    if not all(box.pbc) or box.style == "free":
+        raise ValueError("cells at a free side have no end: the box must be periodic along all axes")
+    if cutoff <= 0 or growth <= 1:
+        raise ValueError("the cutoff must be positive and grow")
+    keys = list(keys)
+    widest = float(atoms.agg(F.max(radius)).first()[0] or 0.0)
+    held = materialize(atoms.where("atom is not null and x is not null and y is not null and z is not null").withColumn("_r", F.coalesce(F.col(radius).cast("double"), F.lit(0.0))).select(*keys, "atom", "x", "y", "z", "_r"), "particles")
+    now, open_, closed = cutoff, held, []
+    while True:
+        frames = held if not closed else held.join(open_.select(*keys).distinct(), keys, "left_semi") if keys else held
+        made = materialize(_cells(open_, _image_pairs(open_, frames, box, now, keys), now, widest, keys), "cells")
+        closed.append(made.where("closed"))
+        left = made.where("not closed")
+        if left.isEmpty():
+            return reduce(DataFrame.union, closed)
+        open_ = materialize(open_.join(left.select(*keys, "atom"), [*keys, "atom"], "left_semi"), "open")
+        now *= growth
+
+
 def _adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, F.col("atom").alias("i"), F.explode("faces").alias("f")).select(*keys, "i", F.col("f.neighbour").alias("j")).where("i < j")
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions import geometry, predicates, units
-from motefield.operators import assembly, dynamics, forcefield, generators, graph, neighbors, placement, shape, signal, structure, trajectory
+from motefield.functions.box import Box
+from motefield.operators import assembly, dynamics, forcefield, generators, graph, neighbors, placement, shape, signal, structure, trajectory, voronoi
 from motefield.plans import views as V
 from motefield.plans.registry import query, rounded
 
@@ -389,3 +390,13 @@ SELECT lag, CAST(floor(r / (4.4 / 7)) AS INTEGER) AS bin, count(*) AS count FROM
 def van_hove_distinct(spark, d):
     p = V.pts(spark, d).select(F.col("atom").alias("particle"), "frame", "x", "y", "z")
     return dynamics.van_hove_distinct(p, V.BOX, 7, 4.4, [1, 3]).select("lag", "bin", "count")
+
+
+@query("SELECT c_nationkey AS frame, count(*) AS cells, 1000.0 AS volume FROM customer GROUP BY 1")
+def cell_volumes(spark, d):
+    """A frame for each nation's customers; whatever the first cutoff leaves open, the cells of a frame fill its box."""
+    place = lambda v: (v - F.floor(v)) * 10
+    key = F.col("c_custkey")
+    atoms = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("frame"), key.alias("atom"), place((F.col("c_acctbal") + 1000) / 11000).alias("x"), place(key * 0.618034).alias("y"), place(key * 0.754878).alias("z"), (0.5 + key % 5 / 10).alias("radius"))
+    cells = voronoi.all_cells(atoms, Box.cubic(10.0), 3.0)
+    return cells.groupBy("frame").agg(F.count("*").alias("cells"), F.round(F.sum("volume"), 4).alias("volume"))

@@ -171,3 +171,28 @@ def test_spatial_distribution_in_the_body_frame(spark):
     assert (row.ux, row.uy, row.uz) == pytest.approx((0.0, 1.0, 0.0), abs=1e-9)
     with pytest.raises(ValueError):
         structure.spatial_distribution(atoms, [0, 1], template[:2], [1], Box.cubic(50.0), 4, 2.0)
+
+
+def test_open_cells_are_made_anew_until_all_are_closed(spark):
+    import random
+
+    from motefield.functions.box import Box
+    from motefield.operators import voronoi
+
+    draw = random.Random(9)
+    rows = [(1, i, draw.uniform(-3, 9), draw.uniform(0, 7), draw.uniform(0, 8), draw.choice([0.5, 0.9])) for i in range(25)]
+    rows += [(2, 0, 1.0, 2.0, 3.0, 0.4), (3, 0, 1.0, 1.0, 1.0, 0.5), (3, 1, 4.0, 1.0, 1.0, 0.5), (3, 2, 4.0, 1.0, 1.0, 0.5), (3, 3, 4.0, None, 1.0, 0.5)]
+    atoms = spark.createDataFrame(rows, "frame long, atom long, x double, y double, z double, radius double")
+    box = Box.triclinic((6.0, 7.0, 8.0), (1.0, 0.5, 0.8))
+    found = {}
+    for cutoff in (1.5, 9.0):
+        cells = voronoi.all_cells(atoms, box, cutoff).collect()
+        assert all(r.closed for r in cells) and len(cells) == 29
+        sums = {f: sum(r.volume for r in cells if r.frame == f) for f in (1, 2, 3)}
+        assert all(abs(v - 336.0) < 1e-6 for v in sums.values())
+        found[cutoff] = {(r.frame, r.atom): (round(r.volume, 6), len(r.faces)) for r in cells}
+    assert found[1.5] == found[9.0]
+    # of two particles in one place the first has the cell; one particle meets its own images
+    assert found[1.5][3, 2][0] == 0 and found[1.5][3, 1][0] > 100 and found[1.5][2, 0][0] == 336.0
+    with pytest.raises(ValueError, match="periodic"):
+        voronoi.all_cells(atoms, Box.cubic(9.0, pbc=(True, True, False)), 2.0)
