@@ -7,32 +7,36 @@ its beginnings of 3 to 6 bytes, as 64-bit hashes - the number of toxic and of cl
 that have it. Features of at least ``SUPPORT`` toxic documents, and of a larger share of these
 than of clean ones, are counted once more by the different words before them, ``BURST`` of a
 document at most and those of a copied passage once. A feature whose counts are beyond chance
-(a likelihood ratio above ``CHANCE``, which no feature of so many would reach by accident) and
-e^2 times as frequent in toxic documents marks tokens: tokens of
-toxic documents with such a feature are labelled 1, all others 0. Sentences with labelled
-tokens, sentences of clean documents that have such a feature all the same, and others,
-``SENTENCES`` of each at most, train the field: weights of features, of the
-two states' transitions and of the start, by gradients from forward-backward marginals. One
-task does this on an executor, as the sentences are of a bounded number; the driver gets the
-weights alone.
-
-Scoring. Each whole text is cut into sentences (at line ends and full stops, and after
-``LONGEST`` tokens); forward-backward gives each token's marginal probability of being toxic.
-The sum of a document's marginals, those of at least ``FLOOR``, is its expected number of toxic
-tokens; its score is a logistic function of that number, of the number of tokens and of their
-ratio, fitted on the sample's documents, so that one such word in a long text weighs less than
-many in a short one. Spans of tokens of at least one half are the offending offsets. Tasks get
+and that is e^2 times as frequent in toxic documents marks tokens: tokens of toxic documents
+with such a feature are labelled 1, all others 0. Beyond chance are those that a likelihood
+ratio test of all of them passes with a share of ``FALSE`` false discoveries, so the bar follows
+the labels and the number of features tested. Sentences with labelled tokens, sentences of clean
+documents that have such a feature all the same, and others, one in ``ONE_IN`` of these and
+``SENTENCES`` of each kind at most, in pieces of at most ``PIECE`` tokens, train the field:
+weights of features, of the two states' transitions and of the start, by gradients from
+forward-backward marginals. One task does this on an executor, as these four parameters of
+``fit`` bound the tokens; the driver gets the weights and the tested features alone, 1,469 of
+them at sf0.1, each in ``SUPPORT`` documents of the sample or more.
+
+Scoring. Each whole text is cut into sentences at line ends and full stops, however long they
+are; forward-backward gives each token's marginal probability of being toxic. Each marginal is
+weighed by itself, so that the small ones of a long text's many plain words don't add up: the sum of
+their squares is how many tokens two independent taggings of the document are expected to call
+toxic alike. A document's score is a logistic function of that number, of the number of tokens
+and of their ratio, fitted on the sample's documents, so that one such word in a long text weighs
+less than many in a short one. Spans of tokens of at least one half are the offending offsets. Tasks get
 the weights of features that training sentences have, a bounded number of them.
 
 Labels that are null, or of documents that do not exist, are ignored; without labelled
 documents of both kinds every score is 0. Null text counts as empty, and an empty text has the
-score that the logistic function gives to no tokens (0.027 at sf0.01). A document labelled twice is
+score that the logistic function gives to no tokens (0.055 at sf0.01). A document labelled twice is
 toxic if any label says so. Repeated rows are scored each; empty tables give no rows; other columns
 are not carried.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,20 +50,22 @@ from motefield.storage import forget, materialize
 
 #: Documents and sentences (with and without labelled tokens) that training sees at most.
 SAMPLE, SENTENCES = 16_000, 8_000
-#: Of the sentences without such tokens, which are many, one in so many is drawn from.
-ONE_IN = 16
+#: Of the sentences without such tokens, which are many, training sees one in so many, drawn by
+#: a hash; sentences of more than so many tokens it sees in pieces.
+ONE_IN, PIECE = 16, 256
 #: Toxic documents that a feature must have, and different words before it that one document
 #: can count for.
 SUPPORT, BURST = 4, 3
-#: The likelihood ratio (as a logarithm) beyond which a feature marks tokens.
-CHANCE = 10.0
+#: The share of features that mark tokens by chance.
+FALSE = 0.001
 #: Emission of a token none of whose features is known: one feature alone does not make a
 #: token toxic, several that agree do.
 PRIOR = -6.0
 #: The feature that words too short for a beginning have; its weight is 0.
 NONE = np.uint64(0)
 PREFIXES = (3, 4, 5, 6)
-LONGEST, FLOOR = 256, 0.05
+#: Steps of one pass of forward-backward; longer chains are blocks that exchange messages.
+BLOCK = 256
 THRESHOLD = 0.3
 
 
@@ -72,9 +78,10 @@ def _lower(data: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of some texts: byte places, text, sentence bounds and hashed features."""
+    """Tokens of some texts: byte places, text, sentence bounds and hashed features; sentences
+    of more than ``piece`` tokens are cut where it is given."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, piece: int | None = None):
         data = _lower(data)
         inside = ((data >= 97) & (data <= 122)) | (data >= 128)
         edge = np.zeros(len(data) + 1, dtype=bool)
@@ -91,9 +98,10 @@ class Tokens:
         sentence = stops[self.start] if n else np.zeros(0, dtype=np.int64)
         new = np.ones(n, dtype=bool)
         new[1:] = (sentence[1:] != sentence[:-1]) | (self.doc[1:] != self.doc[:-1])
-        first = np.flatnonzero(new)
-        place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        new |= place % LONGEST == 0
+        if piece is not None:
+            first = np.flatnonzero(new)
+            place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+            new |= place % piece == 0
         self.first = np.flatnonzero(new)
         self.length = np.diff(np.append(self.first, n))
         up, down = powers(BASES[0], len(data))
@@ -137,7 +145,7 @@ class Lookup:
         return out
 
 
-def token_chunks(texts: pa.Array) -> Iterator[tuple[slice, Tokens]]:
+def token_chunks(texts: pa.Array, piece: int | None = None) -> Iterator[tuple[slice, Tokens]]:
     n = len(texts)
     if not n:
         return
@@ -147,7 +155,7 @@ def token_chunks(texts: pa.Array) -> Iterator[tuple[slice, Tokens]]:
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, side="right")) - 1)
-        yield slice(low, high), Tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        yield slice(low, high), Tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], piece)
         low = high
 
 
@@ -158,27 +166,74 @@ class Field:
         self.lookup, self.weights, self.moves, self.begin = lookup, weights, moves, begin
         self.link: np.ndarray | None = None
 
-    def marginals(self, emission: np.ndarray, first: np.ndarray, length: np.ndarray, moves: bool = False):
-        """P(state 1) of each token; with ``moves`` also expected transitions and log Z."""
-        n, m = len(emission), self.moves
-        order = np.argsort(-length, kind="stable")
-        first, length = first[order], length[order]
-        steps = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(steps), side="left")
-        f, b = np.zeros((2, n)), np.zeros((2, n))
-        for t in range(steps):
-            at = first[: active[t]] + t
+    def _forward(self, emission: np.ndarray, first: np.ndarray, active: np.ndarray, enter: np.ndarray, f: np.ndarray) -> None:
+        """Log sums over all ways up to each token; ``enter``: those up to the step into a chain's
+        first token. Chains are in falling order of length, ``active`` of them have a step."""
+        m = self.moves
+        for t, n in enumerate(active):
+            at = first[:n] + t
             if not t:
-                f[0, at], f[1, at] = self.begin[0], self.begin[1] + emission[at]
+                f[0, at], f[1, at] = enter[0], enter[1] + emission[at]
             else:
                 p, q = f[0, at - 1], f[1, at - 1]
                 f[0, at] = np.logaddexp(p + m[0, 0], q + m[1, 0])
                 f[1, at] = np.logaddexp(p + m[0, 1], q + m[1, 1]) + emission[at]
-        for t in range(steps - 2, -1, -1):
+
+    def _backward(self, emission: np.ndarray, first: np.ndarray, active: np.ndarray, last: np.ndarray, leave: np.ndarray, b: np.ndarray) -> None:
+        """Log sums over all ways behind each token; ``leave``: those behind a chain's last."""
+        m = self.moves
+        b[:, last] = leave
+        for t in range(len(active) - 2, -1, -1):
             at = first[: active[t + 1]] + t
             p, q = b[0, at + 1], b[1, at + 1] + emission[at + 1]
             b[0, at] = np.logaddexp(m[0, 0] + p, m[0, 1] + q)
             b[1, at] = np.logaddexp(m[1, 0] + p, m[1, 1] + q)
+
+    def _messages(self, emission: np.ndarray, first: np.ndarray, active: np.ndarray, last: np.ndarray, number: np.ndarray, place: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What enters and leaves each block of chains that are cut into blocks. A block's ways
+        from either state before it to either state at its end are a 2 x 2 matrix; messages go
+        along these, one step a block. ``number``: a block's place in its chain, ``place``: where
+        the block stands that is its chain's first, counted in the chains' own order."""
+        m, blocks = self.moves, len(first)
+        enter, leave = np.repeat(self.begin[:, None], blocks, axis=1), np.zeros((2, blocks))
+        if not number.any():
+            return enter, leave
+        ways = np.empty((2, 2, blocks))
+        for i in (0, 1):
+            self._forward(emission, first, active, np.where(number == 0, self.begin[:, None], m[i][:, None]), f)
+            ways[i] = f[:, last]
+        spot = np.empty(blocks, dtype=np.int64)  # of a block, by its place
+        spot[place + number] = np.arange(blocks)
+        done = ways[0].copy()  # of first blocks; the others follow
+        by_number = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[by_number], np.arange(number.max() + 2))
+        for k in range(1, len(bounds) - 1):
+            own = by_number[bounds[k] : bounds[k + 1]]
+            p, q = done[:, spot[place[own] + k - 1]]
+            enter[:, own] = np.logaddexp(p + m[0][:, None], q + m[1][:, None])
+            done[:, own] = np.logaddexp(p + ways[0][:, own], q + ways[1][:, own])
+        for k in range(len(bounds) - 2, 0, -1):
+            own = by_number[bounds[k] : bounds[k + 1]]
+            leave[:, spot[place[own] + k - 1]] = np.logaddexp(ways[:, 0, own] + leave[0, own], ways[:, 1, own] + leave[1, own])
+        return enter, leave
+
+    def marginals(self, emission: np.ndarray, first: np.ndarray, length: np.ndarray, moves: bool = False):
+        """P(state 1) of each token; with ``moves`` also expected transitions and log Z. The work
+        is linear in the tokens, whatever the length of a chain."""
+        n, m = len(emission), self.moves
+        parts = -(-length // BLOCK)
+        before = np.repeat(np.cumsum(parts) - parts, parts)
+        number = np.arange(len(before)) - before
+        start = np.repeat(first, parts) + number * BLOCK
+        size = np.minimum(np.repeat(length, parts) - number * BLOCK, BLOCK)
+        order = np.argsort(-size, kind="stable")
+        start, size, number, before = start[order], size[order], number[order], before[order]
+        active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+        f, b = np.zeros((2, n)), np.zeros((2, n))
+        last = start + size - 1
+        enter, leave = self._messages(emission, start, active, last, number, before, f)
+        self._forward(emission, start, active, enter, f)
+        self._backward(emission, start, active, last, leave, b)
         whole = np.logaddexp(f[0] + b[0], f[1] + b[1])
         p1 = np.exp(f[1] + b[1] - whole)
         if not moves:
@@ -199,9 +254,8 @@ class Field:
 
     @staticmethod
     def hits(p: np.ndarray, tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Expected toxic tokens, and tokens, of each of ``n`` texts."""
-        use = p >= FLOOR
-        return np.bincount(tokens.doc[use], weights=p[use], minlength=n), np.bincount(tokens.doc, minlength=n)
+        """Tokens that two taggings are expected to call toxic alike, and tokens, of ``n`` texts."""
+        return np.bincount(tokens.doc, weights=p * p, minlength=n), np.bincount(tokens.doc, minlength=n)
 
     def documents(self, p: np.ndarray, tokens: Tokens, n: int) -> np.ndarray:
         """Scores of ``n`` texts from the marginals of their tokens."""
@@ -301,21 +355,28 @@ def leaning(counts: DataFrame, toxic: int, clean: int) -> Lookup:
 
 
 def telling(counts: DataFrame, toxic: int, clean: int) -> Lookup:
-    """Features that toxic documents have beyond chance."""
+    """Features that toxic documents have beyond chance: of likelihood ratio tests of all features,
+    those that the step-up rule of Benjamini and Hochberg passes at ``FALSE``."""
     share = toxic / (toxic + clean)
     n = F.col("toxic") + F.col("clean")
     part = lambda x, s: F.when(x > 0, x * F.log(x / (n * s))).otherwise(0.0)
-    return _lookup(counts.where((_ratio(toxic, clean) > float(np.exp(2))) & (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share) > CHANCE)))
+    gain = part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)
+    rows = counts.select("feature", (_ratio(toxic, clean) > float(np.exp(2))).alias("often"), F.greatest(gain, F.lit(0.0)).alias("gain")).collect()
+    # twice the gain is chi-squared with one degree of freedom
+    tail = np.array([math.erfc(math.sqrt(r.gain)) for r in rows])
+    passed = np.sort(tail) <= FALSE * np.arange(1, len(tail) + 1) / max(len(tail), 1)
+    bar = np.sort(tail)[np.flatnonzero(passed)[-1]] if passed.any() else -1.0
+    return Lookup(np.sort(np.array([r.feature for r, p in zip(rows, tail) if r.often and p <= bar], dtype=np.int64).view(np.uint64)))
 
 
-def sentences(sample: DataFrame, marks: Lookup) -> DataFrame:
-    """(kind, toxic, order, text) of sentences: kind 2 holds labelled tokens, kind 1 tokens of
+def sentences(sample: DataFrame, marks: Lookup, one_in: int = ONE_IN, piece: int = PIECE) -> DataFrame:
+    """(kind, toxic, order, text) of sentences, long ones in pieces: kind 2 holds labelled tokens, kind 1 tokens of
     clean documents that look like them, kind 0 neither."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, column = batch.column(0).to_numpy(zero_copy_only=False), text_column(batch, 1)
-            for rows, tokens in token_chunks(column):
+            for rows, tokens in token_chunks(column, piece):
                 if not len(tokens.first):
                     continue
                 doc = tokens.doc[tokens.first]
@@ -323,7 +384,7 @@ def sentences(sample: DataFrame, marks: Lookup) -> DataFrame:
                 hit = np.add.reduceat(marks.any(tokens.features), tokens.first) > 0
                 kind = np.where(hit, 1 + bad, 0)
                 order = mix(tokens.features[tokens.first, 0] + tokens.length.astype(np.uint64) + seeded(7))
-                use = np.flatnonzero(hit | (order % np.uint64(ONE_IN) == 0))
+                use = np.flatnonzero(hit | (order % np.uint64(one_in) == 0))
                 raw = [x.as_py().encode() for x in column.slice(rows.start, rows.stop - rows.start)]
                 last = tokens.first + tokens.length - 1
                 text = [raw[doc[i]][tokens.start[tokens.first[i]] - tokens.base[tokens.first[i]] : tokens.end[last[i]] - tokens.base[last[i]]].decode(errors="replace") for i in use]
@@ -333,8 +394,10 @@ def sentences(sample: DataFrame, marks: Lookup) -> DataFrame:
     return sample.select("toxic", "text").mapInArrow(run, "kind int, toxic int, order long, text string")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field | None:
-    """The field trained on labelled rows that are not held out; None without both kinds."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, most: int = SENTENCES, one_in: int = ONE_IN, piece: int = PIECE) -> Field | None:
+    """The field trained on labelled rows that are not held out; None without both kinds. It
+    sees ``sample`` documents and ``most`` sentences of each kind at most, of those without
+    marked tokens one in ``one_in``, and sentences in pieces of ``piece`` tokens."""
     told = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # a number of rows that the limit bounds, 12 bytes each
     chosen = F.broadcast(told.orderBy(F.xxhash64("doc"), "doc").limit(sample))
@@ -345,8 +408,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not toxic or not clean:
         return None
     marks = telling(contexts(rows, leaning(feature_counts(rows), toxic, clean)), toxic, clean)
-    held = materialize(sentences(rows, marks), "sentences")
-    kinds = [held.where(F.col("kind") == kind).orderBy("order", "text").limit(SENTENCES) for kind in (2, 1, 0)]
+    held = materialize(sentences(rows, marks, one_in, piece), "sentences")
+    kinds = [held.where(F.col("kind") == kind).orderBy("order", "text").limit(most) for kind in (2, 1, 0)]
     told = trained(kinds[0].union(kinds[1]).union(kinds[2]), marks).first()
     field = None
     if told is not None:
