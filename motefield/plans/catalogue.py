@@ -11,7 +11,7 @@ from motefield.functions import geometry, predicates
 from motefield.functions.box import Box
 from motefield.operators import components, dynamics, forcefield, generators, graph, neighbors, shape, structure, trajectory
 from motefield.operators.histogram import histogram, histogram_nd
-from motefield.plans import correlations, extended, reactions  # noqa: F401  they register their queries
+from motefield.plans import correlations, extended, reactions, sites  # noqa: F401  they register their queries
 from motefield.plans import views as V
 from motefield.plans.registry import ORACLE_SQL as ORACLE_SQL
 from motefield.plans.registry import QUERIES as QUERIES
