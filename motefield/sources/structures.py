@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from motefield.sources.lines import numbered_lines, ranked_lines
 from motefield.sources.writers import write_xyz as write_xyz
+from motefield.storage import materialize
 
 NM = 10.0
+#: Lines that a frame asks for at once.
+_PART = 4096
 
 
 def _field(line: Column, start: int, length: int) -> Column:
@@ -92,20 +95,69 @@ def read_gro(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_xyz(spark: SparkSession, path) -> DataFrame:
-    """(file, frame, comment, atom, element, x, y, z) of all frames of files whose frames have as
-    many atoms as their first one.
+def _xyz_starts(lines: DataFrame) -> DataFrame:
+    """(file, line, n, frame) of the count lines that frames begin with.
+
+    A count line tells where the next one stands. From a file's first line all are found by
+    doubling: a round goes from the frames known by as many frames as are known, so there are
+    as many rounds as the number of frames has binary digits. Each joins lines that hold one number alone."""
+    told = lines.select("file", "line", F.trim("value").alias("v")).where(F.col("v").rlike("^[0-9]+$"))
+    counts = materialize(told.select("file", "line", F.col("v").try_cast("long").alias("n")).where("n is not null"), "xyz")
+    jumps = counts.select("file", "line", (F.col("line") + F.col("n") + 2).alias("to"))
+    found = lines.where("line = 0").select("file", "line", F.lit(0).cast("long").alias("frame"))
+    span = 1
+    while True:
+        new = materialize(found.join(jumps, ["file", "line"]).select("file", F.col("to").alias("line"), (F.col("frame") + span).alias("frame")), "xyz")
+        if new.isEmpty():
+            break
+        found = found.union(new)
+        on = jumps.select("file", F.col("line").alias("to"), F.col("to").alias("then"))
+        jumps = materialize(jumps.join(on, ["file", "to"]).select("file", "line", F.col("then").alias("to")), "xyz")
+        span *= 2
+    # behind the last frame a file has blank lines only
+    last = lines.where(F.trim("value") != "").groupBy("file").agg(F.max("line").alias("last"))
+    bad = found.join(counts, ["file", "line"], "left_anti").join(last, "file").where("last >= line").orderBy("file", "line").first()
+    if bad is not None:
+        raise ValueError(f"line {bad.line + 1} of {bad.file} should hold a frame's number of atoms")
+    return found.join(counts, ["file", "line"])
+
+
+def read_xyz(spark: SparkSession, path, same_size: bool = False) -> DataFrame:
+    """(file, frame, comment, atom, element, x, y, z) of all frames.
+
+    Lines are numbered over a file's splits, so a file of any size is read by many tasks.
+    Frames may differ in their number of atoms; their first lines are found by rounds, and
+    each frame asks for its lines by number. A file that says something else where a frame's
+    number of atoms should stand is an error; one that ends within a frame gives what it has.
+    With ``same_size`` all frames of a file must have as many atoms as its first one, or it is an
+    error: a frame is then a number of lines by division, without rounds or a join of lines."""
+    if same_size:
+        return _same_size_xyz(spark, path)
+    lines = ranked_lines(spark, path)
+    starts = _xyz_starts(lines)
+    comments = lines.select("file", (F.col("line") - 1).alias("line"), F.col("value").alias("comment"))
+    heads = starts.join(comments, ["file", "line"], "left").withColumn("comment", F.coalesce("comment", F.lit("")))
+    # two steps, so that a frame of any size is no long array
+    parts = heads.where("n > 0").select("file", "line", "n", "frame", "comment", F.explode(F.expr(f"sequence(0L, n - 1, {_PART}L)")).alias("_from"))
+    asked = parts.select("file", "frame", "comment", F.col("line").alias("_line"), F.explode(F.expr(f"sequence(_from, least(_from + {_PART}, n) - 1)")).alias("atom"))
+    rows = asked.withColumn("line", F.col("_line") + F.col("atom") + 2).join(lines, ["file", "line"])
+    return _xyz_rows(rows)
+
+
+def _xyz_rows(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("p", F.split(F.trim("value"), r"\s+"))
+    return rows.select("file", F.col("frame").cast("int").alias("frame"), "comment", "atom", F.col("p")[0].alias("element"), *[_number(F.get("p", F.lit(k + 1))).alias(c) for k, c in enumerate("xyz")])
 
-    Lines are numbered over a file's splits, so a frame is a number of lines by division and a
-    file of any size is read by many tasks. A frame that says another number is an error."""
+
+def _same_size_xyz(spark: SparkSession, path) -> DataFrame:
     lines = ranked_lines(spark, path)
     first = lines.where("line = 0").select("file", F.trim("value").try_cast("long").alias("n"))
     step = F.col("n") + 2
     placed = lines.join(first, "file").select("file", "n", F.floor(F.col("line") / step).alias("frame"), (F.col("line") % step - 2).alias("atom"), "value")
     other = F.when((F.col("atom") == -2) & (F.trim("value") != "") & ~F.coalesce(F.trim("value").try_cast("long") == F.col("n"), F.lit(False)), F.raise_error(F.lit("frames differ in their number of atoms")).cast("string"))
     comments = placed.where("atom < 0").withColumn("_e", other).groupBy("file", "frame").agg(F.max(F.when(F.col("atom") == -1, F.col("value"))).alias("comment"), F.max("_e").alias("_e")).where("_e is null").drop("_e")
-    rows = placed.where("atom >= 0").join(comments, ["file", "frame"]).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    return rows.select("file", F.col("frame").cast("int").alias("frame"), "comment", "atom", F.col("p")[0].alias("element"), *[_number(F.get("p", F.lit(k + 1))).alias(c) for k, c in enumerate("xyz")])
+    rows = placed.where("atom >= 0").join(comments, ["file", "frame"])
+    return _xyz_rows(rows)
 
 
 def _section(lines: Column, opens: str, closes: str) -> Column:

@@ -54,6 +54,55 @@ def test_xyz_round_trip(spark, tmp_path):
     assert sorted((r.comment, r.atom, r.x, r.y, r.z) for r in back.collect()) == want
 
 
+def _xyz(sizes):
+    lines = []
+    for f, n in enumerate(sizes):
+        # comments and atoms that look like count lines
+        lines += [f" {n}", "7" if f % 2 else f"frame {f}", *[f"C{f} {k} {f}.5 -1e-1" for k in range(n)]]
+    return lines
+
+
+def test_xyz_frames_of_different_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(structures, "_PART", 3)
+    sizes = [3, 1, 0, 5, 2, 7, 1, 1, 4]
+    (tmp_path / "a.xyz").write_text("\n".join(_xyz(sizes)) + "\n\n \n")
+    (tmp_path / "b.xyz").write_text("2\r\nc\r\nH 0 0 0\r\nO 1 2 3 extra\r\n")
+    (tmp_path / "c.xyz").write_text("")
+    rows = structures.read_xyz(spark, str(tmp_path)).collect()
+    a = sorted((r.frame, r.atom, r.comment, r.element, r.x, r.y, r.z) for r in rows if r.file.endswith("a.xyz"))
+    assert a == [(f, k, "7" if f % 2 else f"frame {f}", f"C{f}", float(k), f + 0.5, -0.1) for f, n in enumerate(sizes) for k in range(n)]
+    assert sorted((r.frame, r.atom, r.element, r.z) for r in rows if r.file.endswith("b.xyz")) == [(0, 0, "H", 0.0), (0, 1, "O", 3.0)]
+    assert len(rows) == sum(sizes) + 2
+
+
+def test_xyz_in_many_splits(spark, tmp_path):
+    sizes = [1 + k * 7 % 11 for k in range(200)]
+    (tmp_path / "a.xyz").write_text("\n".join(_xyz(sizes)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = structures.read_xyz(spark, str(tmp_path)).groupBy("frame").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.frame: r["count"] for r in found} == dict(enumerate(sizes))
+
+
+@pytest.mark.parametrize("text", ["x\nc\nH 0 0 0", "1\nc\nH 0 0 0\nH 1 1 1", "1\nc\nH 0 0 0\n\n1\nc\nH 0 0 0"])
+def test_xyz_without_a_count_is_an_error(spark, tmp_path, text):
+    (tmp_path / "a.xyz").write_text(text)
+    with pytest.raises(ValueError, match="number of atoms"):
+        structures.read_xyz(spark, str(tmp_path))
+
+
+def test_xyz_that_ends_early_and_same_size(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text("\n".join(_xyz([2, 2, 2])[:-1]))
+    both = [sorted(map(str, structures.read_xyz(spark, str(tmp_path), same_size=s).collect())) for s in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 5
+    (tmp_path / "a.xyz").write_text("\n".join(_xyz([2, 3])))
+    with pytest.raises(Exception, match="differ"):
+        structures.read_xyz(spark, str(tmp_path), same_size=True).collect()
+
+
 def test_units():
     assert units.factor("energy", "metal", "real") == pytest.approx(23.0605, abs=1e-3)
     assert units.factor("length/time", "real", "si") == pytest.approx(1e5)
