@@ -1,20 +1,20 @@
 """Windows, frequency grids and spectra of correlation curves.
 
 A curve has as many rows as lags. A transform explodes each lag into the frequencies and sums
-by frequency; beyond ``LONG`` lags, where that would be very many rows, the curve - a column of
-numbers, 8 MB for a million lags - is one group that a fast Fourier transform works on.
+by frequency; beyond ``LONG`` lags, where that would be very many rows, it is a fast Fourier
+transform in two steps of groups (``fourier.dft``), none of which holds the curve.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lags from which on a curve is transformed as a whole.
+from motefield.operators.fourier import convolve, dft
+
+#: Lags from which on a transform is a fast one; the sums are the same.
 LONG = 4096
 
 #: Fixed value: the speed of light in cm/fs.
@@ -45,15 +45,8 @@ def transform(curve: DataFrame, value: str, n: int, order: str = "lag") -> DataF
     """(k, re, im): sums of value cos(omega t) and value sin(omega t) over the points of a curve,
     at k = 0 ... n // 2 of a grid of n. Points that the curve lacks count as 0."""
     if n > LONG:
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            x = np.zeros(n)
-            x[rows["l"].to_numpy()] = rows["v"].to_numpy()
-            y = np.fft.rfft(x)
-            return pd.DataFrame({"k": np.arange(len(y)), "re": y.real, "im": -y.imag})
-
-        points = curve.where((F.col(order) >= 0) & (F.col(order) < n)).select(F.lit(0).alias("one"), F.col(order).cast("long").alias("l"), F.col(value).cast("double").alias("v"))
-        return points.groupBy("one").applyInPandas(run, "k int, re double, im double")
+        points = curve.where((F.col(order) >= 0) & (F.col(order) < n)).select(F.col(order).cast("long").alias("j"), F.col(value).cast("double").alias("re"), F.lit(0.0).alias("im"))
+        return dft(points.fillna(0.0, ["re"]), n).where(F.col("j") <= n // 2).select(F.col("j").cast("int").alias("k"), "re", (-F.col("im")).alias("im"))
     rows = curve.select(F.col(order).alias("_l"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
     turn = F.col("k") * F.col("_l") * (2 * math.pi / n)
     return rows.groupBy("k").agg(F.sum(F.col("_v") * F.cos(turn)).alias("re"), F.sum(F.col("_v") * F.sin(turn)).alias("im"))
@@ -151,13 +144,22 @@ def green_kubo_spectrum(curve: DataFrame, n: int, dt: float, scale: float, eps_i
 def kramers_kronig(spectrum: DataFrame, eps_inf: float = 1.0) -> DataFrame:
     """(k, omega, eps_real) that the loss of a spectrum (k, omega, eps_imag) implies, by
     Maclaurin's rule: 4 h / pi times the sum over points of the other parity of
-    w' eps_imag(w') / (w'^2 - w^2). Each point meets half of the curve's others."""
+    w' eps_imag(w') / (w'^2 - w^2). ``omega`` is k times a step h, k not negative and each
+    once; a point that the spectrum lacks or that is null counts as 0.
+
+    With the loss as an odd function of k the sum is a convolution with 1 / m at odd m, so it
+    is made of transforms whose groups hold about the root of the points. No rows give none."""
     rows = spectrum.select("k", "omega", "eps_imag")
-    step = rows.agg(F.max("omega").alias("_top"), F.max("k").alias("_n")).select((F.col("_top") / F.col("_n")).alias("_h"))  # one row
-    far = rows.select((F.col("k") % 2).alias("_odd"), F.col("omega").alias("_o"), F.col("eps_imag").alias("_e"))
-    met = rows.withColumn("_odd", (F.col("k") + 1) % 2).join(far, "_odd")
-    sums = met.groupBy("k", "omega").agg(F.sum(F.col("_o") * F.col("_e") / (F.col("_o") ** 2 - F.col("omega") ** 2)).alias("_s"))
-    return sums.join(F.broadcast(step), F.lit(True)).select("k", "omega", (eps_inf + F.col("_s") * F.col("_h") * (4 / math.pi)).alias("eps_real"))
+    top = rows.agg(F.max("k")).first()[0]
+    if top is None:
+        return rows.select("k", "omega", F.lit(None).cast("double").alias("eps_real"))
+    loss = rows.select(F.col("k").cast("long").alias("j"), F.coalesce("eps_imag", F.lit(0.0)).cast("double").alias("e")).where("j > 0")
+    odd = loss.select(F.explode(F.array(F.struct("j", F.col("e").alias("re")), F.struct((-F.col("j")).alias("j"), (-F.col("e")).alias("re")))).alias("v")).select("v.j", "v.re", F.lit(0.0).alias("im"))
+    # as long as the farthest two points are apart, to either side
+    reach = 2 * int(top) + 1
+    kernel = spectrum.sparkSession.range(-reach, reach + 1, 2).select(F.col("id").alias("j"), (-1.0 / F.col("id")).alias("re"), F.lit(0.0).alias("im"))
+    sums = convolve(odd, kernel, 1 << (2 * reach).bit_length())
+    return rows.join(sums.select(F.col("j").alias("k"), F.col("re").alias("_s")), "k").select("k", "omega", (eps_inf + F.col("_s") * (2 / math.pi)).alias("eps_real"))
 
 
 def conductivity_sum_rule(spectrum: DataFrame, value: str = "sigma") -> DataFrame:
