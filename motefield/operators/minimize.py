@@ -60,7 +60,7 @@ def minimize(atoms: DataFrame, slope: Callable[[DataFrame], DataFrame], fmax: fl
 
     state = atoms.select("frame", "atom", *XYZ, *[F.lit(0.0).alias(f"_{k}{i}{c}") for k in "sy" for i in range(memory) for c in XYZ], F.lit(0).alias("steps"))
     state = materialize(with_slope(state), "minimum")
-    rule = F.udf(lambda v: _weights(dict(zip(keys, v, strict=True)), memory), "array<double>")
+    rule = F.pandas_udf(lambda sums: sums.map(lambda v: _weights(dict(zip(keys, v, strict=True)), memory)), "array<double>")
     keys = [f"{a}.{b}" for i, a in enumerate(names) for b in names[i:]]
     size = F.sqrt(sum((F.col(f"_d{c}") ** 2 for c in XYZ), F.lit(0.0)))
     for step in range(steps):
@@ -72,7 +72,8 @@ def minimize(atoms: DataFrame, slope: Callable[[DataFrame], DataFrame], fmax: fl
         held = state.join(moving, "frame", "left")
         d = {f"_d{c}": F.when(F.col("_w").isNull(), 0.0).otherwise(sum((F.col("_w")[k] * F.col(f"{n}{c}") for k, n in enumerate(names)), F.lit(0.0))) for c in XYZ}
         held = held.withColumns(d).withColumn("_size", size)
-        most = held.groupBy("frame").agg(F.max("_size").alias("_most"))
+        # written, as the frame's sums are: a large frame is then dealt over several tasks
+        most = materialize(held.groupBy("frame").agg(F.max("_size").alias("_most")), "most")
         held = held.join(most, "frame").withColumn("_k", F.least(F.lit(1.0), longest / F.greatest("_most", F.lit(1e-300))))
         still = F.col("_w").isNull()
         moved = held.select(
@@ -86,7 +87,8 @@ def minimize(atoms: DataFrame, slope: Callable[[DataFrame], DataFrame], fmax: fl
         old, state = state, materialize(told.select(state.columns), "minimum")
         forget(old)
         forget(moving)
+        forget(most)
         if every is not None:
             every(step + 1, state)
-    last = state.groupBy("frame").agg(F.max(F.greatest(*[F.abs(f"_g{c}") for c in XYZ])).alias("fmax"))
+    last = materialize(state.groupBy("frame").agg(F.max(F.greatest(*[F.abs(f"_g{c}") for c in XYZ])).alias("fmax")), "most")
     return state.join(last, "frame").select("frame", "atom", *XYZ, "fmax", "steps")
