@@ -1,21 +1,35 @@
-"""Neighbour joins: pairs of points within a cutoff under a box, as an equi-join on cells.
+"""Neighbour joins: pairs of points within a cutoff under a box.
 
-Space is cut into cells no smaller than the cutoff. One side is repeated for the cells around
-its own, with wrapped indices along periodic axes, and both sides are joined on frame and
-cell; the exact distance follows as a filter. A self-join visits half of the cells around,
-so a pair arises once. A range predicate instead would be planned as a Cartesian product.
+Space is cut into cells no smaller than the cutoff, and cells into blocks of a fixed number of
+them. Rows are dealt by frame and block, those at a block's rim to the blocks next to it as
+well, so about one row a point is shuffled. A task then looks into the cells around each of its
+points, many blocks at once in arrays; a pair arises in the block of its first point. A range
+predicate instead would be planned as a Cartesian product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from motefield.functions.box import Box
 
 XYZ = ("x", "y", "z")
+BLOCKS = ["_bx", "_by", "_bz"]
+
+#: Cells of a block along each axis.
+BLOCK = 16
+
+#: Rows that a task takes at once, if a block has no more, and pairs that it compares at once.
+ROWS, MOST = 1 << 17, 1 << 21
 
 
 def _grid(box: Box, cutoff: float) -> list[int | None]:
@@ -34,36 +48,124 @@ def _cells(box: Box, cutoff: float, grid: list[int | None]) -> list[Column]:
     return out
 
 
-def _offsets(grid: list[int | None]) -> list[tuple[int, int, int]]:
-    steps = [sorted({o % n for o in (-1, 0, 1)}) if n else [-1, 0, 1] for n in grid]
-    return list(product(*steps))
-
+def _dealt(df: DataFrame, box: Box, cutoff: float, grid: list[int | None], keys, atom: str, carry, around: bool) -> DataFrame:
+    """(keys, block, _c, _home, _id, x, y, z, carry): each row in its own block or, with ``around``, in each block
+    that its cell borders on; ``_c``: its cell's number there."""
+    known = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, *XYZ)]))
+    rows = known.select(*keys, F.col(atom).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XYZ], *carry, *[c.alias(n) for n, c in zip(("_cx", "_cy", "_cz"), _cells(box, cutoff, grid), strict=True)])
+    place, home = F.lit(0).cast("long"), F.lit(True)
+    for c, b, n, d in zip(("_cx", "_cy", "_cz"), BLOCKS, grid, _extent(grid), strict=True):
+        at = lambda v, n=n: F.floor((F.pmod(v, F.lit(n).cast("long")) if n else v) / BLOCK)
+        if n and n <= BLOCK:
+            rows = rows.withColumn(b, F.lit(0).cast("long"))
+        elif around:
+            rows = rows.withColumn(b, F.explode(F.array_distinct(F.array(at(F.col(c)), at(F.col(c) - 1), at(F.col(c) + 1)))))
+            home = home & (F.col(b) == at(F.col(c)))
+        else:
+            rows = rows.withColumn(b, at(F.col(c)))
+        within = F.col(c) - F.col(b) * BLOCK + 1
+        place = place * d + (F.pmod(within, F.lit(n).cast("long")) if n else within)
+    return rows.select(*keys, *BLOCKS, place.alias("_c"), home.alias("_home"), "_id", *XYZ, *carry)
 
-def _opposite(o: tuple[int, int, int], grid) -> tuple[int, int, int]:
-    """The offset that leads back; on an axis of one or two cells an offset is its own opposite."""
-    return tuple((-v) % n if n else -v for v, n in zip(o, grid, strict=True))
 
+def _extent(grid: list[int | None]) -> list[int]:
+    """Cells of a block with those around it, along each axis."""
+    return [min(n, BLOCK + 2) if n else BLOCK + 2 for n in grid]
 
-def _around(df: DataFrame, offsets, grid) -> DataFrame:
-    """Each row once for each offset, its cell moved there; ``_far``: the offset has another as
-    its opposite."""
-    array = F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for a, v in zip("abc", o, strict=True)], F.lit(o != _opposite(o, grid)).alias("far")) for o in offsets])
-    moved = df.withColumn("_o", F.explode(array))
-    for c, a, n in zip(("_cx", "_cy", "_cz"), "abc", grid, strict=True):
-        to = F.col(c) + F.col(f"_o.{a}")
-        moved = moved.withColumn(c, F.pmod(to, F.lit(n).cast("long")) if n else to)
-    return moved.withColumn("_far", F.col("_o.far")).drop("_o")
 
+def _sum(terms: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    return reduce(np.add, terms) if terms else np.zeros_like(like)
 
-def _placed(df: DataFrame, box: Box, cutoff: float, grid, keys, atom: str, carry, side: str) -> DataFrame:
-    cells = [c.alias(n) for c, n in zip(_cells(box, cutoff, grid), ("_cx", "_cy", "_cz"), strict=True)]
-    return df.select(*keys, F.col(atom).alias(side), *[F.col(c).alias(f"_{c}_{side}") for c in XYZ], *[F.col(c).alias(f"{c}_{side}") for c in carry], *cells)
 
-
-def _measured(joined: DataFrame, box: Box, cutoff: float) -> DataFrame:
-    dx, dy, dz = box.minimum_image(tuple(F.col(f"_{c}_j") - F.col(f"_{c}_i") for c in XYZ))
-    near = joined.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("_d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-    return near.where(F.col("_d2") <= cutoff * cutoff).withColumn("dist", F.sqrt("_d2")).drop("_d2")
+def _image(box: Box, d: list[np.ndarray]) -> list[np.ndarray]:
+    """``Box.minimum_image`` of arrays, by the same operations."""
+    if box.style == "free":
+        return d
+    if box.style == "orthogonal":
+        return [c - box.matrix[k][k] * np.rint(c / box.matrix[k][k]) if box.pbc[k] else c for k, c in enumerate(d)]
+    linear = lambda m, x: [_sum([float(v) * c for v, c in zip(row, x, strict=True) if v], x[0]) for row in m]
+    back = [np.rint(f) if p else np.zeros_like(f) for f, p in zip(linear(np.linalg.inv(np.array(box.matrix)), d), box.pbc, strict=True)]
+    return [c - s for c, s in zip(d, linear(np.array(box.matrix), back), strict=True)]
+
+
+def _numbers(ids: pa.Array) -> np.ndarray:
+    """Whole numbers in the order of the ids."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    return np.unique(np.array(ids.to_pylist()), return_inverse=True)[1]
+
+
+def _searched(rows: pa.Table, box: Box, cutoff: float, grid: list[int | None], keys: list[str], carry: list[str], apart: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole blocks; ``apart``: of rows that are ``_home`` with those that are not."""
+    n, extent = rows.num_rows, _extent(grid)
+    held = {c: rows[c].combine_chunks() for c in rows.column_names}
+    edge = np.zeros(n, dtype=bool)
+    for c in (*keys, *BLOCKS):
+        edge[1:] |= pc.not_equal(held[c][1:], held[c][:-1]).to_numpy(zero_copy_only=False)
+    home, cell = (held[c].to_numpy(zero_copy_only=False) for c in ("_home", "_c"))
+    base = np.cumsum(edge) * int(np.prod(extent))
+    xyz = [held[c].to_numpy(zero_copy_only=False) for c in XYZ]
+    number = None if apart else _numbers(held["_id"])
+    others = np.flatnonzero(~home) if apart else np.arange(n)
+    order = others[np.argsort((base + cell)[others], kind="stable")]
+    cells, first, count = np.unique((base + cell)[order], return_index=True, return_counts=True)
+    mine = np.flatnonzero(home)
+    if not len(mine) or not len(cells):
+        return
+    where = np.unravel_index(cell[mine], extent)
+    steps = [sorted({o % d for o in (-1, 0, 1)}) if m and m < BLOCK + 2 else [-1, 0, 1] for m, d in zip(grid, extent, strict=True)]
+    for step in product(*steps):
+        to = base[mine] + np.ravel_multi_index([(w + o) % d for w, o, d in zip(where, step, extent, strict=True)], extent)
+        at = np.minimum(np.searchsorted(cells, to), len(cells) - 1)
+        has = cells[at] == to
+        left, at = mine[has], at[has]
+        upto = np.cumsum(count[at])
+        # no more than so many at once, however many share a cell
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(MOST, int(upto[-1]) if len(upto) else 0, MOST), side="right"), [len(left)]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k = count[at[a:b]]
+            i = np.repeat(left[a:b], k)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[at[a:b]], k)]
+            if number is not None:
+                once = number[i] < number[j]
+                i, j = i[once], j[once]
+            d = _image(box, [x[j] - x[i] for x in xyz])
+            square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+            near = square <= cutoff * cutoff
+            if near.any():
+                p, q = pa.array(i[near]), pa.array(j[near])
+                told = [*(held[c].take(p) for c in keys), held["_id"].take(p), held["_id"].take(q), *(pa.array(c[near]) for c in d), pa.array(np.sqrt(square[near]))]
+                told += [held[c].take(r) for r in (p, q) for c in carry]
+                yield pa.RecordBatch.from_arrays(told, [*keys, "i", "j", "dx", "dy", "dz", "dist", *[f"{c}_{s}" for s in "ij" for c in carry]])
+
+
+def _pairs(rows: DataFrame, box: Box, cutoff: float, grid: list[int | None], keys: list[str], carry, apart: bool) -> DataFrame:
+    carry, kinds = list(carry), {f.name: f.dataType for f in rows.schema}
+    told = [(k, kinds[k]) for k in keys] + [(c, kinds["_id"]) for c in "ij"] + [(c, DoubleType()) for c in ("dx", "dy", "dz", "dist")] + [(f"{c}_{s}", kinds[c]) for s in "ij" for c in carry]
+    dealt = rows.repartition(*keys, *BLOCKS) if keys else rows.repartition(*BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                # up to where the last block begins
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = np.zeros(n - 1, dtype=bool)
+                for c in (*keys, *BLOCKS):
+                    column = rows[c].combine_chunks()
+                    last |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+                cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+                if cut:
+                    yield from _searched(rows.slice(0, cut), box, cutoff, grid, keys, carry, apart)
+                    held, n = rows.slice(cut).to_batches(), n - cut
+        if n:
+            yield from _searched(pa.Table.from_batches(held), box, cutoff, grid, keys, carry, apart)
+
+    return dealt.sortWithinPartitions(*keys, *BLOCKS).mapInArrow(run, StructType([StructField(c, t) for c, t in told]))
 
 
 def neighbor_pairs(atoms: DataFrame, box: Box, cutoff: float, keys=("frame",), atom: str = "atom", carry=()) -> DataFrame:
@@ -72,28 +174,16 @@ def neighbor_pairs(atoms: DataFrame, box: Box, cutoff: float, keys=("frame",), a
     neighbours. The cutoff must not exceed half the least face distance of a periodic box.
     """
     keys, grid = list(keys), _grid(box, cutoff)
-    # of an offset and its opposite the later one is enough; one that is its own opposite meets a pair from either end
-    offsets = [o for o in _offsets(grid) if o >= _opposite(o, grid)]
-    left = _around(_placed(atoms, box, cutoff, grid, keys, atom, carry, "i"), offsets, grid)
-    right = _placed(atoms, box, cutoff, grid, keys, atom, carry, "j")
-    joined = left.join(right, [*keys, "_cx", "_cy", "_cz"]).where(F.col("_far") | (F.col("i") < F.col("j")))
-    near = _measured(joined, box, cutoff)
-    swap = F.col("i") > F.col("j")
-    flip = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    sign = F.when(swap, -1.0).otherwise(1.0)
-    pairs = [(f"{c}_i", f"{c}_j") for c in carry]
-    return near.select(
-        *keys, flip("i", "j").alias("i"), flip("j", "i").alias("j"), (F.col("dx") * sign).alias("dx"), (F.col("dy") * sign).alias("dy"), (F.col("dz") * sign).alias("dz"), "dist",
-        *[flip(a, b).alias(a) for a, b in pairs], *[flip(b, a).alias(b) for a, b in pairs],
-    )
+    rows = _dealt(atoms.where(F.col(atom).isNotNull()), box, cutoff, grid, keys, atom, carry, True)
+    return _pairs(rows, box, cutoff, grid, keys, carry, False)
 
 
 def cross_pairs(points: DataFrame, others: DataFrame, box: Box, cutoff: float, keys=("frame",), atom: str = "atom", carry=()) -> DataFrame:
     """(keys, i, j, dx, dy, dz, dist) of points i and others j within ``cutoff``."""
     keys, grid = list(keys), _grid(box, cutoff)
-    left = _around(_placed(points, box, cutoff, grid, keys, atom, carry, "i"), _offsets(grid), grid)
-    joined = left.join(_placed(others, box, cutoff, grid, keys, atom, carry, "j"), [*keys, "_cx", "_cy", "_cz"])
-    return _measured(joined, box, cutoff).select(*keys, "i", "j", "dx", "dy", "dz", "dist", *[f"{c}_{s}" for s in "ij" for c in carry])
+    left = _dealt(points, box, cutoff, grid, keys, atom, carry, False)
+    right = _dealt(others, box, cutoff, grid, keys, atom, carry, True).withColumn("_home", F.lit(False))
+    return _pairs(left.union(right), box, cutoff, grid, keys, carry, True)
 
 
 def both_ways(pairs: DataFrame, carry=()) -> DataFrame:

@@ -161,14 +161,14 @@ _CHAIN = f"{V.PTS}, steps AS (SELECT i.frame, i.atom, {_step('i', 'j')}, {_step(
 
 @query(f"WITH {_CHAIN}, h AS (SELECT CAST(floor(sqrt(xij * xij + yij * yij + zij * zij) / (26.3 / 12)) AS INTEGER) AS bin, count(*) AS n FROM steps WHERE xij * xij + yij * yij + zij * zij < {26.3**2!r} GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(12) LEFT JOIN h ON bin = range")
 def distance_distribution(spark, d):
-    p = V.pts(spark, d)
+    p = V.written_pts(spark, d)
     return structure.value_distribution(structure.bond_lengths(_chain(p, 2), p, V.BOX), 12, 0.0, 26.3).select("bin", "count")
 
 
 @query(f"""WITH {_CHAIN}, a AS (SELECT acos(greatest(least(-(xij * xjk + yij * yjk + zij * zjk) / s, 1), -1)) AS v FROM (SELECT *, sqrt((xij * xij + yij * yij + zij * zij) * (xjk * xjk + yjk * yjk + zjk * zjk)) AS s FROM steps) WHERE s > 0),
 h AS (SELECT CAST(floor(v / (3.2 / 11)) AS INTEGER) AS bin, count(*) AS n FROM a GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(11) LEFT JOIN h ON bin = range""")
 def angle_distribution(spark, d):
-    p = V.pts(spark, d)
+    p = V.written_pts(spark, d)
     return structure.value_distribution(structure.bond_angles(_chain(p, 3), p, V.BOX), 11, 0.0, 3.2, sine=True).select("bin", "count")
 
 
@@ -177,7 +177,7 @@ s AS (SELECT sqrt(xjk * xjk + yjk * yjk + zjk * zjk) * (xij * bx + yij * by_ + z
 v AS (SELECT atan2(CASE WHEN s = 0 THEN 0 ELSE s END, CASE WHEN c = 0 THEN 0 ELSE c END) AS v FROM s),
 h AS (SELECT CAST(floor((v + 3.3) / (6.6 / 13)) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1) SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(13) LEFT JOIN h ON bin = range""")
 def dihedral_distribution(spark, d):
-    p = V.pts(spark, d)
+    p = V.written_pts(spark, d)
     return structure.value_distribution(structure.torsions(_chain(p, 4), p, V.BOX), 13, -3.3, 3.3).select("bin", "count")
 
 
@@ -263,26 +263,26 @@ _CLUSTERS = f"""WITH RECURSIVE {V.pairs_sql(1.2)}, {V.WAYS}, reach AS (SELECT fr
 members AS (SELECT frame, a AS atom, min(b) AS cluster FROM reach GROUP BY 1, 2)"""
 
 
-def _clusters(spark, d) -> DataFrame:
-    p = V.pts(spark, d)
+def _clusters(p: DataFrame) -> DataFrame:
     return shape.clusters(neighbors.neighbor_pairs(p, V.BOX, 1.2), p)
 
 
 @query(f"{_CLUSTERS} SELECT frame, atom, cluster FROM members")
 def clusters(spark, d):
-    return _clusters(spark, d)
+    return _clusters(V.written_pts(spark, d))
 
 
 @query(f"{_CLUSTERS} SELECT frame, cluster, count(*) AS size FROM members GROUP BY 1, 2 HAVING count(*) >= 3")
 def cluster_sizes(spark, d):
-    return shape.cluster_sizes(_clusters(spark, d), 3)
+    return shape.cluster_sizes(_clusters(V.written_pts(spark, d)), 3)
 
 
 @query(f"""{_CLUSTERS}, c AS (SELECT m.frame, cluster, count(*) AS n, sum(mass) AS mass, avg(x) AS cx, sum(mass * x) / sum(mass) AS mx, sum(mass * y) / sum(mass) AS my, sum(mass * z) / sum(mass) AS mz,
  sum(mass * (x * x + y * y + z * z)) / sum(mass) AS s FROM members m JOIN pts p ON m.frame = p.frame AND m.atom = p.atom GROUP BY 1, 2)
 SELECT frame, cluster, n, mass, round(cx, 6) AS cx, round(mx, 6) AS mx, round(sqrt(greatest(s - mx * mx - my * my - mz * mz, 0)), 3) AS rg FROM c""")
 def cluster_properties(spark, d):
-    rows = _clusters(spark, d).join(V.pts(spark, d), ["frame", "atom"])
+    p = V.written_pts(spark, d)
+    rows = _clusters(p).join(p, ["frame", "atom"])
     return shape.moments(rows, ["frame", "cluster"], F.col("mass")).select("frame", "cluster", "n", "mass", _r("cx"), _r("mx"), _r("rg", 3))
 
 
@@ -359,7 +359,7 @@ def pair_forces(spark, d):
 
 @query(f"""WITH {V.pairs_sql(2.3)} SELECT frame, round(sum(CASE WHEN j = i + 1 THEN 0.5 * 2.0 * pow(dist - 1.5, 2) ELSE 0.5 * 3.0 * pow(2.2 - least(dist, 2.2), 2) END), 4) AS energy FROM pairs WHERE j = i + 1 OR dist < 2.2 GROUP BY 1""")
 def soft_potential(spark, d):
-    p = V.pts(spark, d)
+    p = V.written_pts(spark, d)
     near, bonds = neighbors.neighbor_pairs(p, V.BOX, 2.3), _chain(p, 2)
     bonded = near.join(bonds.select("frame", F.col("atomi").alias("i"), F.col("atomj").alias("j")), ["frame", "i", "j"], "left_semi").withColumn("r0", F.lit(1.5))
     return forcefield.soft_potential(bonded, graph.exclude_bonded(near, bonds), 2.0, 3.0, 2.2).select("frame", _r("energy", 4))
