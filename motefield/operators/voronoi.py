@@ -23,6 +23,9 @@ from motefield.operators.components import connected_components
 from motefield.operators.neighbors import both_ways, cross_pairs, neighbor_pairs
 from motefield.storage import materialize
 
+#: About so many particles are within the first cutoff of a crowded frame.
+NEIGHBOURS = 60
+
 Faces = list[tuple[int, np.ndarray]]
 
 
@@ -41,20 +44,24 @@ def _cube(half: float) -> Faces:
 
 def _cut(faces: Faces, normal: np.ndarray, at: float, name: int, tiny: float) -> Faces:
     """What is left on the side of normal . x <= at, with the new face; a plane that only touches makes none."""
-    if all((corners @ normal - at <= tiny).all() for _, corners in faces):
+    stack = np.concatenate([corners for _, corners in faces])
+    high = stack @ normal - at
+    if (high <= tiny).all():
         return faces
+    highs, places, start = high.tolist(), stack.tolist(), 0
     out, rim = [], []
     for neighbour, corners in faces:
-        high = corners @ normal - at
-        if (high <= tiny).all():
+        end = start + len(corners)
+        side, place, start = highs[start:end], places[start:end], end
+        if max(side) <= tiny:
             out.append((neighbour, corners))
-            rim += list(corners[np.abs(high) <= tiny])
+            rim += [b for b, q in zip(place, side, strict=True) if abs(q) <= tiny]
             continue
         kept = []
-        for k in range(len(corners)):
-            a, b, p, q = corners[k - 1], corners[k], high[k - 1], high[k]
+        for k, (b, q) in enumerate(zip(place, side, strict=True)):
+            a, p = place[k - 1], side[k - 1]
             if (p > tiny) != (q > tiny):
-                cross = a + (b - a) * (p / (p - q))
+                cross = [u + (v - u) * (p / (p - q)) for u, v in zip(a, b, strict=True)]
                 kept.append(cross)
                 rim.append(cross)
             if q <= tiny:
@@ -97,10 +104,11 @@ def cell(ids: np.ndarray, away: np.ndarray, radii: np.ndarray, own: float, cutof
             continue
         if plane[k] >= far:
             break
-        faces = _cut(faces, away[k] / length[k], plane[k], int(k), tiny)
+        before, faces = faces, _cut(faces, away[k] / length[k], plane[k], int(k), tiny)
         if not faces:
             break
-        far = max(np.sqrt((c**2).sum(axis=1).max()) for _, c in faces)
+        if faces is not before:
+            far = np.sqrt((np.concatenate([c for _, c in faces]) ** 2).sum(axis=1).max())
     if not faces:  # nothing is left of it, whatever else is near
         return 0.0, [], True
     volume, told = 0.0, []
@@ -129,18 +137,20 @@ def radical_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radi
 
 def _cells(held: DataFrame, near: DataFrame, cutoff: float, widest: float, keys: list[str]) -> DataFrame:
     """Cells of the rows of ``held`` among their neighbours (keys, i, j, dx, dy, dz, _r_j)."""
-    listed = near.groupBy(*keys, F.col("i").alias("atom")).agg(F.collect_list(F.struct("j", "dx", "dy", "dz", "_r_j")).alias("near"))
-    rows = held.select(*keys, "atom", "_r").join(listed, [*keys, "atom"], "left")
+    # few bytes are much work here: a fixed number of tasks, which adaptive execution doesn't join by their bytes
+    dealt = near.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "i")
+    listed = dealt.groupBy(*keys, F.col("i").alias("atom")).agg(F.collect_list(F.struct("j", "dx", "dy", "dz", "_r_j")).alias("near"))
+    parts = ("j", "dx", "dy", "dz", "_r_j")  # an array a column, as these reach tasks as arrays of numbers
+    rows = held.select(*keys, "atom", "_r").join(listed, [*keys, "atom"], "left").select(*keys, "atom", "_r", *[F.col(f"near.{c}").alias(f"_n{c}") for c in parts])
     schema = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in [*keys, "atom"]) + ", volume double, faces array<struct<neighbour:bigint,area:double>>, closed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for atom, own, around in zip(batch["atom"], batch["_r"], batch["near"], strict=True):
-                some = [] if around is None else list(around)
-                ids = np.array([s["j"] for s in some], dtype=np.int64)
-                away = np.array([[s["dx"], s["dy"], s["dz"]] for s in some], dtype=float).reshape(-1, 3)
-                volume, faces, closed = cell(ids, away, np.array([s["_r_j"] for s in some], dtype=float), float(own), cutoff, widest, int(atom))
+            for atom, own, *around in zip(batch["atom"], batch["_r"], *(batch[f"_n{c}"] for c in parts), strict=True):
+                ids, *away, radii = ([] if v is None else v for v in around)
+                ids, away = np.array(ids, dtype=np.int64), np.array(away, dtype=float).T
+                volume, faces, closed = cell(ids, away, np.array(radii, dtype=float), float(own), cutoff, widest, int(atom))
                 out.append((volume, [{"neighbour": n, "area": a} for n, a in faces if n >= 0], closed))
             told = pd.DataFrame(out, columns=["volume", "faces", "closed"])
             yield pd.concat([batch[[*keys, "atom"]].reset_index(drop=True), told], axis=1)
@@ -175,7 +185,8 @@ def all_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius",
 
     Cells that the cutoff leaves open are made anew with one ``growth`` times as large, among all images of the
     particles of their frames, own ones included, until none is open; the others are not touched again. So the
-    first cutoff changes the work and not the result, and a box of few particles has whole cells too. Rows
+    first cutoff changes the work and not the result, and a box of few particles has whole cells too. Frames
+    in which it holds far more than ``NEIGHBOURS`` particles begin with a smaller one. Rows
     with a null coordinate have no cell.
     """
     if not all(box.pbc) or box.style == "free":
@@ -185,16 +196,25 @@ def all_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius",
     keys = list(keys)
     widest = float(atoms.agg(F.max(radius)).first()[0] or 0.0)
     held = materialize(atoms.where("atom is not null and x is not null and y is not null and z is not null").withColumn("_r", F.coalesce(F.col(radius).cast("double"), F.lit(0.0))).select(*keys, "atom", "x", "y", "z", "_r"), "particles")
-    now, open_, closed = cutoff, held, []
-    while True:
-        frames = held if not closed else held.join(open_.select(*keys).distinct(), keys, "left_semi") if keys else held
-        made = materialize(_cells(open_, _image_pairs(open_, frames, box, now, keys), now, widest, keys), "cells")
-        closed.append(made.where("closed"))
-        left = made.where("not closed")
-        if left.isEmpty():
-            return reduce(DataFrame.union, closed)
-        open_ = materialize(open_.join(left.select(*keys, "atom"), [*keys, "atom"], "left_semi"), "open")
-        now *= growth
+    # a crowded frame begins with a smaller cutoff, by as many powers of the growth as leave about so many neighbours
+    crowd = F.log(F.count("*") * (4 / 3 * math.pi * cutoff**3 / NEIGHBOURS / box.volume)) / (3 * math.log(growth))
+    level = held.groupBy(*keys).agg(F.greatest(F.floor(crowd), F.lit(0)).cast("int").alias("_level"))
+    held = materialize(held.join(materialize(level, "levels"), keys) if keys else held.join(F.broadcast(level), F.lit(True)), "particles")
+    starts = {0} | {r["_level"] for r in held.select("_level").distinct().collect()}  # as many as a logarithm
+    now, open_, closed = max(starts), None, []
+    while now >= 0 or open_ is not None:
+        if now in starts:
+            fresh = held.where(F.col("_level") == now)
+            open_ = fresh if open_ is None else open_.union(fresh)
+        if open_ is not None:
+            reach = cutoff * growth**-now
+            frames = held.join(open_.select(*keys).distinct(), keys, "left_semi") if keys else held
+            made = materialize(_cells(open_, _image_pairs(open_, frames, box, reach, keys), reach, widest, keys), "cells")
+            closed.append(made.where("closed"))
+            left = made.where("not closed")
+            open_ = None if left.isEmpty() else materialize(open_.join(left.select(*keys, "atom"), [*keys, "atom"], "left_semi"), "open")
+        now -= 1
+    return reduce(DataFrame.union, closed)
 
 
 def _adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
