@@ -48,22 +48,26 @@ def _are_stars(edges: DataFrame) -> bool:
 CHUNK = 1 << 21
 
 
-def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, the least node that edges u-v connect each with)."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that edges a-b connect each with."""
+    label = np.arange(n)
     while True:
         a, b = label[a], label[b]
         open_ = a != b
         if not open_.any():
-            return nodes, nodes[label]
+            return label
         a, b = a[open_], b[open_]
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while (label != label[label]).any():
             label = label[label]
 
 
+def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that edges u-v connect each with)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    return nodes, nodes[joined(len(nodes), at[: len(u)], at[len(u) :])]
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of the edges of each chunk."""
 

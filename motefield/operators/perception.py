@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.operators.components import connected_components
 from motefield.operators.graph import undirected
+from motefield.operators.parts import Solve, by_parts, longs, whole_numbers
 from motefield.storage import forget, materialize
 
 
@@ -112,21 +115,167 @@ def _eliminate(new: DataFrame, basis: DataFrame | None) -> DataFrame:
         rows = joined.select("id", "part", "size", "ring", F.when(F.col("mine"), F.col("rest")).otherwise(_difference(F.col("rest"), F.col("other"))).alias("rest"))
 
 
+#: Atoms of a part whose rings are found in one task; of larger parts they are found by rounds of joins.
+RING_PART = 256
+
+
+def _blocks(near: dict[int, list[int]]) -> Iterator[list[tuple[int, int]]]:
+    """Bonds of each block that has rings: no atom or bond alone holds it together."""
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        held: list[tuple[int, int]] = []
+        stack = [(root, -1, iter(near[root]))]
+        while stack:
+            v, up, rest = stack[-1]
+            for w in rest:
+                if w == up:
+                    continue
+                if w not in order:
+                    held.append((v, w))
+                    order[w] = low[w] = len(order)
+                    stack.append((w, v, iter(near[w])))
+                    break
+                if order[w] < order[v]:
+                    held.append((v, w))
+                    low[v] = min(low[v], order[w])
+            else:
+                stack.pop()
+                if stack:
+                    top = stack[-1][0]
+                    low[top] = min(low[top], low[v])
+                    if low[v] >= order[top]:
+                        at = held.index((top, v))
+                        if len(held) - at > 1:
+                            yield held[at:]
+                        del held[at:]
+
+
+@lru_cache(4096)
+def _smallest_basis(edges: tuple[tuple[int, int], ...]) -> list[tuple[int, ...]]:
+    """A smallest set of rings, each the numbers of its edges, of a connected graph of nodes 0, 1, ...
+
+    Edges weigh one and a different tiny amount each (bit i of the weight below the length), so shortest paths are unique; each
+    ring of the set is then two shortest paths from one of its nodes and the edge between their ends.
+    """
+    n, m = 1 + max(map(max, edges)), len(edges)
+    if n == m:
+        simple = [0] * n
+        for a, b in edges:
+            simple[a] += 1
+            simple[b] += 1
+        if all(d == 2 for d in simple):
+            return [tuple(range(m))]
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for i, (a, b) in enumerate(edges):
+        near[a].append((b, (1 << m) + (1 << i)))
+        near[b].append((a, (1 << m) + (1 << i)))
+    rings = set()
+    for root in range(n):
+        far, heap = {}, [(0, root)]
+        while heap:
+            w, v = heappop(heap)
+            if v not in far:
+                far[v] = w
+                for b, more in near[v]:
+                    if b not in far:
+                        heappush(heap, (w + more, b))
+        bits = (1 << m) - 1
+        for i, (a, b) in enumerate(edges):
+            p, q = far[a] & bits, far[b] & bits
+            if not p & q and not (p | q) >> i & 1:
+                rings.add(far[a] + far[b] + (1 << m) + (1 << i))
+    basis: dict[int, int] = {}
+    kept = []
+    for ring in sorted(rings):
+        rest = ring & ((1 << m) - 1)
+        while rest and rest.bit_length() in basis:
+            rest ^= basis[rest.bit_length()]
+        if rest:
+            basis[rest.bit_length()] = rest
+            kept.append(tuple(i for i in range(m) if ring >> i & 1))
+            if len(kept) == m - n + 1:
+                break
+    return kept
+
+
+def _nearby(part: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, dict[int, list[int]]]]:
+    """(part, the neighbours of each of its atoms) of ways both ways; parallel ones are one."""
+    order = np.lexsort((v, u, part))
+    ends = np.stack([part, u, v], axis=1)[order]
+    ends = ends[np.append(True, (ends[1:] != ends[:-1]).any(axis=1))[: len(ends)]]
+    starts = np.flatnonzero(np.append(True, ends[1:, 0] != ends[:-1, 0])[: len(ends)])
+    for start, stop in zip(starts.tolist(), np.append(starts[1:], len(ends)).tolist(), strict=False):
+        near: dict[int, list[int]] = {}
+        for a, b in ends[start:stop, 1:].tolist():
+            near.setdefault(a, []).append(b)
+        yield int(ends[start, 0]), near
+
+
+def _part_rings(near: dict[int, list[int]]) -> Iterator[list[tuple[int, int]]]:
+    """Bonds of each ring of a smallest set."""
+    if sum(map(len, near.values())) < 2 * len(near):
+        return  # a tree
+    for block in _blocks(near):
+        names = sorted({x for e in block for x in e})
+        number = {x: i for i, x in enumerate(names)}
+        shape = tuple(sorted((number[a], number[b]) if a < b else (number[b], number[a]) for a, b in block))
+        for ring in _smallest_basis(shape):
+            yield [(names[shape[i][0]], names[shape[i][1]]) for i in ring]
+
+
+def _rings_of(table: pa.Table, part: np.ndarray) -> pa.Table:
+    """(part, size, ring) of rows (u, v) of whole parts."""
+    parts, size, ends = [], [], []
+    for name, near in _nearby(part, *(table.column(c).to_numpy() for c in "uv")):
+        for ring in _part_rings(near):
+            parts.append(name)
+            size.append(len(ring))
+            ends += ring
+    edges = pa.StructArray.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+    rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), edges)
+    return pa.table({"part": pa.array(parts, pa.int64()), "size": pa.array(size, pa.int32()), "ring": rings})
+
+
 def smallest_rings(bonds: DataFrame, max_size: int | None = None) -> DataFrame:
     """(ring, part, size, atoms, edges): a smallest set of rings of which all rings are sums; ``part``: the
     least atom of the connected part that it is in. A part of E bonds and V atoms has E - V + 1 rings.
 
+    Parts of up to ``RING_PART`` atoms are dealt whole (``by_parts``) and their blocks done one by one; rings of larger
+    parts, and of atoms that are no whole numbers, come from rounds of joins (``_rings_by_rounds``).
+
+    With ``max_size`` only rings of at most so many atoms are given.
+
+    Which of several rings of one size is kept is a matter of names; sizes are the same for any
+    choice. Loops and nulls are left out, parallel bonds are one, no bonds have no rings.
+    """
+    if not whole_numbers(bonds, "atomi", "atomj"):
+        rings = _rings_by_rounds(bonds, max_size)
+    else:
+        kind = "bigint" if "long" in {bonds.schema[c].dataType.typeName() for c in ("atomi", "atomj")} else bonds.schema["atomi"].dataType.simpleString()
+        ends = materialize(bonds.where("atomi <> atomj").select(F.col("atomi").cast("long").alias("u"), F.col("atomj").cast("long").alias("v")), "edges")
+        rings, large = by_parts(ends.union(ends.select("v", "u")), ["v"], _rings_of, "part long, size int, ring array<struct<a:bigint,b:bigint>>", RING_PART)
+        if large is not None:
+            rings = rings.union(_rings_by_rounds(large.where("u < v").select(F.col("u").alias("atomi"), F.col("v").alias("atomj")), max_size))
+        rings = rings.select(F.col("part").cast(kind).alias("part"), "size", F.col("ring").cast(f"array<struct<a:{kind},b:{kind}>>").alias("ring"))
+    if max_size is not None:
+        rings = rings.where(F.col("size") <= max_size)
+    atoms = F.array_sort(F.array_distinct(F.flatten(F.transform("ring", lambda e: F.array(e["a"], e["b"])))))
+    return rings.select(F.sha2(F.to_json(F.array_sort("ring")), 256).alias("ring"), "part", "size", atoms.alias("atoms"), F.array_sort("ring").alias("edges"))
+
+
+def _rings_by_rounds(bonds: DataFrame, max_size: int | None) -> DataFrame:
+    """(part, size, ring) by joins alone; rings larger than ``max_size`` may be among them.
+
     Ends are peeled off. A part that is one ring is known at once. In the others shortest paths start at every
     atom and go over atoms of fewer bonds only (then of smaller hash), a step a round, so an atom of very many bonds is
     passed by no path but its own. Two paths that meet at an atom or by a bond are a candidate: at an
     atom the first path with each other one, as other pairs are sums of these. Candidates are kept,
     smallest first, if they are no sum of those kept (``_eliminate``); a part with all its rings takes part no
     longer. So rounds are half the largest ring of a fused part, and no part is gathered in one task.
-
-    With ``max_size`` only rings of at most so many atoms are sought, and rounds end there.
-
-    Which of several rings of one size is kept is the choice of hashes; sizes are the same for any
-    choice. Loops and nulls are left out, parallel bonds are one, no bonds have no rings.
     """
     given = materialize(undirected(bonds), "edges")
     edges = _peeled(given)
@@ -171,11 +320,7 @@ def smallest_rings(bonds: DataFrame, max_size: int | None = None) -> DataFrame:
             break
     if basis is not None:
         found.append(basis.select("part", "size", "ring"))
-    rings = reduce(DataFrame.union, found)
-    if max_size is not None:
-        rings = rings.where(F.col("size") <= max_size)
-    atoms = F.array_sort(F.array_distinct(F.flatten(F.transform("ring", lambda e: F.array(e["a"], e["b"])))))
-    return rings.select(F.sha2(F.to_json(F.array_sort("ring")), 256).alias("ring"), "part", "size", atoms.alias("atoms"), F.array_sort("ring").alias("edges"))
+    return reduce(DataFrame.union, found)
 
 
 # --- double bonds --------------------------------------------------------------------------
@@ -333,12 +478,77 @@ def ring_systems(bonds: DataFrame, max_size: int) -> DataFrame:
     return connected_components(ends).toDF("atom", "system")
 
 
+def _closed_of(radius: int, max_ring_size: int) -> Solve:
+    """Rows (center, atom, hops, pulled) of whole parts with their centers."""
+
+    def solve(table: pa.Table, part: np.ndarray) -> pa.Table:
+        u, (v, way), (center, _) = table.column("u").to_numpy(), longs(table.column("v")), longs(table.column("center"))
+        begin: dict[int, dict[int, set[int]]] = {}
+        for p, c, atom in zip(part[~way].tolist(), center[~way].tolist(), u[~way].tolist(), strict=True):
+            begin.setdefault(p, {}).setdefault(c, set()).add(atom)
+        out: list[tuple[int, int, int, bool]] = []
+
+        def spread(c: int, near: dict[int, list[int]], system: dict[int, int], members: dict[int, list[int]]) -> None:
+            level, hops, held = set(begin[p][c]), 0, {}
+            while level:
+                held |= dict.fromkeys(level, hops)
+                out.extend((c, atom, hops, False) for atom in level)
+                if hops == radius:
+                    break
+                hops += 1
+                level = {w for x in level for w in near.get(x, ()) if w not in held}
+            pulled = {x for s in {system[x] for x in held if x in system} for x in members[s]} - held.keys()
+            while pulled:
+                hops += 1
+                level = {w for x in level for w in near.get(x, ()) if w in pulled}
+                out.extend((c, atom, hops, True) for atom in level)
+                pulled -= level
+
+        met = np.isin(part, np.fromiter(begin, np.int64, len(begin))) & way
+        for p, near in _nearby(part[met], u[met], v[met]):
+            system: dict[int, int] = {}
+            members: dict[int, list[int]] = {}
+            for ring in _part_rings(near):
+                if len(ring) <= max_ring_size:
+                    one = {x for e in ring for x in e}
+                    joined_ = one.union(*(members.pop(s) for s in {system[x] for x in one if x in system}))
+                    name = min(joined_)
+                    members[name] = sorted(joined_)
+                    system |= dict.fromkeys(joined_, name)
+            for c in begin[p]:
+                spread(c, near, system, members)
+            del begin[p]
+        for p in list(begin):  # atoms without bonds
+            for c in begin[p]:
+                spread(c, {}, {}, {})
+        kinds = {"center": pa.int64(), "atom": pa.int64(), "hops": pa.int32(), "pulled": pa.bool_()}
+        return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+    return solve
+
+
 def closed_regions(bonds: DataFrame, centers: DataFrame, radius: int, max_ring_size: int) -> DataFrame:
     """(center, atom, hops, pulled): ``regions`` in which no ring of at most ``max_ring_size`` atoms is cut.
 
     A ring that the radius reaches comes in whole, with all rings that share atoms with it; ``pulled`` marks what came
     in so, and its ``hops`` go on within the region. Larger rings are cut like any path.
+
+    Parts of up to ``RING_PART`` atoms are dealt whole with their centers, larger ones go on by joins.
     """
+    if not (whole_numbers(bonds, "atomi", "atomj") and whole_numbers(centers, "center", "atom")):
+        return _closed_by_joins(bonds, centers, radius, max_ring_size)
+    ends = materialize(bonds.where("atomi <> atomj").select(F.col("atomi").cast("long").alias("u"), F.col("atomj").cast("long").alias("v")), "edges")
+    from_ = materialize(centers.where("center is not null and atom is not null").select(F.col("atom").cast("long").alias("u"), F.col("center").cast("long").alias("center")), "centers")
+    ways = ends.union(ends.select("v", "u")).withColumn("center", F.lit(None).cast("long"))
+    rows = ways.union(from_.select("u", F.lit(None).cast("long"), "center"))
+    found, large = by_parts(rows, ["v"], _closed_of(radius, max_ring_size), "center long, atom long, hops int, pulled boolean", RING_PART)
+    if large is not None:
+        more = large.where("u < v").select(F.col("u").alias("atomi"), F.col("v").alias("atomj"))
+        found = found.union(_closed_by_joins(more, large.where("v is null").select("center", F.col("u").alias("atom")), radius, max_ring_size))
+    return found.select(F.col("center").cast(centers.schema["center"].dataType), F.col("atom").cast(centers.schema["atom"].dataType), "hops", "pulled")
+
+
+def _closed_by_joins(bonds: DataFrame, centers: DataFrame, radius: int, max_ring_size: int) -> DataFrame:
     held = materialize(regions(bonds, centers, radius), "regions")
     system = materialize(ring_systems(bonds, max_ring_size), "systems")
     touched = materialize(held.join(system, "atom").select("center", "system").distinct(), "touched")

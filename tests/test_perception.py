@@ -192,3 +192,34 @@ def test_regions_cut_no_small_ring(spark):
     small = perception.smallest_rings(bonds, 5).collect()
     assert [(r.size, r.atoms) for r in small] == [(5, [10, 13, 14, 15, 16])]
     assert len(rows) == sum(map(len, inside.values()))
+
+
+def test_rings_and_regions_of_parts_equal_those_of_joins(spark, monkeypatch):
+    """Small parts went through rounds of joins for every path, so tables and seconds grew with all paths of a graph."""
+    all_ = graphs(11, 8)
+    bonds = bonds_of(spark, all_)
+    centers = spark.createDataFrame([(c, 1000 * g + k) for g, (n, _) in enumerate(all_) for c, k in ((g, 0), (g, n - 1), (99, n // 2))], "center long, atom long")
+    asked = []
+    rounds = perception._rings_by_rounds
+    monkeypatch.setattr(perception, "_rings_by_rounds", lambda *a: asked.append(a) or rounds(*a))
+    told = []
+    for most in (perception.RING_PART, 5):
+        monkeypatch.setattr(perception, "RING_PART", most)
+        rings = sorted((r.part, r.size) for r in perception.smallest_rings(bonds).collect())
+        assert bool(asked) == (most == 5)
+        told.append((rings, sorted(map(tuple, perception.closed_regions(bonds, centers, 1, 4).collect()))))
+    assert told[0] == told[1] and told[0][0]
+
+
+def test_parts_across_chunks_are_dealt_by_name(spark, monkeypatch):
+    from motefield.operators import parts
+
+    n = 3000
+    bonds = spark.createDataFrame([(i, (i + n // 2) % n) for i in range(n // 2)] + [(i, i + 1) for i in range(0, n, 2)], "atomi long, atomj long")
+    want = sorted((r.part, r.size) for r in perception.smallest_rings(bonds).collect())
+    monkeypatch.setattr(parts, "CHUNK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    assert sorted((r.part, r.size) for r in perception.smallest_rings(bonds).collect()) == want and len(want) == n // 4
+    star = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(1, 2), (500, 501)], "atomi long, atomj long")
+    assert [(r.part, r.size) for r in perception.smallest_rings(star).collect()] == [(0, 3)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
