@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motefield.operators.components import connected_components
+from motefield.operators.components import connected_components, joined
 from motefield.operators.graph import undirected
 from motefield.operators.parts import Solve, by_parts, longs, whole_numbers
 from motefield.storage import forget, materialize
 
 
 def _hash(*values: Column | str | int) -> Column:
-    return F.xxhash64(*(F.lit(v) if isinstance(v, int) else v for v in values))
+    return F.xxhash64(*(F.lit(v).cast("long") if isinstance(v, int) else v for v in values))
 
 
 def _ways(bonds: DataFrame, label: Column | None) -> DataFrame:
@@ -33,12 +33,80 @@ def _ways(bonds: DataFrame, label: Column | None) -> DataFrame:
     return ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
+def _halves(value: Column, name: str) -> list[Column]:
+    """Sums of the lower and the upper 32 bits: whole numbers that no number of rows lets overflow."""
+    return [F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias(f"{name}l"), F.sum(F.shiftright(value, 32)).alias(f"{name}h")]
+
+
 def _refined(state: DataFrame, ways: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, atom, c1, c2) after a round."""
     near = ways.join(state.select(*keys, F.col("atom").alias("b"), "c1", "c2"), [*keys, "b"])
-    sums = near.groupBy(*keys, F.col("a").alias("atom")).agg(*(F.sum(_hash(i, "w", "c1", "c2").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)))
-    rows = state.join(sums, [*keys, "atom"], "left")
-    return rows.select(*keys, "atom", _hash(3, "c1", "s1", "s2").alias("c1"), _hash(4, "c2", "s2", "s1").alias("c2"))
+    sums = near.groupBy(*keys, F.col("a").alias("atom")).agg(*(c for i in (1, 2) for c in _halves(_hash(i, "w", "c1", "c2"), f"s{i}")))
+    rows = state.join(sums, [*keys, "atom"], "left").fillna(0, ["s1l", "s1h", "s2l", "s2h"])
+    return rows.select(*keys, "atom", _hash(3, "c1", "s1l", "s1h", "s2l", "s2h").alias("c1"), _hash(4, "c2", "s2l", "s2h", "s1l", "s1h").alias("c2"))
+
+
+def hashed(*values: np.ndarray | int) -> np.ndarray:
+    """``xxhash64`` of long columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h: np.ndarray = np.array([42], np.uint64)
+    for value in values:
+        x = (h + (p5 + np.uint64(8))) ^ (turn(np.atleast_1d(np.asarray(value, np.int64)).view(np.uint64) * p2, 31) * p1)
+        x = turn(x, 27) * p1 + p4
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+        h = x ^ (x >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def _summed(value: np.ndarray, starts: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_halves`` of runs of rows from ``starts`` on, as the elements ``at`` of n."""
+    out = []
+    for half in (value & 0xFFFFFFFF, value >> 32):
+        sums = np.zeros(n, np.int64)
+        if len(at):
+            sums[at] = np.add.reduceat(half, starts)
+        out.append(sums)
+    return out[0], out[1]
+
+
+def _distinct(group: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, which rows in that order are the first of their group and colour); groups stay together."""
+    order = np.lexsort((c1, group))
+    g, x, y = group[order], c1[order], c2[order]
+    return order, np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(order)]
+
+
+def refine(c1: np.ndarray, c2: np.ndarray, group: np.ndarray, groups: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c1, c2, rounds that split a class of each group): rounds of ``_refined`` in many small graphs at once, in each until
+    its number of colours stays, with one round more."""
+    c1, c2, rounds = c1.copy(), c2.copy(), np.zeros(groups, np.int32)
+    order = np.argsort(a, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+
+    def classes(group: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        order, first = _distinct(group, c1, c2)
+        return np.bincount(group[order][first], minlength=groups)
+
+    live, g, x, y, count = np.arange(len(c1)), group, c1, c2, classes(group, c1, c2)
+    while len(live):
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+        s = [_summed(hashed(i, w, x[b], y[b]), starts, a[starts], len(live)) for i in (1, 2)]
+        x, y = hashed(3, x, *s[0], *s[1]), hashed(4, y, *s[1], *s[0])
+        more = classes(g, x, y)
+        open_ = more != count
+        rounds += open_
+        stays = open_[g]
+        done = ~stays
+        c1[live[done]], c2[live[done]] = x[done], y[done]
+        if done.any():
+            at = np.cumsum(stays) - 1
+            keep = stays[a]
+            a, b, w = at[a[keep]], at[b[keep]], w[keep]
+            live, g, x, y = live[stays], g[stays], x[stays], y[stays]
+        count = more
+    return c1, c2, rounds
 
 
 def _settle(state: DataFrame, ways: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
@@ -55,19 +123,86 @@ def _settle(state: DataFrame, ways: DataFrame, keys: list[str]) -> tuple[DataFra
         state, classes, rounds = new, more, rounds + 1
 
 
+#: Atoms of a part whose classes are found in one task.
+CLASS_PART = 4096
+
+
+def _classes_of(table: pa.Table, part: np.ndarray) -> pa.Table:
+    """(atom, c1, c2, rounds): final colours of rows (u, v, c1, c2) of whole parts; ways have their label as c1."""
+    u, (v, way), (c1, _), (c2, _) = table.column("u").to_numpy(), *(longs(table.column(c)) for c in ("v", "c1", "c2"))
+    names, first = np.unique(u[~way], return_index=True)
+    c1_, c2_ = c1[~way][first], c2[~way][first]
+    ends = []
+    listed = way & (len(names) > 0)
+    for end in (u, v):
+        at = np.minimum(np.searchsorted(names, end), max(len(names) - 1, 0))
+        if len(names):
+            listed &= names[at] == end
+        ends.append(at)
+    a, b = ends[0][listed], ends[1][listed]
+    # atoms that are not listed hold no part together
+    root, group = np.unique(joined(len(names), a, b), return_inverse=True)
+    x, y, rounds = refine(c1_, c2_, group, len(root), a, b, c1[listed])
+    order, one = _distinct(group, x, y)
+    told, g = hashed(6, x[order][one], y[order][one]), group[order][one]
+    starts = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    low, high = _summed(told, starts, g[starts], len(root))
+    return pa.table({"atom": names, "c1": hashed(7, x, low[group], high[group])[: len(x)], "c2": hashed(8, y, high[group], low[group])[: len(x)], "rounds": rounds[group]})
+
+
+def _classes_by_joins(state: DataFrame, ways: DataFrame) -> DataFrame:
+    """(atom, c1, c2, rounds) as ``_classes_of`` finds it, of (atom, c1, c2) and (a, b, w), both written."""
+    here = ways.join(state.select(F.col("atom").alias("a")), "a", "left_semi").join(state.select(F.col("atom").alias("b")), "b", "left_semi")
+    part = materialize(connected_components(here, "a", "b").toDF("atom", "part"), "parts")
+    state = materialize(state.join(part, "atom", "left").select(F.coalesce("part", "atom").alias("part"), "atom", "c1", "c2"), "colours")
+    ways = materialize(here.join(part.withColumnRenamed("atom", "a"), "a").select("part", "a", "b", "w"), "ways")
+    classes = lambda df, name: df.distinct().groupBy("part").agg(F.count("*").alias(name))
+    rounds, done = 0, []
+    count = materialize(classes(state.select("part", "c1", "c2"), "n"), "classes")
+    while not state.isEmpty():
+        new = materialize(_refined(state, ways, ["part"]), "colours")
+        more = materialize(classes(new.select("part", "c1", "c2"), "m"), "classes")
+        settled = materialize(more.join(count, "part").where("n = m").select("part", F.lit(True).alias("settled")), "settled")
+        turned = new.join(settled, "part", "left")
+        done.append(materialize(turned.where("settled").drop("settled").withColumn("rounds", F.lit(rounds)), "settled"))
+        forget(state)
+        state = materialize(turned.where("settled is null").drop("settled"), "colours")
+        forget(new)
+        count, rounds = more.toDF("part", "n"), rounds + 1
+    final = reduce(DataFrame.union, done)
+    signs = materialize(final.select("part", "c1", "c2").distinct().groupBy("part").agg(*_halves(_hash(6, "c1", "c2"), "s")), "signs")
+    return final.join(signs, "part").select("atom", _hash(7, "c1", "sl", "sh").alias("c1"), _hash(8, "c2", "sh", "sl").alias("c2"), "rounds")
+
+
 def equivalence_classes(atoms: DataFrame, bonds: DataFrame, label: Column | None = None, bond_label: Column | None = None) -> tuple[DataFrame, int]:
     """((atom, class), rounds): atoms that colour refinement can't tell apart; a class is named by its least atom.
 
     Two atoms of a class have equal labels, and their bonds lead to equal numbers of each class by
     each bond label, over the whole graph. A null label is a label. Rounds are at most the
     longest shortest path. Bonds to atoms that are not listed don't count; repeated atoms are one.
+
+    Colours settle in each connected part by itself. Atoms of two parts are of one class if their last colours are equal and the
+    sets of last colours in their parts are: a last colour tells its atom's class and those of its neighbours, so equal
+    sets say that both parts have the same classes with the same bonds. So small parts are done in one task, larger ones
+    by rounds of joins, and colours of both are compared.
     """
-    start = atoms.where("atom is not null").select("atom", (F.lit(0) if label is None else label).alias("_l")).dropDuplicates(["atom"])
-    state = materialize(start.select("atom", _hash(1, "_l").alias("c1"), _hash(2, "_l").alias("c2")), "colours")
-    ways = materialize(_ways(bonds, bond_label), "ways")
-    state, _, rounds = _settle(state, ways, [])
-    least = materialize(state.groupBy("c1", "c2").agg(F.min("atom").alias("class")), "classes")
-    return state.join(least, ["c1", "c2"]).select("atom", "class"), rounds
+    start = atoms.where("atom is not null").select("atom", (F.lit(0) if label is None else label).alias("_l"))
+    state = start.select("atom", _hash(1, "_l").alias("c1"), _hash(2, "_l").alias("c2"))
+    ends = _ways(bonds, bond_label)
+    if whole_numbers(atoms, "atom") and whole_numbers(bonds, "atomi", "atomj"):
+        one = materialize(bonds.where("atomi <> atomj").select(F.col("atomi").cast("long").alias("u"), F.col("atomj").cast("long").alias("v"), (F.lit(0).cast("long") if bond_label is None else _hash(bond_label)).alias("c1")), "edges")
+        nodes = state.select(F.col("atom").cast("long").alias("u"), F.lit(None).cast("long").alias("v"), "c1", "c2")
+        rows = one.union(one.select("v", "u", "c1")).withColumn("c2", F.lit(0).cast("long")).union(nodes)
+        found, large = by_parts(rows, ["v"], _classes_of, "atom long, c1 long, c2 long, rounds int", CLASS_PART)
+        if large is not None:
+            state = materialize(large.where("v is null").select(F.col("u").alias("atom"), "c1", "c2").dropDuplicates(["atom"]), "colours")
+            ends = materialize(large.where("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("c1").alias("w")), "ways")
+            found = found.union(materialize(_classes_by_joins(state, ends), "large"))
+        found = found.withColumn("atom", F.col("atom").cast(atoms.schema["atom"].dataType))
+    else:
+        found = materialize(_classes_by_joins(materialize(state.dropDuplicates(["atom"]), "colours"), materialize(ends, "ways")), "classes")
+    least = materialize(found.groupBy("c1", "c2").agg(F.min("atom").alias("class")), "classes")
+    return found.join(least, ["c1", "c2"]).select("atom", "class"), found.agg(F.coalesce(F.max("rounds"), F.lit(0)).alias("n")).first()["n"]
 
 
 # --- rings ---------------------------------------------------------------------------------
@@ -511,10 +646,10 @@ def _closed_of(radius: int, max_ring_size: int) -> Solve:
             for ring in _part_rings(near):
                 if len(ring) <= max_ring_size:
                     one = {x for e in ring for x in e}
-                    joined_ = one.union(*(members.pop(s) for s in {system[x] for x in one if x in system}))
-                    name = min(joined_)
-                    members[name] = sorted(joined_)
-                    system |= dict.fromkeys(joined_, name)
+                    whole = one.union(*(members.pop(s) for s in {system[x] for x in one if x in system}))
+                    name = min(whole)
+                    members[name] = sorted(whole)
+                    system |= dict.fromkeys(whole, name)
             for c in begin[p]:
                 spread(c, near, system, members)
             del begin[p]

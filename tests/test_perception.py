@@ -223,3 +223,24 @@ def test_parts_across_chunks_are_dealt_by_name(spark, monkeypatch):
     star = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(1, 2), (500, 501)], "atomi long, atomj long")
     assert [(r.part, r.size) for r in perception.smallest_rings(star).collect()] == [(0, 3)]
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_classes_of_parts_equal_those_of_joins(spark, monkeypatch):
+    """Every round joined all bonds of the graph; now only those of large parts, and classes go across both kinds of parts."""
+    values = [-(2**63), -5, 0, 1, 7919, 2**40, 2**63 - 1]
+    row = spark.createDataFrame([(a, b) for a in values for b in values], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).toPandas()
+    assert (perception.hashed(row.a.to_numpy(), row.b.to_numpy()) == row.h.to_numpy()).all()
+    ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]
+    edges = ring(0, 6) + ring(100, 14) + ring(200, 3) + [(300 + i, 301 + i) for i in range(9)] + [(400 + i, 401 + i) for i in range(14)] + [(600, 0), (600, 100), (500, 501), (500, 502), (501, 502), (500, 503), (501, 503), (502, 503)]
+    atoms = spark.createDataFrame([(a,) for a in sorted({a for e in edges for a in e} - {600} | {700})], "atom long")
+    atoms = atoms.union(atoms.limit(5))  # 600 is not listed
+    bonds = spark.createDataFrame(edges, "atomi long, atomj long")
+    told = []
+    for most in (perception.CLASS_PART, 10):
+        monkeypatch.setattr(perception, "CLASS_PART", most)
+        classes, rounds = perception.equivalence_classes(atoms, bonds)
+        told.append((sorted(map(tuple, classes.collect())), rounds))
+    assert told[0] == told[1]
+    found, rounds = dict(told[0][0]), told[0][1]
+    assert {found[a] for a in (0, 5, 100, 113, 200)} == {0} and found[500] == 500 and found[700] == 700 and rounds == 7
+    assert found[300] == 300 and found[309] == 300 and found[400] == found[414] == 400
