@@ -37,7 +37,7 @@ def longs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], key: str, chunk: int) -> Iterator[pa.Table]:
+def chunks(batches: Iterator[pa.RecordBatch], key: str, chunk: int) -> Iterator[pa.Table]:
     """Tables of about ``chunk`` sorted rows that end where the key changes, unless all have one key."""
     held, n = [], 0
     for batch in batches:
@@ -98,7 +98,7 @@ def by_parts(rows: DataFrame, to: list[str], solve: Solve, found: str, most: int
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = None
-        for table in _chunks(batches, "u", chunk):
+        for table in chunks(batches, "u", chunk):
             if table.num_rows >= chunk and table.column("u")[0] == table.column("u")[-1]:
                 cut = table.column("u")[0].as_py()  # its rows are in several chunks
             part, whole = _parts(table, to, cut, most)
@@ -109,7 +109,7 @@ def by_parts(rows: DataFrame, to: list[str], solve: Solve, found: str, most: int
             yield from filled(table.filter(pa.array(~whole)), moved, like)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(batches, "part", chunk):
+        for table in chunks(batches, "part", chunk):
             yield from solve(table.drop_columns(["part"]), table.column("part").to_numpy()).to_batches()
 
     first = materialize(rows.repartitionByRange("u").sortWithinPartitions("u").mapInArrow(near, both), "near")

@@ -14,12 +14,13 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.operators.components import connected_components, joined
 from motefield.operators.graph import undirected
-from motefield.operators.parts import Solve, by_parts, longs, whole_numbers
+from motefield.operators.parts import Solve, by_parts, chunks, longs, whole_numbers
 from motefield.storage import forget, materialize
 
 
@@ -712,6 +713,48 @@ def alike_regions(atoms: DataFrame, bonds: DataFrame, centers: DataFrame, radius
     where refinement alone can't see that some atoms may be exchanged (regular graphs of several rings);
     nothing different is ever taken for equal.
     """
+    if not (whole_numbers(atoms, "atom") and whole_numbers(bonds, "atomi", "atomj") and whole_numbers(centers, "center", "atom")) or not centers.where("center <> atom").isEmpty():
+        written, places = _alike_by_joins(atoms, bonds, centers, radius, label, bond_label)
+    else:
+        written, places = _alike_by_parts(atoms, bonds, centers, radius, label, bond_label)
+    first = materialize(written.groupBy("form").agg(F.min("center").alias("region")), "first")
+    same = written.join(first, "form").select("center", "region")
+    return same, places
+
+
+def _alike_by_parts(atoms: DataFrame, bonds: DataFrame, centers: DataFrame, radius: int, label: Column, bond_label: Column | None) -> tuple[DataFrame, DataFrame]:
+    """((center, form), (center, atom, hops, place)) where each center is an atom's own name: regions of small parts are found and
+    numbered in one task, those of larger parts are found by joins and dealt by center, and only regions of more than ``BALL`` atoms go on by joins."""
+    none, kind = F.lit(None).cast("long"), F.lit("") if bond_label is None else bond_label
+    told = lambda c: F.to_json(F.array(c.cast("string")))
+    one = materialize(bonds.where("atomi <> atomj").select(F.col("atomi").cast("long").alias("u"), F.col("atomj").cast("long").alias("v"), _hash(kind.cast("string")).alias("h"), told(kind).alias("s")), "edges")
+    named = atoms.where("atom is not null").select(F.col("atom").cast("long").alias("u"), none.alias("v"), none.alias("center"), _hash(label.cast("string")).alias("h"), told(label).alias("s"))
+    from_ = centers.where("center is not null and atom is not null").select(F.col("atom").cast("long").alias("u"), none.alias("v"), F.col("center").cast("long").alias("center"), none.alias("h"), F.lit(None).cast("string").alias("s"))
+    ways = one.union(one.select("v", "u", "h", "s")).select("u", "v", none.alias("center"), "h", "s")
+    found, large = by_parts(ways.union(named).union(from_), ["v"], _balls_of(radius), _BALLS, BALL_PART)
+    more = []
+    if large is not None:
+        ends = materialize(large.where("u < v").select(F.col("u").alias("atomi"), F.col("v").alias("atomj"), "h", "s"), "edges")
+        nodes = materialize(large.where("v is null and center is null").select(F.col("u").alias("atom"), "h", "s").dropDuplicates(["atom"]), "atoms")
+        begin = large.where("center is not null").select("center", F.col("u").alias("atom"))
+        held = materialize(regions(ends, begin, radius), "regions")
+        big = materialize(held.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") > BALL).select("center"), "big")
+        held = materialize(held.join(big, "center", "left_anti").join(nodes, "atom"), "inside")
+        a, b = held.select("center", F.col("atom").alias("u")), held.select("center", F.col("atom").alias("v"))
+        both = ends.toDF("u", "v", "h", "s").union(ends.select("atomj", "atomi", "h", "s"))
+        links = both.join(a, "u").join(b, ["center", "v"]).select("center", "u", "v", F.lit(0).alias("hops"), "h", "s")
+        rows = held.select("center", F.col("atom").alias("u"), none.alias("v"), "hops", "h", "s").union(links)
+        found = found.union(materialize(rows.repartition("center").sortWithinPartitions("center").mapInArrow(_balls_dealt, _BALLS), "balls"))
+        if not big.isEmpty():
+            more.append(_alike_by_joins(nodes.select("atom", "s"), ends, begin.join(big, "center", "left_semi"), radius, F.col("s"), F.col("s")))
+    written, places = found.select("center", "form"), found.select("center", F.posexplode(F.arrays_zip("atoms", "hops")).alias("place", "p")).select("center", "p.atoms", "p.hops", "place").toDF("center", "atom", "hops", "place")
+    for w, p in more:
+        written, places = written.union(w), places.union(p)
+    return written, places
+
+
+def _alike_by_joins(atoms: DataFrame, bonds: DataFrame, centers: DataFrame, radius: int, label: Column, bond_label: Column | None) -> tuple[DataFrame, DataFrame]:
+    """((center, form), (center, atom, hops, place)) of regions of any size."""
     held = materialize(regions(bonds, centers, radius), "regions")
     named = atoms.select("atom", label.alias("_l")).dropDuplicates(["atom"])
     inside = materialize(held.join(named, "atom").select("center", "atom", "hops", "_l"), "inside")
@@ -736,9 +779,122 @@ def alike_regions(atoms: DataFrame, bonds: DataFrame, centers: DataFrame, radius
     ends = links.join(placed.toDF("center", "a", "pa"), ["center", "a"]).join(placed.toDF("center", "b", "pb"), ["center", "b"])
     lines = ends.groupBy("center").agg(F.array_sort(F.collect_list(F.struct(F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q"), "_w"))).alias("lines"))
     written = materialize(nodes.join(lines, "center", "left").select("center", F.to_json(F.struct("nodes", "lines")).alias("form")), "forms")
-    first = materialize(written.groupBy("form").agg(F.min("center").alias("region")), "first")
-    same = written.join(first, "form").select("center", "region")
-    return same, inside.join(placed, ["center", "atom"]).select("center", "atom", "hops", "place")
+    return written, inside.join(placed, ["center", "atom"]).select("center", "atom", "hops", "place")
+
+
+#: Centers whose regions a task numbers together, and atoms of a part whose regions are found in one task.
+BALLS, BALL_PART = 8192, 256
+#: Atoms of a region that is numbered in one task.
+BALL = 4096
+_BALLS = "center long, form string, atoms array<bigint>, hops array<int>"
+
+
+def _numbered(center: np.ndarray, g: np.ndarray, atom: np.ndarray, hops: np.ndarray, h: np.ndarray, s: pa.Array, a: np.ndarray, b: np.ndarray, w: np.ndarray, t: pa.Array) -> pa.Table:
+    """``_BALLS`` of regions: g, atom, hops, label (hash, text) of each atom, ends and label of each bond both ways, all in rows
+    of atoms; g counts from 0 to the last center."""
+    k, n = len(center), len(g)
+    c1, c2 = (hashed(i, h, hops)[:n] for i in (1, 2))
+    live = np.ones(k, bool)
+    while live.any():
+        node, way = live[g], live[g[a]]
+        at, group = np.cumsum(node) - 1, np.cumsum(live) - 1
+        x, y, _ = refine(c1[node], c2[node], group[g[node]], int(live.sum()), at[a[way]], at[b[way]], w[way])
+        c1[node], c2[node] = x, y
+        here = np.flatnonzero(node)
+        here = here[np.lexsort((atom[here], c2[here], c1[here], g[here]))]
+        same = (g[here[1:]] == g[here[:-1]]) & (c1[here[1:]] == c1[here[:-1]]) & (c2[here[1:]] == c2[here[:-1]])
+        shared = here[:-1][same]  # the least atom of the first colour that atoms share comes first
+        groups, first = np.unique(g[shared], return_index=True)
+        c1[shared[first]] = hashed(5, c1[shared[first]])[: len(first)]
+        live = np.zeros(k, bool)
+        live[groups] = True
+    order = np.lexsort((c2, c1, g))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(g, minlength=k))]).astype(np.int32)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n) - ends[g[order]]
+    text = lambda x: pa.array(x).cast(pa.string())
+    nodes = pc.binary_join_element_wise(text(hops[order]), s.take(pa.array(order)), "")
+    p, q = place[a], place[b]
+    code = np.unique(t.to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] if len(t) else np.zeros(0, int)
+    one = np.flatnonzero(p < q)
+    one = one[np.lexsort((code[one], q[one], p[one], g[a[one]]))]
+    lines = pc.binary_join_element_wise(text(p[one]), text(q[one]), t.take(pa.array(one)), " ")
+    stops = np.concatenate([[0], np.cumsum(np.bincount(g[a[one]], minlength=k))]).astype(np.int32)
+    form = pc.binary_join_element_wise(*(pc.binary_join(pa.ListArray.from_arrays(pa.array(o), v), ";") for o, v in ((ends, nodes), (stops, lines))), "|")
+    return pa.table({"center": center, "form": form, "atoms": pa.ListArray.from_arrays(pa.array(ends), pa.array(atom[order])), "hops": pa.ListArray.from_arrays(pa.array(ends), pa.array(hops[order].astype(np.int32)))})
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of all places of the ranges."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def _balls_of(radius: int) -> Solve:
+    """``_BALLS`` of rows of whole parts: (u, h, s) atoms, (u, center) centers, (u, v, h, s) ways."""
+
+    def solve(table: pa.Table, part: np.ndarray) -> pa.Table:
+        u, (v, way), (c, start), (h, _) = table.column("u").to_numpy(), *(longs(table.column(x)) for x in ("v", "center", "h"))
+        s = table.column("s").combine_chunks()
+        nodes = np.unique(u)
+        n = len(nodes)
+        rows = np.flatnonzero(~way & ~start)
+        listed, first = np.unique(u[rows], return_index=True)
+        row_of = np.full(n, -1)
+        row_of[np.searchsorted(nodes, listed)] = rows[first]
+        ways = np.flatnonzero(way)
+        ways = ways[np.argsort(u[ways], kind="stable")]
+        to, size = np.searchsorted(nodes, v[ways]), np.bincount(np.searchsorted(nodes, u[ways]), minlength=n)
+        begin = np.cumsum(size) - size
+        centers = np.unique(c[start])
+        made = []
+        for lo in range(0, max(len(centers), 1), BALLS):
+            some = centers[lo : lo + BALLS]
+            level = np.arange(len(some)) * n + np.searchsorted(nodes, some)
+            keys, hops = level, np.zeros(len(level), np.int64)
+            for step in range(1, radius + 1):
+                which, at = _gathered(begin[level % n], size[level % n]) if n else (level, level)
+                level = np.setdiff1d(level[which] // max(n, 1) * n + to[at], keys)
+                keys, hops = np.append(keys, level), np.append(hops, np.full(len(level), step))
+            order = np.argsort(keys)
+            keys, hops = keys[order], hops[order]
+            if n:
+                told = row_of[keys % n] >= 0
+                keys, hops = keys[told], hops[told]
+            g, node = (keys // n, keys % n) if n else (keys, keys)
+            a, at = _gathered(begin[node], size[node])
+            goal = g[a] * n + to[at]
+            b = np.minimum(np.searchsorted(keys, goal), max(len(keys) - 1, 0))
+            inside = keys[b] == goal
+            a, b, at = a[inside], b[inside], ways[at[inside]]
+            row = row_of[node]
+            kept = np.unique(g)  # a center that is not listed may have nothing near it
+            made.append(_numbered(some[kept], np.searchsorted(kept, g), nodes[node], hops, h[row], s.take(pa.array(row)), a, b, h[at], s.take(pa.array(at))))
+        return pa.concat_tables(made)
+
+    return solve
+
+
+def _balls_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_BALLS`` of rows (center, u, v, hops, h, s) that come center by center: atoms have no v."""
+    for table in chunks(batches, "center", 1 << 16):
+        (v, way), (hops, _), (h, _) = (longs(table.column(x)) for x in ("v", "hops", "h"))
+        center, u, s = table.column("center").to_numpy(), table.column("u").to_numpy(), table.column("s").combine_chunks()
+        rows = np.flatnonzero(~way)
+        rows = rows[np.lexsort((u[rows], center[rows]))]
+        names, g = np.unique(center[rows], return_inverse=True)
+        nodes, of = np.unique(u[rows], return_inverse=True)
+        keys, ways = g * len(nodes) + of, np.flatnonzero(way)
+        a, b = (np.searchsorted(keys, np.searchsorted(names, center[ways]) * len(nodes) + np.searchsorted(nodes, x[ways])) for x in (u, v))
+        yield from _numbered(names, g, u[rows], hops[rows], h[rows], s.take(pa.array(rows)), a, b, h[ways], s.take(pa.array(ways))).to_batches()
+
+
+def evaluate_kinds(atoms: DataFrame, same: DataFrame, places: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``evaluate`` finds, once for each kind of region: it gets (region, atom, hops, place, the other columns of ``atoms``)
+    of the regions that others are equal to."""
+    kinds = materialize(same.where("center = region"), "kinds")
+    picked = places.join(kinds, "center").select("region", "atom", "hops", "place")
+    return materialize(evaluate(materialize(picked.join(atoms, "atom"), "picked")), "values")
 
 
 def evaluate_once(atoms: DataFrame, same: DataFrame, places: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -748,6 +904,5 @@ def evaluate_once(atoms: DataFrame, same: DataFrame, places: DataFrame, evaluate
     and returns (region, place, more columns). The result has center, atom and those columns; places it leaves out have none.
     """
     kinds = materialize(same, "same")
-    picked = places.join(kinds.where("center = region").select("center", "region"), "center").select("region", "atom", "hops", "place")
-    values = materialize(evaluate(materialize(picked.join(atoms, "atom"), "picked")), "values")
+    values = evaluate_kinds(atoms, kinds, places, evaluate)
     return places.join(kinds, "center").select("center", "region", "atom", "place").join(values, ["region", "place"]).drop("region", "place")

@@ -244,3 +244,20 @@ def test_classes_of_parts_equal_those_of_joins(spark, monkeypatch):
     found, rounds = dict(told[0][0]), told[0][1]
     assert {found[a] for a in (0, 5, 100, 113, 200)} == {0} and found[500] == 500 and found[700] == 700 and rounds == 7
     assert found[300] == 300 and found[309] == 300 and found[400] == found[414] == 400
+
+
+def test_balls_of_parts_equal_those_of_joins(spark, monkeypatch):
+    """All atoms of all regions were joined in every round; regions of small and large parts must still be one kind if alike."""
+    all_ = [(n, e) for n, e in graphs(13, 3) if n < 30]
+    labels = [(1000 * g + a, "CN"[(a + g) % 2]) for g, (n, _) in enumerate(all_) for a in range(n)] + [(9000 + a, "CN"[a % 2]) for a in range(30)] + [(9900, None)]
+    atoms = spark.createDataFrame(labels, "atom long, label string")
+    bonds = spark.createDataFrame([(1000 * g + a, 1000 * g + b) for g, (_, e) in enumerate(all_) for a, b in e] + [(9000 + a, 9001 + a) for a in range(29)] + [(9001, 9002)], "atomi long, atomj long")
+    centers = atoms.select(F.col("atom").alias("center"), "atom")
+    told = []
+    for most, ball in ((256, 4096), (8, 4096), (8, 5)):
+        monkeypatch.setattr(perception, "BALL_PART", most)
+        monkeypatch.setattr(perception, "BALL", ball)
+        same, places = perception.alike_regions(atoms, bonds, centers, 2, F.col("label"))
+        held = sorted((r.center, r.atom, r.hops) for r in places.collect())
+        told.append((sorted(map(tuple, same.collect())), held))
+    assert told[0] == told[1] == told[2]
