@@ -559,6 +559,33 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(now, ends)
 
 
+#: Atoms of a part whose systems are dealt by ranges of atoms.
+SYSTEM_PART = 1 << 14
+
+
+@lru_cache(1 << 14)
+def _pairs_of_shape(near: tuple[tuple[int, ...], ...]) -> list[int]:
+    return most_pairs([list(x) for x in near])
+
+
+def _pairs_of(table: pa.Table, part: np.ndarray) -> pa.Table:
+    """(part, atomi, atomj), atoms left over without atomj, of rows (u, v) of whole parts. Many systems have one shape, which is solved once."""
+    u, (v, way) = table.column("u").to_numpy(), longs(table.column("v"))
+    names = np.unique(u[~way])
+    listed = way & np.isin(u, names) & np.isin(v, names)
+    a, b = np.searchsorted(names, u[listed]), np.searchsorted(names, v[listed])
+    root = joined(len(names), a, b)  # atoms without a need hold no system together
+    mate = np.full(len(names), -1)
+    for _, near in _nearby(root[a], a, b):
+        own = list(near)
+        number = {x: i for i, x in enumerate(own)}
+        pairs = _pairs_of_shape(tuple(tuple(number[y] for y in x) for x in near.values()) if len(own) <= 64 else ()) or most_pairs([[number[y] for y in x] for x in near.values()])
+        mate[own] = [own[m] if m >= 0 else -1 for m in pairs]
+    here = np.flatnonzero((mate < 0) | (mate > np.arange(len(names))))
+    other = pa.array(names[mate[here]] if len(names) else names, pa.int64(), mask=mate[here] < 0)
+    return pa.table({"part": names[root[here]] if len(names) else names, "atomi": names[here], "atomj": other})
+
+
 def kekule_orders(atoms: DataFrame, bonds: DataFrame, takes: Column, aromatic: Column) -> tuple[DataFrame, DataFrame]:
     """(bonds with ``order``, (part, atom) of atoms left over): single and double bonds of aromatic systems.
 
@@ -567,24 +594,37 @@ def kekule_orders(atoms: DataFrame, bonds: DataFrame, takes: Column, aromatic: C
     atoms left over has no legal set of double bonds, and they are named. ``order`` is 2 or 1 for aromatic bonds and null
     for others; of parallel bonds each has the order.
 
-    Systems are independent, dealt by their name and solved one after the other; one system is in one task, whose memory grows with the
-    largest system, not with the number of them.
+    Systems are independent: dealt by ranges of atoms where they are small, else by their name, and solved one after the other; one
+    system is in one task, whose memory grows with the largest system, not with the number of them. Atoms are whole numbers.
     """
-    inside = materialize(atoms.where(F.coalesce(takes, F.lit(False)) & F.col("atom").isNotNull()).select("atom").distinct(), "takes")
-    edges = undirected(bonds.where(F.coalesce(aromatic, F.lit(False))))
+    inside = atoms.where(F.coalesce(takes, F.lit(False)) & F.col("atom").isNotNull()).select("atom")
+    edges = bonds.where(F.coalesce(aromatic, F.lit(False)) & (F.col("atomi") != F.col("atomj"))).select("atomi", "atomj")
+    edges = materialize(edges.select(*(F.col(c).cast("long").alias(n) for c, n in (("atomi", "u"), ("atomj", "v")))), "aromatic")
+    rows = edges.union(edges.select("v", "u")).union(inside.select(F.col("atom").cast("long").alias("u"), F.lit(None).cast("long")))
+    pairs, large = by_parts(rows, ["v"], _pairs_of, "part long, atomi long, atomj long", SYSTEM_PART)
+    if large is not None:
+        pairs = pairs.union(_pairs_of_large(large))
+    double = pairs.where("atomj is not null").select(F.col("atomi").alias("_a"), F.col("atomj").alias("_b"), F.lit(True).alias("_double"))
+    with_ends = bonds.withColumns({"_a": F.least("atomi", "atomj"), "_b": F.greatest("atomi", "atomj")})
+    order = F.when(F.coalesce(aromatic, F.lit(False)), F.when(F.col("_double"), 2).otherwise(1))
+    ordered = with_ends.join(double, ["_a", "_b"], "left").withColumn("order", order).drop("_a", "_b", "_double")
+    left = pairs.where("atomj is null").select("part", F.col("atomi").cast(atoms.schema["atom"].dataType).alias("atom"))
+    return ordered, left
+
+
+def _pairs_of_large(rows: DataFrame) -> DataFrame:
+    """(part, atomi, atomj), atoms left over without atomj, of rows (u, v) of large parts: a system is one task's."""
+    inside = materialize(rows.where("v is null").select(F.col("u").alias("atom")).distinct(), "takes")
+    edges = rows.where("u < v").select(F.col("u").alias("atomi"), F.col("v").alias("atomj")).distinct()
     for end in ("atomi", "atomj"):
         edges = edges.join(inside.withColumnRenamed("atom", end), end, "left_semi")
     edges = materialize(edges.select("atomi", "atomj"), "aromatic")
     part = materialize(connected_components(edges, "atomi", "atomj").select(F.col("node").alias("atom"), F.col("component").alias("part")), "systems")
-    rows = edges.join(part.withColumnRenamed("atom", "atomi"), "atomi").select(F.col("part").cast("long"), F.col("atomi").cast("long"), F.col("atomj").cast("long"))
-    pairs = materialize(rows.repartition("part").sortWithinPartitions("part", "atomi", "atomj").mapInArrow(_paired, "part long, atomi long, atomj long"), "pairs")
-    double = pairs.select(F.col("atomi").alias("_a"), F.col("atomj").alias("_b"), F.lit(True).alias("_double"))
-    with_ends = bonds.withColumns({"_a": F.least("atomi", "atomj"), "_b": F.greatest("atomi", "atomj")})
-    order = F.when(F.coalesce(aromatic, F.lit(False)), F.when(F.col("_double"), 2).otherwise(1))
-    ordered = with_ends.join(double, ["_a", "_b"], "left").withColumn("order", order).drop("_a", "_b", "_double")
+    named = edges.join(part.withColumnRenamed("atom", "atomi"), "atomi").select("part", "atomi", "atomj")
+    pairs = materialize(named.repartition("part").sortWithinPartitions("part", "atomi", "atomj").mapInArrow(_paired, "part long, atomi long, atomj long"), "pairs")
     taken = pairs.select(F.explode(F.array("atomi", "atomj")).alias("atom"))
-    left = inside.join(taken, "atom", "left_anti").join(part, "atom", "left").select(F.coalesce("part", "atom").alias("part"), "atom")
-    return ordered, left
+    left = inside.join(taken, "atom", "left_anti").join(part, "atom", "left")
+    return pairs.union(left.select(F.coalesce("part", "atom"), "atom", F.lit(None).cast("long")))
 
 
 # --- regions -------------------------------------------------------------------------------

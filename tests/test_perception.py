@@ -261,3 +261,22 @@ def test_balls_of_parts_equal_those_of_joins(spark, monkeypatch):
         held = sorted((r.center, r.atom, r.hops) for r in places.collect())
         told.append((sorted(map(tuple, same.collect())), held))
     assert told[0] == told[1] == told[2]
+
+
+def test_double_bonds_of_parts_equal_those_of_systems(spark, monkeypatch):
+    """Every system was solved by itself after five joins; equal shapes are solved once now."""
+    all_ = graphs(17, 10)
+    bonds = bonds_of(spark, all_).where("atomi is not null")
+    atoms = spark.createDataFrame([(1000 * g + a, (a + g) % 5 > 0) for g, (n, _) in enumerate(all_) for a in range(n)], "atom int, need boolean")
+    told, calls = [], []
+    large = perception._pairs_of_large
+    monkeypatch.setattr(perception, "_pairs_of_large", lambda rows: calls.append(1) or large(rows))
+    for most in (perception.SYSTEM_PART, 5):
+        monkeypatch.setattr(perception, "SYSTEM_PART", most)
+        ordered, left = perception.kekule_orders(atoms, bonds, F.col("need"), F.lit(True))
+        double = {(r.atomi, r.atomj) for r in ordered.where("order = 2").collect()}
+        over = left.collect()
+        assert len({a for e in double for a in e}) == 2 * len(double)
+        told.append((len(double), sorted(r.part for r in over)))
+        assert {a for e in double for a in e} | {r.atom for r in over} == {r.atom for r in atoms.where("need").collect()}
+    assert told[0] == told[1] and calls == [1]
