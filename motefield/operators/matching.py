@@ -15,9 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motefield.operators.parts import by_parts, longs, whole_numbers
 from motefield.storage import forget, materialize
 
 
@@ -113,6 +116,8 @@ def find_matches(atoms: DataFrame, bonds: DataFrame, pattern: Pattern, once: boo
         return found
     ends = bonds.select(F.least("atomi", "atomj").alias("a"), F.greatest("atomi", "atomj").alias("b"), _bits(list(links.values())).alias("me")).where("a < b and me <> 0").groupBy("a", "b").agg(F.bit_or("me").alias("me"))
     ends = ends.join(allowed.select(F.col("atom").alias("a"), F.col("m").alias("ma")), "a").join(allowed.select(F.col("atom").alias("b"), F.col("m").alias("mb")), "b")
+    # only bonds that can stand for an edge of the pattern, either way
+    ends = ends.where(reduce(Column.__or__, [_has("me", i) & _has(x, names.index(u)) & _has(y, names.index(v)) for i, (u, v) in enumerate(map(tuple, links)) for x, y in (("ma", "mb"), ("mb", "ma"))]))
     turned = ends.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("mb").alias("ma"), F.col("ma").alias("mb"), "me")
     # written: a join of matches with bonds then shuffles plain rows, and an atom of very many bonds is split
     ways = materialize(ends.select("a", "b", "ma", "mb", "me").union(turned), "ways")
@@ -136,11 +141,51 @@ def disjoint_matches(matches: DataFrame, nodes: list[str] | None = None, priorit
     the order of ``priority`` (then of the matches' atoms) takes. Without it the order is a hash of ``seed`` and the atoms.
 
     ``nodes``: the columns with atoms, all by default. Repeated rows are one; other columns stay. Each
-    round decides the first match at least, and with a random order all but a fixed share, so rounds grow with the logarithm.
+    round decides the first match at least, and with a random order all but a fixed share, so rounds grow with the logarithm. Sets
+    of matches that share up to ``MATCH_PART`` atoms are gone through in one task; rounds are for larger ones.
     """
     nodes = nodes or matches.columns
-    order = F.struct((F.xxhash64(F.lit(seed), *nodes) if priority is None else priority).alias("p"), *(F.col(n).alias(f"n{i}") for i, n in enumerate(nodes)))
-    return _choose(matches.dropDuplicates(nodes).withColumn("_order", order), [F.array_distinct(F.array(*nodes))], None).drop("_order")
+    first = F.xxhash64(F.lit(seed), *nodes) if priority is None else priority
+    order = F.struct(first.alias("p"), *(F.col(n).alias(f"n{i}") for i, n in enumerate(nodes)))
+
+    def by_rounds(rows: DataFrame) -> DataFrame:
+        return _choose(rows.dropDuplicates(nodes).withColumn("_order", order), [F.array_distinct(F.array(*nodes))], None).drop("_order")
+
+    more = [c for c in matches.columns if c not in nodes]
+    given = materialize((matches.dropDuplicates(nodes) if more else matches).withColumn("_p", first), "matches")
+    if not whole_numbers(given, "_p", *nodes) or not given.where(" or ".join(f"`{n}` is null" for n in nodes)).isEmpty():
+        return by_rounds(given.drop("_p"))
+    # a match is dealt to each of its atoms, so what share atoms meet in one task
+    row = given.select(*(F.col(n).cast("long").alias(f"n{i}") for i, n in enumerate(nodes)), F.col("_p").cast("long").alias("p"))
+    names = row.columns[:-1]
+    found, large = by_parts(row.withColumn("u", F.explode(F.array_distinct(F.array(*names)))), names, _first_come, ", ".join(f"{n} long" for n in names), MATCH_PART)
+    kinds = [(F.col(n).cast(given.schema[m].dataType).alias(m)) for n, m in zip(names, nodes, strict=True)]
+    found = found.select(*kinds)
+    rows = given.drop("_p")
+    if large is not None:
+        many = materialize(large.where("u = n0").select(*kinds).distinct(), "large")
+        found = found.union(by_rounds(rows.join(many, nodes, "left_semi").select(rows.columns)).select(nodes))
+    return (rows.join(found, nodes, "left_semi") if more else found).select(matches.columns)
+
+
+#: Atoms of a set of matches that hang together, up to which it is one task's.
+MATCH_PART = 1 << 14
+
+
+def _first_come(table: pa.Table, part: np.ndarray) -> pa.Table:
+    """The matches (n0, n1, ...) that a choice one by one in the order of (p, n0, n1, ...) takes."""
+    names = [c for c in table.column_names if c not in ("u", "p")]
+    nodes = [table.column(n).to_numpy() for n in names]
+    p, given = longs(table.column("p"))
+    rows = np.stack(nodes, axis=1)[np.lexsort((*nodes[::-1], p, given))]
+    rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
+    used: set[int] = set()
+    taken = []
+    for at, atoms in enumerate(rows.tolist()):
+        if used.isdisjoint(atoms):
+            used.update(atoms)
+            taken.append(at)
+    return pa.table({n: rows[taken, k] if taken else np.zeros(0, np.int64) for k, n in enumerate(names)})
 
 
 def limited_pairs(pairs: DataFrame, limit: int | None = None, by: tuple[str, ...] = (), conversion: float = 1.0, seed: int = 0, priority: Column | None = None) -> DataFrame:

@@ -125,3 +125,19 @@ def test_rewrite_edits_folds_and_conserves(spark):
     assert same.count() == 8 and kept.count() == 6
     again, more = matching.rewrite(atoms, bonds, matches, form=(("x", "z"), ("x", "y")))
     assert again.count() == 8 and more.count() == 8
+
+
+def test_choice_by_parts_equals_choice_by_rounds(spark, monkeypatch):
+    """Every choice went through rounds of joins over all matches."""
+    rows = [(a, a + 1 + a * 7 % 3, a + 5 + a * 11 % 7) for a in range(0, 400, 2)] * 2 + [(1000 + i, 1000 + i, 1001 + i) for i in range(60)]
+    matches = spark.createDataFrame(rows, "x long, y int, z long")
+    asked, choose = [], matching._choose
+    monkeypatch.setattr(matching, "_choose", lambda *a: asked.append(1) or choose(*a))
+    told = []
+    for most in (matching.MATCH_PART, 40):
+        monkeypatch.setattr(matching, "MATCH_PART", most)
+        told.append(sorted(map(tuple, matching.disjoint_matches(matches, priority=F.expr("nullif(x * 31 % 17, 3)")).collect())))
+        assert len(asked) == (most == 40)
+    assert told[0] == told[1] and len(told[0]) > 50
+    more = matching.disjoint_matches(matches.withColumn("k", F.lit("a")), ["x", "y", "z"], F.expr("nullif(x * 31 % 17, 3)"))
+    assert sorted(tuple(r)[:3] for r in more.collect()) == told[0] and more.columns == ["x", "y", "z", "k"]
