@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motefield.storage import materialize
+
 WILD = "*"
 
 
@@ -23,21 +25,20 @@ def match_terms(terms: DataFrame, ends: list[str], classes: DataFrame, patterns:
     (name, comp array of strings, layer, ord). A term with an untyped end gets nothing; with
     ``strict`` a term without a match is an error.
     """
-    rows = terms.select("term", *ends)
+    # the best pattern hangs on the types only, so keys are made once for each choice of types that occurs
+    rows = materialize(terms.select(*ends).dropna().distinct(), "kinds")
     for e in ends:
         rows = rows.join(classes.select(F.col("type").alias(e), F.col("class").alias(f"_{e}")).dropDuplicates([e]), e, "left")
     options = []
     for order in (ends, ends[::-1]):
-        for kinds in product((3, 1, 0), repeat=len(ends)):
-            key = [F.col(e) if k == 3 else F.col(f"_{e}") if k == 1 else F.lit(WILD) for e, k in zip(order, kinds, strict=True)]
-            options.append(F.struct(F.array(*key).alias("comp"), F.lit(sum(kinds)).alias("score")))
-    typed = rows
-    for e in ends:
-        typed = typed.where(F.col(e).isNotNull())
-    keys = typed.select("term", F.explode(F.array(*options)).alias("o")).select("term", "o.*").where(~F.exists("comp", lambda c: c.isNull()))
-    found = keys.groupBy("term", "comp").agg(F.max("score").alias("score")).join(patterns, "comp")
-    best = found.groupBy("term").agg(F.max(F.struct("score", "layer", (-F.col("ord")).alias("first"), "name")).alias("b")).select("term", "b.name", "b.score")
-    out = terms.join(best, "term", "left")
+        for exact in product((3, 1, 0), repeat=len(ends)):
+            key = [F.col(e) if k == 3 else F.col(f"_{e}") if k == 1 else F.lit(WILD) for e, k in zip(order, exact, strict=True)]
+            options.append(F.struct(F.array(*key).alias("comp"), F.lit(sum(exact)).alias("score")))
+    keys = rows.select(*ends, F.explode(F.array(*options)).alias("o")).select(*ends, "o.*").where(~F.exists("comp", lambda c: c.isNull()))
+    found = keys.groupBy(*ends, "comp").agg(F.max("score").alias("score")).join(patterns, "comp")
+    best = found.groupBy(*ends).agg(F.max(F.struct("score", "layer", (-F.col("ord")).alias("first"), "name")).alias("_best")).select(*ends, "_best.name", "_best.score")
+    # written, so that its size is known and types that many terms share need no shuffle of terms
+    out = terms.join(materialize(best, "best"), ends, "left").select(*terms.columns, "name", "score")
     if strict and out.where("name is null").limit(1).count():
         raise ValueError("a term has no parameters")
     return out
