@@ -48,29 +48,29 @@ def _cells(box: Box, cutoff: float, grid: list[int | None]) -> list[Column]:
     return out
 
 
-def _dealt(df: DataFrame, box: Box, cutoff: float, grid: list[int | None], keys, atom: str, carry, around: bool) -> DataFrame:
+def _dealt(df: DataFrame, box: Box, cutoff: float, grid: list[int | None], keys, atom: str, carry, around: bool, size: int = BLOCK) -> DataFrame:
     """(keys, block, _c, _home, _id, x, y, z, carry): each row in its own block or, with ``around``, in each block
     that its cell borders on; ``_c``: its cell's number there."""
     known = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, *XYZ)]))
     rows = known.select(*keys, F.col(atom).alias("_id"), *[F.col(c).cast("double").alias(c) for c in XYZ], *carry, *[c.alias(n) for n, c in zip(("_cx", "_cy", "_cz"), _cells(box, cutoff, grid), strict=True)])
     place, home = F.lit(0).cast("long"), F.lit(True)
-    for c, b, n, d in zip(("_cx", "_cy", "_cz"), BLOCKS, grid, _extent(grid), strict=True):
-        at = lambda v, n=n: F.floor((F.pmod(v, F.lit(n).cast("long")) if n else v) / BLOCK)
-        if n and n <= BLOCK:
+    for c, b, n, d in zip(("_cx", "_cy", "_cz"), BLOCKS, grid, _extent(grid, size), strict=True):
+        at = lambda v, n=n: F.floor((F.pmod(v, F.lit(n).cast("long")) if n else v) / size)
+        if n and n <= size:
             rows = rows.withColumn(b, F.lit(0).cast("long"))
         elif around:
             rows = rows.withColumn(b, F.explode(F.array_distinct(F.array(at(F.col(c)), at(F.col(c) - 1), at(F.col(c) + 1)))))
             home = home & (F.col(b) == at(F.col(c)))
         else:
             rows = rows.withColumn(b, at(F.col(c)))
-        within = F.col(c) - F.col(b) * BLOCK + 1
+        within = F.col(c) - F.col(b) * size + 1
         place = place * d + (F.pmod(within, F.lit(n).cast("long")) if n else within)
     return rows.select(*keys, *BLOCKS, place.alias("_c"), home.alias("_home"), "_id", *XYZ, *carry)
 
 
-def _extent(grid: list[int | None]) -> list[int]:
+def _extent(grid: list[int | None], size: int = BLOCK) -> list[int]:
     """Cells of a block with those around it, along each axis."""
-    return [min(n, BLOCK + 2) if n else BLOCK + 2 for n in grid]
+    return [min(n, size + 2) if n else size + 2 for n in grid]
 
 
 def _sum(terms: list[np.ndarray], like: np.ndarray) -> np.ndarray:
@@ -95,48 +95,80 @@ def _numbers(ids: pa.Array) -> np.ndarray:
     return np.unique(np.array(ids.to_pylist()), return_inverse=True)[1]
 
 
-def _searched(rows: pa.Table, box: Box, cutoff: float, grid: list[int | None], keys: list[str], carry: list[str], apart: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole blocks; ``apart``: of rows that are ``_home`` with those that are not."""
-    n, extent = rows.num_rows, _extent(grid)
-    held = {c: rows[c].combine_chunks() for c in rows.column_names}
-    edge = np.zeros(n, dtype=bool)
-    for c in (*keys, *BLOCKS):
-        edge[1:] |= pc.not_equal(held[c][1:], held[c][:-1]).to_numpy(zero_copy_only=False)
-    home, cell = (held[c].to_numpy(zero_copy_only=False) for c in ("_home", "_c"))
-    base = np.cumsum(edge) * int(np.prod(extent))
-    xyz = [held[c].to_numpy(zero_copy_only=False) for c in XYZ]
-    number = None if apart else _numbers(held["_id"])
-    others = np.flatnonzero(~home) if apart else np.arange(n)
-    order = others[np.argsort((base + cell)[others], kind="stable")]
-    cells, first, count = np.unique((base + cell)[order], return_index=True, return_counts=True)
-    mine = np.flatnonzero(home)
-    if not len(mine) or not len(cells):
-        return
-    where = np.unravel_index(cell[mine], extent)
-    steps = [sorted({o % d for o in (-1, 0, 1)}) if m and m < BLOCK + 2 else [-1, 0, 1] for m, d in zip(grid, extent, strict=True)]
-    for step in product(*steps):
-        to = base[mine] + np.ravel_multi_index([(w + o) % d for w, o, d in zip(where, step, extent, strict=True)], extent)
-        at = np.minimum(np.searchsorted(cells, to), len(cells) - 1)
-        has = cells[at] == to
-        left, at = mine[has], at[has]
-        upto = np.cumsum(count[at])
+def starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Where a row differs from the one before it in any of the columns; nulls always do."""
+    edge = np.ones(rows.num_rows, dtype=bool)
+    differs = [pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False) for c in (rows[name].combine_chunks() for name in columns)]
+    edge[1:] = reduce(np.logical_or, differs) if differs else False
+    return edge
+
+
+def whole(batches: Iterator[pa.RecordBatch], columns: list[str], most: int) -> Iterator[pa.Table]:
+    """Tables of about ``most`` rows of sorted batches, in which rows that are equal in the columns are together."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            # up to where the last group begins
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(starts(rows, columns))[-1])
+            if cut:
+                yield rows.slice(0, cut).combine_chunks()
+                held, n = rows.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def around(rows: pa.Table, box: Box, cutoff: float, grid: list[int | None], keys: list[str], apart: bool, size: int = BLOCK, most: int | None = None, number: np.ndarray | None = None) -> Iterator[tuple]:
+    """(mine, i, j, d, square) of whole blocks: rows that are ``_home``, and of each all pairs within the cutoff, in order
+    of i; so many at once that about ``most`` are compared. ``apart``: with rows that are not ``_home``, else with all;
+    ``number``: only pairs in which j's is larger."""
+    extent, most = _extent(grid, size), most or MOST
+    home, cell = (rows[c].to_numpy() for c in ("_home", "_c"))
+    at = (np.cumsum(starts(rows, [*keys, *BLOCKS])) - 1) * int(np.prod(extent))
+    xyz = [rows[c].to_numpy() for c in XYZ]
+    others = np.flatnonzero(~home) if apart else np.arange(rows.num_rows)
+    order = others[np.argsort((at + cell)[others], kind="stable")]
+    cells, first, count = np.unique((at + cell)[order], return_index=True, return_counts=True)
+    first, count = np.append(first, 0), np.append(count, 0)
+    steps = [sorted({o % d for o in (-1, 0, 1)}) if m and m < size + 2 else [-1, 0, 1] for m, d in zip(grid, extent, strict=True)]
+    steps = np.array(list(product(*steps)))
+    homes = np.flatnonzero(home)
+    for begin in range(0, len(homes), 4096):
+        mine = homes[begin : begin + 4096]
+        where = np.unravel_index(cell[mine], extent)
+        to = at[mine, None] + np.ravel_multi_index([(w[:, None] + s) % d for w, s, d in zip(where, steps.T, extent, strict=True)], extent)
+        found = np.searchsorted(cells, to)
+        found[(found == len(cells)) | (np.append(cells, -1)[found] != to)] = len(cells)
+        upto = np.cumsum(count[found].sum(axis=1))
         # no more than so many at once, however many share a cell
-        cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(MOST, int(upto[-1]) if len(upto) else 0, MOST), side="right"), [len(left)]]))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(most, int(upto[-1]), most), side="right"), [len(mine)]]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            k = count[at[a:b]]
-            i = np.repeat(left[a:b], k)
-            j = order[np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[at[a:b]], k)]
+            k, start = count[found[a:b]].ravel(), first[found[a:b]].ravel()
+            i = np.repeat(np.repeat(mine[a:b], len(steps)), k)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start, k)]
             if number is not None:
                 once = number[i] < number[j]
                 i, j = i[once], j[once]
             d = _image(box, [x[j] - x[i] for x in xyz])
             square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
             near = square <= cutoff * cutoff
-            if near.any():
-                p, q = pa.array(i[near]), pa.array(j[near])
-                told = [*(held[c].take(p) for c in keys), held["_id"].take(p), held["_id"].take(q), *(pa.array(c[near]) for c in d), pa.array(np.sqrt(square[near]))]
-                told += [held[c].take(r) for r in (p, q) for c in carry]
-                yield pa.RecordBatch.from_arrays(told, [*keys, "i", "j", "dx", "dy", "dz", "dist", *[f"{c}_{s}" for s in "ij" for c in carry]])
+            yield mine[a:b], i[near], j[near], [c[near] for c in d], square[near]
+
+
+def _searched(rows: pa.Table, box: Box, cutoff: float, grid: list[int | None], keys: list[str], carry: list[str], apart: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole blocks; ``apart``: of rows that are ``_home`` with those that are not."""
+    held = {c: rows[c].combine_chunks() for c in rows.column_names}
+    number = None if apart else _numbers(held["_id"])
+    for _, i, j, d, square in around(rows, box, cutoff, grid, keys, apart, number=number):
+        if len(i):
+            p, q = pa.array(i), pa.array(j)
+            told = [*(held[c].take(p) for c in keys), held["_id"].take(p), held["_id"].take(q), *map(pa.array, d), pa.array(np.sqrt(square))]
+            told += [held[c].take(r) for r in (p, q) for c in carry]
+            yield pa.RecordBatch.from_arrays(told, [*keys, "i", "j", "dx", "dy", "dz", "dist", *[f"{c}_{s}" for s in "ij" for c in carry]])
 
 
 def _pairs(rows: DataFrame, box: Box, cutoff: float, grid: list[int | None], keys: list[str], carry, apart: bool) -> DataFrame:
@@ -145,29 +177,20 @@ def _pairs(rows: DataFrame, box: Box, cutoff: float, grid: list[int | None], key
     dealt = rows.repartition(*keys, *BLOCKS) if keys else rows.repartition(*BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= ROWS:
-                # up to where the last block begins
-                rows = pa.Table.from_batches(held).combine_chunks()
-                last = np.zeros(n - 1, dtype=bool)
-                for c in (*keys, *BLOCKS):
-                    column = rows[c].combine_chunks()
-                    last |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-                cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-                if cut:
-                    yield from _searched(rows.slice(0, cut), box, cutoff, grid, keys, carry, apart)
-                    held, n = rows.slice(cut).to_batches(), n - cut
-        if n:
-            yield from _searched(pa.Table.from_batches(held), box, cutoff, grid, keys, carry, apart)
+        for held in whole(batches, [*keys, *BLOCKS], ROWS):
+            yield from _searched(held, box, cutoff, grid, keys, carry, apart)
 
     return dealt.sortWithinPartitions(*keys, *BLOCKS).mapInArrow(run, StructType([StructField(c, t) for c, t in told]))
 
 
+def dealt_around(points: DataFrame, others: DataFrame, box: Box, cutoff: float, keys: list[str], carry, size: int, tasks: int) -> DataFrame:
+    """Points (``_home``) and others as ``around`` takes them with ``apart``, in blocks of ``size`` cells and so many tasks."""
+    grid = _grid(box, cutoff)
+    left = _dealt(points, box, cutoff, grid, keys, "atom", carry, False, size)
+    right = _dealt(others, box, cutoff, grid, keys, "atom", carry, True, size).withColumn("_home", F.lit(False))
+    return left.union(right).repartition(tasks, *keys, *BLOCKS).sortWithinPartitions(*keys, *BLOCKS)
+
+
 def neighbor_pairs(atoms: DataFrame, box: Box, cutoff: float, keys=("frame",), atom: str = "atom", carry=()) -> DataFrame:
     """(keys, i, j, dx, dy, dz, dist) of pairs i < j within ``cutoff``, each once; d is from i
     to j. Columns in ``carry`` appear as name_i and name_j. Rows with a null coordinate have no

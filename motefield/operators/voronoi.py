@@ -1,8 +1,8 @@
 """Radical Voronoi cells of particles in a periodic box, and what is summed over them.
 
-A particle's neighbours within a cutoff come by the cell join; its own task then cuts a cube by
-the radical plane of each neighbour, nearest plane first, until no plane can reach the cell.
-The work is local: a particle's neighbours are as many as the density allows. ``closed`` says
+A particle's neighbours within a cutoff are in its block of the cell join; the task that finds them cuts a
+cube by the radical plane of each, nearest plane first, until no plane can reach the cell, many cells at
+once in arrays. The work is local: a particle's neighbours are as many as the density allows. ``closed`` says
 that neighbours within the cutoff were enough; where it is false a larger cutoff is needed,
 which ``all_cells`` gives to these cells alone, round by round.
 """
@@ -14,114 +14,142 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.box import Box
 from motefield.operators.components import connected_components
-from motefield.operators.neighbors import both_ways, cross_pairs, neighbor_pairs
+from motefield.operators.neighbors import BLOCKS, ROWS, around, both_ways, cross_pairs, dealt_around, neighbor_pairs, starts, whole
 from motefield.storage import materialize
 
 #: About so many particles are within the first cutoff of a crowded frame.
 NEIGHBOURS = 60
 
-Faces = list[tuple[int, np.ndarray]]
-
-
-def _cube(half: float) -> Faces:
-    """Faces of a cube about the origin; their neighbours are -1 to -6."""
-    out = []
-    for axis in range(3):
-        for side in (-1, 1):
-            corners = np.zeros((4, 3))
-            corners[:, axis] = side * half
-            corners[:, (axis + 1) % 3] = half * np.array([-1, 1, 1, -1])
-            corners[:, (axis + 2) % 3] = half * np.array([-1, -1, 1, 1])
-            out.append((-(2 * axis + (side > 0) + 1), corners))
-    return out
-
-
-def _cut(faces: Faces, normal: np.ndarray, at: float, name: int, tiny: float) -> Faces:
-    """What is left on the side of normal . x <= at, with the new face; a plane that only touches makes none."""
-    stack = np.concatenate([corners for _, corners in faces])
-    high = stack @ normal - at
-    if (high <= tiny).all():
-        return faces
-    highs, places, start = high.tolist(), stack.tolist(), 0
-    out, rim = [], []
-    for neighbour, corners in faces:
-        end = start + len(corners)
-        side, place, start = highs[start:end], places[start:end], end
-        if max(side) <= tiny:
-            out.append((neighbour, corners))
-            rim += [b for b, q in zip(place, side, strict=True) if abs(q) <= tiny]
-            continue
-        kept = []
-        for k, (b, q) in enumerate(zip(place, side, strict=True)):
-            a, p = place[k - 1], side[k - 1]
-            if (p > tiny) != (q > tiny):
-                cross = [u + (v - u) * (p / (p - q)) for u, v in zip(a, b, strict=True)]
-                kept.append(cross)
-                rim.append(cross)
-            if q <= tiny:
-                kept.append(b)
-                if q >= -tiny:
-                    rim.append(b)
-        if len(kept) >= 3:
-            out.append((neighbour, np.array(kept)))
-    if len(rim) >= 3:
-        points = np.array(rim)
-        u = np.cross(normal, [1.0, 0, 0] if abs(normal[0]) < 0.6 * np.linalg.norm(normal) else [0, 1.0, 0])
-        u /= np.linalg.norm(u)
-        w = np.cross(normal, u) / np.linalg.norm(normal)
-        around = points - points.mean(axis=0)
-        order = np.argsort(np.arctan2(around @ w, around @ u), kind="stable")
-        points = points[order]
-        new = np.linalg.norm(points - np.roll(points, 1, axis=0), axis=1) > tiny
-        if new.sum() >= 3:
-            out.append((name, points[new]))
-    return out
-
-
-def _area(corners: np.ndarray) -> np.ndarray:
-    """Half the sum of cross products: the area as a vector."""
-    return np.cross(corners[1:-1] - corners[0], corners[2:] - corners[0]).sum(axis=0) / 2
-
-
-def cell(ids: np.ndarray, away: np.ndarray, radii: np.ndarray, own: float, cutoff: float, widest: float, me: int | None = None) -> tuple[float, list[tuple[int, float]], bool]:
-    """(volume, faces, closed) of the cell about the origin; ``widest``: no radius is larger, ``me``: its own
-    id. An id may come several times, as images of one particle; each has a face of its own."""
+FREE = Box(((0.0, 0.0, 0.0),) * 3, (False, False, False))
+
+#: Blocks of cells in which particles are dealt, smaller than those of pairs: few bytes are much work here.
+DEALT = 4
+
+#: Rows of neighbours that a task cuts by at once, unless one cell has more, and planes between two looks at what is done.
+AT_ONCE, LOOK = 1 << 18, 6
+
+
+def _cube() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(corners, the three sides that meet in each, mates) of the cube from -1 to 1, whose sides are 0 to 5: x, y, z,
+    low and high. Sides go round a corner as seen from outside; a half-edge 3 v + s of corner v goes from its side
+    s to the next one, and its mate the other way at the edge's other corner."""
+    corners, sides, at = [], [], {}
+    for v in range(8):
+        high = [v >> k & 1 for k in range(3)]
+        x, y, z = (2 * k + h for k, h in enumerate(high))
+        corners.append([2.0 * h - 1 for h in high])
+        sides.append([x, y, z] if sum(high) % 2 else [x, z, y])
+        at |= {(sides[v][s], sides[v][(s + 1) % 3]): 3 * v + s for s in range(3)}
+    mates = [[at[t[(s + 1) % 3], t[s]] for s in range(3)] for t in sides]
+    return np.array(corners), np.array(sides), np.array(mates)
+
+
+def cells(of: np.ndarray, ids: np.ndarray, away: np.ndarray, radii: np.ndarray, me: np.ndarray, own: np.ndarray, cutoff: float, widest: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(volume, closed, faces) of cells about the origin, cut all at once; faces: (cell, neighbour, area), by cells.
+
+    ``of``, ``ids``, ``away``, ``radii``: of neighbours, the cell's number, in order, and the neighbour's id, place
+    and radius; ``me``, ``own``: of cells, id and radius; ``widest``: no radius is larger. An id may come
+    several times, as images of one particle; each has a face of its own.
+
+    A cell is a cube at first, held as its corners, in each of which three planes meet, and cut by one plane after
+    the other. Corners beyond it go, and each edge that leaves them has a new one, between its two ends. A plane
+    that only touches cuts nothing.
+    """
+    n, tiny = len(own), 1e-9 * cutoff
     square = (away**2).sum(axis=1)
     length = np.sqrt(square)
-    plane = (square + own**2 - radii**2) / 2 / np.where(length > 0, length, 1)
-    faces, tiny = _cube(cutoff), 1e-9 * cutoff
-    far = cutoff * np.sqrt(3)
-    for k in np.argsort(plane, kind="stable"):
-        if length[k] == 0:
-            if own < radii[k] or (own == radii[k] and (ids[k] == ids.min() if me is None else ids[k] < me)):
-                faces = []
-            continue
-        if plane[k] >= far:
-            break
-        before, faces = faces, _cut(faces, away[k] / length[k], plane[k], int(k), tiny)
-        if not faces:
-            break
-        if faces is not before:
-            far = np.sqrt((np.concatenate([c for _, c in faces]) ** 2).sum(axis=1).max())
-    if not faces:  # nothing is left of it, whatever else is near
-        return 0.0, [], True
-    volume, told = 0.0, []
-    for neighbour, corners in faces:
-        area = _area(corners)
-        part = abs(float(area @ corners[0])) / 3
-        size = float(np.linalg.norm(area))
-        inner = plane[neighbour] if neighbour >= 0 else 1.0
-        volume += part if inner >= 0 else -part
-        if size > tiny**2:
-            told.append((int(ids[neighbour]) if neighbour >= 0 else neighbour, size))
-    reach = (cutoff**2 + own**2 - widest**2) / (2 * cutoff)
-    return volume, told, not any(n < 0 for n, _ in faces) and far <= reach
+    plane = (square + own[of] ** 2 - radii**2) / 2 / np.where(length > 0, length, 1)
+    # of particles in one place the one of larger radius, or the first, has the cell
+    gone = np.zeros(n, dtype=bool)
+    gone[of[(length == 0) & ((own[of] < radii) | (own[of] == radii) & (ids < me[of]))]] = True
+    left = np.flatnonzero((length > 0) & ~gone[of])
+    left = left[np.lexsort((plane[left], of[left]))]
+    of, ids, plane, normal = of[left], ids[left], plane[left], away[left] / length[left, None]
+    next_, end = (np.searchsorted(of, np.arange(n), side) for side in ("left", "right"))
+    # planes are numbered over all cells, the sides of cubes first
+    normals = np.concatenate([np.tile(np.repeat(np.eye(3), 2, axis=0) * np.array([-1.0, 1.0] * 3)[:, None], (n, 1)), normal])
+    offsets = np.concatenate([np.full(6 * n, float(cutoff)), plane])
+    corners, sides, mates = _cube()
+    going = np.flatnonzero(~gone)
+    shift = np.arange(len(going))[:, None, None]
+    x, cell = np.tile(corners * cutoff, (len(going), 1)), np.repeat(going, 8)
+    tri, mate = (sides + 6 * going[:, None, None]).reshape(-1, 3), (mates + 24 * shift).reshape(-1, 3)
+    dead = np.zeros(len(x), dtype=bool)
+    far, open_ = np.zeros(n), np.zeros(n, dtype=bool)
+    ends, areas = [], []
+    while len(x):
+        for _ in range(LOOK):
+            has = next_ < end
+            at = np.where(has, next_, 0)
+            high = (x * normal[at][cell]).sum(axis=1) - np.where(has, plane[at], np.inf)[cell] if len(plane) else np.full(len(x), -np.inf)
+            next_ = next_ + has
+            beyond = (high > tiny) & ~dead
+            out = np.flatnonzero(beyond)
+            if not len(out):
+                continue
+            rim, slot = np.nonzero(~beyond[mate[out] // 3])
+            rim = out[rim]
+            other = mate[rim, slot]
+            kept = other // 3
+            part = high[rim] / (high[rim] - np.minimum(high[kept], 0))
+            a, b = tri[rim, slot], tri[rim, (slot + 1) % 3]
+            fresh = len(x) + np.arange(len(rim))
+            x = np.concatenate([x, x[rim] + (x[kept] - x[rim]) * part[:, None]])
+            tri = np.concatenate([tri, np.stack([a, b, 6 * n + at[cell[rim]]], axis=1)])
+            cell, dead = np.concatenate([cell, cell[rim]]), np.concatenate([dead, np.zeros(len(rim), dtype=bool)])
+            mate.reshape(-1)[other] = 3 * fresh
+            mate = np.concatenate([mate, np.stack([other, other, other], axis=1)])
+            # round the new face: where one of its edges leaves a plane another one enters it
+            enters, leaves = fresh[np.argsort(b, kind="stable")], fresh[np.argsort(a, kind="stable")]
+            mate[enters, 1], mate[leaves, 2] = 3 * leaves + 2, 3 * enters + 1
+            dead[out] = True
+        alive = np.flatnonzero(~dead)
+        reach = np.zeros(n)
+        np.maximum.at(reach, cell[alive], (x[alive] ** 2).sum(axis=1))
+        reach = np.sqrt(reach)
+        more = next_ < end
+        more[more] = plane[next_[more]] < reach[more]
+        done = alive[~more[cell[alive]]]
+        far[cell[done]] = reach[cell[done]]
+        open_[cell[done[(tri[done] < 6 * n).any(axis=1)]]] = True
+        for s in range(3):
+            to = tri[done, (s + 1) % 3]
+            ends.append(to)
+            areas.append((np.cross(x[done], x[mate[done, s] // 3]) * normals[to]).sum(axis=1) / 2)
+        stay = alive[more[cell[alive]]]
+        number = np.empty(len(x), dtype=np.int64)
+        number[stay] = np.arange(len(stay))
+        x, cell, tri, mate, dead = x[stay], cell[stay], tri[stay], 3 * number[mate[stay] // 3] + mate[stay] % 3, dead[stay]
+    # the zeros put first keep it a number with a fraction where no cell is left
+    area = np.bincount(np.concatenate([np.arange(len(offsets)), *ends]), np.concatenate([np.zeros(len(offsets)), *areas]), len(offsets))
+    volume = np.bincount(np.concatenate([np.repeat(np.arange(n), 6), of]), area * offsets / 3, n)
+    told = np.flatnonzero(area[6 * n :] > tiny**2)
+    return volume, ~open_ & (far <= (cutoff**2 + own**2 - widest**2) / (2 * cutoff)) | (far == 0), (of[told], ids[told], area[6 * n + told])
+
+
+def _told(keys: list[str], held: pa.Table, rows: np.ndarray, made: tuple) -> pa.RecordBatch:
+    """Cells of these rows of a table as a batch."""
+    volume, closed, (of, neighbour, area) = made
+    bounds = pa.array(np.searchsorted(of, np.arange(len(rows) + 1)).astype(np.int32))
+    faces = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(neighbour), pa.array(area)], ["neighbour", "area"]))
+    named = [held[c].combine_chunks().take(pa.array(rows)) for c in (*keys, "atom")]
+    return pa.RecordBatch.from_arrays([*named, pa.array(volume), faces, pa.array(closed)], [*keys, "atom", "volume", "faces", "closed"])
+
+
+def _schema(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*keys, "atom"]) + ", volume double, faces array<struct<neighbour:bigint,area:double>>, closed boolean"
+
+
+def _tasks(rows: DataFrame) -> int:
+    """A fixed number, as adaptive execution would join tasks by their few bytes."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def radical_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius", keys=("frame",)) -> DataFrame:
@@ -132,34 +160,26 @@ def radical_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radi
     widest = float(atoms.agg(F.max(radius)).first()[0] or 0.0)
     held = atoms.withColumn("_r", F.coalesce(F.col(radius).cast("double"), F.lit(0.0)))
     near = both_ways(neighbor_pairs(held, box, cutoff, keys=keys, carry=("_r",)), carry=("_r",))
-    return _cells(held, near, cutoff, widest, keys)
-
+    # a row of each atom's own with those of its neighbours: nothing is joined, so nothing is sent to all
+    nothing = [F.lit(None).cast(near.schema[c].dataType).alias(c) for c in ("j", "dx", "dy", "dz", "_r_j")]
+    rows = near.select(*keys, F.col("i").alias("atom"), F.col("_r_i").alias("_r"), "j", "dx", "dy", "dz", "_r_j").unionByName(held.select(*keys, "atom", "_r", *nothing))
 
-def _cells(held: DataFrame, near: DataFrame, cutoff: float, widest: float, keys: list[str]) -> DataFrame:
-    """Cells of the rows of ``held`` among their neighbours (keys, i, j, dx, dy, dz, _r_j)."""
-    # few bytes are much work here: a fixed number of tasks, which adaptive execution doesn't join by their bytes
-    dealt = near.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "i")
-    listed = dealt.groupBy(*keys, F.col("i").alias("atom")).agg(F.collect_list(F.struct("j", "dx", "dy", "dz", "_r_j")).alias("near"))
-    parts = ("j", "dx", "dy", "dz", "_r_j")  # an array a column, as these reach tasks as arrays of numbers
-    rows = held.select(*keys, "atom", "_r").join(listed, [*keys, "atom"], "left").select(*keys, "atom", "_r", *[F.col(f"near.{c}").alias(f"_n{c}") for c in parts])
-    schema = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in [*keys, "atom"]) + ", volume double, faces array<struct<neighbour:bigint,area:double>>, closed boolean"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole(batches, [*keys, "atom"], AT_ONCE):
+            edge = starts(held, [*keys, "atom"])
+            first = np.flatnonzero(edge)
+            mine = held.filter(pc.is_valid(held["j"]))
+            of = (np.cumsum(edge) - 1)[pc.is_valid(held["j"]).to_numpy()]
+            ids, radii, *away = (mine[c].to_numpy() for c in ("j", "_r_j", "dx", "dy", "dz"))
+            me, own = (held[c].to_numpy()[first] for c in ("atom", "_r"))
+            yield _told(keys, held, first, cells(of, ids, np.stack(away, axis=1), radii, me, own, cutoff, widest))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for atom, own, *around in zip(batch["atom"], batch["_r"], *(batch[f"_n{c}"] for c in parts), strict=True):
-                ids, *away, radii = ([] if v is None else v for v in around)
-                ids, away = np.array(ids, dtype=np.int64), np.array(away, dtype=float).T
-                volume, faces, closed = cell(ids, away, np.array(radii, dtype=float), float(own), cutoff, widest, int(atom))
-                out.append((volume, [{"neighbour": n, "area": a} for n, a in faces if n >= 0], closed))
-            told = pd.DataFrame(out, columns=["volume", "faces", "closed"])
-            yield pd.concat([batch[[*keys, "atom"]].reset_index(drop=True), told], axis=1)
-
-    return rows.mapInPandas(run, schema)
+    return rows.repartition(_tasks(rows), *keys, "atom").sortWithinPartitions(*keys, "atom").mapInArrow(run, _schema(rows, keys))
 
 
 def _image_pairs(some: DataFrame, all_: DataFrame, box: Box, cutoff: float, keys: list[str]) -> DataFrame:
-    """Neighbours of the rows of ``some`` among all images of ``all_`` within the cutoff, their own images included."""
+    """Rows of ``some`` (``_home``) and all images of ``all_``, dealt by blocks in which each of those rows has
+    all that are within the cutoff, images of its own included."""
     counts = [math.ceil(cutoff / d) for d in box.face_distances]
     place = lambda f: [sum((F.lit(float(box.matrix[r][k])) * f[k] for k in range(3)), F.lit(float(box.origin[r]))).alias(c) for r, c in enumerate("xyz")]
 
@@ -175,9 +195,22 @@ def _image_pairs(some: DataFrame, all_: DataFrame, box: Box, cutoff: float, keys
     images = moved.select(*keys, "atom", "_r", (F.abs("_s0") + F.abs("_s1") + F.abs("_s2")).alias("_away"), *place([F.col(f"_f{k}") for k in range(3)]))
     own = wrapped(some)
     centers = own.select(*keys, "atom", "_r", F.lit(0).alias("_away"), *place([F.col(f"_f{k}") for k in range(3)]))
-    free = Box(((0.0, 0.0, 0.0),) * 3, (False, False, False))
-    near = cross_pairs(centers, images, free, cutoff, keys=keys, carry=("_r", "_away"))
-    return near.where((F.col("i") != F.col("j")) | (F.col("_away_j") > 0)).select(*keys, "i", "j", "dx", "dy", "dz", "_r_j")
+    return dealt_around(centers, images, FREE, cutoff, keys, carry=("_r", "_away"), size=DEALT, tasks=_tasks(some))
+
+
+def _cells(dealt: DataFrame, cutoff: float, widest: float, keys: list[str]) -> DataFrame:
+    """Cells of the rows of ``dealt`` that are ``_home`` among those that are not."""
+    dealt = dealt.withColumnRenamed("_id", "atom")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole(batches, [*keys, *BLOCKS], ROWS):
+            atom, away, radius = (held[c].to_numpy() for c in ("atom", "_away", "_r"))
+            for mine, i, j, d, _ in around(held, FREE, cutoff, [None] * 3, keys, True, DEALT, AT_ONCE):
+                other = (atom[i] != atom[j]) | (away[j] > 0)
+                i, j, d = i[other], j[other], np.stack([c[other] for c in d], axis=1)
+                yield _told(keys, held, mine, cells(np.searchsorted(mine, i), atom[j], d, radius[j], atom[mine], radius[mine], cutoff, widest))
+
+    return dealt.mapInArrow(run, _schema(dealt, keys))
 
 
 def all_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius", keys=("frame",), growth: float = 1.5) -> DataFrame:
@@ -209,7 +242,7 @@ def all_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius",
         if open_ is not None:
             reach = cutoff * growth**-now
             frames = held.join(open_.select(*keys).distinct(), keys, "left_semi") if keys else held
-            made = materialize(_cells(open_, _image_pairs(open_, frames, box, reach, keys), reach, widest, keys), "cells")
+            made = materialize(_cells(_image_pairs(open_, frames, box, reach, keys), reach, widest, keys), "cells")
             closed.append(made.where("closed"))
             left = made.where("not closed")
             open_ = None if left.isEmpty() else materialize(open_.join(left.select(*keys, "atom"), [*keys, "atom"], "left_semi"), "open")
