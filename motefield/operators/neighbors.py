@@ -1,6 +1,6 @@
 """Neighbour joins: pairs of points within a cutoff under a box.
 
-Space is cut into cells no smaller than the cutoff, and cells into blocks of a fixed number of
+Space is cut into cells somewhat wider than the cutoff, and cells into blocks of a fixed number of
 them. Rows are dealt by frame and block, those at a block's rim to the blocks next to it as
 well, so about one row a point is shuffled. A task then looks into the cells around each of its
 points, many blocks at once in arrays; a pair arises in the block of its first point. A range
@@ -28,6 +28,10 @@ BLOCKS = ["_bx", "_by", "_bz"]
 #: Cells of a block along each axis.
 BLOCK = 16
 
+#: Cells are so much wider than the cutoff that rounding leaves no pair within it two cells apart, up to
+#: coordinates of about 1e11 cutoffs.
+WIDER = 1.001
+
 #: Rows that a task takes at once, if a block has no more, and pairs that it compares at once.
 ROWS, MOST = 1 << 17, 1 << 21
 
@@ -36,15 +40,15 @@ def _grid(box: Box, cutoff: float) -> list[int | None]:
     """Cells along each axis; None where the axis is free and cells are not wrapped."""
     if box.style == "free":
         return [None] * 3
-    return [max(1, int(d / cutoff)) if p else None for d, p in zip(box.face_distances, box.pbc, strict=True)]
+    return [max(1, int(d / (cutoff * WIDER))) if p else None for d, p in zip(box.face_distances, box.pbc, strict=True)]
 
 
 def _cells(box: Box, cutoff: float, grid: list[int | None]) -> list[Column]:
     if box.style == "free":
-        return [F.floor(F.col(c) / cutoff) for c in XYZ]
+        return [F.floor(F.col(c) / (cutoff * WIDER)) for c in XYZ]
     out = []
     for frac, n, d in zip(box.fractional(XYZ), grid, box.face_distances, strict=True):
-        out.append(F.floor(frac * (d / cutoff)) if n is None else F.least(F.floor((frac - F.floor(frac)) * n), F.lit(n - 1).cast("long")))
+        out.append(F.floor(frac * (d / (cutoff * WIDER))) if n is None else F.least(F.floor((frac - F.floor(frac)) * n), F.lit(n - 1).cast("long")))
     return out
 
 

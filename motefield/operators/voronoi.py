@@ -245,7 +245,7 @@ def all_cells(atoms: DataFrame, box: Box, cutoff: float, radius: str = "radius",
             made = materialize(_cells(_image_pairs(open_, frames, box, reach, keys), reach, widest, keys), "cells")
             closed.append(made.where("closed"))
             left = made.where("not closed")
-            open_ = None if left.isEmpty() else materialize(open_.join(left.select(*keys, "atom"), [*keys, "atom"], "left_semi"), "open")
+            open_ = None if left.isEmpty() else materialize(open_.join(left.select(*keys, "atom").hint("merge"), [*keys, "atom"], "left_semi"), "open")
         now -= 1
     return reduce(DataFrame.union, closed)
 

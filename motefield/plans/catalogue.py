@@ -16,6 +16,7 @@ from motefield.plans import views as V
 from motefield.plans.registry import ORACLE_SQL as ORACLE_SQL
 from motefield.plans.registry import QUERIES as QUERIES
 from motefield.plans.registry import query, rounded
+from motefield.storage import materialize
 
 FLAGSHIP = "rdf"
 _r = rounded
@@ -357,12 +358,17 @@ def pair_forces(spark, d):
     return forcefield.pair_forces(_pairs(spark, d, 2.3), F.col("dist") - 2.3).select("frame", "atom", _r("fx", 4), _r("fz", 4))
 
 
-@query(f"""WITH {V.pairs_sql(2.3)} SELECT frame, round(sum(CASE WHEN j = i + 1 THEN 0.5 * 2.0 * pow(dist - 1.5, 2) ELSE 0.5 * 3.0 * pow(2.2 - least(dist, 2.2), 2) END), 4) AS energy FROM pairs WHERE j = i + 1 OR dist < 2.2 GROUP BY 1""")
+@query(f"""WITH {V.pairs_sql(2.3)}, every AS (SELECT frame, i, j, sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM diff)
+SELECT frame, round(sum(CASE WHEN j = i + 1 THEN 0.5 * 2.0 * pow(dist - 1.5, 2) ELSE 0.5 * 3.0 * pow(2.2 - least(dist, 2.2), 2) END), 4) AS energy FROM every WHERE dist IS NOT NULL AND (j = i + 1 OR dist < 2.2) GROUP BY 1""")
 def soft_potential(spark, d):
-    p = V.written_pts(spark, d)
-    near, bonds = neighbors.neighbor_pairs(p, V.BOX, 2.3), _chain(p, 2)
-    bonded = near.join(bonds.select("frame", F.col("atomi").alias("i"), F.col("atomj").alias("j")), ["frame", "i", "j"], "left_semi").withColumn("r0", F.lit(1.5))
-    return forcefield.soft_potential(bonded, graph.exclude_bonded(near, bonds), 2.0, 3.0, 2.2).select("frame", _r("energy", 4))
+    """Each bond of a chain has a spring, however long it is; of other pairs the near ones push."""
+    p, at = V.written_pts(spark, d), lambda e: tuple(f"{c}_{e}" for c in "xyz")
+    first = p.select("frame", F.col("atom").alias("atomi"), (F.col("atom") + 1).alias("atomj"), *[F.col(c).alias(e) for c, e in zip("xyz", at("atomi"), strict=True)])
+    # both sides hold all atoms, so neither is to be sent to all tasks
+    bonds = structure.with_positions(first, p.hint("merge"), ["atomj"]).select("frame", "atomi", "atomj", V.BOX.distance(at("atomi"), at("atomj")).alias("dist"), F.lit(1.5).alias("r0"))
+    bonds = materialize(bonds.where("dist is not null"), "bonds")
+    near = graph.exclude_bonded(neighbors.neighbor_pairs(p, V.BOX, 2.3), bonds.where("dist < 2.4"))  # longer ones are no near pairs
+    return forcefield.soft_potential(bonds, near, 2.0, 3.0, 2.2).select("frame", _r("energy", 4))
 
 
 @query("""WITH n AS (SELECT CAST(ceil(cbrt(max(s_suppkey) + 1)) AS BIGINT) AS n FROM supplier), c AS (SELECT s_suppkey AS id, s_nationkey AS nation, s_suppkey % n AS a, s_suppkey // n % n AS b, s_suppkey // (n * n) AS c FROM supplier, n)
